@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, line_dedup, packing
+from kinfold.llm import bpe, chat, embedding_dedup, fingerprint, line_dedup, packing, sharding, simhash
 from kinfold.llm._shared import documents
 
 
@@ -13,6 +14,31 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.chat_digest(chat.format_chats(rows.withColumn("parts", chat.text_parts(F.col("text")))))
+
+
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_near_dups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_likeness(documents(spark, sf_dir))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(documents(spark, sf_dir), words=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"shard-{k:03d}" for k in range(sharding.SHARDS)]
+    return sharding.assign_shards(documents(spark, sf_dir), ["doc_id"], names).select("doc_id", "slot", "shard")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(documents(spark, sf_dir), "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -21,7 +47,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir), digests_only=True)
 
 
-QUERIES = {"op1_pack": op1_pack, "op8_bpe": op8_bpe, "op9_lines": op9_lines}
+QUERIES = {f.__name__: f for f in (op1_pack, op3_chat, op4_embeddings, op5_fingerprints, op6_simhash, op7_shards, op8_bpe, op9_lines)}
 
 ORACLE_SQL = {
     "op9_lines": r"""
