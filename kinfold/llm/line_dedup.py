@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm._shared import pow2_at_least, raw_texts, written
+from kinfold.llm.twice_filter import BLOCK_BITS, passes, seen_twice
 
 MIN_CHARS = 40
 MIN_DOCUMENTS = 5
 MAX_BITS = 1 << 28
 HASHES = 4
-BLOCK_BITS = 1 << 19
 
 
 def line_keys(raw: bytes, min_chars: int) -> Iterator[tuple[int, bytes]]:
@@ -44,53 +44,16 @@ def line_keys(raw: bytes, min_chars: int) -> Iterator[tuple[int, bytes]]:
             yield number, key
 
 
-def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The bits of each hash: double hashing on its halves."""
-    low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
-    return (low[:, None] * np.uint64(0x9E3779B1) + high[:, None] * np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x85EBCA77C2B2AE63 & 0xFFFFFFFFFFFF)) >> np.uint64(13) & np.uint64(bits - 1)
-
-
-def second_filter(df: DataFrame, text_col: str, min_chars: int, bits: int) -> bytes:
-    """The filter of keys seen in two documents, merged over all tasks; ``bits`` / 8 bytes."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        for batch in batches:
-            for raw in raw_texts(batch.column(0)):
-                if keys := {xxhash.xxh3_64_intdigest(k) for _, k in line_keys(raw, min_chars)}:
-                    found.append(np.fromiter(keys, np.uint64, len(keys)))
-        if not found:
-            return
-        hashes, times = np.unique(np.concatenate(found), return_counts=True)
-        once, hit = np.unique(_positions(hashes, bits), return_counts=True)
-        twice = np.unique(np.concatenate([once[hit > 1], _positions(hashes[times > 1], bits).ravel()]))
-        for name, at in (("once", once), ("twice", twice)):
-            block, first = np.unique(at // np.uint64(BLOCK_BITS), return_index=True)
-            for b, part in zip(block.tolist(), np.split(at, first[1:]), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([name]), pa.array([(part % np.uint64(BLOCK_BITS)).astype("<u4").tobytes()])], names=["block", "kind", "at"])
-
-    def merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, again = np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool)
-        for part in parts:
-            for kind, at in zip(part.column("kind").to_pylist(), part.column("at").to_pylist(), strict=True):
-                at = np.frombuffer(at, "<u4")
-                if kind == "twice":
-                    again[at] = True
-                else:
-                    again[at] |= seen[at]
-                    seen[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(again).tobytes()])], names=["block", "bits"])
-
-    blocks = df.select(text_col).mapInArrow(local, "block long, kind string, at binary").groupBy("block").applyInArrow(merge, "block long, bits binary")
-    out = bytearray(bits // 8)
-    for block, part in blocks.collect():  # bounded: bits / 8 bytes in all
-        out[block * BLOCK_BITS // 8 : block * BLOCK_BITS // 8 + len(part)] = part
-    return bytes(out)
+def _key_hashes(column: pa.Array, min_chars: int) -> Iterator[np.ndarray]:
+    """Hashes of each document's different keys."""
+    for raw in raw_texts(column):
+        if keys := {xxhash.xxh3_64_intdigest(k) for _, k in line_keys(raw, min_chars)}:
+            yield np.fromiter(keys, np.uint64, len(keys))
 
 
 def suspects(df: DataFrame, id_col: str, text_col: str, min_chars: int, bits: int) -> DataFrame:
     """(id, row key, digest) for each row and each of its keys that the second filter holds."""
-    filter_bits = df.sparkSession.sparkContext.broadcast(second_filter(df, text_col, min_chars, bits))
+    filter_bits = df.sparkSession.sparkContext.broadcast(seen_twice(df, text_col, lambda column: _key_hashes(column, min_chars), bits, HASHES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(filter_bits.value, np.uint8)
@@ -99,8 +62,7 @@ def suspects(df: DataFrame, id_col: str, text_col: str, min_chars: int, bits: in
             for row, raw in enumerate(raw_texts(batch.column(1))):
                 keys = list({k for _, k in line_keys(raw, min_chars)})
                 if keys:
-                    at = _positions(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), bits)
-                    held = (table[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+                    held = passes(table, np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), bits, HASHES)
                     for k in np.flatnonzero(held).tolist():
                         owner.append(row)
                         digest.append(xxhash.xxh3_128_digest(keys[k]))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import drop_written, partitions, texts, written
+from kinfold.llm._shared import partitions, texts, written
 from kinfold.llm.bpe import Splitter, _default_pattern
 
 CAPACITY = 1024
@@ -95,6 +95,16 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, cap
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Placements (length, first rank, how many, first sequence, offset) for ``counts`` pieces of each length.
 
+    Exact fills take short pieces that the residuals may need, so the plans with
+    fills up to triples, pairs, singles and none are all made (they read the
+    histogram only) and the one with fewest sequences counts, of equal ones the first.
+    """
+    return min((plan_with(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: max((first + many for _, _, many, first, _ in p), default=0))
+
+
+def plan_with(counts: dict[int, int], capacity: int, most: int) -> list[tuple[int, int, int, int, int]]:
+    """The plan with exact fills by up to ``most`` other lengths, then best-fit.
+
     The k-th of a placement's pieces goes to its first sequence + k. The number
     of placements depends on the number of different lengths, not of pieces.
     """
@@ -125,14 +135,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
     if capacity in left:
         fill((capacity,))
-    for a in sorted(left, reverse=True):  # gaps that a single length fills
+    for a in sorted(left, reverse=True) if most >= 1 else ():  # gaps that a single length fills
         fill((a, capacity - a))
-    for a in sorted(left, reverse=True):  # that a pair fills
+    for a in sorted(left, reverse=True) if most >= 2 else ():  # that a pair fills
         for b in sorted((n for n in left if 2 * n >= capacity - a and n < capacity - a), reverse=True):
             if a not in left:
                 break
             fill((a, b, capacity - a - b))
-    for a in sorted(left, reverse=True):  # that a triple fills
+    for a in sorted(left, reverse=True) if most >= 3 else ():  # that a triple fills
         for b in sorted((n for n in left if n < capacity - a), reverse=True):
             rest = capacity - a - b
             for c in sorted((n for n in left if n <= b and 2 * n >= rest and n < rest), reverse=True) if a in left and b in left else ():
