@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, chat, embedding_dedup, fingerprint, line_dedup, packing, sharding, simhash
+from kinfold.llm import bpe, chat, embedding_dedup, fingerprint, language_id, line_dedup, packing, sharding, simhash
 from kinfold.llm._shared import documents
 
 
@@ -47,7 +47,12 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir), digests_only=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op3_chat, op4_embeddings, op5_fingerprints, op6_simhash, op7_shards, op8_bpe, op9_lines)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(documents(spark, sf_dir))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op3_chat, op4_embeddings, op5_fingerprints, op6_simhash, op7_shards, op8_bpe, op9_lines, op10_language)}
 
 ORACLE_SQL = {
     "op9_lines": r"""
