@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, chat, embedding_dedup, fingerprint, language_id, line_dedup, packing, sharding, simhash
+from kinfold.llm import bpe, chat, embedding_dedup, fingerprint, language_id, line_dedup, packing, sharding, simhash, suffix_dedup
 from kinfold.llm._shared import documents
 
 
@@ -14,6 +14,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(documents(spark, sf_dir), digests_only=True)
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -52,7 +56,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op3_chat, op4_embeddings, op5_fingerprints, op6_simhash, op7_shards, op8_bpe, op9_lines, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_substrings, op3_chat, op4_embeddings, op5_fingerprints, op6_simhash, op7_shards, op8_bpe, op9_lines, op10_language)}
 
 ORACLE_SQL = {
     "op9_lines": r"""
