@@ -10,6 +10,14 @@ rule out a partner. So every pair within the radius meets in one shard exactly,
 which searches on with a tree of its own. A shard returns only the pairs that
 join two groups, so dense groups of near copies cost no quadratic output.
 
+``near_components`` links fingerprints of word shingles within the radius.
+``similar_components`` links texts whose five-word shingles are alike by a given
+share: few bits of a 64-bit fingerprint can't tell that, since a tenth of the
+shingles changed moves some six bits. It searches by the fingerprint of single
+words, which near copies share but for two or three bits, and keeps a pair if
+256 fingerprint bits of the five-word shingles agree as often as that share makes
+them, less one standard deviation.
+
 Defined results: null or empty text, or text of white space only, has
 fingerprint zero and links like any other; fewer words than a shingle are one
 shingle; repeated rows share a class; a null id is ignored when the least id of
@@ -18,6 +26,7 @@ a component is chosen; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -31,6 +40,8 @@ from kinfold.llm._shared import raw_texts, written
 from kinfold.llm.components import connected_components, forest
 
 RADIUS = 3
+SIMILARITY = 0.8
+WIDE = 4
 SEED = 42
 SAMPLE = 16_384
 SHARD = 4_096
@@ -38,19 +49,47 @@ MAX_SHARDS = 1 << 14
 BLOCK = 1 << 22
 
 
-def simhash(raw: bytes, words: int, seed: int = SEED) -> int:
-    """Signed 64-bit fingerprint of a UTF-8 text."""
-    found = raw.lower().split()  # ASCII only, both
-    if not found:
-        return 0
-    shingles = map(b" ".join, zip(*(found[k:] for k in range(words)))) if len(found) >= words else [b" ".join(found)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, max(1, len(found) - words + 1))
+def _majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit number of the bits set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes)).view(np.int64)[0])
 
 
+def shingle_hashes(found: list[bytes], words: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the shingles of lower-cased words, repeats included; none for no words."""
+    shingles = map(b" ".join, zip(*(found[k:] for k in range(words)))) if len(found) >= words else [b" ".join(found)] * bool(found)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64)
+
+
+def simhash(raw: bytes, words: int, seed: int = SEED) -> int:
+    """Signed 64-bit fingerprint of a UTF-8 text; 0 if it has no words."""
+    hashes = shingle_hashes(raw.lower().split(), words, seed)  # ASCII only, both
+    return _majority(hashes) if len(hashes) else 0
+
+
+def wide_simhash(raw: bytes, words: int) -> list[int]:
+    """A fingerprint of single words, then WIDE of the shingles."""
+    found = raw.lower().split()
+    if not found:
+        return [0] * (1 + WIDE)
+    hashes, out = shingle_hashes(found, words), [_majority(shingle_hashes(found, 1))]
+    for k in range(WIDE):
+        mixed = (hashes ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        out.append(_majority(mixed))
+    return out
+
+
+def wide_limit(similarity: float) -> int:
+    """Of the 64 * WIDE bits, how many may differ at a Jaccard similarity of shingles: the mean and a standard deviation."""
+    p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * WIDE
+    return round(n * p + math.sqrt(n * p * (1 - p)))
+
+
 def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, fp) for every row."""
 
@@ -94,18 +133,18 @@ def _sides(points: np.ndarray, home: np.ndarray, vantage, median, radius: int):
     return inside, home & within, outside, home & ~within
 
 
-def route(points: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, points, which of them live there)."""
-    stack = [(1, points, np.ones(len(points), bool))]
+def route(points: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int, radius: int, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, rows of its points, which of them live there)."""
+    stack = [(1, points, rows, np.ones(len(points), bool))]
     while stack:
-        node, points, home = stack.pop()
+        node, points, rows, home = stack.pop()
         if not len(points):
             continue
         if node >> depth:
-            yield node, points, home
+            yield node, rows, home
             continue
         inside, lives_in, outside, lives_out = _sides(points, home, tree[0][node], tree[1][node], radius)
-        stack += [(2 * node, points[inside], lives_in[inside]), (2 * node + 1, points[outside], lives_out[outside])]
+        stack += [(2 * node, points[inside], rows[inside], lives_in[inside]), (2 * node + 1, points[outside], rows[outside], lives_out[outside])]
 
 
 def close_pairs(points: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -132,45 +171,73 @@ def close_pairs(points: np.ndarray, home: np.ndarray, radius: int) -> Iterator[t
             yield part[i[once]], mine[j[once]]
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """(a, b) links that connect what pairs of distinct ``fp`` within the radius connect."""
+def near_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD, limit: int | None = None) -> DataFrame:
+    """(a, b) links of ``node`` that connect what pairs of ``fp`` within the radius connect.
+
+    ``classes`` holds (node, fp), each node once. With ``limit`` it also holds
+    ``wide``, and a pair counts only if at most so many of the wide bits differ.
+    """
     depth = int(np.ceil(np.log2(max(1, min(MAX_SHARDS, classes.count() / shard)))))
     sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     tree = build_tree(sample, depth)  # at most MAX_SHARDS nodes
+    carried = [] if limit is None else ["wide"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for node, some, home in route(points, tree, depth, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), node)), pa.array(some.view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
+            points = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for node, some, home in route(points, tree, depth, radius, np.arange(len(points))):
+                rows = batch.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), node)), pa.array(home), *rows.columns], names=["shard", "home", *batch.schema.names])
 
     def search(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points, home = [], []
-        for p in parts:
-            points.append(p.column("fp").to_numpy(zero_copy_only=False))
-            home.append(p.column("home").to_numpy(zero_copy_only=False))
-        points, home = np.concatenate(points), np.concatenate(home)
-        found = forest(len(points), close_pairs(points.view(np.uint64), home, radius))
-        a, b = (points[[x[k] for x in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
+        part = pa.Table.from_batches(list(parts)).combine_chunks()
+        nodes, points, home = (part.column(c).to_numpy() for c in ("node", "fp", "home"))
+        pairs = close_pairs(points.view(np.uint64), home, radius)
+        if limit is not None:
+            wide = part.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(points), -1)
+            pairs = ((i[ok], j[ok]) for i, j in pairs for ok in [np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= limit])
+        found = forest(len(points), pairs)
+        a, b = (nodes[[x[k] for x in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    dealt = classes.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
+    more = ", wide array<long>" if carried else ""
+    dealt = classes.select("node", "fp", *carried).mapInArrow(deal, f"shard long, home boolean, node long, fp long{more}")
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
+def _named(fps: DataFrame, classes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+    """(id, fp, component_id) for every row of ``fps``."""
+    parts = connected_components(links)
+    named = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("_least").alias("component_id"))
+    of_class = written(named.join(least, "component").select("node", "component_id"), "components")
+    return fps.join(of_class, "node").select(id_col, "fp", "component_id")
+
+
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id) for every row; the least id reachable by links stands for the component."""
-    fps = written(fingerprints(df, id_col, text_col, words), "simhash")
-    classes = written(fps.groupBy("fp").agg(F.min(id_col).alias("_least")), "classes")
-    parts = connected_components(near_links(classes, radius)).withColumnRenamed("node", "fp")
-    named = classes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("_least").alias("component_id"))
-    of_class = written(named.join(least, "component").select("fp", "component_id"), "components")
-    return fps.join(of_class, "fp").select(id_col, "fp", "component_id")
+    fps = written(fingerprints(df, id_col, text_col, words).withColumn("node", F.col("fp")), "simhash")
+    classes = written(fps.groupBy("node", "fp").agg(F.min(id_col).alias("_least")), "classes")
+    return _named(fps, classes, near_links(classes, radius), id_col)
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """As ``near_components``, of texts whose shingles are alike by ``similarity`` or more; fp is that of single words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_simhash(raw, words) for raw in raw_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1:] for x in found], pa.list_(pa.int64()))], names=[id_col, "fp", "wide"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    hashed = df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long, wide array<long>")
+    fps = written(hashed.withColumn("node", F.xxhash64("fp", "wide")), "simhash")
+    classes = written(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.min(id_col).alias("_least")), "classes")
+    return _named(fps, classes, near_links(classes, radius, limit=wide_limit(similarity)), id_col)
 
 
-def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS) -> DataFrame:
+def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The rows whose id is the least of their component; of repeated rows all that have it. Rows without an id stay."""
-    found = near_components(df, id_col, text_col, words, radius)
+    found = similar_components(df, id_col, text_col, words, similarity)
     keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
     return df.join(keep, id_col, "left_semi").unionByName(df.where(F.col(id_col).isNull()))

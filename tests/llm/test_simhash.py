@@ -66,7 +66,7 @@ def test_shards_find_all_pairs(spark):
                 f ^= 1 << rng.randrange(64)
             fps.add(f)
     fps = sorted(fps)
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").selectExpr("fp AS node", "fp")
     links = simhash.near_links(df, shard=64).collect()
     roots = components(fps)
     at = {f: i for i, f in enumerate(fps)}
@@ -86,3 +86,24 @@ def test_shards_find_all_pairs(spark):
         same[r].add(find(i))
     assert all(len(x) == 1 for x in same.values())
     assert len({find(i) for i in range(len(fps))}) == len(set(roots))
+
+
+def test_similar_texts(spark):
+    """Near copies by five-word shingles go, others stay: against the exact similarity."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(400)]
+    texts = []
+    for _ in range(60):
+        words = rng.choices(vocabulary, k=rng.randint(150, 500))
+        texts.append((True, " ".join(words)))
+        for changes in (1, 3):
+            near = list(words)
+            for _ in range(changes):
+                near[rng.randrange(len(near))] = rng.choice(vocabulary)
+            texts.append((False, " ".join(near)))
+        far = [w if rng.random() < 0.8 else rng.choice(vocabulary) for w in words]
+        texts.append((True, " ".join(far)))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    kept = {r[0] for r in simhash.dedup_near(df).collect()}
+    assert all(i in kept for i, (own, _) in enumerate(texts) if own)
+    assert sum(i in kept for i, (own, _) in enumerate(texts) if not own) <= 12

@@ -70,3 +70,20 @@ def test_whole_characters():
     assert suffix_dedup._whole_characters(raw, [(1, 5)]) == [(2, 4)]
     assert suffix_dedup._whole_characters(raw, [(1, 2)]) == []
     assert suffix_dedup.merged([{"start": 5, "stop": 9}, {"start": 0, "stop": 5}, {"start": 12, "stop": 13}]) == [(0, 9), (12, 13)]
+
+
+def test_anchors_cover_every_window_once(monkeypatch):
+    """Blocks of a long text and neighbours in a buffer; equal windows have equal anchors at equal distances."""
+    monkeypatch.setattr(suffix_dedup, "BUFFER_BITS", 11)
+    rng = random.Random(2)
+    some = bytes(rng.choices(b"abc", k=700))
+    raws = [b"", b"x" * 199, b"x" * 200, bytes(rng.choices(b"ab", k=5000)) + some, some, bytes(rng.choices(range(256), k=2048)), b"q" * 3000]
+    seen, chosen = Counter(), {}
+    for buffer, x in suffix_dedup.anchors(raws):
+        for row, start, first, last, anchor in zip(*(x[c].tolist() for c in ("row", "start", "first", "last", "anchor")), strict=True):
+            for p in range(first, last + 1):
+                seen[row, start + p - first] += 1
+                window = buffer[p : p + 200]
+                assert raws[row][start + p - first :][:200] == window
+                assert chosen.setdefault(window, anchor - p) == anchor - p and 0 <= anchor - p <= 136
+    assert seen == Counter((r, p) for r, raw in enumerate(raws) for p in range(len(raw) - 199))
