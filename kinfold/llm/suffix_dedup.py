@@ -22,8 +22,8 @@ and derives the order of all others from it; so does this operator:
    that agree in both are repeats.
    An anchor whose suffixes exceed ``LIMIT`` is not sorted in one place: its
    windows are halved by their distance to the anchor, each half keyed by the
-   longer string that all its windows hold, and so on, down to a single window
-   that the count of its key settles.
+   longer string that all its windows hold, and so on; halves with the same
+   bytes are settled and go on as one, as in step 2.
 
 Two filters of fixed size keep names that occur once from being shuffled; they
 never decide. Equality rests on 128 bits of hash in step 2, on bytes in step 4.
@@ -49,7 +49,7 @@ from kinfold.llm.twice_filter import passes, seen_twice
 
 WIDTH = 200
 GRAM = 64
-LIMIT = 512
+LIMIT = 4_096
 FILTER_BITS = 1 << 27
 BUFFER_BITS = 20
 CHUNK = 4_096
@@ -182,28 +182,34 @@ def hulls(df: DataFrame, text_col: str, twice, edge) -> DataFrame:
     return df.select(text_col).mapInArrow(run, "a long, k long, at int, hull binary")
 
 
-_ITEM = "core long, low int, high int, single boolean, row long, start long, at int, hull binary"
+_ITEM = "core long, half long, near int, far int, low int, high int, single boolean, row long, start long, at int, hull binary"
 
 
 def _halved(items: DataFrame) -> DataFrame:
-    """Each item as two, of the windows nearer to and farther from the anchor, keyed by what all windows of the half hold."""
+    """Each item as two, of the windows nearer to and farther from the anchor, keyed by what all windows of the half hold.
+
+    ``half`` names all bytes of the item's windows in it, which stand ``near`` to ``far`` bytes before the anchor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {c: batch.column(c).to_pylist() for c in ("low", "high", "at", "hull")}
-            pick, core, lows, highs = [], [], [], []
+            pick, found = [], []
             for n, (low, high, at, hull) in enumerate(zip(*cols.values(), strict=True)):
                 middle = (low + high) // 2
                 for lo, hi in ((low, middle), (middle + 1, high)):
-                    if lo <= at and hi >= at - (len(hull) - WIDTH) and lo <= hi:
+                    near, far = max(lo, at - (len(hull) - WIDTH)), min(hi, at)
+                    if near <= far:
                         pick.append(n)
-                        core.append(xxhash.xxh3_64_intdigest(hull[at - lo : at - hi + WIDTH], seed=lo * WIDTH + hi + 1))
-                        lows.append(lo)
-                        highs.append(hi)
+                        core = xxhash.xxh3_64_intdigest(hull[at - lo : at - hi + WIDTH], seed=lo * WIDTH + hi + 1)
+                        half = xxhash.xxh3_64_intdigest(hull[at - far : at - near + WIDTH], seed=near * WIDTH + far + 1)
+                        found.append((core - (core >> 63 << 64), half - (half >> 63 << 64), near, far, lo, hi))
             rest = batch.take(pa.array(pick, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(core, np.uint64).view(np.int64)), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), *(rest.column(c) for c in ("single", "row", "start", "at", "hull"))], names=[c.split()[0] for c in _ITEM.split(", ")])
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 4
+            made = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*made, *(rest.column(c) for c in ("single", "row", "start", "at", "hull"))], names=[c.split()[0] for c in _ITEM.split(", ")])
 
-    return items.select(*(c.split()[0] for c in _ITEM.split(", "))).mapInArrow(run, _ITEM)
+    return items.mapInArrow(run, _ITEM)
 
 
 def _rows_of(flat: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, step: int) -> np.ndarray:
@@ -302,10 +308,14 @@ def repeated_spans(df: DataFrame, text_col: str, row_col: str) -> DataFrame:
         counted = items.join(sizes, "core")
         parts.append(shard_repeats(counted.where(F.col("_n") <= LIMIT).drop("_n")))
         hot = counted.where(F.col("_n") > LIMIT).drop("_n")
-        parts.append(hot.where("low = high AND single").select("row", (F.col("start") + F.col("at") - F.col("low")).alias("start"), (F.col("start") + F.col("at") - F.col("low") + WIDTH).alias("stop")))
         if sizes.where(F.col("_n") > LIMIT).isEmpty():
             break
-        items = _halved(hot.where("low < high"))
+        split = written(_halved(hot), "halves")
+        named = written(split.groupBy("core", "half").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("low", "high", "single", "row", "start", "at", "hull")).alias("x")), "named")
+        kept += [split, named]
+        same = split.where("single").join(named.where("n > 1").select("core", "half"), ["core", "half"])
+        parts.append(same.select("row", (F.col("start") + F.col("at") - F.col("far")).alias("start"), (F.col("start") + F.col("at") - F.col("near") + WIDTH).alias("stop")))
+        items = named.select("core", "x.low", "x.high", (F.col("x.single") & (F.col("n") == 1)).alias("single"), "x.row", "x.start", "x.at", "x.hull")
     for part in parts:
         marks = marks.unionByName(part)
     spans = written(marks.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")

@@ -42,7 +42,7 @@ def test_hard(spark, hard, empty):
     assert out.columns == ["doc_id", "_id", "_key2", "n_bytes", "n_removed", "n_spans", "text"] and out.count() == len(rows)
 
 
-@pytest.mark.parametrize("limit", [4, 512])
+@pytest.mark.parametrize("limit", [4, 4096])
 def test_passages_in_many_contexts(spark, limit, monkeypatch):
     """Passages of many lengths in texts that differ around them, near copies, periodic text; with and without halving."""
     monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
