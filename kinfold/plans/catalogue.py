@@ -1,4 +1,219 @@
-"""Query catalogue over the driver's tables."""
+"""Query catalogue over the driver's tables, read as intervals, rate maps, histories and trees, with the same in SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The tables stand in for genealogies: they exercise what the operators compute
+and say nothing about genetics.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinfold.functions import ratemap
+from kinfold.operators import ancestry, demography, intervals, trees
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def part_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a rate map: ten positions each, their size as rate, unknown for every seventh size."""
+    key = F.col("p_partkey").cast("long")
+    return _table(spark, sf_dir, "part").select((key * 10).alias("left"), ((key + 1) * 10).alias("right"), F.when(F.col("p_size") % 7 != 0, F.col("p_size")).cast("long").alias("rate"))
+
+
+def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", F.pmod(F.col("event_id") * 7919, F.lit(20000)).alias("pos"))
+
+
+def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem")
+    return lines.select(F.col("l_orderkey").cast("long").alias("left"), (F.col("l_orderkey") + F.col("l_linenumber") * 5).cast("long").alias("right"))
+
+
+def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber").cast("long")
+    return lines.select(F.col("l_suppkey").alias("parent"), (F.col("l_partkey") % 50).alias("child"), n.alias("left"), (n + 1).alias("right")).distinct()
+
+
+def ratemap_cumulative_mass(spark, sf_dir):
+    return ratemap.cumulative_mass(part_map(spark, sf_dir))
+
+
+def ratemap_get_rate(spark, sf_dir):
+    return ratemap.get_rate(part_map(spark, sf_dir), event_points(spark, sf_dir), "pos").where("pos >= 10").select("event_id", "rate")
+
+
+def ratemap_get_cumulative_mass(spark, sf_dir):
+    found = ratemap.get_cumulative_mass(part_map(spark, sf_dir), event_points(spark, sf_dir), "pos")
+    return found.where("cum_mass IS NOT NULL").select("event_id", "cum_mass")
+
+
+def ratemap_slice(spark, sf_dir):
+    return ratemap.slice_map(part_map(spark, sf_dir), 1005, 1803)
+
+
+def ratemap_summary(spark, sf_dir):
+    return ratemap.summary(part_map(spark, sf_dir))
+
+
+def ratemap_missing(spark, sf_dir):
+    return ratemap.missing_intervals(part_map(spark, sf_dir))
+
+
+def ratemap_faults(spark, sf_dir):
+    return ratemap.faults(part_map(spark, sf_dir))
+
+
+def overlap_sweep(spark, sf_dir):
+    return intervals.overlap_counts(line_spans(spark, sf_dir))
+
+
+def edge_squash(spark, sf_dir):
+    return intervals.squash(supply_edges(spark, sf_dir), ["parent", "child"])
+
+
+def census_nodes(spark, sf_dir):
+    return intervals.live_at(line_spans(spark, sf_dir), 700)
+
+
+def breakpoints(spark, sf_dir):
+    return intervals.breakpoints(line_spans(spark, sf_dir))
+
+
+def interval_overlap_join(spark, sf_dir):
+    """Spans of lines against the part map: shared length by rate."""
+    met = intervals.overlap_join(part_map(spark, sf_dir), line_spans(spark, sf_dir), 40.0)
+    shared = F.least("right", "other_right") - F.greatest("left", "other_left")
+    return met.groupBy("rate").agg(F.count(F.lit(1)).alias("n"), F.sum(shared).alias("shared"))
+
+
+def _supply_moves(spark, sf_dir):
+    lines, orders, customer, supplier = (_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    placed = lines.select("l_orderkey", "l_suppkey").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    bought = placed.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return bought.join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+def migration_matrix(spark, sf_dir):
+    return demography.migration_flows(_supply_moves(spark, sf_dir), "c_nationkey", "s_nationkey").select("source", "dest", "n")
+
+
+def epoch_state(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.when(F.col("value") > 50, F.col("event_type")).alias("ev"))
+    return demography.state_at(events, "user_id", "ts", "ev", ("event_id",)).select("event_id", "state")
+
+
+def population_size_trajectory(spark, sf_dir):
+    nations = _table(spark, sf_dir, "nation")
+    changes = nations.select(F.col("n_nationkey").alias("population"), F.lit(0.0).alias("time"), (F.col("n_nationkey") * 13 + 100).cast("double").alias("size"), (F.col("n_regionkey") * 0.01).alias("growth_rate"))
+    later = nations.select(F.col("n_nationkey").alias("population"), F.lit(20.5).alias("time"), F.lit(None).cast("double").alias("size"), F.lit(0.0).alias("growth_rate"))
+    steps = spark.range(50).select(F.col("id").cast("double").alias("step"))
+    sizes = demography.size_trajectory(demography.epochs(changes.unionByName(later)), steps)
+    return sizes.select("population", F.col("step").cast("long").alias("step"), F.floor(F.col("size") * 1000 + 0.001).alias("milli_size"))
+
+
+def total_material(spark, sf_dir):
+    lines, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    edges = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.lit(0).cast("long").alias("left"), F.col("l_linenumber").cast("long").alias("right"), F.datediff("l_shipdate", "o_orderdate").cast("long").alias("parent_time"), F.lit(0).cast("long").alias("child_time")
+    )
+    return trees.total_material(edges)
+
+
+def _part_sites(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem")
+    derived = F.countDistinct(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")))
+    return lines.groupBy("l_partkey").agg(derived.alias("k"), F.countDistinct("l_suppkey").alias("n"))
+
+
+def site_frequency_spectrum(spark, sf_dir):
+    return trees.frequency_spectrum(_part_sites(spark, sf_dir))
+
+
+def nucleotide_diversity_pairs(spark, sf_dir):
+    return trees.diversity(_part_sites(spark, sf_dir)).drop("pi")
+
+
+def children_count_unary(spark, sf_dir):
+    return trees.children_histogram(supply_edges(spark, sf_dir))
+
+
+def tree_depth(spark, sf_dir):
+    """Parts as a binary heap: node k hangs below k // 2."""
+    key = F.col("p_partkey").cast("long")
+    parents = _table(spark, sf_dir, "part").where("p_partkey > 1").select(key.alias("child"), F.floor(key / 2).alias("parent"))
+    return trees.depths(parents).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def migration_records(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    moved = demography.transitions(events, "user_id", "ts", "event_type", ("event_id",))
+    return moved.groupBy("user_id", "source", "dest").agg(F.count(F.lit(1)).alias("n"))
+
+
+def simulated_trees(spark, sf_dir):
+    """Edges of 200 genealogies of ten samples."""
+    return ancestry.coalescent_trees(spark, 200, 10, seed=11)
+
+
+def simulated_spectrum(spark, sf_dir):
+    """Frequency spectrum of mutations on those genealogies."""
+    edges = ancestry.coalescent_trees(spark, 200, 10, seed=11)
+    sites = ancestry.place_mutations(edges, 0.5, seed=12)
+    samples = edges.where("child < 10").select("replicate", F.col("child").alias("node"))
+    return trees.frequency_spectrum(trees.carriers(sites, edges, samples, ("replicate",)))
+
+
+def lineage_locations(spark, sf_dir):
+    """Where lineages of each region's pair of places are after three steps."""
+    regions = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("model"))
+    rates = F.array(F.array(F.lit(0.0), F.col("model") * 0.1 + 0.1), F.array(F.lit(0.2), F.lit(0.0)))
+    return demography.lineage_probabilities(regions.select("model", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("step"), F.lit(1.5).alias("span"), rates.alias("rates")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        ratemap_cumulative_mass, ratemap_get_rate, ratemap_get_cumulative_mass, ratemap_slice, ratemap_summary, ratemap_missing, ratemap_faults, overlap_sweep, edge_squash, census_nodes, breakpoints,
+        interval_overlap_join, migration_matrix, epoch_state, population_size_trajectory, total_material, site_frequency_spectrum, nucleotide_diversity_pairs, children_count_unary, tree_depth, migration_records,
+        simulated_trees, simulated_spectrum, lineage_locations,
+    )
+}
+
+_MAP = "(SELECT CAST(p_partkey * 10 AS BIGINT) AS l, CAST((p_partkey + 1) * 10 AS BIGINT) AS r, CAST(CASE WHEN p_size % 7 <> 0 THEN p_size END AS BIGINT) AS rate FROM part)"
+_CUM = f"(SELECT l, r, rate, CAST(coalesce(sum(rate * (r - l)) OVER (ORDER BY l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cum FROM {_MAP})"
+_POINTS = "(SELECT event_id, (event_id * 7919) % 20000 AS pos FROM events)"
+_SPANS = "(SELECT CAST(l_orderkey AS BIGINT) AS l, CAST(l_orderkey + l_linenumber * 5 AS BIGINT) AS r FROM lineitem)"
+_EDGES = "(SELECT DISTINCT l_suppkey AS parent, l_partkey % 50 AS child, CAST(l_linenumber AS BIGINT) AS l, CAST(l_linenumber + 1 AS BIGINT) AS r FROM lineitem)"
+_SITES = "(SELECT l_partkey, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS k, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_partkey)"
+
+ORACLE_SQL = {
+    "ratemap_cumulative_mass": f'SELECT l AS "left", r AS "right", rate, cum FROM {_CUM}',
+    "ratemap_get_rate": f"SELECT e.event_id, t.rate FROM {_POINTS} e LEFT JOIN {_MAP} t ON e.pos >= t.l AND e.pos < t.r WHERE e.pos >= 10",
+    "ratemap_get_cumulative_mass": f"SELECT e.event_id, CAST(t.cum + (e.pos - t.l) * coalesce(t.rate, 0) AS BIGINT) AS cum_mass FROM {_POINTS} e JOIN {_CUM} t ON e.pos >= t.l AND e.pos < t.r",
+    "ratemap_slice": f"""SELECT greatest(l, 1005) AS "left", least(r, 1803) AS "right", rate FROM {_MAP} WHERE r > 1005 AND l < 1803
+UNION ALL SELECT (SELECT min(l) FROM {_MAP}), 1005, NULL WHERE (SELECT min(l) FROM {_MAP}) < 1005
+UNION ALL SELECT 1803, (SELECT max(r) FROM {_MAP}), NULL WHERE (SELECT max(r) FROM {_MAP}) > 1803""",
+    "ratemap_summary": f"SELECT count(*) AS n_intervals, count(rate) AS n_known, count(*) - count(rate) AS n_missing, max(r) AS length, CAST(sum(rate * (r - l)) AS BIGINT) AS total_mass, CAST(sum(CASE WHEN rate IS NOT NULL THEN r - l END) AS BIGINT) AS known_span FROM {_MAP}",
+    "ratemap_missing": f'SELECT l AS "left", r AS "right" FROM {_MAP} WHERE rate IS NULL',
+    "ratemap_faults": f'SELECT l AS "left", r AS "right", rate FROM (SELECT *, coalesce(lag(r) OVER (ORDER BY l), 0) AS b FROM {_MAP}) WHERE l >= r OR rate < 0 OR l <> b',
+    "overlap_sweep": f"SELECT x AS position, CAST(sum(sum(d)) OVER (ORDER BY x) AS BIGINT) AS live FROM (SELECT l AS x, 1 AS d FROM {_SPANS} UNION ALL SELECT r, -1 FROM {_SPANS}) GROUP BY x",
+    "edge_squash": f"""SELECT parent, child, min(l) AS "left", max(r) AS "right", count(*) AS n_merged FROM (
+  SELECT *, sum(CASE WHEN l = b THEN 0 ELSE 1 END) OVER (PARTITION BY parent, child ORDER BY l) AS island FROM (SELECT *, lag(r) OVER (PARTITION BY parent, child ORDER BY l) AS b FROM {_EDGES})
+) GROUP BY parent, child, island""",
+    "census_nodes": f'SELECT l AS "left", r AS "right" FROM {_SPANS} WHERE l <= 700 AND r > 700',
+    "breakpoints": f"SELECT l AS position FROM {_SPANS} UNION SELECT r FROM {_SPANS}",
+    "interval_overlap_join": f"SELECT m.rate, count(*) AS n, CAST(sum(least(m.r, s.r) - greatest(m.l, s.l)) AS BIGINT) AS shared FROM {_MAP} m JOIN {_SPANS} s ON m.l < s.r AND s.l < m.r GROUP BY m.rate",
+    "migration_matrix": "SELECT c_nationkey AS source, s_nationkey AS dest, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY c_nationkey, s_nationkey",
+    "epoch_state": "SELECT event_id, last_value(ev IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM (SELECT *, CASE WHEN value > 50 THEN event_type END AS ev FROM events)",
+    "population_size_trajectory": "SELECT n_nationkey AS population, step, CAST(floor((n_nationkey * 13 + 100) * exp(-(n_regionkey * 0.01) * least(step, 20.5)) * 1000 + 0.001) AS BIGINT) AS milli_size FROM nation CROSS JOIN (SELECT range AS step FROM range(50))",
+    "total_material": "SELECT CAST(sum(l_linenumber * date_diff('day', o_orderdate::DATE, l_shipdate::DATE)) AS BIGINT) AS material FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "site_frequency_spectrum": f"SELECT k, count(*) AS n_sites FROM {_SITES} GROUP BY k",
+    "nucleotide_diversity_pairs": f"SELECT count(*) AS n_sites, count(CASE WHEN 0 < k AND k < n THEN 1 END) AS segregating, CAST(sum(k * (n - k)) AS BIGINT) AS differing_pairs FROM {_SITES}",
+    "children_count_unary": f"SELECT c AS n_children, count(*) AS n_parents FROM (SELECT parent, count(DISTINCT child) AS c FROM {_EDGES} GROUP BY parent) GROUP BY c",
+    "tree_depth": "WITH RECURSIVE t(node, depth) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT CAST(p_partkey AS BIGINT), t.depth + 1 FROM part JOIN t ON p_partkey // 2 = t.node WHERE p_partkey > 1) SELECT depth, count(*) AS n FROM t WHERE depth > 0 GROUP BY depth",
+    "migration_records": "SELECT user_id, b AS source, event_type AS dest, count(*) AS n FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b <> event_type GROUP BY user_id, b, event_type",
+}
