@@ -120,12 +120,14 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     largest; of rows that repeat its id, the one with the least text. A row
     without an id has no next document: its edit only loses the last third.
     """
-    own = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    every = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    own = every.where("_id IS NOT NULL")  # as the inner join below has it, so that both joins read one shuffle of the texts
     third = F.floor(F.length("_text") / 3).cast("int")
     follow = written(next_ids(df, id_col), "next")
     before = own.select("_id", third.alias("_third")).groupBy("_id").agg(F.max("_third").alias("_third")).join(follow, "_id").select(F.col("_next").alias("_id"), F.col("_id").alias("_before"), "_third")
     heads = own.join(before, "_id").select("_before", F.expr("left(_text, _third)").alias("_head")).groupBy(F.col("_before").alias("_id")).agg(F.min("_head").alias("_head"))
-    both = own.join(heads, "_id", "left").join(follow, "_id", "left").withColumn("_third", third)
+    alone = every.where("_id IS NULL").withColumns({"_head": F.lit(""), "_next": F.lit(None).cast(df.schema[id_col].dataType)})
+    both = own.join(heads, "_id", "left").join(follow, "_id", "left").unionByName(alone).withColumn("_third", third)
     edited = F.concat(F.expr("left(_text, length(_text) - _third)"), F.coalesce(F.expr("left(_head, _third)"), F.lit("")))
     done = both.select("_id", "_next", F.length("_text").cast("long").alias("n_chars"), "_text", edited.alias("_edited")).select(
         "_id", "_next", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), fingerprint(F.col("_text"), words).alias("_a"), fingerprint(F.col("_edited"), words).alias("_b")
