@@ -52,16 +52,43 @@ def core(token: str) -> str:
     return _EDGE.sub("", token).lower()
 
 
-def features(word: str, lexicon: frozenset[str] | dict) -> list[int]:
-    """Hashed features of a word: affixes, n-grams, and itself if the lexicon has it."""
-    names = ["b"]
-    if word in lexicon:
-        names.append("w" + word)
-    for k in range(1, min(4, len(word)) + 1):
-        names += ("p" + word[:k], "s" + word[-k:])
-    whole = f"<{word}>"
-    names += [whole[i : i + n] for n in (2, 3) for i in range(len(whole) - n + 1)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for x in names]
+def _mixed(seed: int, columns: list[np.ndarray]) -> np.ndarray:
+    """A bucket for each row of characters."""
+    h = np.full(len(columns[0]), seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for c in columns:
+        h = (h ^ c) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: dict[str, None]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of the features of non-empty words: affixes, n-grams, and themselves where the lexicon has them."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    last = np.cumsum(size + 2) - 1  # where the words' ">" stand; a word's "<" is size + 1 before
+    first = last - size - 1
+    number = np.repeat(np.arange(len(words)), size + 2)
+    known = np.array([k for k, w in enumerate(words) if w in lexicon], np.int64)
+    owners, buckets = [np.arange(len(words)), known], [np.zeros(len(words), np.int64), np.array([zlib.crc32(words[k].encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for k in known.tolist()], np.int64)]
+    for k in range(1, 5):
+        some = np.flatnonzero(size >= k)
+        owners += [some, some]
+        buckets += [_mixed(k, [letters[first[some] + 1 + i] for i in range(k)]), _mixed(8 + k, [letters[last[some] - k + i] for i in range(k)])]
+    for n in (2, 3):
+        within = np.flatnonzero(number[: 1 - n] == number[n - 1 :])
+        owners.append(number[within])
+        buckets.append(_mixed(16 + n, [letters[within + i] for i in range(n)]))
+    return np.concatenate(owners), np.concatenate(buckets)
+
+
+def scores(words: list[str], model: Model) -> np.ndarray:
+    """Summed weights of each word's features."""
+    out = np.zeros((len(words), len(model.labels)), np.float32)
+    if words:
+        owner, bucket = features(words, model.lexicon)
+        for k in range(out.shape[1]):
+            out[:, k] = np.bincount(owner, model.weights[bucket, k], len(words))
+    return out
 
 
 @dataclass
@@ -81,25 +108,19 @@ class Emissions(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.rows = [np.ones(len(self.model.labels), np.float32)]
         self.table = np.ones((1, len(self.model.labels)), np.float32)
 
-    def __missing__(self, token: str) -> int:
-        word = core(token)
-        if not word:
-            self[token] = 0
-            return 0
-        score = self.model.weights[features(word, self.model.lexicon)].sum(axis=0)
-        self.rows.append(np.exp(np.maximum(score - score.max(), -30)).astype(np.float32))
-        self[token] = at = len(self.rows) - 1
-        return at
-
     def lookup(self, tokens: list[str]) -> np.ndarray:
-        """Rows of the tokens; call ``forget`` between batches."""
-        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        if len(self.rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.float32)])
-        return at
+        """Rows of the tokens; tokens not yet known are scored together. Call ``forget`` between batches."""
+        new = list(set(tokens).difference(self))
+        cores = list(map(core, new))
+        self.update((t, 0) for t, c in zip(new, cores, strict=True) if not c)
+        worded = [(t, c) for t, c in zip(new, cores, strict=True) if c]
+        score = scores([c for _, c in worded], self.model)
+        if worded:
+            self.update((t, k) for k, (t, _) in enumerate(worded, len(self.table)))
+            self.table = np.concatenate([self.table, np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -30))])
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
     def forget(self) -> None:
         if len(self) > self.bound:
@@ -203,8 +224,8 @@ def train(runs: list[tuple[str, list[str]]], epochs: int = EPOCHS, seed: int = 3
             counts[at] += 1
     common = sorted((w for w in words if counts[words[w]] > 1), key=lambda w: (-counts[words[w]], w))[:LEXICON]
     model = Model(labels, np.zeros((BUCKETS, len(labels)), np.float32), np.zeros((len(labels), len(labels)), np.float32), dict.fromkeys(common))
-    feats = [features(w, model.lexicon) for w in words]
-    flat, size = np.concatenate([np.array(f, np.int64) for f in feats]), np.array([len(f) for f in feats])
+    owner, flat = features(list(words), model.lexicon)
+    flat, size = flat[np.argsort(owner, kind="stable")], np.bincount(owner)
     starts = np.cumsum(size) - size
     rng, k = np.random.default_rng(seed), len(labels)
     ids = [np.array([words[w] for w in run]) for _, run in runs]
