@@ -102,7 +102,7 @@ class Model:
 class Emissions(dict):
     """Token -> row of ``table``, which holds exp of its scores (row 0: a token without letters, which says nothing)."""
 
-    def __init__(self, model: Model, bound: int = 400_000):
+    def __init__(self, model: Model, bound: int = 200_000):
         self.model, self.bound = model, bound
         self.reset()
 
@@ -299,12 +299,12 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text", keep: tu
     if model is None:
         return df.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = df.sparkSession.sparkContext.broadcast(model)
+    at = keep.index(text_col) if text_col in keep else len(keep)  # the text is not sent twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, cache = shared.value.labels, Emissions(shared.value)
         for batch in batches:
-            pred, score = [], []
-            for _, some in slices_of(texts(batch.column(batch.num_columns - 1))):
+            for start, some in slices_of(texts(batch.column(at))):
                 gamma, counts, lengths = _labelled(some, cache)
                 ends = np.cumsum(lengths)
                 weight = np.concatenate([[0], np.cumsum(counts)])
@@ -312,12 +312,13 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text", keep: tu
                 n = weight[ends] - weight[ends - lengths]
                 mean = (total[ends] - total[ends - lengths]) / np.maximum(n, 1)[:, None]
                 best = mean.argmax(axis=1)
-                pred += [labels[b] if x else UNKNOWN for b, x in zip(best.tolist(), n.tolist(), strict=True)]
-                score += np.where(n > 0, np.clip(mean[np.arange(len(best)), best], 0, 1), 0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+                pred = [labels[b] if x else UNKNOWN for b, x in zip(best.tolist(), n.tolist(), strict=True)]
+                score = np.where(n > 0, np.clip(mean[np.arange(len(best)), best], 0, 1), 0)
+                part = batch.slice(start, len(some))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"])
-    return df.select(*keep, F.col(text_col).alias("_of")).mapInArrow(run, schema)
+    return df.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(run, schema)
 
 
 def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
