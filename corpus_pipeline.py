@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import language_id, line_dedup, packing, simhash, suffix_dedup
-from kinfold.llm._shared import written
+from kinfold.llm._shared import small_batches, written
 
 #: A document whose words, by mean probability, belong to no language this likely is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -15,6 +15,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter or without a likely language go."""
+    small_batches(spark)
     found = language_id.identify(docs, keep=tuple(docs.columns))
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
@@ -25,18 +26,22 @@ def _recounted(done: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _recounted(line_dedup.dedup_lines(docs), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.dedup_near(docs)
 
 
 def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _recounted(suffix_dedup.dedup_substrings(docs), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -60,5 +60,11 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on Python workers get texts in batches of so many rows: a batch, its copies in Python and Spark's buffer for it stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
