@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -38,12 +40,15 @@ class WordIds(dict):
 
     The tokenizer's own pre-tokenizer splits by the same pattern, so the ids of
     a text are the ids of its pieces in order. Pieces not yet known are encoded
-    a batch at a time.
+    a batch at a time. When more than ``bound`` are known the later half goes;
+    frequent pieces are mostly among the first. The library's own threads are off,
+    since Spark runs a task on every core.
     """
 
     def __init__(self, path: str, bound: int = 250_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split, self.bound = Splitter(_default_pattern()), bound
@@ -51,7 +56,8 @@ class WordIds(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [self.split(t) for t in texts]
         if len(self) > self.bound:
-            self.clear()
+            for word in list(itertools.islice(self, self.bound // 2, None)):
+                del self[word]
         new = list(set().union(*pieces).difference(self))
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
