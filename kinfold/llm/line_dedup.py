@@ -34,6 +34,7 @@ MIN_CHARS = 40
 MIN_DOCUMENTS = 5
 MAX_BITS = 1 << 28
 HASHES = 4
+SALTS = 8
 
 
 def line_keys(raw: bytes, min_chars: int) -> Iterator[tuple[int, bytes]]:
@@ -84,7 +85,9 @@ def shared_line_drops(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = min(max_bits, max(BLOCK_BITS, pow2_at_least(256 * df.count())))
     rows = written(suspects(df, id_col, text_col, min_chars, bits), "suspects")
     common = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.max(id_col).alias("_keep")).where(F.col("_n") >= min_documents).drop("_n")
-    lost = rows.join(common, "digest").where(~F.col(id_col).eqNullSafe(F.col("_keep")))
+    salted = rows.withColumn("_salt", F.pmod("_row", F.lit(SALTS)))  # a line that a third of all documents hold is spread over many tasks
+    common = common.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    lost = salted.join(common, ["digest", "_salt"]).where(~F.col(id_col).eqNullSafe(F.col("_keep")))
     return lost.groupBy("_row").agg(F.collect_set("digest").alias("_drop"))
 
 
