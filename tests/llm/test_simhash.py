@@ -3,9 +3,12 @@ import re
 from collections import defaultdict
 
 import xxhash
+from pyspark.sql import functions as F
 
 from kinfold.llm import queries, simhash
 
+#: Of each kind of edit and length.
+LEAST_RECALL = 0.75
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -107,3 +110,57 @@ def test_similar_texts(spark):
     kept = {r[0] for r in simhash.dedup_near(df).collect()}
     assert all(i in kept for i, (own, _) in enumerate(texts) if own)
     assert sum(i in kept for i, (own, _) in enumerate(texts) if not own) <= 12
+
+
+def shingles(words):
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def edited(words, other, kind, part):
+    """``words`` with a part of them cut off, so many appended, or a block of them replaced."""
+    n = max(1, round(part * len(words)))
+    if kind == "cut":
+        return words[:-n]
+    if kind == "appended":
+        return words + other[:n]
+    at = (len(words) - n) // 2
+    return words[:at] + other[:n] + words[at + n :]
+
+
+KINDS = [(kind, least, most) for kind in ("cut", "appended", "replaced") for least, most in ((25, 59), (60, 149), (150, 399), (400, 800))]
+
+
+def found_pairs(spark, low, high, many=150):
+    """(kind, least length) -> share of texts of the documents joined to an edit whose exact similarity is in [low, high); all searched at once, no text used twice."""
+    rng = random.Random(int(100 * low))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) > 150").orderBy("doc_id").limit(6000)
+    texts = [(r[0] or "").lower().split() for r in docs.select("text").collect()]
+    rng.shuffle(texts)
+    rows, keys = [], []
+    for kind, least, most in KINDS:
+        made = 0
+        while made < many:
+            words, size = texts.pop(), rng.randint(least, most)
+            while len(words) < size:
+                words = words + texts[rng.randrange(len(texts))]
+            words, other = words[:size], rng.choice(texts) + rng.choice(texts)
+            tried = (edited(words, other, kind, rng.uniform(0.01, 0.3)) for _ in range(20))
+            if new := next((x for x in tried if low <= jaccard(words, x) < high), None):
+                rows += [(2 * len(keys) + side, " ".join(w)) for side, w in enumerate((words, new))]
+                keys.append((kind, least))
+                made += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.similar_components(df).groupBy(F.floor(F.col("doc_id") / 2).alias("pair")).agg(F.count_distinct("component_id").alias("n"))
+    joined = [keys[r[0]] for r in found.where("n = 1").collect()]
+    return {key: joined.count(key) / many for key in dict.fromkeys(keys)}
+
+
+def test_recall_by_kind_and_length(spark):
+    """Cut, appended and block-replaced copies, short and long, at a similarity of 0.80 to 0.85."""
+    got = found_pairs(spark, 0.80, 0.85)
+    print(got)
+    assert min(got.values()) >= LEAST_RECALL
