@@ -18,8 +18,11 @@ words, as above, and by vantage-point trees over 256 fingerprint bits of the
 five-word shingles in each of BANDS buckets, keyed by ROWS least hashes of the
 shingles. Two texts meet in one of the buckets with probability
 1 - (1 - J ** ROWS) ** BANDS, 0.998 at a Jaccard similarity J of 0.8, whatever
-their length and wherever they differ. A pair counts if the 256 bits agree as
-often as that share makes them, less one standard deviation.
+their length and wherever they differ. The 256 bits only sort out pairs far below
+that share (by four standard deviations); the Jaccard similarity of the two sets
+of shingle hashes decides. First the pairs that would join all candidates are
+decided, then every candidate pair that these left apart, so groups of near
+copies cost no quadratic output and no pair goes undecided.
 
 Defined results: null or empty text, or text of white space only, has
 fingerprint zero and links like any other; fewer words than a shingle are one
@@ -46,6 +49,7 @@ RADIUS = 3
 SIMILARITY = 0.8
 WIDE = 4
 BANDS, ROWS = 16, 5
+SLACK = 4
 SEED = 42
 SAMPLE = 16_384
 SHARD = 4_096
@@ -85,25 +89,25 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def wide_simhash(raw: bytes, words: int) -> list[int]:
-    """A fingerprint of single words, then WIDE of the shingles, then their BANDS bucket keys."""
+def wide_simhash(raw: bytes, words: int) -> tuple[list[int], np.ndarray]:
+    """A fingerprint of single words, then WIDE of the set of shingles, their BANDS bucket keys and a hash of the set; and the set, sorted."""
     found = raw.lower().split()
-    if not found:
-        return [0] * (1 + WIDE) + band_keys(np.zeros(0, np.uint64))
-    hashes, out = shingle_hashes(found, words), [_majority(shingle_hashes(found, 1))]
+    hashes = np.unique(shingle_hashes(found, words))
+    out = [_majority(shingle_hashes(found, 1)) if found else 0]
     for k in range(WIDE):
         mixed = (hashes ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
         out.append(_majority(mixed))
-    return out + band_keys(hashes)
+    named = np.array([xxhash.xxh64_intdigest(hashes.tobytes(), SEED)], np.uint64).view(np.int64)
+    return out + band_keys(hashes) + named.tolist(), hashes.view(np.int64)
 
 
 def wide_limit(similarity: float) -> int:
-    """Of the 64 * WIDE bits, how many may differ at a Jaccard similarity of shingles: the mean and a standard deviation."""
+    """Of the 64 * WIDE bits, how many may differ at a Jaccard similarity of shingles: the mean and SLACK standard deviations."""
     p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * WIDE
-    return round(n * p + math.sqrt(n * p * (1 - p)))
+    return round(n * p + SLACK * math.sqrt(n * p * (1 - p)))
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -195,16 +199,29 @@ def close_pairs(points: np.ndarray, home: np.ndarray, radius: int) -> Iterator[t
             yield part[i[once]], mine[j[once]]
 
 
+def _links(nodes: np.ndarray, pairs, labels: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(a, b) of ``nodes``: those that join what the pairs join, or given labels all pairs of two labels."""
+    if labels is None:
+        named, at = np.unique(nodes, return_inverse=True)
+        found = np.array(forest(len(named), ((at[i], at[j]) for i, j in pairs)), np.int64).reshape(-1, 2)
+        blocks = [(named[found[:, 0]], named[found[:, 1]])]
+    else:
+        blocks = ((nodes[i[apart]], nodes[j[apart]]) for i, j in pairs for apart in [labels[i] != labels[j]])
+    for a, b in blocks:
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def near_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD, limit: int | None = None) -> DataFrame:
     """(a, b) links of ``node`` that connect what pairs of ``fp`` within the radius connect.
 
     ``classes`` holds (node, fp), each node once. With ``limit`` it also holds
     ``wide``, and a pair counts only if at most so many of the wide bits differ.
+    If it holds ``label``, the links are all pairs whose labels differ.
     """
     depth = int(np.ceil(np.log2(max(1, min(MAX_SHARDS, classes.count() / shard)))))
     sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64).reshape(-1, 1)
     tree = build_tree(sample, depth)  # at most MAX_SHARDS nodes
-    carried = [] if limit is None else ["wide"]
+    carried = [c for c in ("wide", "label") if c in classes.columns and limit is not None]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,11 +237,9 @@ def near_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD, lim
         if limit is not None:
             wide = part.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(points), -1)
             pairs = ((i[ok], j[ok]) for i, j in pairs for ok in [np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= limit])
-        found = forest(len(points), pairs)
-        a, b = (nodes[[x[k] for x in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        yield from _links(nodes, pairs, part.column("label").to_numpy() if "label" in carried else None)
 
-    more = ", wide array<long>" if carried else ""
+    more = "".join(f", {c} {classes.schema[c].dataType.simpleString()}" for c in carried)
     dealt = classes.select("node", "fp", *carried).mapInArrow(deal, f"shard long, home boolean, node long, fp long{more}")
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
@@ -249,18 +264,17 @@ def bucket_pairs(buckets: np.ndarray, points: np.ndarray, limit: int) -> Iterato
 def band_links(classes: DataFrame, limit: int) -> DataFrame:
     """(a, b) links of ``node`` that connect, in each partition, what pairs of one bucket connect whose ``wide`` bits differ in at most ``limit``.
 
-    ``classes`` holds (node, wide, bands), each node once. A task holds some
-    BLOCK / 16 rows and the rest of a bucket that they end in.
+    ``classes`` holds (node, wide, bands), each node once; with ``label``, the
+    links are all pairs whose labels differ. A task holds some BLOCK / 16 rows and
+    the rest of a bucket that they end in.
     """
+    carried = ["label"] if "label" in classes.columns else []
 
-    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def links(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(held).combine_chunks()
-        nodes, at = np.unique(part.column("node").to_numpy(), return_inverse=True)
         wide = part.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(part.num_rows, -1)
         pairs = bucket_pairs(part.column("bucket").to_numpy(), wide, limit)
-        found = forest(len(nodes), ((at[i], at[j]) for i, j in pairs))
-        a, b = (nodes[[x[k] for x in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        yield from _links(part.column("node").to_numpy(), pairs, part.column("label").to_numpy() if carried else None)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -270,15 +284,15 @@ def band_links(classes: DataFrame, limit: int) -> DataFrame:
             if rows > BLOCK // 16 and (new := np.flatnonzero(buckets != held[-1].column(0)[-1].as_py())).size:
                 if new[0]:
                     held.append(batch.slice(0, new[0]))
-                yield links(held)
+                yield from links(held)
                 held, rows, batch = [], 0, batch.slice(new[0])
             if batch.num_rows:
                 held.append(batch)
                 rows += batch.num_rows
         if held:
-            yield links(held)
+            yield from links(held)
 
-    dealt = classes.select(F.explode("bands").alias("bucket"), "node", "wide").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = classes.select(F.explode("bands").alias("bucket"), "node", "wide", *carried).repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(search, "a long, b long")
 
 
@@ -303,17 +317,36 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_simhash(raw, words) for raw in raw_texts(batch.column(1))]
-            lists = [pa.array([x[part] for x in found], pa.list_(pa.int64())) for part in (slice(1, 1 + WIDE), slice(1 + WIDE, None))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), *lists], names=[id_col, "fp", "wide", "bands"])
+            found, sets = [], []
+            for raw in raw_texts(batch.column(1)):
+                numbers, hashes = wide_simhash(raw, words)
+                found.append(numbers)
+                sets.append(hashes)
+            lists = [pa.array([x[part] for x in found], pa.list_(pa.int64())) for part in (slice(1, 1 + WIDE), slice(1 + WIDE, -1))]
+            fp, node = (pa.array([x[k] for x in found], pa.int64()) for k in (0, -1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, node, *lists, pa.array(sets, pa.list_(pa.int64()))], names=[id_col, "fp", "node", "wide", "bands", "shingles"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    hashed = df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long, wide array<long>, bands array<long>")
-    fps = written(hashed.withColumn("node", F.xxhash64("fp", "wide", "bands")), "simhash")
+    fps = written(df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long, node long, wide array<long>, bands array<long>, shingles array<long>"), "simhash")
     firsts = (F.first(c).alias(c) for c in ("fp", "wide", "bands"))
     classes = written(fps.groupBy("node").agg(*firsts, F.min(id_col).alias("_least")), "classes")
     limit = wide_limit(similarity)
-    return _named(fps, classes, near_links(classes, radius, limit=limit).unionByName(band_links(classes, limit)), id_col)
+
+    def decided(of: DataFrame) -> DataFrame:
+        """Of the candidate pairs, those alike enough."""
+        both = near_links(of, radius, limit=limit).unionByName(band_links(of, limit))
+        pairs = written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+        sets = written(fps.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+        x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("a", "b"))
+        shared = pairs.join(x, "a").join(y, "b").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
+        alike = F.col("_both") / (F.size("_a") + F.size("_b") - F.col("_both")) >= similarity
+        return written(shared.where(alike).select("a", "b"), "links")
+
+    first = decided(classes)
+    labels = connected_components(first).withColumnRenamed("component", "label")
+    apart = written(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    return _named(fps, classes, first.unionByName(decided(apart)), id_col)
 
 
 def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
