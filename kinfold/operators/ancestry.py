@@ -47,17 +47,27 @@ def coalescent_trees(spark: SparkSession, replicates: int, samples: int, size: f
     return linked.select("replicate", node(F.col("_split")).cast("long").alias("parent"), F.coalesce(node(F.col("_next")), leaf).cast("long").alias("child"), F.col("time").alias("parent_time"), F.coalesce("_next_time", F.lit(0.0)).alias("child_time"))
 
 
+#: exp(-mean) is exact enough for inversion up to here; larger means are split.
+LARGEST_MEAN = 100.0
+
+
 def poisson(mean: Column, *keys) -> Column:
-    """A Poisson number by inversion of one uniform, for means up to some 500."""
-    most = F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int")
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), F.lit(0).alias("n"))
-    draw = uniform(*keys)
+    """A Poisson number for any mean: the sum of equal parts of at most LARGEST_MEAN, each by inversion of a uniform of its own."""
+    parts = F.greatest(F.ceil(mean / LARGEST_MEAN).cast("int"), F.lit(1))
+    of_part = mean / parts
+    most = F.ceil(of_part + 12 * F.sqrt(of_part) + 20).cast("int")
+    start = F.struct(F.exp(-of_part).alias("p"), F.exp(-of_part).alias("cdf"), F.lit(0).alias("n"))
+
+    def part(at):
+        draw = F.when(at == 1, uniform(*keys)).otherwise(uniform(*keys, at))
+
+        def advance(s, k):
+            p = s["p"] * of_part / k
+            return F.when(s["cdf"] < draw, F.struct(p.alias("p"), (s["cdf"] + p).alias("cdf"), k.alias("n"))).otherwise(s)
 
-    def advance(s, k):
-        p = s["p"] * mean / k
-        return F.when(s["cdf"] < draw, F.struct(p.alias("p"), (s["cdf"] + p).alias("cdf"), k.alias("n"))).otherwise(s)
+        return F.aggregate(F.sequence(F.lit(1), most), start, advance)["n"]
 
-    return F.aggregate(F.sequence(F.lit(1), most), start, advance)["n"]
+    return F.aggregate(F.transform(F.sequence(F.lit(1), parts), part), F.lit(0), lambda total, n: total + n)
 
 
 def place_mutations(edges: DataFrame, rate: float, length: float = 1.0, seed: int = 1, start_time: float = 0.0, end_time: float = float("inf")) -> DataFrame:

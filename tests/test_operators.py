@@ -119,3 +119,12 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(spark.table("windowed").collect()) == sorted(census.windowed_counts(events, "ts", "event_type").collect())
+
+
+def test_poisson_of_large_means(spark):
+    """A mean and a variance of 10,000, not one number for all, on rows and in placed mutations."""
+    got = np.array([r[0] for r in spark.range(2000).select(ancestry.poisson(F.lit(10_000.0), F.lit(3), "id")).collect()])
+    assert abs(got.mean() - 10_000) < 10 and 0.85 < got.var() / 10_000 < 1.15
+    edges = spark.range(20).selectExpr("id AS replicate", "1L AS parent", "0L AS child", "1e4D AS parent_time", "0D AS child_time")
+    counts = [r[1] for r in ancestry.place_mutations(edges, 1e-8, length=1e8).groupBy("replicate").count().collect()]
+    assert len(set(counts)) > 10 and abs(np.mean(counts) - 10_000) < 100
