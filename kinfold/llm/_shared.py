@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,19 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors."""
+    """``df`` as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors. It goes when the session's JVM ends, if ``drop_written`` hasn't deleted it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, path_ = _files(spark, path)
+    files.deleteOnExit(path_)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` written with a number of its own for every row. The table is what fixes the numbers: no retry changes them."""
+    return written(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a ``written`` table that no later step reads."""
     spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = _files(spark, name)
+        files.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -60,11 +76,44 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on Python workers get texts in batches of so many rows: a batch, its copies in Python and Spark's buffer for it stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch: pa.RecordBatch, texts_at: int, rows: int = 1000, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most so many rows and about so many bytes of text, so that copies in Python stay small; a longer text is a part of its own."""
+    size = pc.binary_length(batch.column(texts_at)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size, dtype=np.int64)
+    at = 0
+    while at < len(size):
+        before = ends[at] - size[at]
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], texts_at: int) -> Iterator[pa.RecordBatch]:
+    """``slices`` of all batches."""
+    for batch in batches:
+        yield from slices(batch, texts_at)
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits of hash of a row's columns, as 16 bytes. A null is as good as empty."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), 16, "0") for seed in (1, 2)]))
+
+
+def hot_keys(counts: DataFrame, n: str = "n") -> DataFrame:
+    """Of keys with their numbers of rows, those that would fill a fourth of a task or more: at most four times as many as there are shuffle partitions."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) >= max(2, total // (4 * partitions(counts.sparkSession))))
+
+
+def spread_join(rows: DataFrame, by_key: DataFrame, on: list[str], hot: DataFrame, salt: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``by_key``, which has each key once. The rows of hot keys are dealt over all tasks by the columns ``salt``; what stands for such a key goes to all tasks."""
+    many = partitions(rows.sparkSession)
+    marked = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))  # a few keys a partition at most, see hot_keys
+    left = rows.join(marked, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(F.lit(9), *salt), F.lit(many)).cast("int")).otherwise(0)).drop("_hot")
+    right = by_key.join(marked, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), many - 1).otherwise(0)))).drop("_hot")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

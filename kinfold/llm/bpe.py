@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from kinfold.llm._shared import texts
+from kinfold.llm._shared import in_parts, texts
 
 #: The ranges that the quick splitter covers: every character below U+0180 that is a letter, besides ª º and the like, is found by its class.
 _QUICK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ſ]+| ?[0-9²³¹¼-¾]+| ?[^\sA-Za-z0-9ªµºÀ-ÖØ-öø-ſ²³¹¼-¾]+|\s+(?!\S)|\s+")
@@ -130,7 +130,12 @@ class PieceEncoder:
 
 
 class Pieces(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers; cleared when it holds ``bound`` pieces."""
+    """Piece -> its ids as little-endian unsigned 32-bit integers; cleared when it holds ``bound`` pieces.
+
+    Pieces of more than ``LONGEST`` characters are not kept, which bounds the bytes held.
+    """
+
+    LONGEST = 64
 
     def __init__(self, encoder: PieceEncoder, bound: int = 1_000_000):
         self.encoder, self.bound = encoder, bound
@@ -138,7 +143,9 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.bound:
             self.clear()
-        ids = self[piece] = b"".join(i.to_bytes(4, "little") for i in self.encoder.encode(piece.encode()))
+        ids = b"".join(i.to_bytes(4, "little") for i in self.encoder.encode(piece.encode()))
+        if len(piece) <= self.LONGEST:
+            self[piece] = ids
         return ids
 
 
@@ -172,7 +179,7 @@ def bpe_encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str, patte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             ids = [memoryview(code.encode(t)).cast("I").tolist() for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
@@ -198,7 +205,7 @@ def bpe_digest(df: DataFrame, id_col: str, text_col: str, vocabulary: str, patte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocabulary, pattern)
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             counts, digests, decoded = [], [], []
             for text in texts(batch.column(1)):
                 ids = code.encode(text)

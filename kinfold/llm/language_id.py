@@ -9,10 +9,11 @@ language is the one with the largest mean probability over its words, and that
 mean is the score. Per word probabilities label code-switched text.
 
 The model is fitted on the driver by stochastic gradients of the conditional
-likelihood, on word windows of a bounded sample: ``SAMPLE`` labelled documents
-(those with the least hash of their id) and at most ``WINDOWS`` windows of
-``LENGTH`` words of each, spread over the whole text. Windows are spliced in
-pairs, so switches occur. Everything else covers all words of all documents:
+likelihood, on a bounded sample whose bounds are parameters of ``fit``: of each
+language ``sample`` labelled documents (those with the least hash of their id),
+and of all runs of ``LENGTH`` words that their whole texts fall into ``windows``
+runs, first one of each document by hash, then a second one, and so on. Runs are
+spliced in pairs, so switches occur. Everything else covers all words of all documents:
 the chain is cut in blocks whose transfer matrices are multiplied first, so a
 text of any length is labelled exactly, in vectorised steps.
 
@@ -30,13 +31,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import texts
+from kinfold.llm._shared import slices, texts
 
-SAMPLE = 6_000
-WINDOWS = 3
+SAMPLE = 1_000
+WINDOWS = 18_000
 LENGTH = 32
 BUCKETS = 1 << 18
 LEXICON = 20_000
@@ -190,24 +192,30 @@ def messages(emission: np.ndarray, lengths: np.ndarray, jump: np.ndarray) -> tup
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At most WINDOWS runs of LENGTH words of a text, evenly spread over it."""
-    for batch in batches:
-        langs, runs = [], []
-        for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-            words = [w for w in map(core, text.split()) if w]
-            parts = -(-len(words) // LENGTH)
-            for part in sorted({k * parts // WINDOWS for k in range(min(WINDOWS, parts))}):
-                langs.append(lang)
-                runs.append(" ".join(w[:64] for w in words[part * LENGTH : (part + 1) * LENGTH]))
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(runs, pa.string())], names=["lang", "run"])
-
-
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """A model learned from at most ``sample`` rows with text and language; None if there are none."""
+    """All runs of LENGTH words of every text, each with its rank by hash within the text."""
+    for whole in batches:
+        for batch in slices(whole, 1, 100):
+            langs, runs, ranks, hashes = [], [], [], []
+            for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                words = [w for w in map(core, text.split()) if w]
+                of_text = [" ".join(words[at : at + LENGTH]) for at in range(0, len(words), LENGTH)]
+                by_hash = sorted((xxhash.xxh64_intdigest(run.encode("utf-8", "surrogatepass"), seed=at), at) for at, run in enumerate(of_text))
+                langs += [lang] * len(of_text)
+                runs += [of_text[at] for _, at in by_hash]
+                ranks += range(len(of_text))
+                hashes += [h >> 1 for h, _ in by_hash]
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(runs, pa.string()), pa.array(ranks, pa.int32()), pa.array(hashes, pa.int64())], names=["lang", "run", "rank", "hash"])
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, windows: int = WINDOWS) -> Model | None:
+    """A model learned from ``windows`` runs of words of ``sample`` rows of each language at most; None if no row has text and language."""
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    chosen = usable.select("_id").groupBy("_id").count().select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)  # at most `sample` ids, so broadcast
-    held = usable.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min(F.struct("_lang", "_text")).alias("x"))
-    rows = held.select("x._lang", "x._text").mapInArrow(_windows, "lang string, run string").collect()  # at most WINDOWS * LENGTH words of 64 letters a row
+    ids = usable.select("_id", "_lang").groupBy("_id", "_lang").agg(F.xxhash64("_id").alias("_hash"))
+    # a rank that is limited is cut in every task before rows are dealt by language
+    chosen = ids.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_id"))).where(F.col("_rank") <= sample).select("_id", "_lang")
+    held = usable.join(chosen, ["_id", "_lang"]).groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
+    runs = held.select("_lang", "_text").mapInArrow(_windows, "lang string, run string, rank int, hash long")
+    rows = runs.orderBy("rank", "hash", "lang", "run").limit(windows).select("lang", "run").collect()  # at most `windows` runs of LENGTH words
     return train(sorted((r[0], r[1].split(" ")) for r in rows)) if rows else None
 
 
@@ -281,18 +289,6 @@ def _labelled(slices: list[str], cache: Emissions) -> tuple[np.ndarray, np.ndarr
     return gamma, at > 0, lengths
 
 
-def slices_of(items: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about ``most`` characters in all."""
-    start, held = 0, 0
-    for k, t in enumerate(items):
-        if held and held + len(t) > most:
-            yield start, items[start:k]
-            start, held = k, 0
-        held += len(t)
-    if items:
-        yield start, items[start:]
-
-
 def predict(df: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with ``lang_pred`` and ``score``. The model is of fixed size and is broadcast."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
@@ -303,9 +299,9 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text", keep: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, cache = shared.value.labels, Emissions(shared.value)
-        for batch in batches:
-            for start, some in slices_of(texts(batch.column(at))):
-                gamma, counts, lengths = _labelled(some, cache)
+        for whole in batches:
+            for part in slices(whole, at, 10_000, 1 << 20):
+                gamma, counts, lengths = _labelled(texts(part.column(at)), cache)
                 ends = np.cumsum(lengths)
                 weight = np.concatenate([[0], np.cumsum(counts)])
                 total = np.concatenate([np.zeros((1, gamma.shape[1])), np.cumsum(gamma * counts[:, None], axis=0, dtype=np.float64)])
@@ -314,7 +310,6 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text", keep: tu
                 best = mean.argmax(axis=1)
                 pred = [labels[b] if x else UNKNOWN for b, x in zip(best.tolist(), n.tolist(), strict=True)]
                 score = np.where(n > 0, np.clip(mean[np.arange(len(best)), best], 0, 1), 0)
-                part = batch.slice(start, len(some))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"])
@@ -327,15 +322,15 @@ def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, cache = shared.value.labels, Emissions(shared.value)
-        for batch in batches:
-            out = []
-            for _, some in slices_of(texts(batch.column(1))):
+        for whole in batches:
+            for batch in slices(whole, 1, 10_000, 1 << 20):
+                some, out, at = texts(batch.column(1)), [], 0
                 gamma, counts, lengths = _labelled(some, cache)
-                best, at = gamma.argmax(axis=1), 0
+                best = gamma.argmax(axis=1)
                 for text, n in zip(some, lengths.tolist(), strict=True):
                     out.append([{"word": w, "lang": labels[best[i]] if counts[i] else None, "p": float(gamma[i, best[i]])} for i, w in enumerate(text.split(), at)])
                     at += n
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("p", pa.float64())])))], names=[id_col, "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("p", pa.float64())])))], names=[id_col, "words"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, words array<struct<word:string,lang:string,p:double>>")

@@ -3,10 +3,10 @@
 Documents become token ids, longer ones are cut into pieces of the sequence
 length, and pieces are packed without padding where possible. Which lengths go
 together is decided on the histogram of lengths alone, which has at most
-``capacity`` entries however many rows there are: a piece is matched first with
-a single length, then with a pair, then with a triple of lengths that fill its
-gap exactly, as long as their counts last; what remains is placed best-fit,
-longest first. Rows then find their place by (length, rank among that length),
+``capacity`` entries however many rows there are. An index of the sums of single
+lengths, pairs and triples still at hand tells what fills the room beside a
+piece exactly; such combinations are consumed as often as counts allow, and
+what remains is placed best-fit, longest first. Rows then find their place by (length, rank among that length),
 the rank being counted in salted groups, so a length that a third of all pieces
 share is spread over many tasks.
 
@@ -17,18 +17,19 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
-import heapq
 import itertools
 import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import partitions, texts, written
+from kinfold.llm._shared import partitions, slices, texts, written
 from kinfold.llm.bpe import Splitter, _default_pattern
 
 CAPACITY = 1024
@@ -41,10 +42,13 @@ class WordIds(dict):
     The tokenizer's own pre-tokenizer splits by the same pattern, so the ids of
     a text are the ids of its pieces in order. Pieces not yet known are encoded
     a batch at a time. When more than ``bound`` are known the later half goes;
-    frequent pieces are mostly among the first. The library's own threads are off,
-    since Spark runs a task on every core.
+    frequent pieces are mostly among the first. Pieces of more than ``LONGEST``
+    characters are kept for their batch only, which bounds the bytes held. The
+    library's own threads are off, since Spark runs a task on every core.
     """
 
+    LONGEST = 64
+
     def __init__(self, path: str, bound: int = 250_000):
         from tokenizers import Tokenizer
 
@@ -52,6 +56,10 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split, self.bound = Splitter(_default_pattern()), bound
+        self.of_batch: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.of_batch[piece]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [self.split(t) for t in texts]
@@ -59,10 +67,11 @@ class WordIds(dict):
             for word in list(itertools.islice(self, self.bound // 2, None)):
                 del self[word]
         new = list(set().union(*pieces).difference(self))
+        self.of_batch = {}
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[word] = b"".join(i.to_bytes(4, "little") for i in got.ids)
+                (self if len(word) <= self.LONGEST else self.of_batch)[word] = b"".join(i.to_bytes(4, "little") for i in got.ids)
         return [b"".join(map(self.__getitem__, p)) for p in pieces]
 
 
@@ -78,8 +87,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, cap
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(vocabulary).encode
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in slices(whole, 1):
                 owner, piece, start, length, crc = [], [], [], [], []
                 for row, ids in enumerate(encode(texts(batch.column(1)))):
                     ids += end
@@ -98,25 +106,89 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, cap
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
+class Sums:
+    """The lengths at hand and how many single lengths, pairs and triples of different or equal ones make up each sum."""
+
+    def __init__(self, left: dict[int, int], capacity: int):
+        self.left = left
+        self.on = np.zeros(capacity + 1, bool)
+        self.pairs, self.triples = np.zeros((2, capacity + 1), np.int64)
+        for n in sorted(left):
+            with_pairs = self._with(n, self.pairs)
+            self.triples += with_pairs
+            self.pairs += self._with(n, None)
+            self.on[n] = True
+
+    def _with(self, n: int, pairs: np.ndarray | None) -> np.ndarray:
+        """By sum, the pairs that hold length ``n`` and another or itself, or given the pairs without it the triples that hold it."""
+        out = np.zeros(len(self.on), np.int64)
+        if pairs is None:
+            out[n:] += self.on[: len(out) - n]
+            out[2 * n : 2 * n + 1] += 1
+        else:
+            out[n:] += pairs[: len(out) - n]
+            out[2 * n :] += self.on[: max(0, len(out) - 2 * n)]
+            out[3 * n : 3 * n + 1] += 1
+        return out
+
+    def remove(self, n: int) -> None:
+        """No piece of this length is left."""
+        self.on[n] = False
+        self.pairs -= self._with(n, None)
+        self.triples -= self._with(n, self.pairs)
+
+    def _partners(self, gap: int) -> list[int]:
+        """The lengths that another one completes to the gap, the longest first, down to its half."""
+        if gap < 2:
+            return []
+        both = self.on[1:gap] & self.on[1:gap][::-1]
+        return [n for n in (np.flatnonzero(both)[::-1] + 1).tolist() if 2 * n >= gap]
+
+    def times(self, lengths: tuple[int, ...]) -> int:
+        """How often these lengths are all there together."""
+        return min(self.left.get(n, 0) // lengths.count(n) for n in set(lengths))
+
+    def fill(self, gap: int, reach: int) -> tuple[int, ...]:
+        """Lengths at hand that make up the gap exactly: one, else two, else three, the longest first; empty if there are none. Two and three only up to ``reach``."""
+        if gap <= 0:
+            return ()
+        if self.on[gap]:
+            return (gap,)
+        if gap > reach:
+            return ()
+        if self.pairs[gap]:
+            for n in self._partners(gap):
+                if self.times((n, gap - n)):
+                    return (n, gap - n)
+        if self.triples[gap]:
+            for n in np.flatnonzero(self.on[:gap])[::-1].tolist():
+                if 3 * n >= gap and self.pairs[gap - n]:
+                    for m in self._partners(gap - n):
+                        if m <= n and self.times((n, m, gap - n - m)):
+                            return (n, m, gap - n - m)
+        return ()
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, reach: int | None = None) -> list[tuple[int, int, int, int, int]]:
     """Placements (length, first rank, how many, first sequence, offset) for ``counts`` pieces of each length.
 
-    Exact fills take short pieces that the residuals may need, so the plans with
-    fills up to triples, pairs, singles and none are all made (they read the
-    histogram only) and the one with fewest sequences counts, of equal ones the first.
-    """
-    return min((plan_with(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: max((first + many for _, _, many, first, _ in p), default=0))
-
-
-def plan_with(counts: dict[int, int], capacity: int, most: int) -> list[tuple[int, int, int, int, int]]:
-    """The plan with exact fills by up to ``most`` other lengths, then best-fit.
-
-    The k-th of a placement's pieces goes to its first sequence + k. The number
-    of placements depends on the number of different lengths, not of pieces.
+    Lengths are placed from the longest on, each into the open sequences with the
+    least room for it, else into new ones. Whatever room that leaves is looked up
+    among the sums of lengths still at hand and filled exactly by one, two or
+    three of them as often as their counts allow; what is not filled stays open
+    for shorter pieces. Pairs and triples fill rooms of at most ``reach``, an
+    eighth of a sequence by default: wider rooms are better left to longer
+    pieces, so that short ones remain for the last. The k-th of a placement's
+    pieces goes to its first sequence + k. The number of placements depends on
+    the number of different lengths, not of pieces.
     """
+    reach = capacity // 8 if reach is None else reach
     left = {n: c for n, c in counts.items() if c > 0}
     used = dict.fromkeys(left, 0)
+    sums = Sums(left, capacity)
     out: list[tuple[int, int, int, int, int]] = []
+    rooms: list[int] = []  # of open sequences, sorted
+    open_at: dict[int, list[tuple[int, int]]] = {}  # room -> runs (first sequence, how many)
     made = 0
 
     def put(length: int, many: int, sequence: int, offset: int) -> None:
@@ -125,57 +197,43 @@ def plan_with(counts: dict[int, int], capacity: int, most: int) -> list[tuple[in
         left[length] -= many
         if not left[length]:
             del left[length]
+            sums.remove(length)
 
-    def times(lengths: tuple[int, ...]) -> int:
-        """How often these lengths are all there together."""
-        return min(left.get(n, 0) // lengths.count(n) for n in set(lengths))
-
-    def fill(lengths: tuple[int, ...]) -> None:
-        nonlocal made
-        if many := times(lengths):
-            offset = 0
+    def close(room: int, first: int, many: int) -> None:
+        """Fill the room of so many sequences exactly where sums allow; the others stay open."""
+        while many and (lengths := sums.fill(room, reach)):
+            some, offset = min(many, sums.times(lengths)), capacity - room
             for n in lengths:
-                put(n, many, made, offset)
+                put(n, some, first, offset)
                 offset += n
-            made += many
-
-    if capacity in left:
-        fill((capacity,))
-    for a in sorted(left, reverse=True) if most >= 1 else ():  # gaps that a single length fills
-        fill((a, capacity - a))
-    for a in sorted(left, reverse=True) if most >= 2 else ():  # that a pair fills
-        for b in sorted((n for n in left if 2 * n >= capacity - a and n < capacity - a), reverse=True):
-            if a not in left:
-                break
-            fill((a, b, capacity - a - b))
-    for a in sorted(left, reverse=True) if most >= 3 else ():  # that a triple fills
-        for b in sorted((n for n in left if n < capacity - a), reverse=True):
-            rest = capacity - a - b
-            for c in sorted((n for n in left if n <= b and 2 * n >= rest and n < rest), reverse=True) if a in left and b in left else ():
-                fill((a, b, c, rest - c))
-    open_bins: list[tuple[int, int, int]] = []  # (room, first sequence, how many)
+            first, many = first + some, many - some
+        if many and room:
+            if room not in open_at:
+                bisect.insort(rooms, room)
+            open_at.setdefault(room, []).append((first, many))
+
     for n in sorted(left, reverse=True):
         while n in left:
-            fits = [x for x in open_bins if x[0] >= n]
-            if fits:
-                room, first, size = best = min(fits)
-                open_bins.remove(best)
+            at = bisect.bisect_left(rooms, n)
+            if at < len(rooms):
+                room = rooms[at]
+                first, size = open_at[room].pop()
+                if not open_at[room]:
+                    del open_at[room], rooms[at]
                 many = min(size, left[n])
-                put(n, many, first, capacity - room)
-                if room > n:
-                    heapq.heappush(open_bins, (room - n, first, many))
                 if many < size:
-                    heapq.heappush(open_bins, (room, first + many, size - many))
+                    if room not in open_at:
+                        bisect.insort(rooms, room)
+                    open_at.setdefault(room, []).append((first + many, size - many))
+                put(n, many, first, capacity - room)
+                close(room - n, first, many)
             else:
-                each = capacity // n
-                many = max(1, left[n] // each)
-                for k in range(min(each, left[n])):
-                    put(n, many, made, k * n)
-                    if k + 1 == each or n not in left:
-                        if capacity > (k + 1) * n:
-                            heapq.heappush(open_bins, (capacity - (k + 1) * n, made, many))
-                        break
+                each = min(capacity // n, left[n])
+                many, first = left[n] // each, made
                 made += many
+                for k in range(each):
+                    put(n, many, first, k * n)
+                close(capacity - each * n, first, many)
     return out
 
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import raw_texts, written
+from kinfold.llm._shared import hot_keys, numbered, raw_texts, slices, spread_join, written
 from kinfold.llm.components import connected_components, forest
 
 RADIUS = 3
@@ -53,7 +53,8 @@ SLACK = 4
 SEED = 42
 SAMPLE = 16_384
 SHARD = 4_096
-MAX_SHARDS = 1 << 14
+#: Past these, at a thousand million classes, shards grow; one of 4,000,000 points takes some 70 MB, which leaves room for 10 ** 12.
+MAX_SHARDS = 1 << 18
 BLOCK = 1 << 22
 #: Buckets up to so many points are compared pair by pair, many buckets at once.
 FEW = 64
@@ -90,7 +91,7 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def wide_simhash(raw: bytes, words: int) -> tuple[list[int], np.ndarray]:
-    """A fingerprint of single words, then WIDE of the set of shingles, their BANDS bucket keys and a hash of the set; and the set, sorted."""
+    """A fingerprint of single words, then WIDE of the set of shingles, their BANDS bucket keys; and the set, sorted."""
     found = raw.lower().split()
     hashes = np.unique(shingle_hashes(found, words))
     out = [_majority(shingle_hashes(found, 1)) if found else 0]
@@ -100,8 +101,7 @@ def wide_simhash(raw: bytes, words: int) -> tuple[list[int], np.ndarray]:
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
         out.append(_majority(mixed))
-    named = np.array([xxhash.xxh64_intdigest(hashes.tobytes(), SEED)], np.uint64).view(np.int64)
-    return out + band_keys(hashes) + named.tolist(), hashes.view(np.int64)
+    return out + band_keys(hashes), hashes.view(np.int64)
 
 
 def wide_limit(similarity: float) -> int:
@@ -114,9 +114,10 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     """(id, fp) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [simhash(raw, words) for raw in raw_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+        for whole in batches:
+            for batch in slices(whole, 1):
+                fps = [simhash(raw, words) for raw in raw_texts(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, fp long")
 
@@ -219,8 +220,8 @@ def near_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD, lim
     If it holds ``label``, the links are all pairs whose labels differ.
     """
     depth = int(np.ceil(np.log2(max(1, min(MAX_SHARDS, classes.count() / shard)))))
-    sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64).reshape(-1, 1)
-    tree = build_tree(sample, depth)  # at most MAX_SHARDS nodes
+    sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, 4 << depth)).collect()], np.int64).view(np.uint64).reshape(-1, 1)
+    tree = build_tree(sample, depth)  # at most MAX_SHARDS nodes, from four points a node; 4 MB
     carried = [c for c in ("wide", "label") if c in classes.columns and limit is not None]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,48 +297,51 @@ def band_links(classes: DataFrame, limit: int) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long")
 
 
-def _named(fps: DataFrame, classes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
-    """(id, fp, component_id) for every row of ``fps``."""
+def _named(fps: DataFrame, classes: DataFrame, links: DataFrame, on: str) -> DataFrame:
+    """(id, fp, component_id) for every row of ``fps``; ``on`` names the class of a row in both tables."""
     parts = connected_components(links)
-    named = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("_least").alias("component_id"))
-    of_class = written(named.join(least, "component").select("node", "component_id"), "components")
-    return fps.join(of_class, "node").select(id_col, "fp", "component_id")
+    named = classes.join(parts, "node", "left").select(on, "n", "least", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_class = written(spread_join(named, least.drop("n"), ["component"], hot_keys(least), [on]).select(on, "n", "component_id"), "components")
+    return spread_join(fps, of_class.drop("n"), [on], hot_keys(of_class), ["id"]).select("id", "fp", "component_id")
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id) for every row; the least id reachable by links stands for the component."""
-    fps = written(fingerprints(df, id_col, text_col, words).withColumn("node", F.col("fp")), "simhash")
-    classes = written(fps.groupBy("node", "fp").agg(F.min(id_col).alias("_least")), "classes")
-    return _named(fps, classes, near_links(classes, radius), id_col)
+    fps = written(fingerprints(df, id_col, text_col, words).withColumnRenamed(id_col, "id"), "simhash")
+    classes = written(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("node", F.col("fp")), "classes")
+    return _named(fps, classes, near_links(classes, radius), "fp").withColumnRenamed("id", id_col)
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """As ``near_components``, of texts whose shingles are alike by ``similarity`` or more; fp is that of single words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, sets = [], []
-            for raw in raw_texts(batch.column(1)):
-                numbers, hashes = wide_simhash(raw, words)
-                found.append(numbers)
-                sets.append(hashes)
-            lists = [pa.array([x[part] for x in found], pa.list_(pa.int64())) for part in (slice(1, 1 + WIDE), slice(1 + WIDE, -1))]
-            fp, node = (pa.array([x[k] for x in found], pa.int64()) for k in (0, -1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp, node, *lists, pa.array(sets, pa.list_(pa.int64()))], names=[id_col, "fp", "node", "wide", "bands", "shingles"])
+        for whole in batches:
+            for batch in slices(whole, 1):
+                found, sets = [], []
+                for raw in raw_texts(batch.column(1)):
+                    numbers, hashes = wide_simhash(raw, words)
+                    found.append(numbers)
+                    sets.append(hashes)
+                lists = [pa.array([x[part] for x in found], pa.list_(pa.int64())) for part in (slice(1, 1 + WIDE), slice(1 + WIDE, None))]
+                names = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array(names, pa.binary()), *lists, pa.array(sets, pa.list_(pa.int64()))], names=["id", "fp", "name", "wide", "bands", "shingles"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    fps = written(df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long, node long, wide array<long>, bands array<long>, shingles array<long>"), "simhash")
+    fps = written(df.select(id_col, text_col).mapInArrow(run, f"id {kind}, fp long, name binary, wide array<long>, bands array<long>, shingles array<long>"), "simhash")
     firsts = (F.first(c).alias(c) for c in ("fp", "wide", "bands"))
-    classes = written(fps.groupBy("node").agg(*firsts, F.min(id_col).alias("_least")), "classes")
-    limit = wide_limit(similarity)
+    classes = numbered(fps.groupBy("name").agg(*firsts, F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "node", "classes")
+    limit, hot = wide_limit(similarity), hot_keys(classes)
 
     def decided(of: DataFrame) -> DataFrame:
         """Of the candidate pairs, those alike enough."""
         both = near_links(of, radius, limit=limit).unionByName(band_links(of, limit))
         pairs = written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        sets = written(fps.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+        named = classes.select("name", "node").join(wanted, "node", "left_semi")
+        members = spread_join(fps.select("id", "name", "shingles"), named, ["name"], hot, ["id"])
+        sets = written(members.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
         x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("a", "b"))
         shared = pairs.join(x, "a").join(y, "b").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
         alike = F.col("_both") / (F.size("_a") + F.size("_b") - F.col("_both")) >= similarity
@@ -346,11 +350,11 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = decided(classes)
     labels = connected_components(first).withColumnRenamed("component", "label")
     apart = written(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    return _named(fps, classes, first.unionByName(decided(apart)), id_col)
+    return _named(fps.select("id", "fp", "name"), classes, first.unionByName(decided(apart)), "name").withColumnRenamed("id", id_col)
 
 
 def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows whose id is the least of their component; of repeated rows all that have it. Rows without an id stay."""
+    """The rows whose id is the least of a component. The id alone decides, so of rows that repeat such an id all stay; rows without an id stay."""
     found = similar_components(df, id_col, text_col, words, similarity)
     keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
     return df.join(keep, id_col, "left_semi").unionByName(df.where(F.col(id_col).isNull()))

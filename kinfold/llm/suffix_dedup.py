@@ -11,7 +11,8 @@ and derives the order of all others from it; so does this operator:
    anchor's hull, some 270 bytes.
 2. Reduction. An anchor is named by its hash and its hull's hash. Names that
    occur twice settle all windows of their hulls at once, so copies of any number
-   cost one row each. Of every name only one suffix goes on, and only where its
+   cost one row each; the rows of a name that very many share are dealt over all
+   tasks. Of every name only one suffix goes on, and only where its
    anchor also stands in another hull.
 3. Sorting. These suffix tuples (anchor, following bytes) are sorted by Spark's
    external sort, whose queues merge runs on disk; a shard is streamed, never
@@ -30,7 +31,9 @@ never decide. Equality rests on 128 bits of hash in step 2, on bytes in step 4.
 
 Defined results: null text is empty; texts shorter than WIDTH lose nothing;
 repeated rows are occurrences of their own; texts of any length are scanned in
-blocks; an empty table gives no rows. Other columns are ignored or carried.
+blocks; an empty table gives no rows. Other columns are ignored or carried,
+whatever their names; ``n_bytes``, ``n_removed`` and ``n_spans`` replace columns
+of these names.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import drop_written, raw_texts, written
+from kinfold.llm._shared import drop_written, hot_keys, in_parts, raw_texts, row_key, slices, spread_join, written
 from kinfold.llm.twice_filter import passes, seen_twice
 
 WIDTH = 200
@@ -133,8 +136,9 @@ def anchors(raws: list[bytes]) -> Iterator[tuple[bytes, dict[str, np.ndarray]]]:
 
 
 def _anchor_hashes(column: pa.Array) -> Iterator[np.ndarray]:
-    for _, found in anchors(raw_texts(column)):
-        yield found["hash"]
+    for part in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0):
+        for _, found in anchors(raw_texts(part.column(0))):
+            yield found["hash"]
 
 
 def _hull_hashes(buffer: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -148,17 +152,17 @@ def occurrences(df: DataFrame, text_col: str, row_col: str, twice) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(twice.value, np.uint8)
-        for batch in batches:
-            owner = batch.column(1).to_numpy()
+        for batch in in_parts(batches, 0):
+            owner = batch.column(1)
             for buffer, x in anchors(raw_texts(batch.column(0))):
                 some = np.flatnonzero(passes(table, x["hash"], FILTER_BITS, 1))
                 first, last = x["first"][some], x["last"][some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x["hash"][some].view(np.int64)), pa.array(_hull_hashes(buffer, first, last).view(np.int64)), pa.array(owner[x["row"][some]]), pa.array(x["start"][some]), pa.array((last - first + WIDTH).astype(np.int32))],
+                    [pa.array(x["hash"][some].view(np.int64)), pa.array(_hull_hashes(buffer, first, last).view(np.int64)), owner.take(pa.array(x["row"][some])), pa.array(x["start"][some]), pa.array((last - first + WIDTH).astype(np.int32))],
                     names=["a", "k", "row", "start", "size"],
                 )
 
-    return df.select(text_col, row_col).mapInArrow(run, "a long, k long, row long, start long, size int")
+    return df.select(text_col, row_col).mapInArrow(run, "a long, k long, row binary, start long, size int")
 
 
 def hulls(df: DataFrame, text_col: str, twice, edge) -> DataFrame:
@@ -166,7 +170,7 @@ def hulls(df: DataFrame, text_col: str, twice, edge) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.frombuffer(f.value, np.uint8) for f in (twice, edge)]
-        for batch in batches:
+        for batch in in_parts(batches, 0):
             for buffer, x in anchors(raw_texts(batch.column(0))):
                 some = np.flatnonzero(passes(tables[0], x["hash"], FILTER_BITS, 1) & passes(tables[1], x["hash"], FILTER_BITS, 1))
                 k = _hull_hashes(buffer, x["first"][some], x["last"][some])
@@ -182,7 +186,7 @@ def hulls(df: DataFrame, text_col: str, twice, edge) -> DataFrame:
     return df.select(text_col).mapInArrow(run, "a long, k long, at int, hull binary")
 
 
-_ITEM = "core long, half long, near int, far int, low int, high int, single boolean, row long, start long, at int, hull binary"
+_ITEM = "core long, half long, near int, far int, low int, high int, single boolean, row binary, start long, at int, hull binary"
 
 
 def _halved(items: DataFrame) -> DataFrame:
@@ -260,13 +264,13 @@ def shard_repeats(items: DataFrame) -> DataFrame:
         held: pa.Table | None = None
 
         def settle(part: pa.Table) -> pa.RecordBatch:
-            core, low, high, at, row, start = (part.column(c).to_numpy() for c in ("core", "low", "high", "at", "row", "start"))
+            core, low, high, at, start = (part.column(c).to_numpy() for c in ("core", "low", "high", "at", "start"))
             single = np.array(part.column("single").to_pylist(), bool)
             item, near, far = induced_repeats(core, low, high, at, part.column("hull").to_pylist())
             mine = single[item]
             item, near, far = item[mine], near[mine], far[mine]
             first = start[item] + at[item]
-            return pa.RecordBatch.from_arrays([pa.array(row[item]), pa.array(first - far), pa.array(first - near + WIDTH)], names=["row", "start", "stop"])
+            return pa.RecordBatch.from_arrays([part.column("row").combine_chunks().take(pa.array(item)), pa.array(first - far), pa.array(first - near + WIDTH)], names=["row", "start", "stop"])
 
         for batch in batches:
             now = pa.Table.from_batches([batch])
@@ -283,7 +287,7 @@ def shard_repeats(items: DataFrame) -> DataFrame:
             yield settle(held.combine_chunks())
 
     in_order = items.repartition("core").withColumn("_right", F.expr("substring(hull, at + 1, length(hull) - at)")).sortWithinPartitions("core", "_right").drop("_right")
-    return in_order.mapInArrow(run, "row long, start long, stop long")
+    return in_order.mapInArrow(run, "row binary, start long, stop long")
 
 
 def repeated_spans(df: DataFrame, text_col: str, row_col: str) -> DataFrame:
@@ -293,7 +297,8 @@ def repeated_spans(df: DataFrame, text_col: str, row_col: str) -> DataFrame:
     found = written(occurrences(df, text_col, row_col, twice), "anchors")
     names = written(found.groupBy("a", "k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start")).alias("one")), "names")
     edge = context.broadcast(seen_twice(names, "a", lambda column: [column.to_numpy().view(np.uint64)], FILTER_BITS, 1))
-    marks = found.join(names.where("n > 1").select("a", "k"), ["a", "k"]).select("row", "start", (F.col("start") + F.col("size")).alias("stop"))
+    repeated = names.where("n > 1").select("a", "k", "n")
+    marks = spread_join(found, repeated.drop("n"), ["a", "k"], hot_keys(repeated), ["row", "start"]).select("row", "start", (F.col("start") + F.col("size")).alias("stop"))
     kinds = names.groupBy("a").agg(F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1").select("a")
     some = names.join(kinds, "a")
     content = hulls(df, text_col, twice, edge).groupBy("a", "k").agg(F.first("at").alias("at"), F.first("hull").alias("hull"))
@@ -354,15 +359,16 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept bytes. Otherwise all columns stay, ``text_col`` holds the kept text, and
     characters of which only a part is repeated stay whole.
     """
-    keyed = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_key", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
-    spans = repeated_spans(keyed.select("_text", "_key"), "_text", "_key").withColumnRenamed("row", "_key")
-    carried = [id_col] if digests_only else [c for c in df.columns if c != text_col]
     result = "kept_sha256" if digests_only else text_col
+    counts = ["n_bytes", "n_removed", "n_spans"]
+    carried = [id_col] if digests_only else [c for c in df.columns if c not in (text_col, *counts)]
+    keyed = df.select(F.struct(*carried).alias("carried"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", row_key("id", "text"))
+    spans = repeated_spans(keyed.select("text", "row"), "text", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, removed, counts, kept = [], [], [], []
-            for raw, some in zip(raw_texts(batch.column("_text")), batch.column("spans").to_pylist(), strict=True):
+        for batch in in_parts(batches, 0):
+            sizes, removed, spans_of, kept = [], [], [], []
+            for raw, some in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 runs = merged(some or [])
                 if not digests_only:
                     runs = _whole_characters(raw, runs)
@@ -370,9 +376,9 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 sizes.append(len(raw))
                 removed.append(len(raw) - len(left))
-                counts.append(len(runs))
+                spans_of.append(len(runs))
                 kept.append(hashlib.sha256(left).hexdigest() if digests_only else left.decode())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(kept, pa.string())], names=[*carried, "n_bytes", "n_removed", "n_spans", result])
+            yield pa.RecordBatch.from_arrays([*batch.column(2).flatten(), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans_of)), pa.array(kept, pa.string())], names=[*carried, *counts, result])
 
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried), "n_bytes long, n_removed long, n_spans long", f"`{result}` string"])
-    return keyed.select(*carried, "_text", "_key").join(spans, "_key", "left").select(*carried, "_text", "spans").mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried), *(f"{c} long" for c in counts), f"`{result}` string"])
+    return keyed.join(spans, "row", "left").select("text", "spans", "carried").mapInArrow(run, schema)

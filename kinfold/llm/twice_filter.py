@@ -1,7 +1,8 @@
 """Two Bloom filters over all tasks: keys seen once, keys seen twice.
 
-Every task keeps the bits of the keys it has seen and those of keys it has seen
-again. The bit sets are merged block by block; a bit of the second filter is set
+Every task keeps two bit arrays, of the keys it has seen and of those it has seen
+again, which it updates batch by batch; of each block of them it sends the set
+bits or the array, whichever is smaller. The bit sets are merged block by block; a bit of the second filter is set
 where a task saw a key twice or where two tasks saw it once. A key that occurs
 twice always passes the second filter; others pass by chance, more of them the
 smaller the filter is for the data. Its size is fixed, which bounds what is
@@ -35,22 +36,27 @@ def seen_twice(df: DataFrame, text_col: str, keys: Callable[[pa.Array], Iterable
     """The filter of keys seen twice, ``bits`` / 8 bytes. ``keys`` gives arrays of 64-bit hashes, each occurrence counting."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [h for batch in batches for h in keys(batch.column(0)) if len(h)]
-        if not found:
-            return
-        hashes, times = np.unique(np.concatenate(found), return_counts=True)
-        once, hit = np.unique(positions(hashes, bits, k), return_counts=True)
-        twice = np.unique(np.concatenate([once[hit > 1], positions(hashes[times > 1], bits, k).ravel()]))
-        for name, at in (("once", once), ("twice", twice)):
-            block, first = np.unique(at // np.uint64(BLOCK_BITS), return_index=True)
-            for b, part in zip(block.tolist(), np.split(at, first[1:]) if len(at) else (), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([name]), pa.array([(part % np.uint64(BLOCK_BITS)).astype("<u4").tobytes()])], names=["block", "kind", "at"])
+        seen, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for hashes in keys(batch.column(0)):
+                at, times = np.unique(positions(hashes, bits, k), return_counts=True)
+                byte, mask = at >> np.uint64(3), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8)
+                repeated = (times > 1) | (seen[byte] & mask > 0)
+                np.bitwise_or.at(again, byte[repeated], mask[repeated])
+                np.bitwise_or.at(seen, byte, mask)
+        for kind, table in (("once", seen), ("twice", again)):
+            for block, part in enumerate(table.reshape(-1, BLOCK_BITS // 8)):
+                set_bits = int(np.bitwise_count(part).sum())
+                if set_bits:
+                    listed = 4 * set_bits < len(part)  # whichever is smaller
+                    held = np.flatnonzero(np.unpackbits(part)).astype("<u4") if listed else part
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([kind]), pa.array([listed]), pa.array([held.tobytes()])], names=["block", "kind", "listed", "at"])
 
     def merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, again = np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool)
         for part in parts:
-            for kind, at in zip(part.column("kind").to_pylist(), part.column("at").to_pylist(), strict=True):
-                at = np.frombuffer(at, "<u4")
+            for kind, listed, at in zip(*(part.column(c).to_pylist() for c in ("kind", "listed", "at")), strict=True):
+                at = np.frombuffer(at, "<u4") if listed else np.flatnonzero(np.unpackbits(np.frombuffer(at, np.uint8)))
                 if kind == "twice":
                     again[at] = True
                 else:
@@ -59,7 +65,7 @@ def seen_twice(df: DataFrame, text_col: str, keys: Callable[[pa.Array], Iterable
         if again.any():
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(again).tobytes()])], names=["block", "bits"])
 
-    blocks = df.select(text_col).mapInArrow(local, "block long, kind string, at binary").groupBy("block").applyInArrow(merge, "block long, bits binary")
+    blocks = df.select(text_col).mapInArrow(local, "block long, kind string, listed boolean, at binary").groupBy("block").applyInArrow(merge, "block long, bits binary")
     out = bytearray(bits // 8)
     for block, part in blocks.collect():  # bounded: bits / 8 bytes in all
         out[block * BLOCK_BITS // 8 : block * BLOCK_BITS // 8 + len(part)] = part

@@ -40,6 +40,24 @@ def test_held_out_accuracy(spark, sf):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_runs_of_whole_texts():
+    """All runs of a text are there, words are whole, and a bounded sample takes one run of each text before a second."""
+    import pyarrow as pa
+
+    long = " ".join(f"word{chr(97 + k % 26)}" for k in range(1000)) + " " + "x" * 5000
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"]), pa.array([long, "one two"])], names=["lang", "text"])
+    rows = [r for part in language_id._windows(iter([batch])) for r in part.to_pylist()]
+    assert sorted(w for r in rows if r["lang"] == "a" for w in r["run"].split()) == sorted(language_id.core(w) for w in long.split())
+    assert sorted(r["rank"] for r in rows) == [0, *range(-(-1001 // language_id.LENGTH))]
+
+
+def test_rare_language_is_learned(spark):
+    """The sample is taken of each language: one in a thousand rows is not lost among the others."""
+    rows = [(k, f"the house {k} and the river near water" if k % 1000 else "das haus und der fluss nahe dem wasser", "en" if k % 1000 else "de") for k in range(1, 4001)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50, windows=200)
+    assert model.labels == ["de", "en"]
+
+
 def test_code_switched_words():
     runs = [("en", "the water and the house were near the river".split())] * 30 + [("de", "das wasser und das haus waren nahe dem fluss".split())] * 30
     model = language_id.train(runs, epochs=6)

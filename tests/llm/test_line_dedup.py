@@ -34,3 +34,8 @@ def test_hard(spark, hard, empty, max_bits):
     kept = line_dedup.dedup_lines(df)
     assert kept.columns == ["doc_id", "digest", "n_lines", "n_dropped", "text"] and kept.count() == len(rows)
     assert line_dedup.dedup_lines(empty).count() == 0
+    clashing = df.selectExpr("*", "'r' AS row", "'r' AS _row", "'i' AS id", "'c' AS carried", "'d' AS drop", "'d' AS _drop", "7 AS n_dropped")
+    wide = line_dedup.dedup_lines(clashing)
+    assert wide.columns == ["doc_id", "digest", "row", "_row", "id", "carried", "drop", "_drop", "n_lines", "n_dropped", "text"]
+    assert sorted(map(str, map(tuple, wide.select("doc_id", "n_lines", "n_dropped").collect()))) == sorted(str(x[:3]) for x in expected(rows))
+    assert wide.where("row = 'r' AND _row = 'r' AND id = 'i' AND carried = 'c' AND drop = 'd'").count() == len(rows)

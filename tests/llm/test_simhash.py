@@ -59,6 +59,16 @@ def test_hard(spark, hard, empty):
     assert kept.columns == hard.columns and kept.where("doc_id IS NULL").count() == 1
 
 
+def test_repeated_ids(spark):
+    """The id alone decides: all rows of an id that stands for a component stay; exact and near copies of other ids go; clashing columns stay."""
+    base = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, base), (1, base + " more"), (2, base), (3, base + " end"), (4, None), (5, " "), (6, "other words altogether are here"), (None, base)]
+    df = spark.createDataFrame([(*r, "x", "y", 2.0) for r in rows], "doc_id long, text string, id string, name string, fp double")
+    kept = simhash.dedup_near(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, (r[0] for r in kept.collect()))) == ["1", "1", "4", "6", "None"]
+
+
 def test_shards_find_all_pairs(spark):
     """Chains and clusters of fingerprints over many shards, against all pairs."""
     rng = random.Random(3)

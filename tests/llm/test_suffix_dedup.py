@@ -38,8 +38,19 @@ def test_hard(spark, hard, empty):
     rows = [(r[0], r[1]) for r in hard.collect()]
     assert got(hard) == expected(rows)
     assert suffix_dedup.dedup_substrings(empty).count() == 0
-    out = suffix_dedup.dedup_substrings(hard.withColumnRenamed("_row", "_key2"))
-    assert out.columns == ["doc_id", "_id", "_key2", "n_bytes", "n_removed", "n_spans", "text"] and out.count() == len(rows)
+    out = suffix_dedup.dedup_substrings(hard.selectExpr("*", "'t' AS _text", "'k' AS _key", "'s' AS spans", "'r' AS row", "'c' AS carried", "3 AS n_spans"))
+    assert out.columns == ["doc_id", "_id", "_row", "_text", "_key", "spans", "row", "carried", "n_bytes", "n_removed", "n_spans", "text"] and out.count() == len(rows)
+    assert out.where("_text = 't' AND _key = 'k' AND spans = 's' AND row = 'r' AND carried = 'c'").count() == len(rows)
+
+
+def test_text_of_megabytes(spark):
+    """Pieces of a long text, with a passage that a short text has too, across the bound of a buffer."""
+    rng = random.Random(9)
+    long = bytes(rng.choices(b"abcdefgh ", k=3_000_000)).decode()
+    passage = long[(1 << suffix_dedup.BUFFER_BITS) - 150 :][:260]
+    rows = [(1, long), (2, f"before.{passage}.after"), (3, None)]
+    out = {r.doc_id: r for r in suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].n_removed == 260 and out[1].text == long.replace(passage, "") and out[2].n_removed == 260 and out[2].text == "before..after"
 
 
 @pytest.mark.parametrize("limit", [4, 4096])
