@@ -210,10 +210,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, windows: int = WINDOWS) -> Model | None:
     """A model learned from ``windows`` runs of words of ``sample`` rows of each language at most; None if no row has text and language."""
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    ids = usable.select("_id", "_lang").groupBy("_id", "_lang").agg(F.xxhash64("_id").alias("_hash"))
-    # a rank that is limited is cut in every task before rows are dealt by language
-    chosen = ids.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_id"))).where(F.col("_rank") <= sample).select("_id", "_lang")
-    held = usable.join(chosen, ["_id", "_lang"]).groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
+    spark, ids = df.sparkSession, usable.select("_id", "_lang")
+    sizes = ids.groupBy("_lang").agg(F.approx_count_distinct("_id").alias("n")).collect()  # one row a language; the model holds a column for each
+    shares = spark.createDataFrame([(lang, min(1.0, 3 * sample / n)) for lang, n in sizes], "_lang string, _share double")
+    # some three times the rows wanted by hash, then exactly the least hashes of each language
+    drawn = ids.join(F.broadcast(shares), "_lang").withColumn("_hash", F.xxhash64("_id")).where(F.pmod("_hash", F.lit(1 << 40)) < F.col("_share") * float(1 << 40)).distinct()
+    order = Window.partitionBy("_lang").orderBy(F.pmod("_hash", F.lit(1 << 40)), "_id")
+    chosen = drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).select("_id", "_lang")
+    held = usable.join(F.broadcast(chosen), ["_id", "_lang"]).groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))  # `sample` ids a language
     runs = held.select("_lang", "_text").mapInArrow(_windows, "lang string, run string, rank int, hash long")
     rows = runs.orderBy("rank", "hash", "lang", "run").limit(windows).select("lang", "run").collect()  # at most `windows` runs of LENGTH words
     return train(sorted((r[0], r[1].split(" ")) for r in rows)) if rows else None
