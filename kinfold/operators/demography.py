@@ -13,26 +13,26 @@ def state_at(events: DataFrame, key: str, time: str, value: str, ties: tuple[str
     return events.withColumn("state", F.last(value, ignorenulls=True).over(w))
 
 
-def epochs(changes: DataFrame) -> DataFrame:
-    """(population, start_time, end_time, start_size, end_size, growth_rate) from changes (population, time, size, growth_rate).
+def epochs(changes: DataFrame, keys: tuple[str, ...] = ("population",)) -> DataFrame:
+    """(keys, epoch, start_time, end_time, start_size, end_size, growth_rate) from changes (keys, time, size, growth_rate and, if there, seq).
 
     A change without a size keeps the size that the population has grown or
     shrunk to by then; one without a growth rate keeps the rate. Times go back
-    from 0. Sizes chain through epochs, so each population folds its few changes
-    in one array expression.
+    from 0; of changes at one time the last by ``seq`` holds. Sizes follow from
+    running sums of growth since a size was last set.
     """
-    first = F.struct(F.lit(0.0).alias("time"), F.lit(1.0).alias("size"), F.lit(0.0).alias("growth_rate"))
-    step = "struct<time:double,size:double,growth_rate:double>"
-
-    def advance(done, c):
-        last = F.element_at(done, -1)
-        grown = last["size"] * F.exp(-last["growth_rate"] * (c["time"] - last["time"]))
-        return F.concat(done, F.array(F.struct(c["time"].alias("time"), F.coalesce(c["size"], grown).alias("size"), F.coalesce(c["growth_rate"], last["growth_rate"]).alias("growth_rate"))))
-
-    folded = changes.groupBy("population").agg(F.sort_array(F.collect_list(F.struct("time", "size", "growth_rate").cast(step))).alias("c")).select("population", F.slice(F.aggregate("c", F.array(first.cast(step)), advance), 2, 1_000_000).alias("c"))
-    rows = folded.select("population", F.posexplode(F.transform("c", lambda x, i: F.struct(x["time"].alias("start_time"), F.coalesce(F.get(F.col("c"), i + 1)["time"], F.lit(float("inf"))).alias("end_time"), x["size"].alias("start_size"), x["growth_rate"].alias("growth_rate")))).alias("epoch", "x")).select("population", "epoch", "x.*")
+    seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
+    w = Window.partitionBy(*keys).orderBy("time", "_seq")
+    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = changes.withColumn("_seq", seq).withColumn("_rate", F.coalesce(F.last("growth_rate", ignorenulls=True).over(up_to), F.lit(0.0)))
+    passed = F.coalesce(F.lag("_rate").over(w) * (F.col("time") - F.lag("time").over(w)), F.lit(0.0))
+    rows = rows.withColumn("_passed", passed).withColumn("_sum", F.sum("_passed").over(up_to))
+    rows = rows.withColumn("_set", F.last(F.when(F.col("size").isNotNull(), F.struct("size", "_sum")), ignorenulls=True).over(up_to))
+    size = F.coalesce(F.col("_set.size"), F.lit(1.0)) * F.exp(F.coalesce(F.col("_set._sum"), F.lit(0.0)) - F.col("_sum"))
+    timed = rows.select(*keys, F.col("time").cast("double").alias("start_time"), F.coalesce(F.lead("time").over(w).cast("double"), F.lit(float("inf"))).alias("end_time"), size.alias("start_size"), F.col("_rate").cast("double").alias("growth_rate")).where("start_time < end_time")
     grown = F.when(F.col("growth_rate") == 0, F.col("start_size")).otherwise(F.col("start_size") * F.exp(-F.col("growth_rate") * (F.col("end_time") - F.col("start_time"))))
-    return rows.withColumn("end_size", grown).where("start_time < end_time")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("start_time")) - 1
+    return timed.select(*keys, number.alias("epoch"), "start_time", "end_time", "start_size", "growth_rate", grown.alias("end_size"))
 
 
 def size_trajectory(history: DataFrame, steps: DataFrame) -> DataFrame:
@@ -70,22 +70,157 @@ def matrix_exponential(a: np.ndarray) -> np.ndarray:
     return out
 
 
-def lineage_probabilities(models: DataFrame) -> DataFrame:
-    """(model, start, dest, probability) for models (model, step, span, rates: array of array): where a lineage is after all steps.
-
-    ``rates[j][k]`` is the rate from j to k, backwards in time, over the step's span. One task a model; a model has few steps.
-    """
-    def walk(steps):
+class History:
+    """One model's epochs and movements, as numbers; see ``models.histories``."""
+
+    def __init__(self, n: int, epochs, moves):
+        self.n, self.moves = n, list(moves) if moves is not None else []
+        self.epochs = sorted(epochs, key=lambda e: e["start_time"])
+        self.starts = [e["start_time"] for e in self.epochs]
+
+    def at(self, time: float) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, generator of moves) at a time."""
+        e = self.epochs[max(k for k, s in enumerate(self.starts) if s <= time)]
+        sizes = np.array(e["sizes"], float) * np.exp(-np.array(e["growth"], float) * (time - e["start_time"]))
+        q = np.zeros((self.n, self.n))
+        for r in e["rates"] if e["rates"] is not None else ():
+            q[r["source"], r["dest"]] = r["rate"]
+        return sizes, q - np.diag(q.sum(axis=1))
+
+    def moved(self, time: float) -> list[np.ndarray]:
+        """A matrix for each movement at a time, in order: where a lineage of each population goes."""
+        out = []
+        for m in self.moves:
+            if m["time"] == time:
+                s = np.eye(self.n)
+                s[m["source"], m["source"]] = 1 - m["proportion"]
+                s[m["source"], m["dest"]] += m["proportion"]
+                out.append(s)
+        return out
+
+    def places(self, steps, sample_time: float = 0.0) -> dict[float, np.ndarray]:
+        """Where lineages that start in each population at ``sample_time`` are at each step, before movements at that very time."""
+        wanted = set(steps)
+        times = sorted(t for t in wanted | set(self.starts) | {sample_time} if t >= sample_time)
+        p, out = np.eye(self.n), {t: np.zeros((self.n, self.n)) for t in wanted if t < sample_time}
+        for k, t in enumerate(times):
+            if t in wanted:
+                out[t] = p
+            if t > sample_time:
+                for s in self.moved(t):
+                    p = p @ s
+            if k + 1 < len(times):
+                p = p @ matrix_exponential(self.at(t)[1] * (times[k + 1] - t))
+        return out
+
+    def pairs(self, steps, lineages, least_size: float = 1.0) -> dict[float, tuple[float, float]]:
+        """(coalescence rate, share uncoalesced) of random pairs of the lineages at each step, after movements at that time."""
+        n, count = self.n, np.array(lineages, float)
+        p = np.outer(count, count) - np.diag(count)
+        p = (p / p.sum()).ravel()
+        wanted, one, out = set(steps), np.eye(n), {}
+        times = sorted(wanted | set(self.starts) | {0.0})
+        for k, t in enumerate(times):
+            for s in self.moved(t):
+                p = p @ np.kron(s, s)
+            sizes, q = self.at(t)
+            meet = np.diag(np.eye(n).ravel() * np.repeat(0.5 / np.maximum(sizes, least_size), n))
+            left = p.sum()
+            if t in wanted:
+                out[t] = (float((p @ meet).sum() / left) if left > 0 else float("nan"), float(left))
+            if k + 1 < len(times):
+                p = p @ matrix_exponential((np.kron(q, one) + np.kron(one, q) - meet) * (times[k + 1] - t))
+        return out
+
+    def mean_time(self, lineages, least_size: float = 1.0, change: float = 0.01, most: int = 100_000, tail: float = 1e-9) -> float:
+        """Mean time to coalescence: the integral of the share uncoalesced. It is exact for constant sizes; others are taken as constant while they change by the share ``change``, at most ``most`` times. Infinite if some pairs never meet."""
+        n, count = self.n, np.array(lineages, float)
+        p = np.outer(count, count) - np.diag(count)
+        p, one, total = (p / p.sum()).ravel(), np.eye(n), 0.0
+        for k, start in enumerate(self.starts):
+            for s in self.moved(start):
+                p = p @ np.kron(s, s)
+            constant, stop = not np.any(self.epochs[k]["growth"]), self.starts[k + 1] if k + 1 < len(self.starts) else float("inf")
+            step = stop - start if constant else change / np.abs(self.epochs[k]["growth"]).max()
+            b = start
+            for _ in range(most):
+                a, b = b, min(stop, b + step)
+                if a == stop or p.sum() <= tail:
+                    break
+                sizes, q = self.at(a if constant else (a + b) / 2)
+                g = np.kron(q, one) + np.kron(one, q) - np.diag(np.eye(n).ravel() * np.repeat(0.5 / np.maximum(sizes, least_size), n))
+                if np.isfinite(b):
+                    both = matrix_exponential(np.block([[g, np.eye(n * n)], [np.zeros((n * n, 2 * n * n))]]) * (b - a))
+                    total += float((p @ both[: n * n, n * n :]).sum())
+                    p = p @ both[: n * n, : n * n]
+                else:
+                    if (p @ matrix_exponential(g * (1e9 / max(np.abs(g).max(), 1e-300)))).sum() > tail:
+                        return float("inf")
+                    return total + float(np.linalg.lstsq(g.T, -p, rcond=None)[0].sum())
+        return float("inf") if p.sum() > tail else total
+
+
+def _each_history(rows: DataFrame, schema: str, make) -> DataFrame:
+    """``make(row, history)`` for each row of models and their histories: one row a model, spread over all tasks."""
+
+    def run(frames):
         import pandas as pd
 
-        steps = steps.sort_values("step")
-        p = None
-        for span, rates in zip(steps["span"], steps["rates"], strict=True):
-            m = np.array([list(r) for r in rates], float)
-            np.fill_diagonal(m, 0)
-            move = matrix_exponential((m - np.diag(m.sum(axis=1))) * span)
-            p = move if p is None else p @ move
-        n = len(p)
-        return pd.DataFrame({"model": steps["model"].iloc[0], "start": np.repeat(np.arange(n), n), "dest": np.tile(np.arange(n), n), "probability": p.ravel()})
-
-    return models.groupBy("model").applyInPandas(walk, "model long, start int, dest int, probability double")
+        names = [c.split()[0] for c in schema.split(", ")]
+        for frame in frames:
+            out = [x for row in frame.to_dict("records") for x in make(row, History(row["n"], row["epochs"], row["moves"]))]
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition("model").mapInPandas(run, schema)
+
+
+def lineage_probabilities(histories: DataFrame, steps: list[float], sample_time: float = 0.0) -> DataFrame:
+    """(model, step, start, dest, probability): where a lineage is at each step that was sampled in ``start`` at ``sample_time``; 0 before that."""
+
+    def make(row, history):
+        for t, p in history.places(steps, sample_time).items():
+            for a in range(history.n):
+                for b in range(history.n):
+                    yield row["model"], t, a, b, p[a, b]
+
+    return _each_history(histories, "model long, step double, start int, dest int, probability double", make)
+
+
+def possible_locations(histories: DataFrame, samples: DataFrame) -> DataFrame:
+    """(model, start_time, end_time, populations): where lineages of samples (model, population, time) may be, over the longest stretches for which it is the same."""
+    held = samples.groupBy("model").agg(F.collect_set(F.struct("population", "time")).alias("samples"))
+
+    def make(row, history):
+        taken = [(s["population"], s["time"]) for s in row["samples"]]
+        cuts = sorted(set(history.starts) | {t for _, t in taken})
+        spans = []
+        for k, t in enumerate(cuts):
+            end = cuts[k + 1] if k + 1 < len(cuts) else float("inf")
+            inside = t + 1 if end == float("inf") else (t + end) / 2
+            found = set()
+            for time in {s for _, s in taken if s <= t}:
+                p = history.places([inside], time)[inside]
+                found |= {b for a, at in taken if at == time for b in range(history.n) if p[a, b] > 0}
+            if spans and spans[-1][2] == found:
+                spans[-1][1] = end
+            else:
+                spans.append([t, end, found])
+        for a, b, found in spans:
+            yield row["model"], a, b, sorted(found)
+
+    return _each_history(histories.join(held, "model"), "model long, start_time double, end_time double, populations array<int>", make)
+
+
+def coalescence_rates(histories: DataFrame, steps: list[float], lineages: list[float], least_size: float = 1.0) -> DataFrame:
+    """(model, step, rate, uncoalesced): of random pairs of samples taken at time 0, so many from each population."""
+
+    def make(row, history):
+        for t, (rate, left) in history.pairs(steps, lineages, least_size).items():
+            yield row["model"], t, rate, left
+
+    return _each_history(histories, "model long, step double, rate double, uncoalesced double", make)
+
+
+def mean_coalescence_times(histories: DataFrame, lineages: list[float], least_size: float = 1.0) -> DataFrame:
+    """(model, mean_time) of random pairs of samples taken at time 0."""
+    return _each_history(histories, "model long, mean_time double", lambda row, history: [(row["model"], history.mean_time(lineages, least_size))])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators.prefix import running_sum
+from kinfold.operators.prefix import previous, running_sum
 
 
 def breakpoints(df: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
@@ -20,10 +20,10 @@ def overlap_counts(df: DataFrame, left: str = "left", right: str = "right") -> D
 
 
 def squash(df: DataFrame, by: list[str], left: str = "left", right: str = "right") -> DataFrame:
-    """Adjacent intervals of equal ``by`` merged: (by, left, right, n_merged)."""
-    w = Window.partitionBy(*by).orderBy(left, right)
-    new = F.when(F.col(left) == F.lag(right).over(w), 0).otherwise(1)
-    islands = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Adjacent intervals of equal ``by`` merged: (by, left, right, n_merged). The rows of a frequent key are cut into ranges too."""
+    follow = previous(df, left, right, "_before", tuple(by), (right,))
+    starts = follow.withColumn("_new", F.when(F.col("_before") == F.col(left), 0).otherwise(1).cast("long"))
+    islands = running_sum(starts, left, "_new", "_island", tuple(by), (right,))
     return islands.groupBy(*by, "_island").agg(F.min(left).alias("left"), F.max(right).alias("right"), F.count(F.lit(1)).alias("n_merged")).drop("_island")
 
 
@@ -32,17 +32,37 @@ def live_at(df: DataFrame, t, left: str = "left", right: str = "right") -> DataF
     return df.where((F.col(left) <= t) & (F.col(right) > t))
 
 
+def windows_of(df: DataFrame, width: float, left: str = "left", right: str = "right") -> DataFrame:
+    """Intervals cut at multiples of ``width``: one row for each window they touch, with ``window`` (its number)."""
+    last = F.ceil(F.col(right) / width) - 1
+    each = df.where(F.col(left) < F.col(right)).withColumn("window", F.explode(F.sequence(F.floor(F.col(left) / width), last)))
+    return each.withColumns({left: F.greatest(F.col(left), F.col("window") * width), right: F.least(F.col(right), (F.col("window") + 1) * width)})
+
+
 def overlap_join(a: DataFrame, b: DataFrame, width: float, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of overlapping intervals (columns left, right on both sides; b's come out as other_left, other_right).
 
-    Both sides go to the bins of ``width`` that they touch and are joined by
-    bin; a pair is kept in the bin where its overlap starts, so none comes twice.
+    An interval's level is the least k with length up to ``width`` * 4 ** k, so
+    it touches at most two bins of its level however long it is. For each level
+    that the other side has, it goes to its bins of the higher of both levels:
+    short intervals in fine bins, long ones in coarse bins, a few rows each. A
+    pair is kept in the bin where its overlap starts, so none comes twice.
     """
-    def binned(df: DataFrame) -> DataFrame:
-        last = F.ceil(F.col("right") / width) - 1
-        return df.where("left < right").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("left") / width), last)))
 
-    other = binned(b).withColumnsRenamed({"left": "other_left", "right": "other_right"})
+    def levelled(df: DataFrame) -> DataFrame:
+        size = (F.col("right") - F.col("left")) / F.lit(float(width))
+        level = F.greatest(F.lit(0), F.ceil(F.log(size) / F.log(F.lit(4.0)) - 1e-12)).cast("int")
+        return df.where("left < right").withColumn("_level", level)
+
+    def binned(df: DataFrame, levels: DataFrame, own: str, others: str) -> DataFrame:
+        size = F.lit(float(width)) * F.pow(F.lit(4.0), F.greatest(own, others))
+        each = df.withColumnRenamed("_level", own).crossJoin(F.broadcast(levels.withColumnRenamed("_level", others)))  # levels: a few dozen rows at most
+        return each.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("left") / size), F.ceil(F.col("right") / size) - 1)))
+
+    left, right = levelled(a), levelled(b)
+    of_a, of_b = left.select("_level").distinct(), right.select("_level").distinct()
+    other = binned(right, of_a, "_lb", "_la").withColumnsRenamed({"left": "other_left", "right": "other_right"})
     start = F.greatest("left", "other_left")
-    met: Column = (start < F.least("right", "other_right")) & (F.floor(start / width) == F.col("_bin"))
-    return binned(a).join(other, [*on, "_bin"]).where(met).drop("_bin")
+    size = F.lit(float(width)) * F.pow(F.lit(4.0), F.greatest("_la", "_lb"))
+    met: Column = (start < F.least("right", "other_right")) & (F.floor(start / size) == F.col("_bin"))
+    return binned(left, of_b, "_la", "_lb").join(other, [*on, "_la", "_lb", "_bin"]).where(met).drop("_bin", "_la", "_lb")

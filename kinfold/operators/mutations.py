@@ -11,10 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators.ancestry import uniform
+from kinfold.operators.prefix import numbered
+from kinfold.tables import drop_written, written
 
 
 @dataclass(frozen=True)
@@ -47,40 +49,112 @@ def jukes_cantor_model(state_independent: bool = False) -> Model:
     return matrix_model("ACGT", [0.25] * 4, np.full((4, 4), 0.25) if state_independent else (1 - np.eye(4)) / 3)
 
 
-def _from_rates(rates: np.ndarray, root) -> Model:
-    """Rates of change between the four letters as probabilities: the fastest state always changes, others stay for the rest."""
-    rates = rates * (1 - np.eye(4))
+def _from_rates(rates: np.ndarray, root, alleles="ACGT", silent=None) -> Model:
+    """Rates of change as probabilities: the fastest state always changes, others stay for the rest. ``silent`` rates of change to the same state count as changes."""
+    rates = rates * (1 - np.eye(len(rates))) + (0 if silent is None else np.diag(silent))
     matrix = rates / rates.sum(axis=1).max()
-    return matrix_model("ACGT", root, matrix + np.diag(1 - matrix.sum(axis=1)))
+    return matrix_model(alleles, root, matrix + np.diag(np.maximum(0, 1 - matrix.sum(axis=1))))
 
 
-def hky(kappa: float, frequencies=(0.25,) * 4, root=None) -> Model:
+_PURINE = np.array([True, False, True, False])
+
+
+def hky(kappa: float, frequencies=(0.25,) * 4, root=None, state_independent: bool = False) -> Model:
     """Transitions (A-G, C-T) ``kappa`` times as fast as transversions, all by the frequency of what they lead to."""
-    purine = np.array([True, False, True, False])
-    rates = np.where(purine[:, None] == purine, kappa, 1.0) * np.array(frequencies)
-    return _from_rates(rates, frequencies if root is None else root)
+    f = np.array(frequencies, float)
+    rates = np.where(_PURINE[:, None] == _PURINE, kappa, 1.0) * f
+    return _from_rates(rates, f if root is None else root, silent=kappa * f if state_independent else None)
+
+
+def f84(kappa: float, frequencies=(0.25,) * 4, root=None, state_independent: bool = False) -> Model:
+    """Transversions by the frequency of what they lead to; transitions faster by 1 + (kappa - 1) / (frequency of both purines, or of both pyrimidines)."""
+    f = np.array(frequencies, float)
+    faster = 1 + (kappa - 1) / np.where(_PURINE, f[_PURINE].sum(), f[~_PURINE].sum())
+    rates = np.where(_PURINE[:, None] == _PURINE, faster, 1.0) * f
+    return _from_rates(rates, f if root is None else root, silent=faster * f if state_independent else None)
 
 
-def gtr(relative_rates, frequencies=(0.25,) * 4, root=None) -> Model:
+def gtr(relative_rates, frequencies=(0.25,) * 4, root=None, state_independent: bool = False) -> Model:
     """Six symmetric rates AC, AG, AT, CG, CT, GT by the frequency of what they lead to."""
+    f = np.array(frequencies, float)
     rates = np.zeros((4, 4))
     rates[np.triu_indices(4, 1)] = relative_rates
-    return _from_rates((rates + rates.T) * np.array(frequencies), frequencies if root is None else root)
+    return _from_rates((rates + rates.T) * f, f if root is None else root, silent=f if state_independent else None)
 
 
-def single_step(low: int, high: int) -> Model:
-    """Repeat counts that grow or shrink by one, both alike, and turn back at the ends."""
+#: The one-letter codes of the amino acids.
+AMINO_ACIDS = "ARNDCQEGHILKMFPSTWYV"
+
+
+def amino_acids(exchange, frequencies, root=None) -> Model:
+    """A model of the twenty amino acids from symmetric exchange rates (20 x 20, or the 190 above the diagonal) and frequencies, such as published score tables give."""
+    rates = np.array(exchange, float)
+    if rates.ndim == 1:
+        full = np.zeros((20, 20))
+        full[np.triu_indices(20, 1)] = rates
+        rates = full + full.T
+    f = np.array(frequencies, float)
+    return _from_rates(rates * f, f if root is None else root, AMINO_ACIDS)
+
+
+def microsatellite(s: float, u: float, v: float, p: float, m: float, low: int, high: int, root=None) -> Model:
+    """Repeat counts ``low`` to ``high``: change at a rate that rises by ``s`` a repeat, up with probability ``u`` less ``v`` for each repeat, by one step with probability ``p``, else by a geometric number of steps (``m``) cut at the ends. The root is stationary unless given."""
+    if not (0 <= low <= high and 0 < u < 1 and s > -1 / (high - low + 1)):
+        raise ValueError("0 <= low <= high, 0 < u < 1 and s > -1/(high-low+1) must hold")
     n = high - low + 1
-    step = np.eye(n, k=1) + np.eye(n, k=-1)
-    return matrix_model(map(str, range(low, high + 1)), [1 / n] * n, step / step.sum(axis=1, keepdims=True))
+    i, j = np.indices((n, n))
+    up, far = j > i, np.abs(j - i)
+    room = np.where(up, n - 1 - i, i)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        steps = m * (1 - m) ** (far - 1.0) / (1 - (1 - m) ** room.astype(float))
+    upward = np.clip(u - v * i, 0, 1)
+    rates = (1 + s * i) * np.where(up, upward, 1 - upward) * (p * (far == 1) + (1 - p) * np.where(far > 0, steps, 0))
+    model = _from_rates(np.where(far > 0, rates, 0), [1 / n] * n, tuple(map(str, range(low, high + 1))))
+    if root is None:
+        values, vectors = np.linalg.eig(model.matrix.T)
+        still = np.real(vectors[:, np.argmin(np.abs(values - 1))])
+        root = np.abs(still) / np.abs(still).sum()
+    return matrix_model(model.alleles, root, model.matrix)
+
+
+def single_step(low: int, high: int) -> Model:
+    """Repeat counts that grow or shrink by one, both alike; at the ends half of the changes are silent."""
+    return microsatellite(0, 0.5, 0, 0, 1, low, high)
+
+
+def two_phase(p: float, m: float, low: int, high: int) -> Model:
+    """One step with probability ``p``, else a geometric number of steps."""
+    return microsatellite(0, 0.5, 0, p, m, low, high)
+
+
+def linear_bias(m: float, u: float, v: float, low: int, high: int) -> Model:
+    """Equal rates, geometric steps, and a bias against growth that is linear in the count."""
+    return microsatellite(0, u, v, 0, m, low, high)
+
+
+#: Models that need no parameter, by name.
+NAMED = {"binary": binary, "jc69": jukes_cantor_model}
+
+
+def model_named(name: str | Model | None) -> Model:
+    """A model by its name, itself if it is one, by default that of Jukes and Cantor."""
+    if isinstance(name, Model):
+        return name
+    if name is not None and name.lower() not in NAMED:
+        raise ValueError(f"no mutation model {name!r}; there are {sorted(NAMED)}")
+    return NAMED["jc69" if name is None else name.lower()]()
+
+
+def model_rows(model: Model) -> list[tuple[str, str, float]]:
+    """(state above, state below, probability) of a model's matrix."""
+    return [(a, b, float(model.matrix[i, j])) for i, a in enumerate(model.alleles) for j, b in enumerate(model.alleles)]
 
 
 def discrete_sites(mutations: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``mutations`` with positions cut to whole numbers, and sites numbered by position; a site may hold many mutations."""
     whole = mutations.withColumn("position", F.floor("position"))
     sites = whole.select(*by, "position").distinct()
-    numbered = sites.withColumn("site", F.row_number().over(Window.partitionBy(*by).orderBy("position")) - 1)
-    return whole.drop("site").join(numbered, [*by, "position"])
+    return whole.drop("site").join(numbered(sites, "position", "site", by), [*by, "position"])
 
 
 def parent_mutations(mutations: DataFrame, ancestors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -111,12 +185,11 @@ def with_states(mutations: DataFrame, parents: DataFrame, model: Model, by: tupl
     Mutations that leave the state as it was are dropped unless ``keep_silent``.
     """
     keys = list(by)
-    spark = mutations.sparkSession
     draw = uniform(F.lit(seed), F.lit("state"), *keys, "mutation")
     outcome = F.array(*[_drawn(row, draw) for row in model.matrix])
     rows = parents.withColumns({"own": outcome, "path": outcome, "up": F.col("parent")})
     while True:
-        rows = rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows
+        rows = written(rows, "states")
         if rows.where("up IS NOT NULL").isEmpty():
             break
         above = rows.select(*keys, F.col("mutation").alias("up"), F.col("path").alias("_path"), F.col("up").alias("_up"))
@@ -134,5 +207,17 @@ def with_states(mutations: DataFrame, parents: DataFrame, model: Model, by: tupl
 
 def infinite_alleles(mutations: DataFrame, by: tuple[str, ...] = (), start: int = 0) -> DataFrame:
     """``mutations`` with a ``derived_state`` that no other mutation has: a count within ``by``, oldest first; ``start`` is the state of all roots."""
-    order = Window.partitionBy(*by).orderBy(F.desc("time"), "mutation")
-    return mutations.withColumns({"ancestral_state": F.lit(str(start)), "derived_state": (F.row_number().over(order) + start).cast("string")})
+    aged = numbered(mutations.withColumn("_age", -F.col("time")), "_age", "_n", by, ("mutation",)).drop("_age")
+    return aged.withColumns({"ancestral_state": F.lit(str(start)), "derived_state": (F.col("_n") + 1 + start).cast("string")}).drop("_n")
+
+
+def chained_labels(mutations: DataFrame, parents: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``mutations`` with ``derived_state``: the ids of all mutations on the path from the root, oldest first, joined by commas. Paths are put together by doubling."""
+    keys = list(by)
+    now = written(parents.select(*keys, "mutation", F.col("parent").alias("up"), F.col("mutation").cast("string").alias("label")), "labels")
+    while not now.where("up IS NOT NULL").isEmpty():
+        above = now.select(*keys, F.col("mutation").alias("up"), F.col("label").alias("_label"), F.col("up").alias("_up"))
+        after = written(now.join(above, [*keys, "up"], "left").select(*keys, "mutation", F.col("_up").alias("up"), F.concat_ws(",", "_label", "label").alias("label")), "labels")
+        drop_written(now)
+        now = after
+    return mutations.join(now.select(*keys, "mutation", F.col("label").alias("derived_state")), [*keys, "mutation"])

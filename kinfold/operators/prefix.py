@@ -1,8 +1,9 @@
 """Running sums and last-known values over one long ordered axis, without gathering the axis in one task.
 
-The axis is cut into equal-width buckets. Within a bucket a window does the
-work; what goes into a bucket comes from one row for each bucket, of which there
-are at most ``BUCKETS`` for each key however long the axis is.
+The axis is cut at quantiles of its rows into ranges of about equally many rows,
+some for each shuffle partition, so an outlier or a crowded stretch fills no
+task. Within a range a window does the work; what goes into a range comes from
+one row for each range and key.
 """
 
 from __future__ import annotations
@@ -10,23 +11,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+MOST_RANGES = 4096
 
 
-def bucketed(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with ``_bucket``, which rises with the numeric column ``order``."""
-    ends = df.agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))  # one row
-    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (buckets - 1))).otherwise(0)
-    return df.crossJoin(F.broadcast(ends)).withColumn("_bucket", F.coalesce(place, F.lit(-1)).cast("int")).drop("_lo", "_hi")
+def range_bounds(df: DataFrame, order: str) -> list[float]:
+    """Quantiles of ``order``, at most two ranges for each shuffle partition; rows of one value stay together."""
+    wanted = min(MOST_RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if wanted < 2:
+        return []
+    found = df.select(F.approx_percentile(F.col(order).cast("double"), [k / wanted for k in range(1, wanted)], 20 * wanted)).first()[0]
+    return sorted(set(found or []))
+
+
+def _place(value: Column, bounds: list[float], first: int = 0) -> Column:
+    """How many bounds are at or below ``value``, by halving."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    return F.when(value < bounds[half], _place(value, bounds[:half], first)).otherwise(_place(value, bounds[half + 1 :], first + half + 1))
+
+
+def bucketed(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``_bucket``, which rises with the numeric column ``order``; a null comes first."""
+    place = _place(F.col(order).cast("double"), range_bounds(df, order))
+    return df.withColumn("_bucket", F.when(F.col(order).isNull(), -1).otherwise(place))
 
 
 def _carried(df: DataFrame, by: list[str], within: Column, across) -> DataFrame:
-    """One row a bucket with ``_carry``: ``across`` a window of the buckets before."""
+    """One row a range and key with ``_carry``: ``across`` a window of the ranges before."""
     each = df.groupBy(*by, "_bucket").agg(within.alias("_own"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     return each.select(*by, "_bucket", across(F.col("_own")).over(before).alias("_carry"))
 
 
+def _joined(own: DataFrame, carry: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with what is carried into their range; without keys that is at most one row a range, which is broadcast."""
+    return own.join(carry if by else F.broadcast(carry), [*by, "_bucket"])
+
+
 def running_sum(df: DataFrame, order: str, value: str, name: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = (), inclusive: bool = True) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over all rows up to this one (or before it)."""
     keys, cut = list(by), bucketed(df, order)
@@ -34,7 +56,7 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, by: tuple[str,
     inner = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     own = cut.withColumn("_own", F.sum(value).over(inner))
     zero = F.lit(0).cast(df.select(F.sum(value)).schema[0].dataType)
-    return own.join(carry, [*keys, "_bucket"]).withColumn(name, F.coalesce("_own", zero) + F.coalesce("_carry", zero)).drop("_own", "_carry", "_bucket")
+    return _joined(own, carry, keys).withColumn(name, F.coalesce("_own", zero) + F.coalesce("_carry", zero)).drop("_own", "_carry", "_bucket")
 
 
 def last_known(df: DataFrame, order: str, value: str, name: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
@@ -44,4 +66,18 @@ def last_known(df: DataFrame, order: str, value: str, name: str, by: tuple[str,
     carry = _carried(cut, keys, latest, lambda c: F.last(c, ignorenulls=True))
     inner = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     own = cut.withColumn("_own", F.last(value, ignorenulls=True).over(inner))
-    return own.join(carry, [*keys, "_bucket"]).withColumn(name, F.coalesce("_own", F.col("_carry")["v"])).drop("_own", "_carry", "_bucket")
+    return _joined(own, carry, keys).withColumn(name, F.coalesce("_own", F.col("_carry")["v"])).drop("_own", "_carry", "_bucket")
+
+
+def previous(df: DataFrame, order: str, value: str, name: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``name``: ``value`` of the row before this one, null for the first."""
+    keys, cut = list(by), bucketed(df, order)
+    held = F.struct(F.col(value).alias("v"))
+    carry = _carried(cut, keys, F.max_by(held, F.struct(order, *ties)), lambda c: F.last(c, ignorenulls=True))
+    own = cut.withColumn("_own", F.lag(held).over(Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)))
+    return _joined(own, carry, keys).withColumn(name, F.coalesce("_own", "_carry")["v"]).drop("_own", "_carry", "_bucket")
+
+
+def numbered(df: DataFrame, order: str, name: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``name``: 0, 1, 2, ... along the axis."""
+    return running_sum(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", name, by, ties, inclusive=False).drop("_one")

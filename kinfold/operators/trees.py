@@ -1,10 +1,19 @@
-"""Genealogies stored as tables: paths to the root, depths, and statistics over sites."""
+"""Genealogies stored as tables: depths, samples below, local trees, genotypes, and statistics over sites.
+
+Trees are parent tables. Work along paths goes by doubling: every node keeps one
+pointer, which reaches twice as far after each round, so a tree of depth d takes
+log d joins of one row a node, also where it is a chain.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.operators.intervals import overlap_join, windows_of
+from kinfold.operators.prefix import previous, running_sum
+from kinfold.tables import drop_written, written
+
 
 def children_histogram(edges: DataFrame) -> DataFrame:
     """(n_children, n_parents): how many parents have how many different children; 1 marks unary nodes."""
@@ -17,32 +26,138 @@ def total_material(edges: DataFrame) -> DataFrame:
     return edges.agg(F.sum((F.col("right") - F.col("left")) * (F.col("parent_time") - F.col("child_time"))).alias("material"))
 
 
+def _doubled(rows: DataFrame, keys: list[str], name: str, step) -> DataFrame:
+    """Apply ``step(rows, above)`` until no node's pointer ``up`` leads anywhere; ``above`` is the table as seen from below."""
+    now = written(rows, name)
+    while not now.where("up IS NOT NULL").isEmpty():
+        after = written(step(now), name)
+        drop_written(now)
+        now = after
+    return now
+
+
+def depths(parents: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, node, depth) for every node that has a parent: the number of steps to its root."""
+    keys = list(by)
+    rows = parents.select(*keys, F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).alias("depth"))
+
+    def step(now: DataFrame) -> DataFrame:
+        above = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        return now.join(above, [*keys, "up"], "left").select(*keys, "node", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))
+
+    return _doubled(rows, keys, "depths", step).select(*keys, "node", "depth")
+
+
+def samples_below(parents: DataFrame, samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, node, k): how many samples stand at or below each node.
+
+    After round r a node has counted those less than 2 ** r steps below it; the
+    nodes exactly so many steps below hand it what they have counted themselves.
+    """
+    keys = list(by)
+    marked = samples.select(*keys, "node").distinct().withColumn("_own", F.lit(1).cast("long"))
+    every = parents.select(*keys, F.explode(F.array("child", "parent")).alias("node")).unionByName(samples.select(*keys, "node")).distinct()
+    up = parents.select(*keys, F.col("child").alias("node"), F.col("parent").alias("up"))
+    rows = every.join(up, [*keys, "node"], "left").join(marked, [*keys, "node"], "left").select(*keys, "node", "up", F.coalesce("_own", F.lit(0).cast("long")).alias("k"))
+
+    def step(now: DataFrame) -> DataFrame:
+        handed = now.where("up IS NOT NULL").groupBy(*keys, F.col("up").alias("node")).agg(F.sum("k").alias("_more"))
+        above = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"))
+        moved = now.join(above, [*keys, "up"], "left").select(*keys, "node", F.col("_up").alias("up"), "k")
+        return moved.join(handed, [*keys, "node"], "left").select(*keys, "node", "up", (F.col("k") + F.coalesce("_more", F.lit(0))).alias("k"))
+
+    return _doubled(rows, keys, "below", step).select(*keys, "node", "k")
+
+
 def ancestors(parents: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, node, ancestor, steps) for all ancestors: paths of twice the length are joined from the ones known, so a tree of depth d takes log d joins."""
+    """(by, node, ancestor, steps) for all ancestors: as many rows as all paths are long, for questions that ask for them; paths of twice the length are joined from the ones known."""
     keys = list(by)
     known = parents.select(*keys, F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
     reach = 1
     while True:
         longest = known.where(F.col("steps") == reach)
         upper = known.select(*keys, F.col("node").alias("ancestor"), F.col("ancestor").alias("_top"), F.col("steps").alias("_more"))
-        more = longest.join(upper, [*keys, "ancestor"]).select(*keys, "node", F.col("_top").alias("ancestor"), (F.col("steps") + F.col("_more")).alias("steps"))
-        more = more.checkpoint() if parents.sparkSession.sparkContext.getCheckpointDir() else more
+        more = written(longest.join(upper, [*keys, "ancestor"]).select(*keys, "node", F.col("_top").alias("ancestor"), (F.col("steps") + F.col("_more")).alias("steps")), "paths")
         if more.isEmpty():
             return known
         known, reach = known.unionByName(more), 2 * reach
 
 
-def depths(parents: DataFrame) -> DataFrame:
-    """(node, depth) for every node that has a parent."""
-    return ancestors(parents).groupBy("node").agg(F.max("steps").alias("depth"))
-
-
 def carriers(mutations: DataFrame, edges: DataFrame, samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, site, k): how many samples stand at or below each mutation's node."""
+    under = samples_below(edges.select(*by, "parent", "child"), samples, by)
+    return mutations.join(under, [*by, "node"]).select(*by, "site", "k")
+
+
+def local_trees(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, left, right) of every tree along the axis: the intervals between neighbouring breakpoints that an edge covers."""
+    keys = list(by)
+    ends = F.array(F.struct(F.col("left").alias("left"), F.lit(1).cast("long").alias("d")), F.struct(F.col("right").alias("left"), F.lit(-1).cast("long").alias("d")))
+    steps = edges.select(*keys, F.explode(ends).alias("x")).select(*keys, "x.*").groupBy(*keys, "left").agg(F.sum("d").alias("d"))
+    flipped = steps.withColumn("_back", -F.col("left"))
+    following = previous(flipped, "_back", "left", "right", tuple(by)).drop("_back")
+    return running_sum(following, "left", "d", "live", tuple(by)).where("right IS NOT NULL AND live > 0").select(*keys, "left", "right")
+
+
+def tree_edges(edges: DataFrame, by: tuple[str, ...] = (), width: float = 1.0) -> DataFrame:
+    """(by, tree_left, tree_right, parent, child): every local tree's edges, by an overlap join of trees and edges."""
+    trees = local_trees(edges, by)
+    met = overlap_join(trees, edges.select(*by, "left", "right", "parent", "child"), width, tuple(by))
+    return met.select(*by, F.col("left").alias("tree_left"), F.col("right").alias("tree_right"), "parent", "child")
+
+
+def tree_roots(edges: DataFrame, nodes: DataFrame, by: tuple[str, ...] = (), width: float = 1.0) -> DataFrame:
+    """(by, tree_left, tree_right, n_roots, tmrca): how many parents of a local tree have none themselves, and the time of the oldest of them. ``nodes`` has (by, node, time)."""
+    held = tree_edges(edges, by, width)
+    keys = [*by, "tree_left", "tree_right"]
+    tops = held.select(*keys, F.col("parent").alias("node")).distinct().join(held.select(*keys, F.col("child").alias("node")), [*keys, "node"], "left_anti")
+    return tops.join(nodes.select(*by, "node", "time"), [*by, "node"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_roots"), F.max("time").alias("tmrca"))
+
+
+def genotypes(mutations: DataFrame, edges: DataFrame, samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, site, sample): who carries the derived state, for sites of one mutation (by, site, position, node).
+
+    Carriers are handed down from a mutation's node, edge by edge, within the
+    edges that hold its position; each round is a join, and only what was reached
+    in the round before goes on. A row a carrier and site is the matrix's ones.
+    """
+    keys = list(by)
+    now = written(mutations.select(*keys, "site", "position", "node"), "carriers")
+    found = [now]
+    while not now.isEmpty():
+        down = now.join(edges.select(*keys, "left", "right", F.col("parent").alias("node"), "child"), [*keys, "node"])
+        inside = (F.col("left") <= F.col("position")) & (F.col("position") < F.col("right"))
+        now = written(down.where(inside).select(*keys, "site", "position", F.col("child").alias("node")).distinct(), "carriers")
+        found.append(now)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.join(samples.select(*keys, "node").distinct(), [*keys, "node"]).select(*keys, "site", F.col("node").alias("sample")).distinct()
+
+
+def haplotypes(carried: DataFrame, sites: DataFrame, samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, sample, haplotype): a string of 0 and 1 along the sites (by, site, position) for each sample."""
     keys = list(by)
-    below = ancestors(edges.select(*keys, "parent", "child"), by).select(*keys, "ancestor", F.col("node").alias("sample")).unionByName(samples.select(*keys, F.col("node").alias("ancestor"), F.col("node").alias("sample")))
-    under = below.join(samples.withColumnRenamed("node", "sample"), [*keys, "sample"]).groupBy(*keys, F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("k"))
-    return mutations.join(under, [*keys, "node"]).select(*keys, "site", "k")
+    ones = carried.groupBy(*keys, "sample").agg(F.collect_set("site").alias("_ones"))
+    axis = sites.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("position", "site"))).alias("_axis"))
+    each = samples.select(*keys, F.col("node").alias("sample")).distinct().join(ones, [*keys, "sample"], "left")
+    each = each.join(axis, keys) if keys else each.crossJoin(F.broadcast(axis))  # one row
+    marks = F.transform("_axis", lambda s: F.when(F.array_contains(F.coalesce("_ones", F.array().cast("array<long>")), s["site"].cast("long")), "1").otherwise("0"))
+    return each.select(*keys, "sample", F.array_join(marks, "").alias("haplotype"))
+
+
+def delete_intervals(edges: DataFrame, gaps: DataFrame, width: float = 1.0) -> DataFrame:
+    """``edges`` without the stretches of ``gaps`` (left, right; apart from each other): what stands between the gaps of each edge."""
+    marked = edges.withColumn("_edge", F.struct(*edges.columns))
+    met = overlap_join(marked, gaps.select("left", "right"), width)
+    cut = met.groupBy("_edge").agg(F.sort_array(F.collect_list(F.struct(F.col("other_left").alias("l"), F.col("other_right").alias("r")))).alias("_gaps"))
+    every = marked.select("_edge").distinct().join(cut, "_edge", "left")
+    starts = F.concat(F.array(F.col("_edge.left")), F.coalesce(F.transform("_gaps", lambda g: g["r"]), F.array()))
+    stops = F.concat(F.coalesce(F.transform("_gaps", lambda g: g["l"]), F.array()), F.array(F.col("_edge.right")))
+    pieces = F.filter(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda p: p["a"] < p["b"])
+    others = [F.col(f"_edge.{c}").alias(c) for c in edges.columns if c not in ("left", "right")]
+    copies = marked.groupBy("_edge").agg(F.count(F.lit(1)).alias("_times"))
+    return every.join(copies, "_edge").select(*others, F.explode(F.flatten(F.array_repeat(pieces, F.col("_times").cast("int")))).alias("p")).select("p.a", "p.b", *[c for c in edges.columns if c not in ("left", "right")]).withColumnsRenamed({"a": "left", "b": "right"}).select(*edges.columns)
 
 
 def frequency_spectrum(sites: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -56,6 +171,16 @@ def diversity(sites: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return sites.groupBy(*by).agg(F.count(F.lit(1)).alias("n_sites"), F.count(F.when((k > 0) & (k < n), 1)).alias("segregating"), F.sum(k * (n - k)).alias("differing_pairs"), F.sum(F.when(n > 1, 2 * k * (n - k) / (n * (n - 1)))).alias("pi"))
 
 
+def diversity_by_window(sites: DataFrame, width: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """As ``diversity``, for each window of ``width`` along the axis; ``sites`` has a position too."""
+    return diversity(sites.withColumn("window", F.floor(F.col("position") / width)), (*by, "window"))
+
+
+def branch_length_by_window(edges: DataFrame, width: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, window, material): span times branch length of edges (left, right, parent_time, child_time) within each window."""
+    return windows_of(edges, width).groupBy(*by, "window").agg(F.sum((F.col("right") - F.col("left")) * (F.col("parent_time") - F.col("child_time"))).alias("material"))
+
+
 def tajimas_d(stats: DataFrame, n: int) -> DataFrame:
     """``stats`` (segregating, pi) with ``tajimas_d`` for n samples; null without segregating sites."""
     a1, a2 = sum(1 / i for i in range(1, n)), sum(1 / i**2 for i in range(1, n))

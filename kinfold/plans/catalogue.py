@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import ratemap
-from kinfold.operators import ancestry, demography, intervals, trees
+from kinfold.operators import ancestry, demography, intervals, likelihood, models, mutations, trees
+from kinfold.sources import newick
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -155,23 +156,204 @@ def migration_records(spark, sf_dir):
 
 
 def simulated_trees(spark, sf_dir):
-    """Edges of 200 genealogies of ten samples."""
-    return ancestry.coalescent_trees(spark, 200, 10, seed=11)
+    """Edges of a genealogy of ten samples for each supplier."""
+    return ancestry.coalescent_trees(spark, _table(spark, sf_dir, "supplier").count(), 10, seed=11)
 
 
 def simulated_spectrum(spark, sf_dir):
     """Frequency spectrum of mutations on those genealogies."""
-    edges = ancestry.coalescent_trees(spark, 200, 10, seed=11)
+    edges = simulated_trees(spark, sf_dir)
     sites = ancestry.place_mutations(edges, 0.5, seed=12)
     samples = edges.where("child < 10").select("replicate", F.col("child").alias("node"))
     return trees.frequency_spectrum(trees.carriers(sites, edges, samples, ("replicate",)))
 
 
+def _nation_models(spark, sf_dir):
+    """Island models, one for each nation, and four events of each: a changed rate, a changed size, a symmetric change and a split."""
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("model"), (F.col("n_regionkey") + 2).cast("int").alias("n"), (F.col("n_nationkey") + 100).alias("size"), F.lit(0.0).alias("growth_rate"), ((F.col("n_nationkey") + 1) / 1024).alias("rate"))
+    ids = lambda *x: F.array(*[F.lit(i) for i in x])
+    none = F.lit(None)
+
+    def event(seq, time, kind, populations, others=none, size=none, growth=none, rate=none):
+        held = (F.lit(seq).alias("seq"), F.lit(time).alias("time"), F.lit(kind).alias("kind"), populations.cast("array<int>").alias("populations"), others.cast("array<int>").alias("others"), none.cast("array<double>").alias("proportions"))
+        return F.struct(*held, size.cast("double").alias("size"), growth.cast("double").alias("growth_rate"), rate.cast("double").alias("rate"))
+
+    events = nations.select("model", F.explode(F.array(
+        event(0, 10.0, "migration_rate_change", ids(0), ids(1), rate=F.lit(0.5)),
+        event(1, 15.0, "population_parameters_change", ids(1), size=F.lit(512), growth=F.lit(0.0625)),
+        event(2, 20.0, "symmetric_migration_rate_change", ids(0, 1), rate=F.lit(0.25)),
+        event(3, 30.0, "population_split", ids(0), ids(1)),
+    )).alias("e")).select("model", "e.*")
+    return models.isolated(nations), models.island(nations), events
+
+
+def epoch_matrix(spark, sf_dir):
+    """Migration rates above 0 in every epoch of the nations' models."""
+    found = models.epoch_migration(*_nation_models(spark, sf_dir))
+    return found.select("model", F.col("epoch").cast("long").alias("epoch"), F.col("source").cast("long").alias("source"), F.col("dest").cast("long").alias("dest"), F.floor(F.col("rate") * 1024).alias("scaled_rate"))
+
+
+def population_size_history(spark, sf_dir):
+    """Sizes at the start and end of every epoch, of all populations of the nations' models."""
+    populations, _, events = _nation_models(spark, sf_dir)
+    scaled = lambda c: F.when(F.col(c) < 1e300, F.floor(F.col(c) * 1000 + 0.001)).alias(c)
+    return models.epoch_sizes(populations, events).select("model", F.col("population").cast("long").alias("population"), F.col("start_time").cast("long").alias("start"), scaled("start_size"), scaled("end_size"))
+
+
+def population_states(spark, sf_dir):
+    populations, _, events = _nation_models(spark, sf_dir)
+    return models.epoch_states(populations, events).select("model", F.col("epoch").cast("long").alias("epoch"), F.col("population").cast("long").alias("population"), "state")
+
+
+def model_faults(spark, sf_dir):
+    """The nations' models with some broken: every fourth has a rate below 0, every fifth an event of an unknown population."""
+    populations, migration, events = _nation_models(spark, sf_dir)
+    bad_rates = migration.withColumn("rate", F.when((F.col("model") % 4 == 0) & (F.col("source") == 0) & (F.col("dest") == 1), -1.0).otherwise(F.col("rate")))
+    bad_events = events.withColumn("populations", F.when((F.col("model") % 5 == 0) & (F.col("seq") == 1), F.array(F.lit(99))).otherwise(F.col("populations")))
+    return models.faults(populations, bad_rates, bad_events)
+
+
+def event_proportions(spark, sf_dir):
+    """The lines of an order as shares of its quantity, each of what the lines before left."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"))
+    total = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "q"))).alias("x"), F.sum("q").alias("t"))
+    shares = total.select("l_orderkey", "x", models.sequential(F.transform("x", lambda v: v["q"] / F.col("t"))).alias("s"))
+    return shares.select("l_orderkey", F.posexplode("s").alias("i", "v"), "x").select("l_orderkey", F.get("x", F.col("i"))["l_linenumber"].cast("long").alias("line"), F.floor(F.col("v") * 1000000 + 0.01).alias("micro_share"))
+
+
 def lineage_locations(spark, sf_dir):
-    """Where lineages of each region's pair of places are after three steps."""
-    regions = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("model"))
-    rates = F.array(F.array(F.lit(0.0), F.col("model") * 0.1 + 0.1), F.array(F.lit(0.2), F.lit(0.0)))
-    return demography.lineage_probabilities(regions.select("model", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("step"), F.lit(1.5).alias("span"), rates.alias("rates")))
+    """Where lineages of each nation's two populations are after three steps of time, with symmetric migration."""
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("model"), F.lit(2).alias("n"), F.lit(100).alias("size"), F.lit(0.0).alias("growth_rate"), (F.col("n_nationkey") * 0.01 + 0.01).alias("rate"))
+    held = models.histories(models.isolated(nations), models.island(nations), spark.createDataFrame([], models.EVENTS))
+    found = demography.lineage_probabilities(held, [1.0, 2.5, 10.0])
+    return found.select("model", F.col("step"), F.col("start").cast("long").alias("start"), F.col("dest").cast("long").alias("dest"), F.floor(F.col("probability") * 1000000 + 0.5).alias("millionths"))
+
+
+def coalescence_rate_trajectory(spark, sf_dir):
+    """Rate and share uncoalesced of pairs in one population of each nation, whose size changes at time 40."""
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("model"), F.lit(1).alias("n"), (F.col("n_nationkey") + 10).alias("size"), F.lit(0.0).alias("growth_rate"), F.lit(0.0).alias("rate"))
+    change = nations.selectExpr("model", "0 AS seq", "40D AS time", "'population_parameters_change' AS kind", "array(0) AS populations", "cast(null AS array<int>) AS others", "cast(null AS array<double>) AS proportions", "cast(size * 2 AS double) AS size", "cast(null AS double) AS growth_rate", "cast(null AS double) AS rate")
+    held = models.histories(models.isolated(nations), models.island(nations), change)
+    found = demography.coalescence_rates(held, [0.0, 10.0, 40.0, 100.0], [2.0])
+    return found.select("model", "step", F.floor(F.col("rate") * 1000000 + 0.5).alias("micro_rate"), F.floor(F.col("uncoalesced") * 1000000 + 0.5).alias("micro_left"))
+
+
+def mean_coalescence_time(spark, sf_dir):
+    """Mean time to coalescence of pairs in one population of each nation, whose size changes at time 40."""
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("model"), F.lit(1).alias("n"), (F.col("n_nationkey") + 10).alias("size"), F.lit(0.0).alias("growth_rate"), F.lit(0.0).alias("rate"))
+    change = nations.selectExpr("model", "0 AS seq", "40D AS time", "'population_parameters_change' AS kind", "array(0) AS populations", "cast(null AS array<int>) AS others", "cast(null AS array<double>) AS proportions", "cast(size * 2 AS double) AS size", "cast(null AS double) AS growth_rate", "cast(null AS double) AS rate")
+    held = models.histories(models.isolated(nations), models.island(nations), change)
+    return demography.mean_coalescence_times(held, [2.0]).select("model", F.floor(F.col("mean_time") * 1000 + 0.5).alias("milli_time"))
+
+
+def _part_tree(spark, sf_dir):
+    """Parts as a binary heap: (edges, nodes) with node k below k // 2, older the nearer to the root."""
+    key = F.col("p_partkey").cast("long")
+    parts = _table(spark, sf_dir, "part")
+    edges = parts.where("p_partkey > 1").select(F.lit(0.0).alias("left"), F.lit(1.0).alias("right"), F.floor(key / 2).alias("parent"), key.alias("child"))
+    nodes = parts.select(key.alias("node"), (F.lit(300.0) - F.floor(F.log2(key.cast("double")) + 1e-9) * 10 + key % 3).alias("time"))
+    return edges, nodes
+
+
+def samples_below(spark, sf_dir):
+    """How many parts of an even size stand at or below each part of the heap."""
+    edges, _ = _part_tree(spark, sf_dir)
+    samples = _table(spark, sf_dir, "part").where("p_size % 2 = 0 AND p_partkey > 0").select(F.col("p_partkey").cast("long").alias("node"))
+    return trees.samples_below(edges.select("parent", "child"), samples)
+
+
+def log_mutation_likelihood(spark, sf_dir):
+    """Of a mutation on every part of the heap whose size is a multiple of five."""
+    edges, nodes = _part_tree(spark, sf_dir)
+    mutated = _table(spark, sf_dir, "part").where("p_size % 5 = 0 AND p_partkey > 1").select(F.col("p_partkey").cast("long").alias("mutation"), F.lit(0.5).alias("position"), F.col("p_partkey").cast("long").alias("node"))
+    found = likelihood.log_mutation_likelihood(edges, nodes, mutated, 0.001)
+    return found.select(F.floor(F.col("log_likelihood") * 100).alias("centi_log"))
+
+
+def genotype_carriers(spark, sf_dir):
+    """How many of the heap's lower half carry the derived state of each mutated part."""
+    edges, _ = _part_tree(spark, sf_dir)
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node"), "p_size")
+    half = parts.count() // 2
+    mutated = parts.where("p_size % 10 = 0").select(F.col("node").alias("site"), F.lit(0.5).alias("position"), "node")
+    carried = trees.genotypes(mutated, edges, parts.where(F.col("node") > half))
+    return carried.groupBy("site").agg(F.count(F.lit(1)).alias("carriers"))
+
+
+def parent_mutations(spark, sf_dir):
+    """Every part of the heap mutated at the site of its size: the mutation above it at the same site."""
+    edges, nodes = _part_tree(spark, sf_dir)
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node"), F.col("p_size").cast("long").alias("site"))
+    mutated = parts.join(nodes, "node").select(F.col("node").alias("mutation"), "site", "node", "time")
+    above = trees.ancestors(edges.select("parent", "child")).select("node", "ancestor")
+    return mutations.parent_mutations(mutated, above)
+
+
+def local_tree_count(spark, sf_dir):
+    """How many local trees each supplier's edges make, and how far they reach."""
+    edges = supply_edges(spark, sf_dir).withColumn("supplier", F.col("parent"))
+    found = trees.local_trees(edges, ("supplier",))
+    return found.groupBy("supplier").agg(F.count(F.lit(1)).alias("n_trees"), F.sum(F.col("right") - F.col("left")).alias("span"))
+
+
+def segregating_by_window(spark, sf_dir):
+    sites = _part_sites(spark, sf_dir).withColumn("position", F.col("l_partkey"))
+    found = trees.diversity_by_window(sites, 50)
+    return found.select(F.col("window").cast("long").alias("window"), "n_sites", "segregating", F.floor(F.col("pi") * 10000 + 0.01).alias("scaled_pi"))
+
+
+def tajimas_d(spark, sf_dir):
+    """Of the parts' sites as if of ten samples."""
+    stats = trees.diversity(_part_sites(spark, sf_dir))
+    return trees.tajimas_d(stats, 10).select("segregating", F.floor(F.col("pi") * 10000 + 0.01).alias("scaled_pi"), F.floor(F.col("tajimas_d") * 1000).alias("milli_d"))
+
+
+def discrete_sites(spark, sf_dir):
+    """Lines as mutations at a hundredth of their price: sites by whole positions."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 100).cast("double").alias("position"))
+    found = mutations.discrete_sites(lines)
+    return found.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), F.col("position").cast("long").alias("position"), F.col("site").cast("long").alias("site"))
+
+
+def mutation_matrices(spark, sf_dir):
+    """Probabilities of change in four models; the parameter of one is read from the smallest region key."""
+    kappa = 2.0 + (_table(spark, sf_dir, "region").agg(F.min("r_regionkey")).first()[0] or 0)
+    held = {"jc69": mutations.jukes_cantor_model(), "binary": mutations.binary(), "hky": mutations.hky(kappa, (0.125, 0.25, 0.25, 0.375)), "smm": mutations.single_step(1, 4)}
+    rows = [(name, a, b, p) for name, m in held.items() for a, b, p in mutations.model_rows(m)]
+    return spark.createDataFrame(rows, "model string, above string, below string, p double").select("model", "above", "below", F.floor(F.col("p") * 1000000 + 0.5).alias("millionths"))
+
+
+def newick_nodes(spark, sf_dir):
+    """A tree of nations for each region, as text, read back into nodes."""
+    nations = _table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("tree")).agg(F.sort_array(F.collect_list(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(":1.5")))).alias("x"))
+    texts = nations.select("tree", F.concat(F.lit("("), F.array_join("x", ","), F.lit(")root;")).alias("text"))
+    return newick.parse_newick(texts).select("tree", "label", F.floor(F.col("length") * 2).alias("half_units"), F.col("parent").isNull().alias("is_root"))
+
+
+def ratemap_find_index(spark, sf_dir):
+    return ratemap.find_index(part_map(spark, sf_dir), event_points(spark, sf_dir), "pos").select("event_id", F.col("idx").cast("long").alias("idx"))
+
+
+def ratemap_mass_to_position(spark, sf_dir):
+    """Events at a mass of a few times their number: the place where the map has so much."""
+    masses = _table(spark, sf_dir, "events").select("event_id", F.pmod(F.col("event_id") * 7919, F.lit(20000)).cast("double").alias("mass"))
+    found = ratemap.mass_to_position(part_map(spark, sf_dir), masses, "mass")
+    return found.select("event_id", F.floor(F.col("position") * 1000 + 0.001).alias("milli_position"))
+
+
+def ratemap_slice_missing(spark, sf_dir):
+    """A slice from within the first unknown interval to within the last one, whose flanks take in both."""
+    found = part_map(spark, sf_dir)
+    first, last = found.where("rate IS NULL").agg(F.min("left"), F.max("left")).first()
+    return ratemap.slice_map(found, first + 3, last + 7)
+
+
+def hotspots(spark, sf_dir):
+    """Every tenth part as a hot spot as wide as the part's size, seven times as hot as the rest."""
+    key = F.col("p_partkey").cast("long")
+    spots = _table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select((key * 10).cast("double").alias("start"), (key * 10 + F.col("p_size")).cast("double").alias("stop"), F.lit(7.0).alias("factor"))
+    length = _table(spark, sf_dir, "part").agg(F.max(key)).first()[0] * 10 + 100
+    return ratemap.hotspot_map(spots, length, 2.0)
 
 
 QUERIES = {
@@ -179,7 +361,9 @@ QUERIES = {
     for f in (
         ratemap_cumulative_mass, ratemap_get_rate, ratemap_get_cumulative_mass, ratemap_slice, ratemap_summary, ratemap_missing, ratemap_faults, overlap_sweep, edge_squash, census_nodes, breakpoints,
         interval_overlap_join, migration_matrix, epoch_state, population_size_trajectory, total_material, site_frequency_spectrum, nucleotide_diversity_pairs, children_count_unary, tree_depth, migration_records,
-        simulated_trees, simulated_spectrum, lineage_locations,
+        simulated_trees, simulated_spectrum, lineage_locations, epoch_matrix, population_size_history, population_states, model_faults, event_proportions, coalescence_rate_trajectory, mean_coalescence_time,
+        samples_below, log_mutation_likelihood, genotype_carriers, parent_mutations, local_tree_count, segregating_by_window, tajimas_d, discrete_sites, mutation_matrices, newick_nodes,
+        ratemap_find_index, ratemap_mass_to_position, ratemap_slice_missing, hotspots,
     )
 }
 
@@ -190,14 +374,31 @@ _SPANS = "(SELECT CAST(l_orderkey AS BIGINT) AS l, CAST(l_orderkey + l_linenumbe
 _EDGES = "(SELECT DISTINCT l_suppkey AS parent, l_partkey % 50 AS child, CAST(l_linenumber AS BIGINT) AS l, CAST(l_linenumber + 1 AS BIGINT) AS r FROM lineitem)"
 _SITES = "(SELECT l_partkey, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS k, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_partkey)"
 
+_N = "(SELECT max(p_partkey) FROM part)"
+_HEAP_TIME = "(300.0 - floor(log2(CAST({k} AS DOUBLE)) + 1e-9) * 10 + {k} % 3)"
+
+
+def _heap_time(k: str) -> str:
+    return _HEAP_TIME.replace("{k}", k)
+
+
+def _slice_sql(left: str, right: str) -> str:
+    """The slice; an unknown interval that a flank touches is drawn to the map's end."""
+    return f"""WITH m AS (SELECT * FROM {_MAP}), b AS (SELECT {left} AS a, {right} AS z, (SELECT min(l) FROM m) AS lo, (SELECT max(r) FROM m) AS hi),
+s AS (SELECT greatest(l, a) AS l, least(r, z) AS r, rate, a, z, lo, hi FROM m, b WHERE r > a AND l < z),
+u AS (SELECT CASE WHEN rate IS NULL AND l = a THEN lo ELSE l END AS l, CASE WHEN rate IS NULL AND r = z THEN hi ELSE r END AS r, rate FROM s
+UNION ALL SELECT lo, a, NULL FROM s WHERE l = a AND rate IS NOT NULL AND lo < a
+UNION ALL SELECT z, hi, NULL FROM s WHERE r = z AND rate IS NOT NULL AND z < hi)
+SELECT CAST(l AS BIGINT) AS "left", CAST(r AS BIGINT) AS "right", rate FROM u"""
+
+
 ORACLE_SQL = {
     "ratemap_cumulative_mass": f'SELECT l AS "left", r AS "right", rate, cum FROM {_CUM}',
     "ratemap_get_rate": f"SELECT e.event_id, t.rate FROM {_POINTS} e LEFT JOIN {_MAP} t ON e.pos >= t.l AND e.pos < t.r WHERE e.pos >= 10",
-    "ratemap_get_cumulative_mass": f"SELECT e.event_id, CAST(t.cum + (e.pos - t.l) * coalesce(t.rate, 0) AS BIGINT) AS cum_mass FROM {_POINTS} e JOIN {_CUM} t ON e.pos >= t.l AND e.pos < t.r",
-    "ratemap_slice": f"""SELECT greatest(l, 1005) AS "left", least(r, 1803) AS "right", rate FROM {_MAP} WHERE r > 1005 AND l < 1803
-UNION ALL SELECT (SELECT min(l) FROM {_MAP}), 1005, NULL WHERE (SELECT min(l) FROM {_MAP}) < 1005
-UNION ALL SELECT 1803, (SELECT max(r) FROM {_MAP}), NULL WHERE (SELECT max(r) FROM {_MAP}) > 1803""",
-    "ratemap_summary": f"SELECT count(*) AS n_intervals, count(rate) AS n_known, count(*) - count(rate) AS n_missing, max(r) AS length, CAST(sum(rate * (r - l)) AS BIGINT) AS total_mass, CAST(sum(CASE WHEN rate IS NOT NULL THEN r - l END) AS BIGINT) AS known_span FROM {_MAP}",
+    "ratemap_get_cumulative_mass": f"SELECT e.event_id, CAST(t.cum + (e.pos - t.l) * coalesce(t.rate, 0) AS BIGINT) AS cum_mass FROM {_POINTS} e JOIN {_CUM} t ON e.pos >= t.l AND (e.pos < t.r OR e.pos = t.r AND t.r = (SELECT max(r) FROM {_MAP}))",
+    "ratemap_slice": _slice_sql("1005", "1803"),
+    "ratemap_slice_missing": _slice_sql(f"(SELECT min(l) + 3 FROM {_MAP} WHERE rate IS NULL)", f"(SELECT max(l) + 7 FROM {_MAP} WHERE rate IS NULL)"),
+    "ratemap_summary": f"SELECT count(*) AS n_intervals, count(rate) AS n_known, count(*) - count(rate) AS n_missing, max(r) AS length, CAST(sum(rate * (r - l)) AS BIGINT) AS total_mass, CAST(sum(CASE WHEN rate IS NOT NULL THEN r - l END) AS BIGINT) AS known_span, CAST(sum(rate * (r - l)) AS DOUBLE) / CAST(sum(CASE WHEN rate IS NOT NULL THEN r - l END) AS DOUBLE) AS mean_rate FROM {_MAP}",
     "ratemap_missing": f'SELECT l AS "left", r AS "right" FROM {_MAP} WHERE rate IS NULL',
     "ratemap_faults": f'SELECT l AS "left", r AS "right", rate FROM (SELECT *, coalesce(lag(r) OVER (ORDER BY l), 0) AS b FROM {_MAP}) WHERE l >= r OR rate < 0 OR l <> b',
     "overlap_sweep": f"SELECT x AS position, CAST(sum(sum(d)) OVER (ORDER BY x) AS BIGINT) AS live FROM (SELECT l AS x, 1 AS d FROM {_SPANS} UNION ALL SELECT r, -1 FROM {_SPANS}) GROUP BY x",
@@ -216,4 +417,60 @@ UNION ALL SELECT 1803, (SELECT max(r) FROM {_MAP}), NULL WHERE (SELECT max(r) FR
     "children_count_unary": f"SELECT c AS n_children, count(*) AS n_parents FROM (SELECT parent, count(DISTINCT child) AS c FROM {_EDGES} GROUP BY parent) GROUP BY c",
     "tree_depth": "WITH RECURSIVE t(node, depth) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT CAST(p_partkey AS BIGINT), t.depth + 1 FROM part JOIN t ON p_partkey // 2 = t.node WHERE p_partkey > 1) SELECT depth, count(*) AS n FROM t WHERE depth > 0 GROUP BY depth",
     "migration_records": "SELECT user_id, b AS source, event_type AS dest, count(*) AS n FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b <> event_type GROUP BY user_id, b, event_type",
+    "epoch_matrix": """WITH e(epoch, t) AS (VALUES (0, 0), (1, 10), (2, 15), (3, 20), (4, 30)),
+m AS (SELECT n_nationkey AS model, n_regionkey + 2 AS n, CAST(n_nationkey + 1 AS DOUBLE) / 1024 AS rate FROM nation),
+p AS (SELECT model, i.range AS source, j.range AS dest, rate FROM m JOIN range(10) i ON i.range < n JOIN range(10) j ON j.range < n AND i.range <> j.range),
+x AS (SELECT model, epoch, source, dest, CASE WHEN t >= 30 AND (source = 0 OR dest = 0) THEN 0 WHEN t >= 20 AND source < 2 AND dest < 2 THEN 0.25 WHEN t >= 10 AND source = 0 AND dest = 1 THEN 0.5 ELSE rate END AS rate FROM p CROSS JOIN e)
+SELECT CAST(model AS BIGINT) AS model, CAST(epoch AS BIGINT) AS epoch, CAST(source AS BIGINT) AS source, CAST(dest AS BIGINT) AS dest, CAST(floor(rate * 1024) AS BIGINT) AS scaled_rate FROM x WHERE rate > 0""",
+    "population_size_history": """WITH e(a, z) AS (VALUES (0, 10), (10, 15), (15, 20), (20, 30), (30, NULL)),
+m AS (SELECT n_nationkey AS model, n_regionkey + 2 AS n, n_nationkey + 100 AS size FROM nation)
+SELECT CAST(model AS BIGINT) AS model, CAST(i.range AS BIGINT) AS population, CAST(a AS BIGINT) AS start,
+CAST(floor((CASE WHEN i.range = 1 AND a >= 15 THEN 512 * exp(-0.0625 * (a - 15)) ELSE size END) * 1000 + 0.001) AS BIGINT) AS start_size,
+CAST(floor((CASE WHEN i.range = 1 AND a >= 15 THEN CASE WHEN z IS NULL THEN 0 ELSE 512 * exp(-0.0625 * (z - 15)) END ELSE size END) * 1000 + 0.001) AS BIGINT) AS end_size
+FROM m JOIN range(10) i ON i.range < n CROSS JOIN e""",
+    "population_states": """SELECT CAST(n_nationkey AS BIGINT) AS model, CAST(e.range AS BIGINT) AS epoch, CAST(i.range AS BIGINT) AS population,
+CASE WHEN i.range = 1 AND e.range < 4 THEN 'inactive' WHEN i.range = 0 AND e.range = 4 THEN 'previously active' ELSE 'active' END AS state
+FROM nation JOIN range(10) i ON i.range < n_regionkey + 2 CROSS JOIN range(5) e""",
+    "model_faults": """SELECT CAST(n_nationkey AS BIGINT) AS model, 'rate below 0' AS fault, '0-1' AS what FROM nation WHERE n_nationkey % 4 = 0
+UNION ALL SELECT CAST(n_nationkey AS BIGINT), 'unknown population', '99' FROM nation WHERE n_nationkey % 5 = 0""",
+    "event_proportions": """WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS q, sum(CAST(l_quantity AS DOUBLE)) OVER (PARTITION BY l_orderkey) AS t FROM lineitem),
+y AS (SELECT *, coalesce(sum(q / t) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM x)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CAST(floor(CASE WHEN b < 1 THEN q / t / (1 - b) ELSE 0 END * 1000000 + 0.01) AS BIGINT) AS micro_share FROM y""",
+    "lineage_locations": """SELECT CAST(n_nationkey AS BIGINT) AS model, CAST(step AS DOUBLE) AS step, CAST(a.range AS BIGINT) AS start, CAST(b.range AS BIGINT) AS dest,
+CAST(floor((1 + CASE WHEN a.range = b.range THEN 1 ELSE -1 END * exp(-2 * (n_nationkey * 0.01 + 0.01) * CAST(step AS DOUBLE))) / 2 * 1000000 + 0.5) AS BIGINT) AS millionths
+FROM nation CROSS JOIN (VALUES (1.0), (2.5), (10.0)) s(step) CROSS JOIN range(2) a CROSS JOIN range(2) b""",
+    "coalescence_rate_trajectory": """SELECT CAST(n_nationkey AS BIGINT) AS model, CAST(step AS DOUBLE) AS step, CAST(floor(0.5 / ((n_nationkey + 10) * CASE WHEN step >= 40 THEN 2 ELSE 1 END) * 1000000 + 0.5) AS BIGINT) AS micro_rate,
+CAST(floor(exp(-least(step, 40) / (2.0 * (n_nationkey + 10)) - greatest(step - 40, 0) / (4.0 * (n_nationkey + 10))) * 1000000 + 0.5) AS BIGINT) AS micro_left FROM nation CROSS JOIN (VALUES (0), (10), (40), (100)) s(step)""",
+    "mean_coalescence_time": """SELECT CAST(n_nationkey AS BIGINT) AS model, CAST(floor((2.0 * (n_nationkey + 10)) * (1 + exp(-40 / (2.0 * (n_nationkey + 10)))) * 1000 + 0.5) AS BIGINT) AS milli_time FROM nation""",
+    "samples_below": f"""WITH RECURSIVE u(node, up) AS (SELECT CAST(p_partkey AS BIGINT), CAST(p_partkey AS BIGINT) FROM part WHERE p_size % 2 = 0 AND p_partkey > 0 UNION ALL SELECT node, up // 2 FROM u WHERE up > 1)
+SELECT CAST(p_partkey AS BIGINT) AS node, count(u.node) AS k FROM part LEFT JOIN u ON u.up = p_partkey WHERE p_partkey > 0 GROUP BY p_partkey""",
+    "log_mutation_likelihood": f"""WITH e AS (SELECT CAST(p_partkey AS BIGINT) AS k, p_size, {_heap_time("(p_partkey // 2)")} - {_heap_time("p_partkey")} AS len FROM part WHERE p_partkey > 1),
+t AS (SELECT sum(len) AS t, {_N} AS n FROM e),
+m AS (SELECT k, len + CASE WHEN n % 2 = 0 AND k = n THEN (SELECT len FROM e WHERE k = n // 2) WHEN n % 2 = 0 AND k = n // 2 THEN (SELECT len FROM e WHERE k = n) ELSE 0 END AS len FROM e, t WHERE p_size % 5 = 0)
+SELECT CAST(floor((count(*) * ln(any_value(t) * 0.001) - any_value(t) * 0.001 + sum(ln(len)) - count(*) * ln(any_value(t))) * 100) AS BIGINT) AS centi_log FROM m, t""",
+    "genotype_carriers": f"""WITH RECURSIVE u(node, up) AS (SELECT CAST(p_partkey AS BIGINT), CAST(p_partkey AS BIGINT) FROM part WHERE p_partkey > {_N} // 2 UNION ALL SELECT node, up // 2 FROM u WHERE up > 1)
+SELECT up AS site, count(*) AS carriers FROM u JOIN part ON p_partkey = up WHERE p_size % 10 = 0 GROUP BY up""",
+    "parent_mutations": """WITH RECURSIVE u(node, site, up) AS (SELECT CAST(p_partkey AS BIGINT), p_size, CAST(p_partkey AS BIGINT) FROM part UNION ALL SELECT node, site, up // 2 FROM u WHERE up > 1)
+SELECT u.node AS mutation, max(CASE WHEN p_size = site AND up < u.node THEN up END) AS parent FROM u JOIN part ON p_partkey = up GROUP BY u.node""",
+    "local_tree_count": f"""WITH p AS (SELECT parent, l AS x FROM {_EDGES} UNION SELECT parent, r FROM {_EDGES}), i AS (SELECT parent, x AS l, lead(x) OVER (PARTITION BY parent ORDER BY x) AS r FROM p),
+t AS (SELECT DISTINCT i.parent, i.l, i.r FROM i JOIN {_EDGES} e ON e.parent = i.parent AND e.l <= i.l AND e.r > i.l WHERE i.r IS NOT NULL)
+SELECT parent AS supplier, count(*) AS n_trees, CAST(sum(r - l) AS BIGINT) AS span FROM t GROUP BY parent""",
+    "segregating_by_window": f"SELECT CAST(l_partkey // 50 AS BIGINT) AS \"window\", count(*) AS n_sites, count(CASE WHEN 0 < k AND k < n THEN 1 END) AS segregating, CAST(floor(sum(CASE WHEN n > 1 THEN 2 * k * (n - k) / CAST(n * (n - 1) AS DOUBLE) END) * 10000 + 0.01) AS BIGINT) AS scaled_pi FROM {_SITES} GROUP BY 1",
+    "tajimas_d": f"""WITH s AS (SELECT count(CASE WHEN 0 < k AND k < n THEN 1 END) AS s, sum(CASE WHEN n > 1 THEN 2 * k * (n - k) / CAST(n * (n - 1) AS DOUBLE) END) AS pi FROM {_SITES}),
+a AS (SELECT sum(1.0 / range) AS a1, sum(1.0 / (range * range)) AS a2 FROM range(1, 10)), c AS (SELECT *, 11.0 / 27 - 1 / a1 AS c1, 2 * 113.0 / 810 - 12 / (a1 * 10) + a2 / (a1 * a1) AS c2 FROM a)
+SELECT s AS segregating, CAST(floor(pi * 10000 + 0.01) AS BIGINT) AS scaled_pi, CAST(floor((pi - s / a1) / sqrt(c1 / a1 * s + c2 / (a1 * a1 + a2) * s * (s - 1)) * 1000) AS BIGINT) AS milli_d FROM s, c""",
+    "discrete_sites": "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CAST(floor(CAST(l_extendedprice / 100 AS DOUBLE)) AS BIGINT) AS position, dense_rank() OVER (ORDER BY floor(CAST(l_extendedprice / 100 AS DOUBLE))) - 1 AS site FROM lineitem",
+    "mutation_matrices": """WITH l(s, i, f, u) AS (VALUES ('A', 0, 0.125, 1), ('C', 1, 0.25, 0), ('G', 2, 0.25, 1), ('T', 3, 0.375, 0)),
+q AS (SELECT a.s AS a, b.s AS b, CASE WHEN a.s = b.s THEN 0 WHEN a.u = b.u THEN 2 ELSE 1 END * b.f AS r FROM l a CROSS JOIN l b), t AS (SELECT a, sum(r) AS t FROM q GROUP BY a), m AS (SELECT max(t) AS m FROM t),
+h AS (SELECT q.a, q.b, CASE WHEN q.a = q.b THEN 1 - t / m ELSE r / m END AS p FROM q JOIN t ON q.a = t.a CROSS JOIN m),
+x AS (SELECT 'hky' AS model, a, b, p FROM h UNION ALL SELECT 'jc69', a.s, b.s, CASE WHEN a.s = b.s THEN 0 ELSE 1.0 / 3 END FROM l a CROSS JOIN l b
+UNION ALL SELECT 'binary', CAST(a.range AS VARCHAR), CAST(b.range AS VARCHAR), CASE WHEN a.range = b.range THEN 0 ELSE 1 END FROM range(2) a CROSS JOIN range(2) b
+UNION ALL SELECT 'smm', CAST(a.range AS VARCHAR), CAST(b.range AS VARCHAR), CASE WHEN abs(a.range - b.range) = 1 THEN 0.5 WHEN a.range = b.range AND a.range IN (1, 4) THEN 0.5 ELSE 0 END FROM range(1, 5) a CROSS JOIN range(1, 5) b)
+SELECT model, a AS above, b AS below, CAST(floor(p * 1000000 + 0.5) AS BIGINT) AS millionths FROM x""",
+    "newick_nodes": "SELECT CAST(n_regionkey AS BIGINT) AS tree, 'n' || n_nationkey AS label, CAST(3 AS BIGINT) AS half_units, false AS is_root FROM nation UNION ALL SELECT DISTINCT CAST(n_regionkey AS BIGINT), 'root', CAST(NULL AS BIGINT), true FROM nation",
+    "ratemap_find_index": f"SELECT e.event_id, CAST(t.idx AS BIGINT) AS idx FROM {_POINTS} e LEFT JOIN (SELECT *, row_number() OVER (ORDER BY l) - 1 AS idx FROM {_MAP}) t ON e.pos >= t.l AND e.pos < t.r",
+    "ratemap_mass_to_position": f"SELECT e.event_id, CAST(floor((t.l + (e.pos - t.cum) / CAST(t.rate AS DOUBLE)) * 1000 + 0.001) AS BIGINT) AS milli_position FROM {_POINTS} e LEFT JOIN {_CUM} t ON t.rate > 0 AND e.pos >= t.cum AND e.pos < t.cum + t.rate * (t.r - t.l)",
+    "hotspots": """WITH s AS (SELECT CAST(p_partkey * 10 AS DOUBLE) AS a, CAST(p_partkey * 10 + p_size AS DOUBLE) AS z FROM part WHERE p_partkey % 10 = 0),
+c AS (SELECT a AS x FROM s UNION SELECT z FROM s UNION SELECT 0 UNION SELECT max(p_partkey) * 10 + 100 FROM part), i AS (SELECT x AS l, lead(x) OVER (ORDER BY x) AS r FROM c)
+SELECT CAST(l AS DOUBLE) AS "left", CAST(r AS DOUBLE) AS "right", CASE WHEN EXISTS (SELECT 1 FROM s WHERE a <= l AND l < z) THEN 14.0::DOUBLE ELSE 2.0::DOUBLE END AS rate FROM i WHERE r IS NOT NULL""",
 }

@@ -2,43 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_hapmap(spark: SparkSession, path: str, position_col: int = 1, rate_col: int | None = None, map_col: int = 3, header: bool = True) -> DataFrame:
+def _cells() -> Column:
+    return F.split(F.trim("value"), r"\s+")
+
+
+def _refuse(bad: DataFrame, what: str) -> None:
+    """An error that names the first line of ``bad`` (value), if there is one."""
+    if line := bad.select("value").first():
+        raise ValueError(f"{what}: {line[0]!r}")
+
+
+def read_hapmap(spark: SparkSession, path: str, position_col: int = 1, rate_col: int | None = None, map_col: int | None = None, header: bool = True, sequence_length: float | None = None) -> DataFrame:
     """A rate map (chrom, left, right, rate) from white-space separated rows; rates are per unit.
 
-    By default rates come from the cumulative map column (centimorgans), else
-    from ``rate_col`` (centimorgans per megabase). Before the first position
-    the rate is unknown.
+    By default rates come from the cumulative map column (centimorgans, column
+    3), else from ``rate_col`` (centimorgans per megabase). Before the first
+    position the rate is unknown, unless its map value is above 0, which tells
+    the rate from the start on. After the last position it is unknown up to
+    ``sequence_length``. The first line of the file is its header. A malformed
+    line, an empty file, a map value above 0 at position 0 and a last rate other
+    than 0 are errors.
     """
-    cells = F.split(F.trim("value"), r"\s+")
+    if rate_col is not None and map_col is not None:
+        raise ValueError("give a rate column or a map column")
+    value_col = rate_col if rate_col is not None else 3 if map_col is None else map_col
+    if value_col == position_col:
+        raise ValueError("positions and values must be different columns")
     lines = spark.read.text(path).where(F.trim("value") != "")
-    rows = lines.select(cells.alias("c")).select(F.col("c")[0].alias("chrom"), F.expr(f"try_cast(c[{position_col}] AS double)").alias("left"), F.expr(f"try_cast(c[{map_col if rate_col is None else rate_col}] AS double)").alias("_v"))
-    if header:
-        rows = rows.where(F.col("left").isNotNull())
+    head = lines.first() if header else None
+    cells = F.col("c")
+    rows = lines.select("value", _cells().alias("c")).select(
+        "value", cells[0].alias("chrom"), F.expr(f"try_cast(get(c, {position_col}) AS double)").alias("left"), F.expr(f"try_cast(get(c, {value_col}) AS double)").alias("_v")
+    )
+    if head:
+        rows = rows.where(F.col("value") != head[0])
+    _refuse(rows.where("left IS NULL OR _v IS NULL OR isnan(left) OR isnan(_v)"), "not a row of a genetic map")
+    firsts = rows.groupBy("chrom").agg(F.min_by("left", "left").alias("_start"), F.max("left").alias("_end"), F.min_by("_v", "left").alias("_first"), F.max_by("_v", "left").alias("_last"), F.min("value").alias("value"))
+    if firsts.isEmpty():
+        raise ValueError("an empty genetic map")
+    if rate_col is None:
+        _refuse(firsts.where("_start = 0 AND _first > 0"), "a map value above 0 at position 0 in the map of")
+    else:
+        _refuse(firsts.where("_last <> 0"), "a last rate that is not 0 in the map of")
+    if sequence_length is not None:
+        _refuse(firsts.where(F.col("_end") > sequence_length), "positions past the sequence length in the map of")
     w = Window.partitionBy("chrom").orderBy("left")
     right = F.lead("left").over(w)
     rate = (F.lead("_v").over(w) - F.col("_v")) / 100 / (right - F.col("left")) if rate_col is None else F.col("_v") / 1e8
     known = rows.select("chrom", "left", right.alias("right"), rate.alias("rate")).where("right IS NOT NULL")
-    flank = rows.groupBy("chrom").agg(F.min("left").alias("right")).where("right > 0").select("chrom", F.lit(0.0).alias("left"), "right", F.lit(None).cast("double").alias("rate"))
-    return known.unionByName(flank)
+    before = F.lit(None).cast("double") if rate_col is not None else F.when(F.col("_first") > 0, F.col("_first") / 100 / F.col("_start"))
+    flank = firsts.where("_start > 0").select("chrom", F.lit(0.0).alias("left"), F.col("_start").alias("right"), before.alias("rate"))
+    out = known.unionByName(flank)
+    if sequence_length is not None:
+        out = out.unionByName(firsts.where(F.col("_end") < sequence_length).select("chrom", F.col("_end").alias("left"), F.lit(float(sequence_length)).alias("right"), F.lit(None).cast("double").alias("rate")))
+    return out
+
+
+PEDIGREE = ["id", "parent0", "parent1", "time", "is_sample", "population"]
 
 
 def read_pedigree(spark: SparkSession, path: str) -> DataFrame:
-    """(id, parent0, parent1, time, is_sample, population) from a tab or space separated file with a ``#`` header; ``.`` is none."""
+    """(id, parent0, parent1, time, is_sample, population) from tab or space separated files with a ``#`` header; ``.`` is none.
+
+    Without the column is_sample those of time 0 are samples. A repeated, unknown
+    or missing column and a line whose cells don't fit are errors.
+    """
     lines = spark.read.text(path).where(F.trim("value") != "")
-    head = lines.where("value LIKE '#%'").first()
-    names = head[0].lstrip("#").split() if head else []
-    if missing := {"id", "parent0", "parent1", "time"} - set(names):
+    heads = [r[0].lstrip("#").split() for r in lines.where("value LIKE '#%'").distinct().limit(2).collect()]
+    names = heads[0] if heads else []
+    if missing := set(PEDIGREE[:4]) - set(names):
         raise ValueError(f"a pedigree needs the columns {sorted(missing)}")
-    cells = F.split(F.trim("value"), r"\s+")
-    cell = lambda n: F.nullif(cells[names.index(n)], F.lit(".")) if n in names else F.lit(None).cast("string")
-    return lines.where("value NOT LIKE '#%'").select(
-        cells[names.index("id")].alias("id"), cell("parent0").alias("parent0"), cell("parent1").alias("parent1"), cell("time").cast("double").alias("time"),
-        (cell("is_sample") == "1").alias("is_sample"), cell("population").alias("population"),
-    )
+    if len(heads) > 1 or len(set(names)) < len(names) or set(names) - set(PEDIGREE):
+        raise ValueError(f"headers differ or name columns twice or unknown ones: {heads}")
+    rows = lines.where("value NOT LIKE '#%'").select("value", _cells().alias("c"))
+    cell = lambda n: F.nullif(F.get("c", F.lit(names.index(n))), F.lit(".")) if n in names else F.lit(None).cast("string")
+    time = cell("time").try_cast("double")
+    sample = F.when(cell("is_sample").isNull(), time == 0).otherwise(cell("is_sample") == "1")
+    flags = F.coalesce(cell("is_sample").isin("0", "1"), F.lit(True))
+    _refuse(rows.where((F.size("c") != len(names)) | time.isNull() | ~flags | cell("id").isNull()), "not a row of a pedigree")
+    return rows.select(cell("id").alias("id"), cell("parent0").alias("parent0"), cell("parent1").alias("parent1"), time.alias("time"), sample.alias("is_sample"), cell("population").alias("population"))
 
 
 def pedigree_faults(pedigree: DataFrame) -> DataFrame:
@@ -51,7 +97,23 @@ def pedigree_faults(pedigree: DataFrame) -> DataFrame:
     return twice.unionByName(lost).unionByName(young)
 
 
+def pedigree_nodes(pedigree: DataFrame) -> DataFrame:
+    """(id, copy, time, is_sample, population): two nodes for each individual, one for each copy of its genome."""
+    return pedigree.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"), "time", "is_sample", "population")
+
+
 def write_pedigree(pedigree: DataFrame, path: str) -> None:
+    """Tab separated files, each with the header line, which ``read_pedigree`` reads back."""
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    rows = pedigree.select(F.concat_ws("\t", "id", none("parent0"), none("parent1"), none("time"), F.when(F.col("is_sample"), "1").otherwise("0"), none("population")).alias("value"))
-    rows.write.text(path)
+    rows = pedigree.select(F.col("id").cast("string").alias("# id"), none("parent0").alias("parent0"), none("parent1").alias("parent1"), none("time").alias("time"), F.when(F.col("is_sample"), "1").otherwise("0").alias("is_sample"), none("population").alias("population"))
+    rows.write.option("comment", "\u0001").csv(path, sep="\t", header=True, quote="")  # else the header would be marked as no comment
+
+
+def ms_text(haplotypes: DataFrame, sites: DataFrame, by: str = "replicate") -> DataFrame:
+    """(by, value): the text of each replicate in the format of ms, from (by, sample, haplotype) and sites (by, position between 0 and 1)."""
+    strings = haplotypes.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("sample", "haplotype"))), lambda x: x["haplotype"]).alias("_h"))
+    places = sites.groupBy(by).agg(F.transform(F.sort_array(F.collect_list("position")), lambda p: F.format_string("%.6f", p.cast("double"))).alias("_p"))
+    both = strings.join(places, by, "left")
+    n = F.coalesce(F.size("_p"), F.lit(0))
+    body = F.when(n > 0, F.concat(F.lit("\npositions: "), F.array_join("_p", " "), F.lit("\n"), F.array_join("_h", "\n"))).otherwise("")
+    return both.select(by, F.concat(F.lit("//\nsegsites: "), n.cast("string"), body, F.lit("\n")).alias("value"))

@@ -15,13 +15,28 @@ def values(df, *order):
 
 
 def test_rate_map(spark):
+    # fixed values: a small map and its slices, as the domain's own tools give them
     m = ratemap.from_positions(spark, [0, 100, 200, 300, 400], [0, 1, 2, 3])
     assert values(ratemap.slice_map(m, 50, 400), "left") == [(0, 50, None), (50, 100, 0), (100, 200, 1), (200, 300, 2), (300, 400, 3)]
     assert values(ratemap.slice_map(m, 150, 250), "left") == [(0, 150, None), (150, 200, 1), (200, 250, 2), (250, 400, None)]
     assert values(ratemap.slice_map(m, 150, 250, trim=True), "left") == [(0, 50, 1), (50, 100, 2)]
     points = spark.createDataFrame([(0.0,), (99.9,), (100.0,), (399.0,), (400.0,), (-1.0,)], "x double")
     assert [r[1] for r in values(ratemap.get_rate(m, points, "x"), "x")] == [None, 0, 0, 1, 3, None]
-    assert [r[1] for r in values(ratemap.get_cumulative_mass(m, points, "x"), "x")] == [None, 0, 0, 0, 597, None]
+    assert [r[1] for r in values(ratemap.get_cumulative_mass(m, points, "x"), "x")] == [None, 0, 0, 0, 597, 600]
+    assert values(ratemap.find_index(m, points, "x"), "x")[1:] == [(0, 0), (99.9, 0), (100, 1), (399, 3), (400, None)]
+    gaps = ratemap.from_positions(spark, [0, 100, 200, 300, 400], [None, 1, 2, None])
+    assert values(ratemap.slice_map(gaps, 50, 350), "left") == [(0, 100, None), (100, 200, 1), (200, 300, 2), (300, 400, None)]
+    assert values(ratemap.slice_map(gaps, 150, 350), "left") == [(0, 150, None), (150, 200, 1), (200, 300, 2), (300, 400, None)]
+    assert ratemap.summary(gaps).first()["mean_rate"] == 1.5
+    for a, b in ((-1, 5), (5, 5), (7, 3), (0, 401)):
+        with pytest.raises(ValueError):
+            ratemap.slice_map(m, a, b)
+    masses = spark.createDataFrame([(0.0,), (50.0,), (100.0,), (300.0,), (599.0,), (600.0,)], "w double")
+    assert [r[1] for r in values(ratemap.mass_to_position(m, masses, "w"), "w")] == pytest.approx([100, 150, 200, 300, 300 + 299 / 3, None])
+    spans = spark.createDataFrame([(50.0, 250.0), (100.0, 400.0)], "a double, b double")
+    assert [r[2] for r in values(ratemap.mass_between(m, spans, "a", "b"), "a")] == [200, 600]
+    assert values(ratemap.shift_by_mass(m, spans.selectExpr("a", "100D AS w"), "a", "w"), "a") == [(50, 100, 200), (100, 100, 200)]
+    assert values(ratemap.midpoints(gaps), "mid") == [(150, 1), (250, 2)]
     assert ratemap.faults(m).count() == 0 and ratemap.faults(m.where("left <> 100")).count() == 1
     for bad in (([1, 2], [1]), ([0, 2, 2], [1, 1]), ([0, 1], [-1]), ([0, 1], [None])):
         with pytest.raises(ValueError):
@@ -40,6 +55,32 @@ def test_running_values(spark):
     assert prefix.running_sum(df.limit(0), "x", "v", "s").count() == 0
 
 
+def test_ranges_hold_equally_many_rows(spark):
+    """An outlier and a crowded stretch fill no range, and a single frequent key is cut too."""
+    df = spark.range(1000).selectExpr("CASE WHEN id = 0 THEN 1e12 WHEN id < 500 THEN id / 1e6 ELSE id END AS x", "1L AS v", "'k' AS k")
+    most = prefix.bucketed(df, "x").groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    assert most <= 150
+    assert prefix.running_sum(df, "x", "v", "s", ("k",)).agg(F.max("s")).first()[0] == 1000
+    assert prefix.running_sum(df.selectExpr("7 AS x", "v"), "x", "v", "s").count() == 1000
+
+
+def test_overlap_join_of_long_and_short(spark):
+    """An interval a million bins long takes a few rows, and its pairs are found once."""
+    short = spark.range(200).selectExpr("id * 5D AS left", "id * 5D + 2D AS right")
+    long = spark.createDataFrame([(0.0, 1e6), (999.0, 1000.0), (3.0, 700.0), (2.0, 5.0)], "left double, right double")
+    got = sorted(map(tuple, intervals.overlap_join(short, long, 1.0).select("left", "other_left", "other_right").collect()))
+    want = sorted((a * 5.0, l, r) for a in range(200) for l, r in ((0.0, 1e6), (999.0, 1000.0), (3.0, 700.0), (2.0, 5.0)) if a * 5 < r and l < a * 5 + 2)
+    assert got == want
+
+
+def test_chains(spark):
+    """A chain of 400 nodes: one row a node, no pairs of node and ancestor."""
+    chain = spark.range(1, 400).selectExpr("id AS child", "id - 1 AS parent")
+    assert sorted(map(tuple, trees.depths(chain).collect())) == [(k, k) for k in range(1, 400)]
+    below = trees.samples_below(chain, spark.createDataFrame([(399,), (200,)], "node long"))
+    assert below.where("node <= 200 AND k = 2 OR node > 200 AND k = 1").count() == below.count() == 400
+
+
 def test_overlap_join(spark):
     rng = np.random.default_rng(1)
     a, b = ([(float(x), float(x + w)) for x, w in zip(rng.random(80) * 100, rng.random(80) * 20, strict=True)] for _ in range(2))
@@ -55,16 +96,6 @@ def test_epochs(spark):
     assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3:] for g in got], [w[3:] for w in want])
 
 
-def test_lineage_probabilities(spark):
-    m = 0.3
-    df = spark.createDataFrame([(0, 0, 2.0, [[0.0, m], [m, 0.0]])], "model long, step int, span double, rates array<array<double>>")
-    got = {(r.start, r.dest): r.probability for r in demography.lineage_probabilities(df).collect()}
-    stay = (1 + math.exp(-2 * m * 2)) / 2
-    assert np.allclose([got[0, 0], got[0, 1], got[1, 0], got[1, 1]], [stay, 1 - stay, 1 - stay, stay])
-    big = demography.matrix_exponential(np.array([[-500.0, 500.0], [1.0, -1.0]]))
-    assert np.allclose(big.sum(axis=1), 1) and (big >= 0).all()
-
-
 def test_coalescent_trees(spark):
     n, reps = 6, 3000
     edges = ancestry.coalescent_trees(spark, reps, n, size=2.0, ploidy=1, seed=4).cache()
@@ -103,12 +134,38 @@ def test_hapmap_and_pedigree(spark, tmp_path):
     assert got[0] == (0, 1, None) and np.allclose([g[2] for g in got[1:]], [1e-8, 5e-8])
     (tmp_path / "ped.txt").write_text("# id parent0 parent1 time\nchild mom dad 0\nmom . . 1\ndad . . 1\nodd child lost 0\n")
     ped = texts.read_pedigree(spark, str(tmp_path / "ped.txt"))
+    assert [tuple(r) for r in ped.where("id = 'mom'").collect()] == [("mom", None, None, 1.0, False, None)]
     assert values(texts.pedigree_faults(ped), "fault") == [("odd", "parent not older"), ("odd", "unknown parent")]
     texts.write_pedigree(ped, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 4
+    again = texts.read_pedigree(spark, str(tmp_path / "out"))
+    assert again.exceptAll(ped).count() == 0 and again.count() == 4
+    assert texts.pedigree_nodes(ped).count() == 8
     (tmp_path / "bad.txt").write_text("# id time\na 0\n")
     with pytest.raises(ValueError):
         texts.read_pedigree(spark, str(tmp_path / "bad.txt"))
+    for k, bad in enumerate(("# id parent0 parent1 time\na . . old\n", "# id parent0 parent1 time\na . 0\n", "# id parent0 parent1 time is_sample\na . . 0 yes\n")):
+        (tmp_path / f"bad{k}.txt").write_text(bad)
+        with pytest.raises(ValueError, match="not a row"):
+            texts.read_pedigree(spark, str(tmp_path / f"bad{k}.txt"))
+
+
+def test_hapmap_ends(spark, tmp_path):
+    def read(text, **more):
+        (tmp_path / "m.txt").write_text("chrom pos rate map\n" + text)
+        return values(texts.read_hapmap(spark, str(tmp_path / "m.txt"), **more).drop("chrom"), "left")
+
+    assert read("c 10 0 0.5\nc 20 0 0.7\n") == [(0, 10, pytest.approx(0.0005)), (10, 20, pytest.approx(0.0002))]
+    assert read("c 10 0 0\nc 20 0 1\n", sequence_length=30)[::2] == [(0, 10, None), (20, 30, None)]
+    assert read("c 0 2 0\nc 10 0 0\n", rate_col=2) == [(0, 10, 2e-8)]
+    for text, more in (("c 1 0 0\nc 2x 0 1\nc 3 0 2\n", {}), ("", {}), ("c 0 0 1\nc 5 0 2\n", {}), ("c 0 2 0\nc 10 3 0\n", {"rate_col": 2}), ("c 0 0 0\nc 9 0 1\n", {"sequence_length": 5}), ("c 0 0 0\n", {"rate_col": 1}), ("c 0 0 0\n", {"rate_col": 2, "map_col": 3})):
+        with pytest.raises(ValueError):
+            read(text, **more)
+
+
+def test_ms_text(spark):
+    haplotypes = spark.createDataFrame([(1, 0, "01"), (1, 1, "10"), (2, 0, ""), (2, 1, "")], "replicate long, sample long, haplotype string")
+    sites = spark.createDataFrame([(1, 0.5), (1, 0.25)], "replicate long, position double")
+    assert [r[1] for r in values(texts.ms_text(haplotypes, sites), "replicate")] == ["//\nsegsites: 2\npositions: 0.250000 0.500000\n01\n10\n", "//\nsegsites: 0\n"]
 
 
 def test_stream(spark, tmp_path):
