@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,36 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.tables import drop_written, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A local session without the setting (tests) gets a fresh folder under /tmp;
-    a cluster without it is an error, since no local folder would be seen by all.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors. It goes when the session's JVM ends, if ``drop_written`` hasn't deleted it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    files, path_ = _files(spark, path)
-    files.deleteOnExit(path_)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _files(spark: SparkSession, name: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+__all__ = ["documents", "drop_written", "hot_keys", "in_parts", "numbered", "partitions", "pow2_at_least", "raw_texts", "row_key", "shared_dir", "slices", "spread_join", "texts", "written"]
 
 
 def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -50,14 +21,6 @@ def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
     return written(df.withColumn(column, F.monotonically_increasing_id()), name)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a ``written`` table that no later step reads."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        files, path = _files(spark, name)
-        files.delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
