@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import gc
 import itertools
 import os
 import zlib
@@ -44,12 +45,13 @@ class WordIds(dict):
     a batch at a time. When more than ``bound`` are known the later half goes;
     frequent pieces are mostly among the first. Pieces of more than ``LONGEST``
     characters are kept for their batch only, which bounds the bytes held. The
-    library's own threads are off, since Spark runs a task on every core.
+    library's own threads are off, since Spark runs a task on every core, and so
+    is the search for cycles while a batch is encoded: it makes none.
     """
 
     LONGEST = 64
 
-    def __init__(self, path: str, bound: int = 250_000):
+    def __init__(self, path: str, bound: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,6 +64,15 @@ class WordIds(dict):
         return self.of_batch[piece]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         pieces = [self.split(t) for t in texts]
         if len(self) > self.bound:
             for word in list(itertools.islice(self, self.bound // 2, None)):
