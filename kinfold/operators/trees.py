@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators.intervals import overlap_join, windows_of
+from kinfold.operators.intervals import overlap_join, squash, windows_of
 from kinfold.operators.prefix import previous, running_sum
 from kinfold.tables import drop_written, written
 
@@ -160,6 +160,37 @@ def delete_intervals(edges: DataFrame, gaps: DataFrame, width: float = 1.0) -> D
     return every.join(copies, "_edge").select(*others, F.explode(F.flatten(F.array_repeat(pieces, F.col("_times").cast("int")))).alias("p")).select("p.a", "p.b", *[c for c in edges.columns if c not in ("left", "right")]).withColumnsRenamed({"a": "left", "b": "right"}).select(*edges.columns)
 
 
+def simplify(edges: DataFrame, samples: DataFrame, by: tuple[str, ...] = (), width: float = 1.0) -> DataFrame:
+    """(by, left, right, parent, child): the edges of the samples' own genealogy, under the nodes' old numbers.
+
+    Of each local tree stay the samples and the nodes where two or more lines of
+    samples meet; each of them is joined to the nearest one above it, found by
+    doubling, and equal edges of neighbouring trees are merged. Nodes without
+    samples below, nodes passed by one line only and what stands above the last
+    meeting go. A sample without an edge has none here. There is a row for each
+    edge and local tree on the way.
+    """
+    keys = [*by, "tree_left", "tree_right"]
+    held = written(tree_edges(edges, by, width), "tree_edges")
+    nodes = held.select(*keys, F.explode(F.array("parent", "child")).alias("node")).distinct()
+    marked = nodes.join(samples.select(*by, "node").distinct(), [*by, "node"], "left_semi").select(*keys, "node")
+    lines = samples_below(held, marked, tuple(keys)).where("k > 0").select(*keys, F.col("node").alias("child"))
+    living = written(held.join(lines, [*keys, "child"], "left_semi"), "living")
+    meeting = living.groupBy(*keys, F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_lines")).where("_lines > 1").select(*keys, "node")
+    kept = written(marked.union(meeting).distinct(), "kept")
+    stops = kept.select(*keys, F.col("node").alias("parent"), F.lit(True).alias("_stop"))
+    first = living.join(stops, [*keys, "parent"], "left")
+    rows = first.select(*keys, F.col("child").alias("node"), F.when(F.col("_stop").isNull(), F.col("parent")).alias("up"), F.when(F.col("_stop"), F.col("parent")).alias("top"))
+
+    def step(now: DataFrame) -> DataFrame:
+        above = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"))
+        return now.join(above, [*keys, "up"], "left").select(*keys, "node", F.col("_up").alias("up"), F.coalesce("top", "_top").alias("top"))
+
+    found = _doubled(rows, keys, "nearest", step).where("top IS NOT NULL").join(kept, [*keys, "node"], "left_semi")
+    each = found.select(*by, F.col("tree_left").alias("left"), F.col("tree_right").alias("right"), F.col("top").alias("parent"), F.col("node").alias("child"))
+    return squash(each, [*by, "parent", "child"]).select(*by, "left", "right", "parent", "child")
+
+
 def frequency_spectrum(sites: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, k, n_sites) from one row a site with its number of derived copies."""
     return sites.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n_sites"))

@@ -356,6 +356,36 @@ def hotspots(spark, sf_dir):
     return ratemap.hotspot_map(spots, length, 2.0)
 
 
+def _two_heaps(spark, sf_dir):
+    """Parts as two local trees: the heap on [0, 1), and on [1, 2) the heap with every third size two levels up."""
+    key = F.col("p_partkey").cast("long")
+    parts = _table(spark, sf_dir, "part").where("p_partkey > 1")
+    higher = F.when(F.col("p_size") % 3 == 0, F.greatest(F.floor(key / 4), F.lit(1).cast("long"))).otherwise(F.floor(key / 2))
+    one = parts.select(F.lit(0).cast("long").alias("left"), F.lit(1).cast("long").alias("right"), F.floor(key / 2).alias("parent"), key.alias("child"), "p_size")
+    return one.unionByName(parts.select(F.lit(1).cast("long").alias("left"), F.lit(2).cast("long").alias("right"), higher.alias("parent"), key.alias("child"), "p_size"))
+
+
+def simplified_edges(spark, sf_dir):
+    """The two trees of parts, reduced to those whose size is a multiple of four."""
+    samples = _table(spark, sf_dir, "part").where("p_size % 4 = 0 AND p_partkey > 0").select(F.col("p_partkey").cast("long").alias("node"))
+    return trees.simplify(_two_heaps(spark, sf_dir).drop("p_size"), samples)
+
+
+def tree_roots(spark, sf_dir):
+    """Roots of the two trees of parts without the edges of every seventh size, and the oldest one's time."""
+    _, nodes = _part_tree(spark, sf_dir)
+    found = trees.tree_roots(_two_heaps(spark, sf_dir).where("p_size % 7 <> 0"), nodes)
+    return found.select(F.col("tree_left").alias("left"), F.col("tree_right").alias("right"), "n_roots", "tmrca")
+
+
+def edges_without_gaps(spark, sf_dir):
+    """The lines' spans without the seven positions from every fiftieth on that a part stands for."""
+    lines = _table(spark, sf_dir, "lineitem")
+    spans = lines.select(F.col("l_orderkey").cast("long").alias("left"), (F.col("l_orderkey") + F.col("l_linenumber") * 5).cast("long").alias("right"), F.col("l_linenumber").cast("long").alias("line"))
+    start = F.col("p_partkey").cast("long") * 50
+    return trees.delete_intervals(spans, _table(spark, sf_dir, "part").select(start.alias("left"), (start + 7).alias("right")), 32.0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -363,7 +393,7 @@ QUERIES = {
         interval_overlap_join, migration_matrix, epoch_state, population_size_trajectory, total_material, site_frequency_spectrum, nucleotide_diversity_pairs, children_count_unary, tree_depth, migration_records,
         simulated_trees, simulated_spectrum, lineage_locations, epoch_matrix, population_size_history, population_states, model_faults, event_proportions, coalescence_rate_trajectory, mean_coalescence_time,
         samples_below, log_mutation_likelihood, genotype_carriers, parent_mutations, local_tree_count, segregating_by_window, tajimas_d, discrete_sites, mutation_matrices, newick_nodes,
-        ratemap_find_index, ratemap_mass_to_position, ratemap_slice_missing, hotspots,
+        ratemap_find_index, ratemap_mass_to_position, ratemap_slice_missing, hotspots, simplified_edges, tree_roots, edges_without_gaps,
     )
 }
 
@@ -375,6 +405,7 @@ _EDGES = "(SELECT DISTINCT l_suppkey AS parent, l_partkey % 50 AS child, CAST(l_
 _SITES = "(SELECT l_partkey, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS k, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_partkey)"
 
 _N = "(SELECT max(p_partkey) FROM part)"
+_HEAPS = "(SELECT 0 AS x, CAST(p_partkey AS BIGINT) AS k, CAST(p_partkey // 2 AS BIGINT) AS p, p_size FROM part WHERE p_partkey > 1 UNION ALL SELECT 1, p_partkey, CASE WHEN p_size % 3 = 0 THEN greatest(p_partkey // 4, 1) ELSE p_partkey // 2 END, p_size FROM part WHERE p_partkey > 1)"
 _HEAP_TIME = "(300.0 - floor(log2(CAST({k} AS DOUBLE)) + 1e-9) * 10 + {k} % 3)"
 
 
@@ -473,4 +504,17 @@ SELECT model, a AS above, b AS below, CAST(floor(p * 1000000 + 0.5) AS BIGINT) A
     "hotspots": """WITH s AS (SELECT CAST(p_partkey * 10 AS DOUBLE) AS a, CAST(p_partkey * 10 + p_size AS DOUBLE) AS z FROM part WHERE p_partkey % 10 = 0),
 c AS (SELECT a AS x FROM s UNION SELECT z FROM s UNION SELECT 0 UNION SELECT max(p_partkey) * 10 + 100 FROM part), i AS (SELECT x AS l, lead(x) OVER (ORDER BY x) AS r FROM c)
 SELECT CAST(l AS DOUBLE) AS "left", CAST(r AS DOUBLE) AS "right", CASE WHEN EXISTS (SELECT 1 FROM s WHERE a <= l AND l < z) THEN 14.0::DOUBLE ELSE 2.0::DOUBLE END AS rate FROM i WHERE r IS NOT NULL""",
+    "simplified_edges": f"""WITH RECURSIVE s AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part WHERE p_size % 4 = 0 AND p_partkey > 0),
+u(x, k) AS (SELECT x, k FROM (VALUES (0), (1)) t(x), s UNION SELECT u.x, h.p FROM u JOIN {_HEAPS} h ON h.x = u.x AND h.k = u.k),
+e AS (SELECT h.x, h.k, h.p FROM {_HEAPS} h JOIN u ON u.x = h.x AND u.k = h.k),
+kept AS (SELECT x, k FROM (VALUES (0), (1)) t(x), s UNION SELECT x, p FROM e GROUP BY x, p HAVING count(*) > 1),
+w(x, k, top) AS (SELECT e.x, e.k, e.p FROM e JOIN kept USING (x, k) UNION ALL SELECT w.x, w.k, e.p FROM w JOIN e ON e.x = w.x AND e.k = w.top WHERE NOT EXISTS (SELECT 1 FROM kept q WHERE q.x = w.x AND q.k = w.top))
+SELECT CAST(min(w.x) AS BIGINT) AS "left", CAST(max(w.x) + 1 AS BIGINT) AS "right", w.top AS parent, w.k AS child FROM w JOIN kept q ON q.x = w.x AND q.k = w.top GROUP BY w.top, w.k""",
+    "tree_roots": f"""WITH h AS (SELECT * FROM {_HEAPS} WHERE p_size % 7 <> 0), r AS (SELECT DISTINCT x, p FROM h WHERE NOT EXISTS (SELECT 1 FROM h c WHERE c.x = h.x AND c.k = h.p))
+SELECT CAST(x AS BIGINT) AS "left", CAST(x + 1 AS BIGINT) AS "right", count(*) AS n_roots, max({_heap_time("p")}) AS tmrca FROM r GROUP BY x""",
+    "edges_without_gaps": """WITH e AS (SELECT row_number() OVER () AS id, CAST(l_orderkey AS BIGINT) AS l, CAST(l_orderkey + l_linenumber * 5 AS BIGINT) AS r, CAST(l_linenumber AS BIGINT) AS line FROM lineitem),
+g AS (SELECT id, CAST(p_partkey * 50 AS BIGINT) AS l, CAST(p_partkey * 50 + 7 AS BIGINT) AS r FROM e JOIN part ON p_partkey * 50 < r AND p_partkey * 50 + 7 > l),
+c AS (SELECT id, l AS a, r AS z, line FROM e UNION ALL SELECT g.id, g.r, e.r, line FROM g JOIN e USING (id)),
+p AS (SELECT c.id, c.a, coalesce(min(g.l), any_value(c.z)) AS b, any_value(line) AS line FROM c LEFT JOIN g ON g.id = c.id AND g.r > c.a GROUP BY c.id, c.a)
+SELECT a AS "left", b AS "right", line FROM p WHERE a < b""",
 }

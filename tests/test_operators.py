@@ -185,3 +185,18 @@ def test_poisson_of_large_means(spark):
     edges = spark.range(20).selectExpr("id AS replicate", "1L AS parent", "0L AS child", "1e4D AS parent_time", "0D AS child_time")
     counts = [r[1] for r in ancestry.place_mutations(edges, 1e-8, length=1e8).groupBy("replicate").count().collect()]
     assert len(set(counts)) > 10 and abs(np.mean(counts) - 10_000) < 100
+
+
+def test_simplify(spark):
+    """Samples 1, 2 and 3: 1 and 2 meet in 5 (2 by way of 4) up to position 2, then 2 and 3 in 5; 9 stands above all, 7 and 8 carry no sample."""
+    edges = [(0, 3, 5, 4), (0, 3, 4, 2), (0, 2, 5, 1), (2, 3, 6, 1), (0, 2, 6, 3), (2, 3, 5, 3), (0, 3, 6, 5), (0, 3, 9, 6), (0, 3, 8, 7)]
+    df = spark.createDataFrame(edges, "left long, right long, parent long, child long")
+    samples = spark.createDataFrame([(1,), (2,), (3,), (3,), (77,)], "node long")
+    found = trees.simplify(df, samples)
+    want = {(0, 3, 5, 2), (0, 2, 5, 1), (2, 3, 6, 1), (0, 2, 6, 3), (2, 3, 5, 3), (0, 3, 6, 5)}
+    assert found.columns == df.columns and sorted(map(tuple, found.collect())) == sorted(want)
+    again = trees.simplify(found, samples)
+    assert sorted(map(tuple, again.collect())) == sorted(want)
+    inner = spark.createDataFrame([(4,), (2,)], "node long")  # a sample above another
+    assert [tuple(r) for r in trees.simplify(df, inner).collect()] == [(0, 3, 4, 2)]
+    assert trees.simplify(df.limit(0), samples).count() == 0
