@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import ratemap
-from kinfold.operators import ancestry, demography, intervals, likelihood, models, mutations, trees
+from kinfold.operators import ancestry, demography, intervals, likelihood, models, mutations, pedigrees, trees
 from kinfold.sources import newick
 
 
@@ -386,6 +386,27 @@ def edges_without_gaps(spark, sf_dir):
     return trees.delete_intervals(spans, _table(spark, sf_dir, "part").select(start.alias("left"), (start + 7).alias("right")), 32.0)
 
 
+def _part_pedigree(spark, sf_dir):
+    """Parts as individuals, parents by halves and by twice the number; even sizes name a nation as population, the others give a number, some an unknown one."""
+    key, size = F.col("p_partkey").cast("long"), F.col("p_size")
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("population"), F.col("n_name").alias("name"))
+    parts = _table(spark, sf_dir, "part").where("p_partkey > 0").join(F.broadcast(nations.withColumnRenamed("population", "_n")), F.col("_n") == size % 25, "left")  # nations: 25 rows at any size
+    place = F.when(size % 2 == 0, F.col("name")).when(size % 5 != 0, (size % 30).cast("string"))
+    rows = parts.select(
+        key.alias("id"), F.when(key > 3, F.floor(key / 2)).alias("parent0"), F.when((key > 3) & (size % 11 != 0), F.when(size % 13 == 0, key * 2).otherwise(F.floor(key / 3))).alias("parent1"),
+        F.floor(F.lit(1000000) / key).cast("double").alias("time"), F.when(size % 3 == 0, size % 2 == 0).alias("is_sample"), place.alias("population"),
+    )
+    return pedigrees.completed(rows, nations)
+
+
+def pedigree_genomes(spark, sf_dir):
+    return pedigrees.genomes(_part_pedigree(spark, sf_dir))
+
+
+def pedigree_faults(spark, sf_dir):
+    return pedigrees.faults(_part_pedigree(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -393,7 +414,7 @@ QUERIES = {
         interval_overlap_join, migration_matrix, epoch_state, population_size_trajectory, total_material, site_frequency_spectrum, nucleotide_diversity_pairs, children_count_unary, tree_depth, migration_records,
         simulated_trees, simulated_spectrum, lineage_locations, epoch_matrix, population_size_history, population_states, model_faults, event_proportions, coalescence_rate_trajectory, mean_coalescence_time,
         samples_below, log_mutation_likelihood, genotype_carriers, parent_mutations, local_tree_count, segregating_by_window, tajimas_d, discrete_sites, mutation_matrices, newick_nodes,
-        ratemap_find_index, ratemap_mass_to_position, ratemap_slice_missing, hotspots, simplified_edges, tree_roots, edges_without_gaps,
+        ratemap_find_index, ratemap_mass_to_position, ratemap_slice_missing, hotspots, simplified_edges, tree_roots, edges_without_gaps, pedigree_genomes, pedigree_faults,
     )
 }
 
@@ -406,6 +427,9 @@ _SITES = "(SELECT l_partkey, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_
 
 _N = "(SELECT max(p_partkey) FROM part)"
 _HEAPS = "(SELECT 0 AS x, CAST(p_partkey AS BIGINT) AS k, CAST(p_partkey // 2 AS BIGINT) AS p, p_size FROM part WHERE p_partkey > 1 UNION ALL SELECT 1, p_partkey, CASE WHEN p_size % 3 = 0 THEN greatest(p_partkey // 4, 1) ELSE p_partkey // 2 END, p_size FROM part WHERE p_partkey > 1)"
+_PEDIGREE = """(SELECT CAST(p_partkey AS BIGINT) AS id, CASE WHEN p_partkey > 3 THEN p_partkey // 2 ELSE -1 END AS a, CASE WHEN p_partkey > 3 AND p_size % 11 <> 0 THEN CASE WHEN p_size % 13 = 0 THEN p_partkey * 2 ELSE p_partkey // 3 END ELSE -1 END AS b,
+CAST(1000000 // p_partkey AS DOUBLE) AS time, CASE WHEN p_size % 3 = 0 THEN p_size % 2 = 0 ELSE 1000000 // p_partkey = 0 END AS is_sample,
+CAST(CASE WHEN p_size % 2 = 0 THEN p_size % 25 WHEN p_size % 5 <> 0 AND p_size % 30 < 25 THEN p_size % 30 END AS BIGINT) AS population FROM part WHERE p_partkey > 0)"""
 _HEAP_TIME = "(300.0 - floor(log2(CAST({k} AS DOUBLE)) + 1e-9) * 10 + {k} % 3)"
 
 
@@ -517,4 +541,8 @@ g AS (SELECT id, CAST(p_partkey * 50 AS BIGINT) AS l, CAST(p_partkey * 50 + 7 AS
 c AS (SELECT id, l AS a, r AS z, line FROM e UNION ALL SELECT g.id, g.r, e.r, line FROM g JOIN e USING (id)),
 p AS (SELECT c.id, c.a, coalesce(min(g.l), any_value(c.z)) AS b, any_value(line) AS line FROM c LEFT JOIN g ON g.id = c.id AND g.r > c.a GROUP BY c.id, c.a)
 SELECT a AS "left", b AS "right", line FROM p WHERE a < b""",
+    "pedigree_genomes": f"""SELECT CAST(n * 2 + copy AS BIGINT) AS node, id, copy, time, is_sample, population FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS n FROM {_PEDIGREE}), (VALUES (0), (1)) c(copy)""",
+    "pedigree_faults": f"""WITH p AS (SELECT * FROM {_PEDIGREE}), l AS (SELECT id, time, a AS up FROM p WHERE a <> -1 UNION ALL SELECT id, time, b FROM p WHERE b <> -1),
+j AS (SELECT l.id, l.time, q.id AS there, q.time AS older FROM l LEFT JOIN p q ON q.id = l.up)
+SELECT id, 'one parent only' AS fault FROM p WHERE (a = -1) <> (b = -1) UNION ALL SELECT id, 'unknown parent' FROM j WHERE there IS NULL UNION ALL SELECT id, 'parent not older' FROM j WHERE older <= time UNION ALL SELECT id, 'no population' FROM p WHERE population IS NULL""",
 }

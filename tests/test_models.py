@@ -182,3 +182,19 @@ def test_newick(spark):
     assert again.count() == nodes.count() and {r[0] for r in newick.newick_text(nodes).where("tree = 1").select("text").collect()} == {"((human:5.6,chimpanzee:5.6)hc:3.0,gorilla:8.6);"}
     nexus = spark.createDataFrame([("f", "#NEXUS\nBegin trees;\n Translate\n 1 alpha,\n 2 beta\n;\ntree T1 = [&R] (1:3,2:3);\ntree T2 = (2:1,1:1);\nEnd;")], "file string, text string")
     assert rows(newick.nexus_trees(nexus), "tree") == [("f", 0, "(alpha:3,beta:3);"), ("f", 1, "(beta:1,alpha:1);")]
+
+
+def test_pedigree_defaults(spark):
+    from kinfold.operators import pedigrees
+
+    rows = spark.createDataFrame([(10, None, None, 2.0, None, "b"), (11, None, None, 1.0, True, None), (12, 10, 11, 0.0, None, "7"), (13, 10, None, 0.0, False, "x"), (13, 12, 99, float("nan"), None, "a")], "id long, parent0 long, parent1 long, time double, is_sample boolean, population string")
+    one = spark.createDataFrame([(7, "b")], "population long, name string")
+    made = pedigrees.completed(rows, one).cache()
+    assert [tuple(r) for r in made.where("id < 13").orderBy("id").select("parent0", "is_sample", "population").collect()] == [(-1, False, 7), (-1, True, 7), (10, True, 7)]
+    found = sorted(map(tuple, pedigrees.faults(made).collect()))
+    assert found == [(13, "no population"), (13, "no population"), (13, "one parent only"), (13, "repeated id"), (13, "time not finite"), (13, "unknown parent")]
+    two = spark.createDataFrame([(0, "7"), (7, "b")], "population long, name string")
+    assert {r.id: r.population for r in pedigrees.completed(rows.limit(3), two).collect()} == {10: 7, 11: None, 12: 0}  # a name goes before a number
+    least = pedigrees.completed(spark.createDataFrame([(3, 0.0), (1, 4.0)], "id long, time double"), one)
+    assert [tuple(r) for r in pedigrees.genomes(least).orderBy("node").collect()] == [(0, 1, 0, 4.0, False, 7), (1, 1, 1, 4.0, False, 7), (2, 3, 0, 0.0, True, 7), (3, 3, 1, 0.0, True, 7)]
+    assert pedigrees.genomes(least.limit(0)).count() == 0
