@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, chat, embedding_dedup, fingerprint, language_id, line_dedup, packing, sharding, simhash, suffix_dedup
+from kinfold.llm import bpe, chat, conversation_repair, embedding_dedup, ffd_packing, fingerprint, importance, language_id, line_dedup, packing, sharding, simhash, suffix_dedup
 from kinfold.llm._shared import documents
 
 
@@ -56,9 +56,93 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_substrings, op3_chat, op4_embeddings, op5_fingerprints, op6_simhash, op7_shards, op8_bpe, op9_lines, op10_language)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.repair(rows, copies_col="copies", digests_only=True)
+
+
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ffd_packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_substrings, op3_chat, op4_embeddings, op5_fingerprints, op6_simhash, op7_shards, op8_bpe, op9_lines, op10_language, op11_repair, op12_pack, op13_resample)}
+
+#: CRC-32 in SQL: the 256 remainders by their rule, and a fold over the bytes of ``{text}``.
+_CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i)))"
+_CRC = "xor(list_reduce(list_transform(range(1, length(hex({text})), 2), lambda k: CAST('0x' || substr(hex({text}), k, 2) AS BIGINT)), lambda c, b: xor(c >> 8, crc.t[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
 
 ORACLE_SQL = {
+    "op11_repair": f"""
+WITH RECURSIVE {_CRC_TABLE}, said AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), hit AS (
+  SELECT *, {_CRC.format(text="key")} % 20 AS k FROM said, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit, range(2) c(n) WHERE k <> 0 AND (n = 0 OR k = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM placed
+), counts AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM judged GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, 0 AS i, s AS state, c AS cost, a AS audit, o AS lines
+  FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('', 0, '', CAST([] AS VARCHAR[])), ('u', 3, 'I', ['user:']), ('a', 6, 'II', ['user:', 'assistant:'])) v(s, c, a, o)
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, lines FROM (
+    SELECT w.conv_id, w.i + 1 AS i, z.state, w.cost + e.cost + 3 * z.more AS cost, w.audit || e.edit || repeat('I', z.more) AS audit,
+      w.lines || CASE e.edit WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [r.role || ':' || r.text] ELSE [CASE WHEN e.state = 'u' THEN 'user:' ELSE 'assistant:' END || r.text] END || z.lines AS lines
+    FROM walk w JOIN judged r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1,
+    LATERAL (SELECT 'D' AS edit, w.state AS state, 4 AS cost
+      UNION ALL SELECT 'K', r.initial, CASE WHEN r.fault = 'truncated' THEN 3 ELSE 0 END WHERE r.fault NOT IN ('blank', 'duplicate') AND w.state || r.initial IN ('s', 'u', 'su', 'ua', 'au')
+      UNION ALL SELECT 'R', CASE WHEN w.state = 'u' THEN 'a' ELSE 'u' END, CASE WHEN r.fault = 'truncated' THEN 6 ELSE 3 END WHERE r.fault NOT IN ('blank', 'duplicate')) e,
+    LATERAL (SELECT e.state AS state, 0 AS more, CAST([] AS VARCHAR[]) AS lines
+      UNION ALL SELECT CASE WHEN e.state = 'u' THEN 'a' ELSE 'u' END, 1, [CASE WHEN e.state = 'u' THEN 'assistant:' ELSE 'user:' END]
+      UNION ALL SELECT CASE WHEN e.state = 'u' THEN 'u' ELSE 'a' END, 2, CASE WHEN e.state = 'u' THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END) z
+    ) QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1
+), best AS (
+  SELECT w.conv_id, arg_min(struct_pack(cost := w.cost, audit := w.audit, lines := w.lines), (w.cost, w.audit)) AS b
+  FROM walk w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = coalesce(c.n, 0) AND w.state IN ('', 'a') GROUP BY w.conv_id
+)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(b.b.cost AS BIGINT) AS cost, b.b.audit AS audit, sha256(array_to_string(b.b.lines, chr(10))) AS repaired_sha256
+FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+""",
+    "op13_resample": f"""
+WITH {_CRC_TABLE}, texts AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), words AS (
+  SELECT side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM texts
+), hashed AS (
+  SELECT w, {_CRC.format(text="w")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM words), crc
+), cells AS (
+  SELECT side, id, bucket, count(*) AS n FROM words JOIN hashed USING (w) GROUP BY ALL
+), sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 'b'), 0) AS t FROM cells GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS gain FROM sums
+), weighed AS (
+  SELECT id, sum(n) AS n, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM cells JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id
+), scored AS (
+  SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || doc_id), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM documents LEFT JOIN weighed ON id = doc_id
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 10 * count(*) OVER () // 100 AS most FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= most THEN r END AS rank FROM scored s LEFT JOIN placed USING (doc_id)
+""",
     "op9_lines": r"""
 WITH lines AS (
   SELECT doc_id, i, l, regexp_replace(regexp_replace(l, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS s
