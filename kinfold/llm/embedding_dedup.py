@@ -12,7 +12,8 @@ label needs for buckets of about ``BUCKET`` vectors, so a table's work grows
 with the number of vectors, not with its square. Wide windows miss more pairs,
 hence rotations, and tables with them, are added until the share ``RECALL`` of
 pairs just at the threshold meets: pairs planted beside sampled vectors, and
-pairs of the sample itself. Codes about the sample's mean and about the origin
+pairs of the sample itself. Where ``MOST_ROTATIONS`` do not reach it, labels are
+compared whole. Codes about the sample's mean and about the origin
 are both tried, and of those that find enough the cheaper is used: the former
 are balanced, the latter hold up where a single cluster makes up the table.
 Labels of at most ``SMALL`` vectors are compared whole.
@@ -123,8 +124,12 @@ def _sample_pairs(unit: np.ndarray, label: np.ndarray, threshold: float, most: i
     return i[some], j[some]
 
 
-def build_index(sample: np.ndarray, label: np.ndarray, largest: int, threshold: float = THRESHOLD) -> Index:
-    """The cheaper of two indexes, about the mean and about the origin, that find the share RECALL of pairs at the threshold in a label of ``largest`` vectors."""
+def build_index(sample: np.ndarray, label: np.ndarray, largest: int, threshold: float = THRESHOLD, most_rotations: int = MOST_ROTATIONS) -> Index:
+    """The cheaper of two indexes, about the mean and about the origin, that find the share RECALL of pairs at the threshold in a label of ``largest`` vectors.
+
+    If ``most_rotations`` rotations find fewer about either, the index has a single
+    table with a single bucket, so that labels are compared whole, block by block.
+    """
     unit = _unit(sample)
     width = max(4, min(48, int(np.ceil(np.log2(max(1, largest / BUCKET)))) + 4))
     some = unit[:2_000]
@@ -133,7 +138,7 @@ def build_index(sample: np.ndarray, label: np.ndarray, largest: int, threshold:
     tried = []
     for mean in (unit.mean(axis=0), np.zeros(unit.shape[1])):
         turns = np.zeros((unit.shape[1], 0))
-        for seed in range(MOST_ROTATIONS):
+        for seed in range(most_rotations):
             turns = np.concatenate([turns, learn_rotation(unit, mean, seed)], axis=1)
             index = Index(mean, turns, min(width, turns.shape[1]))
             keys = index.keys(index.code(unit))
@@ -144,20 +149,26 @@ def build_index(sample: np.ndarray, label: np.ndarray, largest: int, threshold:
                 break
         shuffled = np.random.default_rng(8).permutation(len(unit))
         met = (keys == keys[shuffled])[shuffled != np.arange(len(unit))].mean() if len(unit) > 1 else 0
-        tried.append((min(found) < RECALL, -min(found) if min(found) < RECALL else index.tables * (1 + largest * met), len(tried), index))
-    return min(tried)[3]
+        if min(found) >= RECALL:
+            tried.append((index.tables * (1 + largest * met), len(tried), index))
+    return min(tried)[2] if tried else Index(np.zeros(unit.shape[1]), turns[:, :1], 0)
 
 
 def vector_classes(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """(key, label, vector, size, least): one row for each label and vector that can have links."""
-    fit = df.where(f"`{label_col}` IS NOT NULL AND size(`{vector_col}`) > 0 AND forall(`{vector_col}`, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(`{vector_col}`, x -> x <> 0)")
-    columns = fit.select(_key(label_col, vector_col).alias("key"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"), F.col(id_col).alias("id"))
+    columns = df.where(_fit(label_col, vector_col)).select(_key(label_col, vector_col).alias("key"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"), F.col(id_col).alias("id"))
     return columns.groupBy("key").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("size"), F.min("id").alias("least"))
 
 
+def _fit(label_col: str, vector_col: str) -> Column:
+    """Whether a row can have links: a label, and a vector other than zero of finite components."""
+    return F.expr(f"`{label_col}` IS NOT NULL AND size(`{vector_col}`) > 0 AND forall(`{vector_col}`, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(`{vector_col}`, x -> x <> 0)")
+
+
 def _key(label_col: str, vector_col: str) -> Column:
-    """128 bits of hash, as 16 bytes."""
-    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), label_col, vector_col)), 16, "0") for seed in (1, 2)]))
+    """128 bits of hash, as 16 bytes; null for rows that cannot have links, since the hash passes over null components."""
+    key = F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), label_col, vector_col)), 16, "0") for seed in (1, 2)]))
+    return F.when(_fit(label_col, vector_col), key)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -124,3 +124,19 @@ def test_hard(spark):
     assert sum(g[0] for g in got.values()) >= 0.9 * sum(w[0] for w in want.values())
     assert all(got[i] == want[i] for i in range(len(rows) - 10, len(rows)))
     assert embedding_dedup.embedding_near_dups(df.limit(0)).count() == 0
+
+
+def test_null_components_beside_their_twin(spark):
+    """A vector with a null component has no links, though the others in it are those of a vector that has."""
+    rows = [(1, [1.0, 0.5, None], 0), (2, [1.0, 0.5], 0), (3, [1.0, 0.50001], 0), (4, [None, 1.0, 0.5], 0), (5, [1.0, 0.5], None), (6, [1.0, float("nan")], 0), (7, [1.0, float("nan")], 0), (8, [0.0, 0.0], 0), (9, [0.0, 0.0], 0)]
+    got = searched(spark, rows, "double")
+    assert got == {1: (0, 1, True), 2: (1, 2, True), 3: (1, 2, False), 4: (0, 4, True), 5: (0, 5, True), 6: (0, 6, True), 7: (0, 7, True), 8: (0, 8, True), 9: (0, 9, True)}
+
+
+def test_whole_labels_without_enough_rotations(spark):
+    """Where the rotations allowed find too few pairs, the index is one bucket, in which every pair meets."""
+    unit = np.random.default_rng(1).standard_normal((700, 24))
+    index = embedding_dedup.build_index(unit, np.zeros(700, int), 1 << 20, most_rotations=1)
+    assert index.width == 0 and index.tables == 1
+    assert not index.keys(index.code(embedding_dedup._unit(unit))).any()
+    assert embedding_dedup.build_index(unit, np.zeros(700, int), 2000).width > 0
