@@ -297,9 +297,8 @@ def band_links(classes: DataFrame, limit: int) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long")
 
 
-def _named(fps: DataFrame, classes: DataFrame, links: DataFrame, on: str) -> DataFrame:
-    """(id, fp, component_id) for every row of ``fps``; ``on`` names the class of a row in both tables."""
-    parts = connected_components(links)
+def _named(fps: DataFrame, classes: DataFrame, parts: DataFrame, on: str) -> DataFrame:
+    """(id, fp, component_id) for every row of ``fps``, given the components of classes; ``on`` names the class of a row in both tables."""
     named = classes.join(parts, "node", "left").select(on, "n", "least", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     of_class = written(spread_join(named, least.drop("n"), ["component"], hot_keys(least), [on]).select(on, "n", "component_id"), "components")
@@ -310,7 +309,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, fp, component_id) for every row; the least id reachable by links stands for the component."""
     fps = written(fingerprints(df, id_col, text_col, words).withColumnRenamed(id_col, "id"), "simhash")
     classes = written(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("node", F.col("fp")), "classes")
-    return _named(fps, classes, near_links(classes, radius), "fp").withColumnRenamed("id", id_col)
+    return _named(fps, classes, connected_components(near_links(classes, radius)), "fp").withColumnRenamed("id", id_col)
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -347,10 +346,14 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         alike = F.col("_both") / (F.size("_a") + F.size("_b") - F.col("_both")) >= similarity
         return written(shared.where(alike).select("a", "b"), "links")
 
-    first = decided(classes)
-    labels = connected_components(first).withColumnRenamed("component", "label")
+    labels = connected_components(decided(classes)).withColumnRenamed("component", "label")
     apart = written(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    return _named(fps.select("id", "fp", "name"), classes, first.unionByName(decided(apart)), "name").withColumnRenamed("id", id_col)
+    # what the second search adds joins whole components, so these stand for their nodes
+    label_of = lambda c: apart.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    added = decided(apart).join(label_of("a"), "a").join(label_of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    over = connected_components(added).withColumnRenamed("node", "label")
+    parts = apart.select("node", "label").join(over, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+    return _named(fps.select("id", "fp", "name"), classes, parts, "name").withColumnRenamed("id", id_col)
 
 
 def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
