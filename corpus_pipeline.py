@@ -1,4 +1,14 @@
-"""The corpus pipeline: five stages, each one of the operators, each on all that the one before kept."""
+"""The corpus pipeline: five stages, each one of the operators, each on all that the one before kept.
+
+Defined results: a null or empty text has no letter, so language ID takes its
+document out; texts of any length pass whole. Rows that repeat others are
+documents of their own until near-dedup: of different ids the least stays, rows
+that share that id all stay, as do rows without an id. Of ties, the line stage
+keeps the line in the largest id and the near-dedup stage the least id. Null
+``lang`` or ``source`` change nothing; further columns of the table travel along
+as they are, whatever their names, up to the last stage, which returns pieces. An
+empty table gives an empty table at every stage.
+"""
 
 from __future__ import annotations
 
