@@ -57,9 +57,9 @@ def missing_intervals(rates: DataFrame) -> DataFrame:
 def at_points(rates: DataFrame, points: DataFrame, position: str, closed: bool = False) -> DataFrame:
     """``points`` with the columns of the interval they lie in (null off the map): both sorted along the axis once, no pairs tried. ``closed`` counts the end of the map in."""
     held = F.struct(*rates.columns)
-    stops = rates.select(F.col("left").alias("_at"), F.lit(0).alias("_kind"), held.alias("_interval"), F.lit(None).cast(points.schema).alias("_point"))
-    asked = points.select(F.col(position).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(rates.select(held.alias("x")).schema["x"].dataType).alias("_interval"), F.struct(*points.columns).alias("_point"))
-    found = last_known(stops.unionByName(asked), "_at", "_interval", "_in", ties=("_kind",)).where("_kind = 1")
+    stops = rates.select(F.col("left").alias("_at"), F.lit(0.0).alias("_kind"), held.alias("_interval"), F.lit(None).cast(points.schema).alias("_point"))
+    asked = points.select(F.col(position).alias("_at"), (F.pmod(F.xxhash64(*points.columns), F.lit(1 << 20)) / (1 << 20) + 1).alias("_kind"), F.lit(None).cast(rates.select(held.alias("x")).schema["x"].dataType).alias("_interval"), F.struct(*points.columns).alias("_point"))
+    found = last_known(stops.unionByName(asked), "_at", "_interval", "_in", ties=("_kind",)).where("_kind >= 1")
     inside = (F.col("_at") <= F.col("_in")["right"]) if closed else (F.col("_at") < F.col("_in")["right"])
     return found.select("_point.*", *(F.when(inside, F.col("_in")[c]).alias(c) for c in rates.columns))
 

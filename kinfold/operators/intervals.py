@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.operators.prefix import previous, running_sum
+from kinfold.operators.prefix import bucketed, running_sum
+from kinfold.tables import written
 
 
 def breakpoints(df: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
@@ -16,15 +17,28 @@ def overlap_counts(df: DataFrame, left: str = "left", right: str = "right") -> D
     """(position, live): how many intervals are live from each breakpoint on. Ends are summed before they are ordered."""
     ends = F.array(F.struct(F.col(left).alias("position"), F.lit(1).cast("long").alias("d")), F.struct(F.col(right).alias("position"), F.lit(-1).cast("long").alias("d")))
     steps = df.select(F.explode(ends).alias("x")).select("x.*").groupBy("position").agg(F.sum("d").alias("d"))
-    return running_sum(steps, "position", "d", "live").select("position", "live")
+    return running_sum(written(steps, "steps"), "position", "d", "live").select("position", "live")
 
 
 def squash(df: DataFrame, by: list[str], left: str = "left", right: str = "right") -> DataFrame:
-    """Adjacent intervals of equal ``by`` merged: (by, left, right, n_merged). The rows of a frequent key are cut into ranges too."""
-    follow = previous(df, left, right, "_before", tuple(by), (right,))
-    starts = follow.withColumn("_new", F.when(F.col("_before") == F.col(left), 0).otherwise(1).cast("long"))
-    islands = running_sum(starts, left, "_new", "_island", tuple(by), (right,))
-    return islands.groupBy(*by, "_island").agg(F.min(left).alias("left"), F.max(right).alias("right"), F.count(F.lit(1)).alias("n_merged")).drop("_island")
+    """Adjacent intervals of equal ``by`` merged: (by, left, right, n_merged). Rows are dealt out once; of a key that is cut into ranges, the outer islands of the ranges are then merged."""
+    rows, split = bucketed(df.select(*by, left, right), left, tuple(by), (right,))
+    w = Window.partitionBy(*by, "_bucket").orderBy(left, right)
+    starts = rows.withColumn("_new", F.when(F.lag(right).over(w) == F.col(left), 0).otherwise(1))
+    islands = starts.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.max_by(right, F.struct(left, right)).alias("_last")
+    merged = (F.min(left).alias("left"), F.max(right).alias("right"), F.count(F.lit(1)).alias("n_merged"))
+    found = islands.groupBy(*by, "_bucket", "_cut", "_island").agg(*merged, last)
+    out = [*by, "left", "right", "n_merged"]
+    if not split:
+        return found.select(*out)
+    ends = found.withColumn("_most", F.max("_island").over(Window.partitionBy(*by, "_bucket")))
+    outer = F.col("_cut") & ((F.col("_island") == 1) | (F.col("_island") == F.col("_most")))
+    w = Window.partitionBy(*by).orderBy("_bucket", "_island")
+    follows = (F.lag("_last").over(w) == F.col("left")) & (F.lag("_bucket").over(w) < F.col("_bucket"))
+    chained = ends.where(outer).withColumn("_new", F.when(follows, 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = chained.groupBy(*by, "_chain").agg(F.min("left").alias("left"), F.max("right").alias("right"), F.sum("n_merged").alias("n_merged"))
+    return ends.where(~outer).select(*out).unionByName(joined.select(*out))
 
 
 def live_at(df: DataFrame, t, left: str = "left", right: str = "right") -> DataFrame:

@@ -1,81 +1,133 @@
-"""Running sums and last-known values over one long ordered axis, without gathering the axis in one task.
-
-The axis is cut at quantiles of its rows into ranges of about equally many rows,
-some for each shuffle partition, so an outlier or a crowded stretch fills no
-task. Within a range a window does the work; what goes into a range comes from
-one row for each range and key.
+"""Running sums and last-known values over long ordered axes, without gathering an axis in one task.
+
+An axis is all rows of a key, or all rows if there is none. One that would fill a
+good part of a task is cut into ranges of about equally many rows at quantiles
+of a sample; rows at one place are told apart by the first tie column, if that
+is a number, so a crowded place is cut as well. The other keys are dealt out
+whole. Within a range a window does the work; what goes into a range comes from
+one row for each range.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-MOST_RANGES = 4096
-
-
-def range_bounds(df: DataFrame, order: str) -> list[float]:
-    """Quantiles of ``order``, at most two ranges for each shuffle partition; rows of one value stay together."""
-    wanted = min(MOST_RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if wanted < 2:
-        return []
-    found = df.select(F.approx_percentile(F.col(order).cast("double"), [k / wanted for k in range(1, wanted)], 20 * wanted)).first()[0]
-    return sorted(set(found or []))
-
-
-def _place(value: Column, bounds: list[float], first: int = 0) -> Column:
-    """How many bounds are at or below ``value``, by halving."""
-    if not bounds:
-        return F.lit(first)
-    half = len(bounds) // 2
-    return F.when(value < bounds[half], _place(value, bounds[:half], first)).otherwise(_place(value, bounds[half + 1 :], first + half + 1))
-
-
-def bucketed(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with ``_bucket``, which rises with the numeric column ``order``; a null comes first."""
-    place = _place(F.col(order).cast("double"), range_bounds(df, order))
-    return df.withColumn("_bucket", F.when(F.col(order).isNull(), -1).otherwise(place))
-
-
-def _carried(df: DataFrame, by: list[str], within: Column, across) -> DataFrame:
-    """One row a range and key with ``_carry``: ``across`` a window of the ranges before."""
-    each = df.groupBy(*by, "_bucket").agg(within.alias("_own"))
+from pyspark.sql import types as T
+
+from kinfold.tables import hot_keys
+
+#: Rows that are never worth cutting.
+LEAST_ROWS = 1000
+#: Sampled rows for each range.
+SAMPLED = 40
+
+
+def _quantiles(places: np.ndarray, ties: np.ndarray, ranges: int) -> tuple[list[float], list[float]]:
+    """At most ``ranges`` - 1 different (place, tie) that cut a sample into equal parts."""
+    if ranges < 2 or not len(places):
+        return [], []
+    order = np.lexsort((ties, places))
+    at = order[np.unique(np.arange(1, ranges) * len(order) // ranges)]
+    cuts = sorted(set(zip(places[at].tolist(), ties[at].tolist(), strict=True)))
+    return [p for p, _ in cuts], [t for _, t in cuts]
+
+
+def _below(places: Column, ties: Column, place: Column, tie: Column, most: int) -> Column:
+    """How many of the rising bounds, at most ``most``, are at or below (place, tie), by halving."""
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+
+    def step(low: Column, half: Column) -> Column:
+        p, t = F.get(places, low + half - 1), F.get(ties, low + half - 1)
+        return F.when((p < place) | ((p == place) & (t <= tie)), low + half).otherwise(low)
+
+    return F.aggregate(halves, F.lit(0), step) if most else F.lit(0)
+
+
+def _numbers(values: list[float]) -> Column:
+    """An array of doubles as one constant."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def bucketed(df: DataFrame, order: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """``df`` with ``_bucket``, which rises along each axis, and whether any axis is cut; ``_cut`` says it of a row. A null place comes first."""
+    spark = df.sparkSession
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = bool(ties) and isinstance(df.schema[ties[0]].dataType, T.NumericType)
+    place, tie = F.col(order).cast("double"), F.coalesce(F.col(ties[0]).cast("double"), F.lit(float("-inf"))) if number else F.lit(0.0)
+    rows = df.count()
+    whole = df.withColumns({"_bucket": F.lit(0), "_cut": F.lit(False)})
+    if rows < 2 * LEAST_ROWS:
+        return whole, False
+    share = max(LEAST_ROWS, rows / (2 * many))  # rows of a range
+    fraction = min(1.0, SAMPLED / share)
+    if not by:
+        sample = df.where(place.isNotNull()).select(place.alias("p"), tie.alias("t")).sample(fraction, 17).toArrow()  # some SAMPLED rows a range
+        bounds = _quantiles(sample["p"].to_numpy(), sample["t"].to_numpy(), int(rows / share))
+        at = _below(_numbers(bounds[0]), _numbers(bounds[1]), place, tie, len(bounds[0]))
+        return df.withColumns({"_bucket": F.when(place.isNull(), -1).otherwise(at), "_cut": F.lit(True)}), bool(bounds[0])
+    hot = {tuple(r[c] for c in by): r["_n"] for r in hot_keys(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "_n", rows, 2 * LEAST_ROWS).collect()}  # a few keys a task
+    if not hot:
+        return whole, False
+    keys = T.StructType([T.StructField(f"_{c}", df.schema[c].dataType) for c in by])
+    same = lambda other: [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    marked = F.broadcast(spark.createDataFrame(list(hot), keys))
+    sample = df.join(marked, same(marked), "left_semi").where(place.isNotNull()).sample(fraction, 17).select(*by, place.alias("_p"), tie.alias("_t")).collect()
+    of_key: dict[tuple, list[tuple[float, float]]] = {k: [] for k in hot}
+    for r in sample:
+        of_key[tuple(r[c] for c in by)].append((r["_p"], r["_t"]))
+    cuts = [(*k, *_quantiles(np.array([p for p, _ in x]), np.array([t for _, t in x]), int(hot[k] / share))) for k, x in of_key.items()]
+    table = spark.createDataFrame(cuts, T.StructType([*keys.fields, T.StructField("_p", T.ArrayType(T.DoubleType())), T.StructField("_t", T.ArrayType(T.DoubleType()))]))
+    met = df.join(F.broadcast(table), same(table), "left")
+    at = _below(F.col("_p"), F.col("_t"), place, tie, max(len(c[-1]) for c in cuts))
+    cut = F.col("_p").isNotNull()
+    return met.withColumns({"_bucket": F.when(cut & place.isNull(), -1).when(cut, at).otherwise(0), "_cut": cut}).drop(*keys.names, "_p", "_t"), True
+
+
+def _with_carry(own: DataFrame, cut: DataFrame, by: tuple[str, ...], within: Column, across) -> DataFrame:
+    """``own`` with ``_carry``, what the ranges before leave: ``within`` of a range's rows, ``across`` a window of ranges. One row a range, which is broadcast."""
+    each = cut.where("_cut").groupBy(*by, "_bucket").agg(within.alias("_own"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return each.select(*by, "_bucket", across(F.col("_own")).over(before).alias("_carry"))
+    carry = each.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_bucket").alias("_b"), across(F.col("_own")).over(before).alias("_carry"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return own.join(F.broadcast(carry), [*same, F.col("_cut"), F.col("_bucket") == F.col("_b")], "left").drop(*(f"_{c}" for c in by), "_b")
 
 
-def _joined(own: DataFrame, carry: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with what is carried into their range; without keys that is at most one row a range, which is broadcast."""
-    return own.join(carry if by else F.broadcast(carry), [*by, "_bucket"])
+def _done(df: DataFrame) -> DataFrame:
+    return df.drop("_own", "_carry", "_bucket", "_cut")
 
 
 def running_sum(df: DataFrame, order: str, value: str, name: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = (), inclusive: bool = True) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over all rows up to this one (or before it)."""
-    keys, cut = list(by), bucketed(df, order)
-    carry = _carried(cut, keys, F.sum(value), F.sum)
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    own = cut.withColumn("_own", F.sum(value).over(inner))
+    rows, split = bucketed(df, order, by, ties)
+    inner = Window.partitionBy(*by, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     zero = F.lit(0).cast(df.select(F.sum(value)).schema[0].dataType)
-    return _joined(own, carry, keys).withColumn(name, F.coalesce("_own", zero) + F.coalesce("_carry", zero)).drop("_own", "_carry", "_bucket")
+    own = rows.withColumn("_own", F.coalesce(F.sum(value).over(inner), zero))
+    if not split:
+        return _done(own.withColumn(name, F.col("_own")))
+    return _done(_with_carry(own, rows, by, F.sum(value), F.sum).withColumn(name, F.col("_own") + F.coalesce("_carry", zero)))
 
 
 def last_known(df: DataFrame, order: str, value: str, name: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``name``: the last non-null ``value`` of rows up to this one."""
-    keys, cut = list(by), bucketed(df, order)
+    rows, split = bucketed(df, order, by, ties)
+    inner = Window.partitionBy(*by, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("_own", F.last(value, ignorenulls=True).over(inner))
+    if not split:
+        return _done(own.withColumn(name, F.col("_own")))
     latest = F.max_by(F.struct(F.col(value).alias("v")), F.when(F.col(value).isNotNull(), F.struct(order, *ties)))
-    carry = _carried(cut, keys, latest, lambda c: F.last(c, ignorenulls=True))
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    own = cut.withColumn("_own", F.last(value, ignorenulls=True).over(inner))
-    return _joined(own, carry, keys).withColumn(name, F.coalesce("_own", F.col("_carry")["v"])).drop("_own", "_carry", "_bucket")
+    return _done(_with_carry(own, rows, by, latest, lambda c: F.last(c, ignorenulls=True)).withColumn(name, F.coalesce("_own", F.col("_carry")["v"])))
 
 
 def previous(df: DataFrame, order: str, value: str, name: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``name``: ``value`` of the row before this one, null for the first."""
-    keys, cut = list(by), bucketed(df, order)
+    rows, split = bucketed(df, order, by, ties)
     held = F.struct(F.col(value).alias("v"))
-    carry = _carried(cut, keys, F.max_by(held, F.struct(order, *ties)), lambda c: F.last(c, ignorenulls=True))
-    own = cut.withColumn("_own", F.lag(held).over(Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)))
-    return _joined(own, carry, keys).withColumn(name, F.coalesce("_own", "_carry")["v"]).drop("_own", "_carry", "_bucket")
+    own = rows.withColumn("_own", F.lag(held).over(Window.partitionBy(*by, "_bucket").orderBy(order, *ties)))
+    if not split:
+        return _done(own.withColumn(name, F.col("_own")["v"]))
+    last = F.max_by(held, F.struct(order, *ties))
+    return _done(_with_carry(own, rows, by, last, lambda c: F.last(c, ignorenulls=True)).withColumn(name, F.coalesce("_own", "_carry")["v"]))
 
 
 def numbered(df: DataFrame, order: str, name: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +47,9 @@ def drop_written(df: DataFrame) -> None:
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         files, path = _files(spark, name)
         files.delete(path, True)
+
+
+def hot_keys(counts: DataFrame, n: str = "n", total: int | None = None, least: int = 2) -> DataFrame:
+    """Of keys with their numbers of rows, those that would fill a fourth of a task or more: at most four times as many as there are shuffle partitions."""
+    total = (counts.agg(F.sum(n)).first()[0] or 0) if total is None else total
+    return counts.where(F.col(n) >= max(least, total // (4 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))))

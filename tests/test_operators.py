@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -55,15 +56,78 @@ def test_running_values(spark):
     assert prefix.running_sum(df.limit(0), "x", "v", "s").count() == 0
 
 
-def test_ranges_hold_equally_many_rows(spark):
-    """An outlier and a crowded stretch fill no range, and a single frequent key is cut too."""
-    df = spark.range(1000).selectExpr("CASE WHEN id = 0 THEN 1e12 WHEN id < 500 THEN id / 1e6 ELSE id END AS x", "1L AS v", "'k' AS k")
-    most = prefix.bucketed(df, "x").groupBy("_bucket").count().agg(F.max("count")).first()[0]
-    assert most <= 150
+def test_ranges_hold_equally_many_rows(spark, monkeypatch):
+    """An outlier, a crowded stretch and a crowded place fill no range, and a single frequent key is cut too."""
+    monkeypatch.setattr(prefix, "LEAST_ROWS", 10)
+    df = spark.range(1000).selectExpr("CASE WHEN id = 0 THEN 1e12 WHEN id < 500 THEN id / 1e6 ELSE id END AS x", "1L AS v", "'k' AS k", "id")
+    most = lambda cut: cut[0].groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    assert most(prefix.bucketed(df, "x")) <= 150 and most(prefix.bucketed(df, "x", ("k",))) <= 150
+    assert most(prefix.bucketed(df.selectExpr("7 AS x", "id"), "x", (), ("id",))) <= 150
     assert prefix.running_sum(df, "x", "v", "s", ("k",)).agg(F.max("s")).first()[0] == 1000
+    assert prefix.running_sum(df.selectExpr("7 AS x", "v", "id"), "x", "v", "s", (), ("id",)).agg(F.sum("s")).first()[0] == 500_500
     assert prefix.running_sum(df.selectExpr("7 AS x", "v"), "x", "v", "s").count() == 1000
 
 
+def test_axes_in_ranges(spark, monkeypatch):
+    """A key with most rows is cut, others are not; null keys and null places are kept; all as without ranges."""
+    monkeypatch.setattr(prefix, "LEAST_ROWS", 20)
+    rng = np.random.default_rng(3)
+    rows = [(None if k == 9 else int(k), None if rng.random() < 0.02 else int(x), int(i), int(v) if rng.random() < 0.3 else None) for i, (k, x, v) in enumerate(zip(rng.choice([0, 1, 2, 9], 3000, p=[0.9, 0.03, 0.03, 0.04]), rng.integers(0, 50, 3000), rng.integers(0, 9, 3000), strict=True))]
+    df = spark.createDataFrame(rows, "k int, x int, id long, v long")
+    assert prefix.bucketed(df, "x", ("k",), ("id",))[1]
+    for by in ((), ("k",)):
+        sums = {r["id"]: r["s"] for r in prefix.running_sum(df, "x", "v", "s", by, ("id",)).collect()}
+        last = {r["id"]: r["s"] for r in prefix.last_known(df, "x", "v", "s", by, ("id",)).collect()}
+        before = {r["id"]: r["s"] for r in prefix.previous(df, "x", "v", "s", by, ("id",)).collect()}
+        axes = {}
+        for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            axes.setdefault(r[0] if by else 0, []).append(r)
+        for axis in axes.values():
+            total, latest, one = 0, None, None
+            for _, _, i, v in axis:
+                total, latest = total + (v or 0), latest if v is None else v
+                assert (sums[i], last[i], before[i]) == (total, latest, one)
+                one = v
+
+
+def test_squash_in_ranges(spark, monkeypatch):
+    """Chains across many ranges are one interval; what merges into nothing stays."""
+    monkeypatch.setattr(prefix, "LEAST_ROWS", 20)
+    rng = np.random.default_rng(4)
+    rows = [("hot", k, k + 1) for k in range(2000) if k not in (700, 701, 1500)] + [("hot", 10_000 + 3 * k, 10_001 + 3 * k) for k in range(500)] + [(None, int(x), int(x) + 2) for x in rng.permutation(80)[:40]]
+    rng.shuffle(rows)
+    got = sorted(map(tuple, intervals.squash(spark.createDataFrame([(k, int(a), int(b)) for k, a, b in rows], "k string, left long, right long"), ["k"]).collect()), key=str)
+    want = []
+    for key in ("hot", None):
+        for a, b in sorted((int(a), int(b)) for k, a, b in rows if k == key):
+            if want and want[-1][0] == key and want[-1][4] == a:
+                want[-1] = (key, want[-1][1], max(b, want[-1][2]), want[-1][3] + 1, b)
+            else:
+                want.append((key, a, b, 1, b))
+    assert got == sorted((w[:4] for w in want), key=str)
+
+
+def test_two_thousand_partitions(spark):
+    """Bounds are data, not code: with 2,000 partitions stages still compile, and making bounds takes about the time it takes with 8."""
+    df = spark.range(200_000).selectExpr("pmod(id * 7919, 200003) AS x", "1L AS v")
+    seconds = {}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for n in (8, 8, 2000):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            began = time.time()
+            cut, split = prefix.bucketed(df, "x")
+            seconds[n] = time.time() - began
+            assert split and cut.agg(F.max("_bucket")).first()[0] <= 2 * n
+        found = cut.groupBy("_bucket").count().agg(F.max("count")).first()[0]
+        assert found <= 6 * prefix.LEAST_ROWS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert seconds[2000] < 2 * seconds[8] + 2
+
+
 def test_overlap_join_of_long_and_short(spark):
     """An interval a million bins long takes a few rows, and its pairs are found once."""
     short = spark.range(200).selectExpr("id * 5D AS left", "id * 5D + 2D AS right")
