@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators import sweep
 from kinfold.operators.trees import total_material
-from kinfold.tables import drop_written, written
 
 #: Flag bits of nodes.
 NODE_SAMPLE = 1
@@ -30,57 +30,28 @@ def timed_edges(edges: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) ->
 def mutation_branches(edges: DataFrame, nodes: DataFrame, mutations: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, mutation, length): the branch that each mutation may lie on, through all nodes with a single child at its position.
 
-    From the mutation's node a path goes up while the parent is unary there, and
-    down while the node is; each round joins the edges of all paths that go on.
+    A mutation that no edge stands above has no branch, and a position with two
+    mutations is no infinite site: both are refused.
     """
-    keys = [*by, "mutation"]
-    local = timed_edges(edges, nodes, by)
-    covers = (F.col("left") <= F.col("position")) & (F.col("position") < F.col("right"))
-    span = F.col("parent_time") - F.col("child_time")
-    own = written(mutations.select(*keys, "position", F.col("node").alias("child")).join(local, [*by, "child"]).where(covers).select(*keys, "position", "child", "parent", span.alias("length")), "branches")
-    done = [own.select(*keys, "length")]
-    # up: from a parent with one child at the position, on to its own parent
-    paths, tables = own.select(*keys, "position", "parent"), [own]
-    while True:
-        held = paths.join(local.select(*by, "left", "right", "parent", F.col("child").alias("_child")), [*by, "parent"]).where(covers)
-        unary = held.groupBy(*keys, "position", "parent").agg(F.count_distinct("_child").alias("_n")).where("_n = 1").select(*keys, "position", F.col("parent").alias("child"))
-        paths = written(unary.join(local, [*by, "child"]).where(covers).select(*keys, "position", "parent", span.alias("length")), "branches")
-        tables.append(paths)
-        if paths.isEmpty():
-            break
-        done.append(paths.select(*keys, "length"))
-    # down: from a node with one child at the position, on to that child
-    paths = own.select(*keys, "position", F.col("child").alias("parent"))
-    while True:
-        held = paths.join(local, [*by, "parent"]).where(covers)
-        below = held.groupBy(*keys, "position", "parent").agg(F.count_distinct("child").alias("_n"), F.first("child").alias("child"), F.first(span).alias("length")).where("_n = 1")
-        step = written(below.select(*keys, "position", F.col("child").alias("parent"), "length"), "branches")
-        tables.append(step)
-        if step.isEmpty():
-            break
-        done.append(step.select(*keys, "length"))
-        paths = step.drop("length")
-    every = done[0]
-    for more in done[1:]:
-        every = every.unionByName(more)
-    out = written(every.groupBy(*keys).agg(F.sum("length").alias("length")), "lengths")
-    for table in tables:
-        drop_written(table)
-    return out
+    each = mutations.groupBy(*by, "position").agg(F.count(F.lit(1)).alias("_n"), F.first("mutation").alias("item"), F.first("node").alias("node"))
+    single = F.when(F.col("_n") > 1, F.raise_error(F.lit("two mutations at a position")).cast("double")).otherwise(F.col("position"))
+    found = sweep.unary_branches(edges, nodes, each.select(*by, single.alias("at"), "node", "item"), by)
+    length = F.when(F.col("length").isNull(), F.raise_error(F.lit("a mutation with no edge above it")).cast("double")).otherwise(F.col("length"))
+    return found.select(*by, F.col("item").alias("mutation"), length.alias("length"))
 
 
 def log_mutation_likelihood(edges: DataFrame, nodes: DataFrame, mutations: DataFrame, rate: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, log_likelihood) of mutations of infinite sites at a rate: their Poisson number on all material, and for each the share of its branch. At rate 0 it is 0 without mutations, else minus infinity."""
+    """(by, log_likelihood) of mutations of infinite sites at a rate: their Poisson number on all material, and for each the share of its branch. At rate 0 or without material it is 0 without mutations, else minus infinity."""
     keys = list(by)
     timed = timed_edges(edges, nodes, by)
     material = timed.groupBy(*keys).agg(F.sum((F.col("right") - F.col("left")) * (F.col("parent_time") - F.col("child_time"))).alias("t")) if keys else total_material(timed).withColumnRenamed("material", "t")
     logs = mutation_branches(edges, nodes, mutations, by).groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.sum(F.log("length")).alias("logs"))
     both = material.join(logs, keys, "left") if keys else material.crossJoin(F.broadcast(logs))  # one row each
-    m = F.coalesce("m", F.lit(0))
+    m, t = F.coalesce("m", F.lit(0)), F.coalesce("t", F.lit(0.0))
+    nothing = F.when(m == 0, 0.0).otherwise(float("-inf"))
     if rate == 0:
-        value: Column = F.when(m == 0, 0.0).otherwise(float("-inf"))
-    else:
-        value = m * F.log(F.col("t") * rate) - F.col("t") * rate + F.coalesce("logs", F.lit(0.0)) - m * F.log("t")
+        return both.select(*keys, nothing.alias("log_likelihood"))
+    value: Column = F.when(t > 0, m * F.log(t * rate) - t * rate + F.coalesce("logs", F.lit(0.0)) - m * F.log(t)).otherwise(nothing)
     return both.select(*keys, value.alias("log_likelihood"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators.ancestry import uniform
-from kinfold.operators.prefix import numbered
+from kinfold.operators.prefix import last_known, numbered, running_sum
 from kinfold.tables import drop_written, written
 
 
@@ -101,6 +101,8 @@ def microsatellite(s: float, u: float, v: float, p: float, m: float, low: int, h
     """Repeat counts ``low`` to ``high``: change at a rate that rises by ``s`` a repeat, up with probability ``u`` less ``v`` for each repeat, by one step with probability ``p``, else by a geometric number of steps (``m``) cut at the ends. The root is stationary unless given."""
     if not (0 <= low <= high and 0 < u < 1 and s > -1 / (high - low + 1)):
         raise ValueError("0 <= low <= high, 0 < u < 1 and s > -1/(high-low+1) must hold")
+    if not (0 <= p <= 1 and 0 < m <= 1):
+        raise ValueError("0 <= p <= 1 and 0 < m <= 1 must hold")
     n = high - low + 1
     i, j = np.indices((n, n))
     up, far = j > i, np.abs(j - i)
@@ -124,11 +126,15 @@ def single_step(low: int, high: int) -> Model:
 
 def two_phase(p: float, m: float, low: int, high: int) -> Model:
     """One step with probability ``p``, else a geometric number of steps."""
+    if not (0 < p < 1 and 0 < m < 1):
+        raise ValueError("p and m must lie between 0 and 1")
     return microsatellite(0, 0.5, 0, p, m, low, high)
 
 
 def linear_bias(m: float, u: float, v: float, low: int, high: int) -> Model:
     """Equal rates, geometric steps, and a bias against growth that is linear in the count."""
+    if not (0 < m < 1 and 0 < u < 1):
+        raise ValueError("m and u must lie between 0 and 1")
     return microsatellite(0, u, v, 0, m, low, high)
 
 
@@ -157,20 +163,28 @@ def discrete_sites(mutations: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return whole.drop("site").join(numbered(sites, "position", "site", by), [*by, "position"])
 
 
-def parent_mutations(mutations: DataFrame, ancestors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def parent_mutations(mutations: DataFrame, tour: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, mutation, parent): of the same site, the youngest older mutation on the mutation's own branch or on one above; null if none.
 
-    ``mutations`` has (by, mutation, site, node, time), ``ancestors`` (by, node,
-    ancestor). Of equal times the one with the larger id is the younger.
+    ``mutations`` has (by, mutation, site, node, time), ``tour`` (by, node, enter,
+    leave). A mutation's time must lie on its branch; of equal times on a branch
+    the one with the larger id is the younger. A site's mutations are ranges of the
+    tour, one within another or apart: running along the site, the number of open
+    ranges is a mutation's depth, and its parent is the last one before it that is
+    one less deep.
     """
-    keys = list(by)
-    own = mutations.select(*keys, "site", "mutation", "time", F.col("node").alias("above"))
-    higher = mutations.join(ancestors.select(*keys, "node", F.col("ancestor").alias("above")), [*keys, "node"]).select(*keys, "site", "mutation", "time", "above")
-    upper = mutations.select(*keys, "site", F.col("node").alias("above"), F.col("time").alias("_time"), F.col("mutation").alias("_parent"))
-    older = F.struct(F.col("_time"), -F.col("_parent")) > F.struct(F.col("time"), -F.col("mutation"))
-    met = own.unionByName(higher).join(upper, [*keys, "site", "above"]).where(older)
-    found = met.groupBy(*keys, "mutation").agg(F.min_by("_parent", F.struct(F.col("_time"), -F.col("_parent"))).alias("parent"))
-    return mutations.select(*keys, "mutation").join(found, [*keys, "mutation"], "left")
+    found = mutations.select(*by, "site", "mutation", "node", (-F.col("time")).alias("_age")).join(tour.select(*by, "node", "enter", "leave"), [*by, "node"], "left")
+    alone = F.when(F.col("enter").isNull(), F.col("node"))  # not part of any tree
+    placed = found.select(*by, "site", "mutation", "_age", alone.alias("_alone"), F.coalesce("enter", F.lit(0)).alias("enter"), F.coalesce("leave", F.lit(1)).alias("leave"))
+    axis = (*by, "site", "_alone")
+    ends = F.array(F.struct(F.col("enter").alias("at"), F.lit(1).alias("_in"), F.lit(1).cast("long").alias("d")), F.struct(F.col("leave").alias("at"), F.lit(0).alias("_in"), F.lit(-1).cast("long").alias("d")))
+    events = placed.select(*axis, "mutation", "_age", F.explode(ends).alias("x")).select(*axis, "mutation", "_age", "x.*")
+    deep = written(running_sum(events, "at", "d", "_depth", axis, ("_in", "_age", "mutation")).where("_in = 1"), "depths")
+    none = F.lit(None).cast(mutations.schema["mutation"].dataType)
+    known = deep.select(*axis, F.col("_depth").alias("_level"), "at", "_age", "mutation", F.col("mutation").alias("_known"))
+    asks = deep.select(*axis, (F.col("_depth") - 1).alias("_level"), "at", "_age", "mutation", none.alias("_known"))
+    met = last_known(known.unionByName(asks), "at", "_known", "parent", (*axis, "_level"), ("_age", "mutation"))
+    return met.where("_known IS NULL").select(*by, "mutation", "parent")
 
 
 def _drawn(weights: np.ndarray, draw: Column) -> Column:

@@ -49,39 +49,68 @@ def _numbers(values: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def bucketed(df: DataFrame, order: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
-    """``df`` with ``_bucket``, which rises along each axis, and whether any axis is cut; ``_cut`` says it of a row. A null place comes first."""
+class Cuts:
+    """Where axes are cut: bounds (place, tie) for the one axis, or a small table of bounds by key; none where no axis is long."""
+
+    def __init__(self, by: tuple[str, ...] = (), bounds: tuple[list[float], list[float]] = ((), ()), table: DataFrame | None = None, most: int = 0):
+        self.by, self.bounds, self.table, self.most = by, bounds, table, most
+
+    def __bool__(self) -> bool:
+        return self.most > 0
+
+    def met(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``_places`` and ``_ties``, the bounds of each row's axis, null where it is not cut."""
+        if not self:
+            none = F.lit(None).cast("array<double>")
+            return df.withColumns({"_places": none, "_ties": none})
+        if self.table is None:
+            return df.withColumns({"_places": _numbers(self.bounds[0]), "_ties": _numbers(self.bounds[1])})
+        names = [f"_{c}" for c in self.by]
+        return df.join(F.broadcast(self.table), [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(self.by, names, strict=True)], "left").drop(*names)
+
+    def below(self, place: Column, tie: Column | None = None) -> Column:
+        """How many bounds are at or below (place, tie), without ``tie`` strictly below place."""
+        return F.coalesce(_below(F.col("_places"), F.col("_ties"), place, F.lit(float("-inf")) if tie is None else tie, self.most), F.lit(0))
+
+
+def cuts(df: DataFrame, order: str, by: tuple[str, ...] = (), tie: Column | None = None, least: float = 0) -> Cuts:
+    """Bounds of ranges of about equally many rows: two ranges for each shuffle partition, and at least ``least`` rows in one."""
     spark = df.sparkSession
-    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    number = bool(ties) and isinstance(df.schema[ties[0]].dataType, T.NumericType)
-    place, tie = F.col(order).cast("double"), F.coalesce(F.col(ties[0]).cast("double"), F.lit(float("-inf"))) if number else F.lit(0.0)
+    place, tie = F.col(order).cast("double"), F.lit(0.0) if tie is None else tie
     rows = df.count()
-    whole = df.withColumns({"_bucket": F.lit(0), "_cut": F.lit(False)})
-    if rows < 2 * LEAST_ROWS:
-        return whole, False
-    share = max(LEAST_ROWS, rows / (2 * many))  # rows of a range
+    share = max(LEAST_ROWS, least, rows / (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    if rows < 2 * share:
+        return Cuts(by)
     fraction = min(1.0, SAMPLED / share)
     if not by:
         sample = df.where(place.isNotNull()).select(place.alias("p"), tie.alias("t")).sample(fraction, 17).toArrow()  # some SAMPLED rows a range
         bounds = _quantiles(sample["p"].to_numpy(), sample["t"].to_numpy(), int(rows / share))
-        at = _below(_numbers(bounds[0]), _numbers(bounds[1]), place, tie, len(bounds[0]))
-        return df.withColumns({"_bucket": F.when(place.isNull(), -1).otherwise(at), "_cut": F.lit(True)}), bool(bounds[0])
-    hot = {tuple(r[c] for c in by): r["_n"] for r in hot_keys(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "_n", rows, 2 * LEAST_ROWS).collect()}  # a few keys a task
+        return Cuts(by, bounds, None, len(bounds[0]))
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    hot = {tuple(r[c] for c in by): r["_n"] for r in hot_keys(counts, "_n", rows, int(2 * share) if least else 2 * LEAST_ROWS).collect()}  # a few keys a task
     if not hot:
-        return whole, False
+        return Cuts(by)
     keys = T.StructType([T.StructField(f"_{c}", df.schema[c].dataType) for c in by])
-    same = lambda other: [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
     marked = F.broadcast(spark.createDataFrame(list(hot), keys))
-    sample = df.join(marked, same(marked), "left_semi").where(place.isNotNull()).sample(fraction, 17).select(*by, place.alias("_p"), tie.alias("_t")).collect()
+    sample = df.join(marked, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left_semi").where(place.isNotNull()).sample(fraction, 17).select(*by, place.alias("_p"), tie.alias("_t")).collect()
     of_key: dict[tuple, list[tuple[float, float]]] = {k: [] for k in hot}
     for r in sample:
         of_key[tuple(r[c] for c in by)].append((r["_p"], r["_t"]))
-    cuts = [(*k, *_quantiles(np.array([p for p, _ in x]), np.array([t for _, t in x]), int(hot[k] / share))) for k, x in of_key.items()]
-    table = spark.createDataFrame(cuts, T.StructType([*keys.fields, T.StructField("_p", T.ArrayType(T.DoubleType())), T.StructField("_t", T.ArrayType(T.DoubleType()))]))
-    met = df.join(F.broadcast(table), same(table), "left")
-    at = _below(F.col("_p"), F.col("_t"), place, tie, max(len(c[-1]) for c in cuts))
-    cut = F.col("_p").isNotNull()
-    return met.withColumns({"_bucket": F.when(cut & place.isNull(), -1).when(cut, at).otherwise(0), "_cut": cut}).drop(*keys.names, "_p", "_t"), True
+    found = [(*k, *_quantiles(np.array([p for p, _ in x]), np.array([t for _, t in x]), int(hot[k] / share))) for k, x in of_key.items()]
+    kind = T.ArrayType(T.DoubleType())
+    table = spark.createDataFrame(found, T.StructType([*keys.fields, T.StructField("_places", kind), T.StructField("_ties", kind)]))
+    return Cuts(by, table=table, most=max(len(x[-1]) for x in found))
+
+
+def bucketed(df: DataFrame, order: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """``df`` with ``_bucket``, which rises along each axis, and whether any axis is cut; ``_cut`` says it of a row. A null place comes first."""
+    number = bool(ties) and isinstance(df.schema[ties[0]].dataType, T.NumericType)
+    place, tie = F.col(order).cast("double"), F.coalesce(F.col(ties[0]).cast("double"), F.lit(float("-inf"))) if number else F.lit(0.0)
+    found = cuts(df, order, by, tie)
+    if not found:
+        return df.withColumns({"_bucket": F.lit(0), "_cut": F.lit(False)}), False
+    cut = F.col("_places").isNotNull()
+    return found.met(df).withColumns({"_bucket": F.when(cut & place.isNull(), -1).when(cut, found.below(place, tie)).otherwise(0), "_cut": cut}).drop("_places", "_ties"), True
 
 
 def _with_carry(own: DataFrame, cut: DataFrame, by: tuple[str, ...], within: Column, across) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators.intervals import overlap_join, squash, windows_of
+from kinfold.operators.intervals import overlap_join, windows_of
 from kinfold.operators.prefix import previous, running_sum
 from kinfold.tables import drop_written, written
 
@@ -83,6 +83,25 @@ def ancestors(parents: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         known, reach = known.unionByName(more), 2 * reach
 
 
+def tour(parents: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, node, enter, leave): places of an Euler tour, so that the nodes at or below one are those that enter from its ``enter`` to before its ``leave``.
+
+    A node enters behind its parent and the subtrees of the siblings before it;
+    those steps are added up along the path to the root by doubling.
+    """
+    keys = list(by)
+    every = parents.select(*keys, F.explode(F.array("child", "parent")).alias("node")).distinct()
+    sizes = written(samples_below(parents, every, by).join(parents.select(*keys, F.col("child").alias("node"), F.col("parent").alias("up")), [*keys, "node"], "left"), "sizes")
+    among = running_sum(sizes, "node", "k", "_before", (*by, "up"), inclusive=False)
+    rows = among.select(*keys, "node", "up", F.col("k").alias("size"), (F.col("_before") + F.when(F.col("up").isNull(), 0).otherwise(1)).alias("enter"))
+
+    def step(now: DataFrame) -> DataFrame:
+        above = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("enter").alias("_enter"))
+        return now.join(above, [*keys, "up"], "left").select(*keys, "node", F.col("_up").alias("up"), "size", (F.col("enter") + F.coalesce("_enter", F.lit(0))).alias("enter"))
+
+    return _doubled(rows, keys, "tour", step).select(*keys, "node", "enter", (F.col("enter") + F.col("size")).alias("leave"))
+
+
 def carriers(mutations: DataFrame, edges: DataFrame, samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, site, k): how many samples stand at or below each mutation's node."""
     under = samples_below(edges.select(*by, "parent", "child"), samples, by)
@@ -100,41 +119,12 @@ def local_trees(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def tree_edges(edges: DataFrame, by: tuple[str, ...] = (), width: float = 1.0) -> DataFrame:
-    """(by, tree_left, tree_right, parent, child): every local tree's edges, by an overlap join of trees and edges."""
+    """(by, tree_left, tree_right, parent, child): every local tree's edges, as many rows as all trees have; for questions that ask for them. ``sweep`` answers others from edge differences."""
     trees = local_trees(edges, by)
     met = overlap_join(trees, edges.select(*by, "left", "right", "parent", "child"), width, tuple(by))
     return met.select(*by, F.col("left").alias("tree_left"), F.col("right").alias("tree_right"), "parent", "child")
 
 
-def tree_roots(edges: DataFrame, nodes: DataFrame, by: tuple[str, ...] = (), width: float = 1.0) -> DataFrame:
-    """(by, tree_left, tree_right, n_roots, tmrca): how many parents of a local tree have none themselves, and the time of the oldest of them. ``nodes`` has (by, node, time)."""
-    held = tree_edges(edges, by, width)
-    keys = [*by, "tree_left", "tree_right"]
-    tops = held.select(*keys, F.col("parent").alias("node")).distinct().join(held.select(*keys, F.col("child").alias("node")), [*keys, "node"], "left_anti")
-    return tops.join(nodes.select(*by, "node", "time"), [*by, "node"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_roots"), F.max("time").alias("tmrca"))
-
-
-def genotypes(mutations: DataFrame, edges: DataFrame, samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, site, sample): who carries the derived state, for sites of one mutation (by, site, position, node).
-
-    Carriers are handed down from a mutation's node, edge by edge, within the
-    edges that hold its position; each round is a join, and only what was reached
-    in the round before goes on. A row a carrier and site is the matrix's ones.
-    """
-    keys = list(by)
-    now = written(mutations.select(*keys, "site", "position", "node"), "carriers")
-    found = [now]
-    while not now.isEmpty():
-        down = now.join(edges.select(*keys, "left", "right", F.col("parent").alias("node"), "child"), [*keys, "node"])
-        inside = (F.col("left") <= F.col("position")) & (F.col("position") < F.col("right"))
-        now = written(down.where(inside).select(*keys, "site", "position", F.col("child").alias("node")).distinct(), "carriers")
-        found.append(now)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.join(samples.select(*keys, "node").distinct(), [*keys, "node"]).select(*keys, "site", F.col("node").alias("sample")).distinct()
-
-
 def haplotypes(carried: DataFrame, sites: DataFrame, samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, sample, haplotype): a string of 0 and 1 along the sites (by, site, position) for each sample."""
     keys = list(by)
@@ -160,37 +150,6 @@ def delete_intervals(edges: DataFrame, gaps: DataFrame, width: float = 1.0) -> D
     return every.join(copies, "_edge").select(*others, F.explode(F.flatten(F.array_repeat(pieces, F.col("_times").cast("int")))).alias("p")).select("p.a", "p.b", *[c for c in edges.columns if c not in ("left", "right")]).withColumnsRenamed({"a": "left", "b": "right"}).select(*edges.columns)
 
 
-def simplify(edges: DataFrame, samples: DataFrame, by: tuple[str, ...] = (), width: float = 1.0) -> DataFrame:
-    """(by, left, right, parent, child): the edges of the samples' own genealogy, under the nodes' old numbers.
-
-    Of each local tree stay the samples and the nodes where two or more lines of
-    samples meet; each of them is joined to the nearest one above it, found by
-    doubling, and equal edges of neighbouring trees are merged. Nodes without
-    samples below, nodes passed by one line only and what stands above the last
-    meeting go. A sample without an edge has none here. There is a row for each
-    edge and local tree on the way.
-    """
-    keys = [*by, "tree_left", "tree_right"]
-    held = written(tree_edges(edges, by, width), "tree_edges")
-    nodes = held.select(*keys, F.explode(F.array("parent", "child")).alias("node")).distinct()
-    marked = nodes.join(samples.select(*by, "node").distinct(), [*by, "node"], "left_semi").select(*keys, "node")
-    lines = samples_below(held, marked, tuple(keys)).where("k > 0").select(*keys, F.col("node").alias("child"))
-    living = written(held.join(lines, [*keys, "child"], "left_semi"), "living")
-    meeting = living.groupBy(*keys, F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_lines")).where("_lines > 1").select(*keys, "node")
-    kept = written(marked.union(meeting).distinct(), "kept")
-    stops = kept.select(*keys, F.col("node").alias("parent"), F.lit(True).alias("_stop"))
-    first = living.join(stops, [*keys, "parent"], "left")
-    rows = first.select(*keys, F.col("child").alias("node"), F.when(F.col("_stop").isNull(), F.col("parent")).alias("up"), F.when(F.col("_stop"), F.col("parent")).alias("top"))
-
-    def step(now: DataFrame) -> DataFrame:
-        above = now.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"))
-        return now.join(above, [*keys, "up"], "left").select(*keys, "node", F.col("_up").alias("up"), F.coalesce("top", "_top").alias("top"))
-
-    found = _doubled(rows, keys, "nearest", step).where("top IS NOT NULL").join(kept, [*keys, "node"], "left_semi")
-    each = found.select(*by, F.col("tree_left").alias("left"), F.col("tree_right").alias("right"), F.col("top").alias("parent"), F.col("node").alias("child"))
-    return squash(each, [*by, "parent", "child"]).select(*by, "left", "right", "parent", "child")
-
-
 def frequency_spectrum(sites: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, k, n_sites) from one row a site with its number of derived copies."""
     return sites.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n_sites"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import ratemap
-from kinfold.operators import ancestry, demography, intervals, likelihood, models, mutations, pedigrees, trees
+from kinfold.operators import demography, intervals, likelihood, models, mutations, pedigrees, sweep, trees
 from kinfold.sources import newick
 
 
@@ -155,19 +155,6 @@ def migration_records(spark, sf_dir):
     return moved.groupBy("user_id", "source", "dest").agg(F.count(F.lit(1)).alias("n"))
 
 
-def simulated_trees(spark, sf_dir):
-    """Edges of a genealogy of ten samples for each supplier."""
-    return ancestry.coalescent_trees(spark, _table(spark, sf_dir, "supplier").count(), 10, seed=11)
-
-
-def simulated_spectrum(spark, sf_dir):
-    """Frequency spectrum of mutations on those genealogies."""
-    edges = simulated_trees(spark, sf_dir)
-    sites = ancestry.place_mutations(edges, 0.5, seed=12)
-    samples = edges.where("child < 10").select("replicate", F.col("child").alias("node"))
-    return trees.frequency_spectrum(trees.carriers(sites, edges, samples, ("replicate",)))
-
-
 def _nation_models(spark, sf_dir):
     """Island models, one for each nation, and four events of each: a changed rate, a changed size, a symmetric change and a split."""
     nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("model"), (F.col("n_regionkey") + 2).cast("int").alias("n"), (F.col("n_nationkey") + 100).alias("size"), F.lit(0.0).alias("growth_rate"), ((F.col("n_nationkey") + 1) / 1024).alias("rate"))
@@ -265,18 +252,18 @@ def samples_below(spark, sf_dir):
 def log_mutation_likelihood(spark, sf_dir):
     """Of a mutation on every part of the heap whose size is a multiple of five."""
     edges, nodes = _part_tree(spark, sf_dir)
-    mutated = _table(spark, sf_dir, "part").where("p_size % 5 = 0 AND p_partkey > 1").select(F.col("p_partkey").cast("long").alias("mutation"), F.lit(0.5).alias("position"), F.col("p_partkey").cast("long").alias("node"))
+    mutated = _table(spark, sf_dir, "part").where("p_size % 5 = 0 AND p_partkey > 1").select(F.col("p_partkey").cast("long").alias("mutation"), (F.col("p_partkey") / (1 << 40)).alias("position"), F.col("p_partkey").cast("long").alias("node"))
     found = likelihood.log_mutation_likelihood(edges, nodes, mutated, 0.001)
     return found.select(F.floor(F.col("log_likelihood") * 100).alias("centi_log"))
 
 
 def genotype_carriers(spark, sf_dir):
     """How many of the heap's lower half carry the derived state of each mutated part."""
-    edges, _ = _part_tree(spark, sf_dir)
+    edges, nodes = _part_tree(spark, sf_dir)
     parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node"), "p_size")
     half = parts.count() // 2
     mutated = parts.where("p_size % 10 = 0").select(F.col("node").alias("site"), F.lit(0.5).alias("position"), "node")
-    carried = trees.genotypes(mutated, edges, parts.where(F.col("node") > half))
+    carried = sweep.genotypes(edges, nodes.withColumn("sample", F.col("node") > half), mutated)
     return carried.groupBy("site").agg(F.count(F.lit(1)).alias("carriers"))
 
 
@@ -285,8 +272,7 @@ def parent_mutations(spark, sf_dir):
     edges, nodes = _part_tree(spark, sf_dir)
     parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node"), F.col("p_size").cast("long").alias("site"))
     mutated = parts.join(nodes, "node").select(F.col("node").alias("mutation"), "site", "node", "time")
-    above = trees.ancestors(edges.select("parent", "child")).select("node", "ancestor")
-    return mutations.parent_mutations(mutated, above)
+    return mutations.parent_mutations(mutated, trees.tour(edges.select("parent", "child")))
 
 
 def local_tree_count(spark, sf_dir):
@@ -365,19 +351,43 @@ def _two_heaps(spark, sf_dir):
     return one.unionByName(parts.select(F.lit(1).cast("long").alias("left"), F.lit(2).cast("long").alias("right"), higher.alias("parent"), key.alias("child"), "p_size"))
 
 
+def _heap_samples(spark, sf_dir):
+    """Nodes of the heap with those parts as samples whose size is a multiple of four."""
+    _, nodes = _part_tree(spark, sf_dir)
+    samples = _table(spark, sf_dir, "part").where("p_size % 4 = 0 AND p_partkey > 0").select(F.col("p_partkey").cast("long").alias("node"), F.lit(True).alias("sample"))
+    return nodes.join(samples, "node", "left")
+
+
 def simplified_edges(spark, sf_dir):
     """The two trees of parts, reduced to those whose size is a multiple of four."""
-    samples = _table(spark, sf_dir, "part").where("p_size % 4 = 0 AND p_partkey > 0").select(F.col("p_partkey").cast("long").alias("node"))
-    return trees.simplify(_two_heaps(spark, sf_dir).drop("p_size"), samples)
+    return sweep.simplify(_two_heaps(spark, sf_dir).drop("p_size"), _heap_samples(spark, sf_dir))
 
 
 def tree_roots(spark, sf_dir):
     """Roots of the two trees of parts without the edges of every seventh size, and the oldest one's time."""
     _, nodes = _part_tree(spark, sf_dir)
-    found = trees.tree_roots(_two_heaps(spark, sf_dir).where("p_size % 7 <> 0"), nodes)
+    found = sweep.tree_roots(_two_heaps(spark, sf_dir).where("p_size % 7 <> 0"), nodes)
     return found.select(F.col("tree_left").alias("left"), F.col("tree_right").alias("right"), "n_roots", "tmrca")
 
 
+def branch_diversity(spark, sf_dir):
+    """Branch lengths between pairs of samples in each of the two trees of parts, summed over all pairs."""
+    found = sweep.branch_statistics(_two_heaps(spark, sf_dir), _heap_samples(spark, sf_dir), 1)
+    return found.select(F.col("window").cast("long").alias("window"), F.col("pairs").cast("long").alias("pairs"), F.floor(F.col("diversity") * 10000 + 0.01).alias("scaled_diversity"))
+
+
+def branch_segregating(spark, sf_dir):
+    """Length of branches that tell samples apart, in each of the two trees of parts."""
+    found = sweep.branch_statistics(_two_heaps(spark, sf_dir), _heap_samples(spark, sf_dir), 1)
+    return found.select(F.col("window").cast("long").alias("window"), F.col("segregating").cast("long").alias("length"))
+
+
+def branch_spectrum(spark, sf_dir):
+    """Length of branches by the number of samples below, in each of the two trees of parts."""
+    found = sweep.branch_spectrum(_two_heaps(spark, sf_dir), _heap_samples(spark, sf_dir), 1)
+    return found.select(F.col("window").cast("long").alias("window"), "k", F.col("length").cast("long").alias("length"))
+
+
 def edges_without_gaps(spark, sf_dir):
     """The lines' spans without the seven positions from every fiftieth on that a part stands for."""
     lines = _table(spark, sf_dir, "lineitem")
@@ -412,9 +422,9 @@ QUERIES = {
     for f in (
         ratemap_cumulative_mass, ratemap_get_rate, ratemap_get_cumulative_mass, ratemap_slice, ratemap_summary, ratemap_missing, ratemap_faults, overlap_sweep, edge_squash, census_nodes, breakpoints,
         interval_overlap_join, migration_matrix, epoch_state, population_size_trajectory, total_material, site_frequency_spectrum, nucleotide_diversity_pairs, children_count_unary, tree_depth, migration_records,
-        simulated_trees, simulated_spectrum, lineage_locations, epoch_matrix, population_size_history, population_states, model_faults, event_proportions, coalescence_rate_trajectory, mean_coalescence_time,
+        lineage_locations, epoch_matrix, population_size_history, population_states, model_faults, event_proportions, coalescence_rate_trajectory, mean_coalescence_time,
         samples_below, log_mutation_likelihood, genotype_carriers, parent_mutations, local_tree_count, segregating_by_window, tajimas_d, discrete_sites, mutation_matrices, newick_nodes,
-        ratemap_find_index, ratemap_mass_to_position, ratemap_slice_missing, hotspots, simplified_edges, tree_roots, edges_without_gaps, pedigree_genomes, pedigree_faults,
+        ratemap_find_index, ratemap_mass_to_position, ratemap_slice_missing, hotspots, simplified_edges, tree_roots, branch_diversity, branch_segregating, branch_spectrum, edges_without_gaps, pedigree_genomes, pedigree_faults,
     )
 }
 
@@ -437,6 +447,12 @@ def _heap_time(k: str) -> str:
     return _HEAP_TIME.replace("{k}", k)
 
 
+#: Branches (window, child, samples below, length) of both trees of parts; every sample is counted at all nodes above it.
+_BRANCHES = f"""h AS (SELECT x, k, p FROM {_HEAPS}), up AS (SELECT x, CAST(p_partkey AS BIGINT) AS s, CAST(p_partkey AS BIGINT) AS v FROM part, range(2) t(x) WHERE p_partkey > 0 AND p_size % 4 = 0
+UNION ALL SELECT u.x, s, p FROM up u JOIN h ON h.x = u.x AND h.k = u.v), below AS (SELECT x, v, count(*) AS n FROM up GROUP BY x, v), total AS (SELECT count(*) AS t FROM part WHERE p_partkey > 0 AND p_size % 4 = 0),
+branches AS (SELECT h.x, h.k, n, t, CAST({_heap_time('p')} - {_heap_time('k')} AS BIGINT) AS length FROM h JOIN below b ON b.x = h.x AND b.v = h.k, total WHERE n < t)"""
+
+
 def _slice_sql(left: str, right: str) -> str:
     """The slice; an unknown interval that a flank touches is drawn to the map's end."""
     return f"""WITH m AS (SELECT * FROM {_MAP}), b AS (SELECT {left} AS a, {right} AS z, (SELECT min(l) FROM m) AS lo, (SELECT max(r) FROM m) AS hi),
@@ -534,6 +550,9 @@ e AS (SELECT h.x, h.k, h.p FROM {_HEAPS} h JOIN u ON u.x = h.x AND u.k = h.k),
 kept AS (SELECT x, k FROM (VALUES (0), (1)) t(x), s UNION SELECT x, p FROM e GROUP BY x, p HAVING count(*) > 1),
 w(x, k, top) AS (SELECT e.x, e.k, e.p FROM e JOIN kept USING (x, k) UNION ALL SELECT w.x, w.k, e.p FROM w JOIN e ON e.x = w.x AND e.k = w.top WHERE NOT EXISTS (SELECT 1 FROM kept q WHERE q.x = w.x AND q.k = w.top))
 SELECT CAST(min(w.x) AS BIGINT) AS "left", CAST(max(w.x) + 1 AS BIGINT) AS "right", w.top AS parent, w.k AS child FROM w JOIN kept q ON q.x = w.x AND q.k = w.top GROUP BY w.top, w.k""",
+    "branch_diversity": f"WITH RECURSIVE {_BRANCHES} SELECT CAST(x AS BIGINT) AS window, CAST(sum(n * (t - n) * length) AS BIGINT) AS pairs, CAST(floor(2.0::DOUBLE * sum(n * (t - n) * length) / (t * (t - 1)) * 10000 + 0.01) AS BIGINT) AS scaled_diversity FROM branches GROUP BY x, t",
+    "branch_segregating": f"WITH RECURSIVE {_BRANCHES} SELECT CAST(x AS BIGINT) AS window, CAST(sum(length) AS BIGINT) AS length FROM branches GROUP BY x",
+    "branch_spectrum": f"WITH RECURSIVE {_BRANCHES} SELECT CAST(x AS BIGINT) AS window, n AS k, CAST(sum(length) AS BIGINT) AS length FROM branches GROUP BY x, n",
     "tree_roots": f"""WITH h AS (SELECT * FROM {_HEAPS} WHERE p_size % 7 <> 0), r AS (SELECT DISTINCT x, p FROM h WHERE NOT EXISTS (SELECT 1 FROM h c WHERE c.x = h.x AND c.k = h.p))
 SELECT CAST(x AS BIGINT) AS "left", CAST(x + 1 AS BIGINT) AS "right", count(*) AS n_roots, max({_heap_time("p")}) AS tmrca FROM r GROUP BY x""",
     "edges_without_gaps": """WITH e AS (SELECT row_number() OVER () AS id, CAST(l_orderkey AS BIGINT) AS l, CAST(l_orderkey + l_linenumber * 5 AS BIGINT) AS r, CAST(l_linenumber AS BIGINT) AS line FROM lineitem),

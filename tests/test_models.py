@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import demography, likelihood, models, mutations, trees
+from kinfold.operators import demography, likelihood, models, mutations, sweep, trees
 from kinfold.sources import newick
 
 
@@ -122,16 +122,20 @@ def test_likelihoods(spark, by):
         assert all(abs(x["log_likelihood"] - want) < 1e-9 for x in got.collect()) and got.count() == (3 if by else 1)
     with pytest.raises(ValueError):
         likelihood.log_arg_likelihood(edges, nodes, 1.0, 0)
+    for extra in ((5, 0.9, 7), (5, 0.9, 99), (5, 0.1, 1)):  # above the root, in no tree, at a place that has one
+        more = mutated.unionByName(many(spark.createDataFrame([extra], "mutation long, position double, node long")))
+        with pytest.raises(Exception, match="no edge above|two mutations"):
+            likelihood.log_mutation_likelihood(edges, nodes, more, 0.5, by).collect()
 
 
 def test_local_trees_genotypes_and_gaps(spark):
     nodes = spark.createDataFrame(NODES, "node long, flags int, time double")
     edges = spark.createDataFrame(EDGES, "left double, right double, parent long, child long")
     assert rows(trees.local_trees(edges), "left") == [(0, 0.5), (0.5, 1)]
-    assert rows(trees.tree_roots(edges, nodes), "tree_left") == [(0, 0.5, 1, 1.0), (0.5, 1, 1, 1.0)]
+    assert rows(sweep.tree_roots(edges, nodes), "tree_left") == [(0, 0.5, 1, 1.0), (0.5, 1, 1, 1.0)]
     samples = nodes.where("flags = 1")
     sites = spark.createDataFrame([(0, 0.1, 5), (1, 0.6, 6), (2, 0.7, 3)], "site long, position double, node long")
-    carried = trees.genotypes(sites, edges, samples)
+    carried = sweep.genotypes(edges, nodes.withColumn("sample", F.col("flags") == 1), sites)
     assert rows(carried, "site", "sample") == [(0, 1), (0, 2), (1, 0), (1, 2)]
     assert rows(trees.haplotypes(carried, sites, samples), "sample") == [(0, "010"), (1, "100"), (2, "110")]
     gaps = spark.createDataFrame([(0.2, 0.3), (0.4, 0.75)], "left double, right double")

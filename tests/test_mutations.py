@@ -21,8 +21,7 @@ def test_states_follow_the_tree(spark):
     edges = ancestry.coalescent_trees(spark, 3, 6, seed=3)
     placed = mutations.discrete_sites(ancestry.place_mutations(edges, 4.0, length=5.0, seed=4), ("replicate",))
     placed = spark.createDataFrame([(*r, n) for n, r in enumerate(placed.select("replicate", "site", "node", "time").collect())], "replicate long, site int, node long, time double, mutation long")
-    above = trees.ancestors(edges.select("replicate", "parent", "child"), ("replicate",)).select("replicate", "node", "ancestor")
-    parents = mutations.parent_mutations(placed, above, ("replicate",))
+    parents = mutations.parent_mutations(placed, trees.tour(edges.select("replicate", "parent", "child"), ("replicate",)), ("replicate",))
     up = {(r.replicate, r.child): r.parent for r in edges.collect()}
     rows = placed.collect()
     got = {r.mutation: r.parent for r in parents.collect()}
@@ -46,6 +45,26 @@ def test_states_follow_the_tree(spark):
     assert changed.count() == sum(r.parent_state != r.derived_state for r in states.values())
 
 
+def test_bounds_of_parameters():
+    for bad in (lambda: mutations.two_phase(0, 0.5, 1, 5), lambda: mutations.two_phase(0.5, 1, 1, 5), lambda: mutations.two_phase(1.5, 0.5, 1, 5), lambda: mutations.linear_bias(1.0, 0.5, 0, 1, 5), lambda: mutations.microsatellite(0, 0.5, 0, -0.1, 0.5, 1, 5), lambda: mutations.microsatellite(0, 0.5, 0, 0.5, 2, 1, 5)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_parents_by_ranges_of_the_tour(spark, monkeypatch):
+    """A chain of 100,000 nodes, all mutated at one site, some twice: no pair of node and ancestor is made."""
+    n = 100_000
+    tour = trees.tour(spark.range(1, n).selectExpr("id - 1 AS parent", "id AS child"))
+    assert tour.where(f"enter <> node OR leave <> {n}").count() == 0
+    once = spark.range(n).selectExpr("id AS mutation", "0 AS site", "id AS node", f"double({n} - id) AS time")
+    twice = spark.range(0, n, 1000).selectExpr(f"id + {n} AS mutation", "0 AS site", "id AS node", f"{n} - id + 0.5D AS time")
+    lost = spark.createDataFrame([(-2, 0, -7, 2.0), (-1, 0, -7, 1.0)], "mutation long, site int, node long, time double")
+    got = mutations.parent_mutations(once.unionByName(twice).unionByName(lost), tour)
+    wrong = got.where(f"mutation >= 0 AND NOT (parent <=> CASE WHEN mutation >= {n} THEN CASE WHEN mutation > {n} THEN mutation - {n} - 1 END WHEN mutation % 1000 = 0 THEN mutation + {n} ELSE mutation - 1 END)")
+    assert wrong.count() == 0 and got.count() == n + n // 1000 + 2
+    assert sorted(map(tuple, got.where("mutation < 0").collect())) == [(-2, None), (-1, -2)]
+
+
 def test_infinite_alleles(spark):
     rows = spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 2.0)], "mutation long, time double")
     assert {r.mutation: r.derived_state for r in mutations.infinite_alleles(rows).collect()} == {1: "1", 2: "2", 0: "3"}
@@ -53,7 +72,7 @@ def test_infinite_alleles(spark):
 
 def test_none(spark):
     none = spark.createDataFrame([], "mutation long, site int, node long, time double, position double")
-    above = spark.createDataFrame([], "node long, ancestor long")
-    parents = mutations.parent_mutations(none, above)
+    tour = trees.tour(spark.createDataFrame([], "parent long, child long"))
+    parents = mutations.parent_mutations(none, tour)
     assert mutations.with_states(none, parents, mutations.jukes_cantor_model()).count() == 0
     assert mutations.discrete_sites(none).select(F.max("site")).first()[0] is None

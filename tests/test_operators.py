@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions import ratemap
-from kinfold.operators import ancestry, demography, intervals, prefix, trees
+from kinfold.operators import ancestry, demography, intervals, prefix, sweep, trees
 from kinfold.sources import texts
 from kinfold.streaming import census
 
@@ -256,11 +256,13 @@ def test_simplify(spark):
     edges = [(0, 3, 5, 4), (0, 3, 4, 2), (0, 2, 5, 1), (2, 3, 6, 1), (0, 2, 6, 3), (2, 3, 5, 3), (0, 3, 6, 5), (0, 3, 9, 6), (0, 3, 8, 7)]
     df = spark.createDataFrame(edges, "left long, right long, parent long, child long")
     samples = spark.createDataFrame([(1,), (2,), (3,), (3,), (77,)], "node long")
-    found = trees.simplify(df, samples)
+    nodes = spark.range(100).selectExpr("id AS node", "double(id) AS time")
+    simplify = lambda e, s: sweep.simplify(e, nodes.join(s.distinct().withColumn("sample", F.lit(True)), "node", "left"))
+    found = simplify(df, samples)
     want = {(0, 3, 5, 2), (0, 2, 5, 1), (2, 3, 6, 1), (0, 2, 6, 3), (2, 3, 5, 3), (0, 3, 6, 5)}
     assert found.columns == df.columns and sorted(map(tuple, found.collect())) == sorted(want)
-    again = trees.simplify(found, samples)
+    again = simplify(found, samples)
     assert sorted(map(tuple, again.collect())) == sorted(want)
     inner = spark.createDataFrame([(4,), (2,)], "node long")  # a sample above another
-    assert [tuple(r) for r in trees.simplify(df, inner).collect()] == [(0, 3, 4, 2)]
-    assert trees.simplify(df.limit(0), samples).count() == 0
+    assert [tuple(r) for r in simplify(df, inner).collect()] == [(0, 3, 4, 2)]
+    assert simplify(df.limit(0), samples).count() == 0
