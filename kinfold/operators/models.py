@@ -64,6 +64,16 @@ def absolute(sequence: Column) -> Column:
     return F.transform(sequence, lambda s, i: s * left(i))
 
 
+def _not_active(populations: DataFrame, events: DataFrame) -> DataFrame:
+    """(model, seq) of splits and admixtures whose derived populations are not active when they happen."""
+    changes = state_changes(populations, events)
+    asked = events.where("kind IN ('population_split', 'admixture')").select("model", "seq", "time", F.explode("populations").alias("population"))
+    before = changes.select("model", "population", F.col("time").alias("_time"), F.col("seq").alias("_seq"), "state")
+    earlier = F.struct("_time", "_seq") < F.struct("time", "seq")
+    last = asked.join(before, ["model", "population"]).where(earlier).groupBy("model", "seq", "population").agg(F.max_by("state", F.struct("_time", "_seq")).alias("state"))
+    return last.where("state <> 'active'").select("model", "seq").distinct()
+
+
 def faults(populations: DataFrame, migration: DataFrame, events: DataFrame) -> DataFrame:
     """(model, fault, what): what a model breaks. Every check is a filter or an anti-join."""
 
@@ -87,6 +97,7 @@ def faults(populations: DataFrame, migration: DataFrame, events: DataFrame) -> D
         found(events.where((F.col("kind") == "admixture") & ((F.abs(total - 1) > 1e-9) | (F.size("proportions") != F.size("others")))), "proportions of an admixture", "seq"),
         found(events.where((F.col("kind") == "mass_migration") & (F.col("populations") == F.col("others"))), "migration to itself", "seq"),
     ]
+    parts.append(found(_not_active(populations, events), "derived population not active", "seq"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -152,17 +163,22 @@ def size_history(populations: DataFrame, events: DataFrame) -> DataFrame:
     return rows.select("model", "population", F.transform("_s", lambda x: x["start_size"]).alias("sizes"))
 
 
-def epoch_states(populations: DataFrame, events: DataFrame) -> DataFrame:
-    """(model, epoch, population, state): inactive, active or previously active. Ancestral populations of splits start inactive unless said otherwise."""
-    splits = events.where("kind = 'population_split'")
-    ancestral = splits.select("model", F.get("others", F.lit(0)).alias("population")).distinct().withColumn("_ancestral", F.lit(True))
+def state_changes(populations: DataFrame, events: DataFrame) -> DataFrame:
+    """(model, seq, time, population, state): what populations are at first and become. Ancestral populations of splits start inactive unless said otherwise; a split and an admixture activate theirs and end the derived ones."""
+    ancestral = events.where("kind = 'population_split'").select("model", F.get("others", F.lit(0)).alias("population")).distinct().withColumn("_ancestral", F.lit(True))
     first = populations.join(ancestral, ["model", "population"], "left").select(
         "model", F.lit(-1).alias("seq"), F.lit(0.0).alias("time"), "population", F.when(F.coalesce("initially_active", F.col("_ancestral").isNull()), "active").otherwise("inactive").alias("state")
     )
-    wakes = splits.select("model", "seq", "time", F.get("others", F.lit(0)).alias("population"), F.lit("active").alias("state"))
-    named = events.where("kind = 'activate'").select("model", "seq", "time", F.explode("populations").alias("population"), F.lit("active").alias("state"))
-    rests = events.where("kind IN ('population_split', 'admixture', 'deactivate')").select("model", "seq", "time", F.explode("populations").alias("population"), F.lit("previously active").alias("state"))
-    return _as_of(epoch_bounds(populations, events), first.unionByName(wakes).unionByName(named).unionByName(rests), ["population"], "state")
+    moves = F.col("kind").isin("population_split", "admixture")
+    become = lambda df, whom, state: df.select("model", "seq", "time", F.explode(whom).alias("population"), F.lit(state).alias("state"))
+    wakes = become(events.where(moves), "others", "active").unionByName(become(events.where("kind = 'activate'"), "populations", "active"))
+    rests = become(events.where(moves | (F.col("kind") == "deactivate")), "populations", "previously active")
+    return first.unionByName(wakes).unionByName(rests)
+
+
+def epoch_states(populations: DataFrame, events: DataFrame) -> DataFrame:
+    """(model, epoch, population, state): inactive, active or previously active, from ``state_changes``."""
+    return _as_of(epoch_bounds(populations, events), state_changes(populations, events), ["population"], "state")
 
 
 def misspecified(populations: DataFrame, migration: DataFrame, events: DataFrame) -> DataFrame:

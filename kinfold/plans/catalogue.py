@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import ratemap
 from kinfold.operators import demography, intervals, likelihood, models, mutations, pedigrees, sweep, trees
-from kinfold.sources import newick
+from kinfold.sources import demes, newick, texts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -417,6 +417,38 @@ def pedigree_faults(spark, sf_dir):
     return pedigrees.faults(_part_pedigree(spark, sf_dir))
 
 
+def pedigree_of_names(spark, sf_dir):
+    """Parts as individuals with names, numbered along them; every eleventh size has a parent that is nobody."""
+    key = F.col("p_partkey").cast("long")
+    named = lambda k: F.concat(F.lit("i"), k.cast("string"))
+    parts = _table(spark, sf_dir, "part").where("p_partkey > 0").select(named(key).alias("id"), F.when(key > 1, named(F.floor(key / 2))).alias("parent0"), F.when(F.col("p_size") % 11 == 0, "nobody").when(key > 3, named(F.floor(key / 3))).alias("parent1"), F.lit(0.0).alias("time"))
+    return texts.numbered_pedigree(parts)[0].select("id", "parent0", "parent1")
+
+
+def demes_epochs(spark, sf_dir):
+    """Sizes in the epochs of a graph of three demes for each supplier, read from text in years."""
+    key = F.col("s_suppkey").cast("long")
+    text = """{"time_units": "years", "generation_time": 4, "defaults": {"epoch": {"start_size": 1000}}, "demes": [
+        {"name": "X", "epochs": [{"end_time": %s}]}, {"name": "A", "ancestors": ["X"]},
+        {"name": "B", "ancestors": ["X"], "epochs": [{"start_size": %s, "end_time": 160}, {"start_size": 64, "end_size": 128}]}],
+        "migrations": [{"demes": ["A", "B"], "rate": 0.001953125}], "pulses": [{"sources": ["A"], "dest": "B", "time": 80, "proportions": [0.25]}]}"""
+    graphs = _table(spark, sf_dir, "supplier").select(key.alias("model"), F.format_string(text, (key % 50 * 4 + 400).cast("string"), (key % 7 + 256).cast("string")).alias("text"))
+    populations, _, events, _ = demes.from_demes(graphs)
+    found = models.epoch_sizes(populations, events)
+    return found.select("model", F.col("epoch").cast("long").alias("epoch"), F.col("population").cast("long").alias("population"), F.col("start_time").cast("long").alias("start"), F.floor(F.col("start_size") * 1000 + 0.001).alias("milli_size"))
+
+
+def demes_states(spark, sf_dir):
+    """States of four demes of a graph for each supplier, the last of which is a mixture of two that one splits into."""
+    key = F.col("s_suppkey").cast("long")
+    text = """{"demes": [{"name": "R", "epochs": [{"start_size": 10, "end_time": %s}]}, {"name": "A", "ancestors": ["R"], "epochs": [{"start_size": 5, "end_time": 10}]},
+        {"name": "B", "ancestors": ["R"], "epochs": [{"start_size": 6, "end_time": 10}]}, {"name": "C", "ancestors": ["A", "B"], "proportions": [0.25, 0.75], "start_time": 10, "epochs": [{"start_size": 7}]}]}"""
+    graphs = _table(spark, sf_dir, "supplier").select(key.alias("model"), F.format_string(text, (key % 50 + 20).cast("string")).alias("text"))
+    populations, _, events, _ = demes.from_demes(graphs)
+    found = models.epoch_states(populations, events)
+    return found.select("model", F.col("epoch").cast("long").alias("epoch"), F.col("population").cast("long").alias("population"), "state")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -424,7 +456,7 @@ QUERIES = {
         interval_overlap_join, migration_matrix, epoch_state, population_size_trajectory, total_material, site_frequency_spectrum, nucleotide_diversity_pairs, children_count_unary, tree_depth, migration_records,
         lineage_locations, epoch_matrix, population_size_history, population_states, model_faults, event_proportions, coalescence_rate_trajectory, mean_coalescence_time,
         samples_below, log_mutation_likelihood, genotype_carriers, parent_mutations, local_tree_count, segregating_by_window, tajimas_d, discrete_sites, mutation_matrices, newick_nodes,
-        ratemap_find_index, ratemap_mass_to_position, ratemap_slice_missing, hotspots, simplified_edges, tree_roots, branch_diversity, branch_segregating, branch_spectrum, edges_without_gaps, pedigree_genomes, pedigree_faults,
+        ratemap_find_index, ratemap_mass_to_position, ratemap_slice_missing, hotspots, simplified_edges, tree_roots, branch_diversity, branch_segregating, branch_spectrum, edges_without_gaps, pedigree_genomes, pedigree_faults, pedigree_of_names, demes_epochs, demes_states,
     )
 }
 
@@ -550,6 +582,13 @@ e AS (SELECT h.x, h.k, h.p FROM {_HEAPS} h JOIN u ON u.x = h.x AND u.k = h.k),
 kept AS (SELECT x, k FROM (VALUES (0), (1)) t(x), s UNION SELECT x, p FROM e GROUP BY x, p HAVING count(*) > 1),
 w(x, k, top) AS (SELECT e.x, e.k, e.p FROM e JOIN kept USING (x, k) UNION ALL SELECT w.x, w.k, e.p FROM w JOIN e ON e.x = w.x AND e.k = w.top WHERE NOT EXISTS (SELECT 1 FROM kept q WHERE q.x = w.x AND q.k = w.top))
 SELECT CAST(min(w.x) AS BIGINT) AS "left", CAST(max(w.x) + 1 AS BIGINT) AS "right", w.top AS parent, w.k AS child FROM w JOIN kept q ON q.x = w.x AND q.k = w.top GROUP BY w.top, w.k""",
+    "pedigree_of_names": """WITH p AS (SELECT 'i' || p_partkey AS id, CASE WHEN p_partkey > 1 THEN 'i' || p_partkey // 2 END AS a, CASE WHEN p_size % 11 = 0 THEN 'nobody' WHEN p_partkey > 3 THEN 'i' || p_partkey // 3 END AS b FROM part WHERE p_partkey > 0),
+n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM p)
+SELECT i.k AS id, CASE WHEN p.a IS NULL THEN -1 ELSE coalesce(x.k, -2) END AS parent0, CASE WHEN p.b IS NULL THEN -1 ELSE coalesce(y.k, -2) END AS parent1 FROM p JOIN n i USING (id) LEFT JOIN n x ON x.id = p.a LEFT JOIN n y ON y.id = p.b""",
+    "demes_epochs": """WITH e AS (SELECT CAST(s_suppkey AS BIGINT) AS model, e, CASE e WHEN 3 THEN 100 + s_suppkey % 50 ELSE e * 20 END AS start FROM supplier, range(4) t(e))
+SELECT model, CAST(e AS BIGINT) AS epoch, CAST(p AS BIGINT) AS population, CAST(start AS BIGINT) AS start, CAST(floor(1000 * (CASE p WHEN 0 THEN CASE WHEN e = 3 THEN 1000 ELSE 0 END WHEN 1 THEN 1000 ELSE CASE WHEN e < 2 THEN 128 * exp(-ln(2) / 40 * start) ELSE 256 + model % 7 END END) + 0.001) AS BIGINT) AS milli_size FROM e, range(3) q(p)""",
+    "demes_states": """SELECT CAST(s_suppkey AS BIGINT) AS model, e AS epoch, p AS population, CASE WHEN p = 3 THEN CASE WHEN e = 0 THEN 'active' ELSE 'previously active' END WHEN p = 0 THEN CASE WHEN e = 2 THEN 'active' ELSE 'inactive' END
+WHEN e = 0 THEN 'inactive' WHEN e = 1 THEN 'active' ELSE 'previously active' END AS state FROM supplier, range(3) t(e), range(4) q(p)""",
     "branch_diversity": f"WITH RECURSIVE {_BRANCHES} SELECT CAST(x AS BIGINT) AS window, CAST(sum(n * (t - n) * length) AS BIGINT) AS pairs, CAST(floor(2.0::DOUBLE * sum(n * (t - n) * length) / (t * (t - 1)) * 10000 + 0.01) AS BIGINT) AS scaled_diversity FROM branches GROUP BY x, t",
     "branch_segregating": f"WITH RECURSIVE {_BRANCHES} SELECT CAST(x AS BIGINT) AS window, CAST(sum(length) AS BIGINT) AS length FROM branches GROUP BY x",
     "branch_spectrum": f"WITH RECURSIVE {_BRANCHES} SELECT CAST(x AS BIGINT) AS window, n AS k, CAST(sum(length) AS BIGINT) AS length FROM branches GROUP BY x, n",

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.prefix import numbered
+from kinfold.tables import written
+
 
 def _cells() -> Column:
     return F.split(F.trim("value"), r"\s+")
@@ -23,24 +26,31 @@ def read_hapmap(spark: SparkSession, path: str, position_col: int = 1, rate_col:
     3), else from ``rate_col`` (centimorgans per megabase). Before the first
     position the rate is unknown, unless its map value is above 0, which tells
     the rate from the start on. After the last position it is unknown up to
-    ``sequence_length``. The first line of the file is its header. A malformed
-    line, an empty file, a map value above 0 at position 0 and a last rate other
-    than 0 are errors.
+    ``sequence_length``. The first line of the file is its header. Errors, which
+    show the line: a malformed line, a position not above the one on the line
+    before it, a map value that falls, a negative rate or map value, a map value
+    above 0 at position 0, a last rate other than 0; an empty file is one too.
     """
     if rate_col is not None and map_col is not None:
         raise ValueError("give a rate column or a map column")
     value_col = rate_col if rate_col is not None else 3 if map_col is None else map_col
     if value_col == position_col:
         raise ValueError("positions and values must be different columns")
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    head = lines.first() if header else None
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # rises with the lines of a file
+    lines = spark.read.text(path).select("value", place.alias("_line")).where(F.trim("value") != "")
+    head = lines.select(F.min_by("value", "_line")).first() if header else None
     cells = F.col("c")
-    rows = lines.select("value", _cells().alias("c")).select(
-        "value", cells[0].alias("chrom"), F.expr(f"try_cast(get(c, {position_col}) AS double)").alias("left"), F.expr(f"try_cast(get(c, {value_col}) AS double)").alias("_v")
+    rows = lines.select("value", "_line", _cells().alias("c")).select(
+        "value", "_line", cells[0].alias("chrom"), F.expr(f"try_cast(get(c, {position_col}) AS double)").alias("left"), F.expr(f"try_cast(get(c, {value_col}) AS double)").alias("_v")
     )
     if head:
         rows = rows.where(F.col("value") != head[0])
     _refuse(rows.where("left IS NULL OR _v IS NULL OR isnan(left) OR isnan(_v)"), "not a row of a genetic map")
+    _refuse(rows.where("left < 0 OR _v < 0"), "a position, rate or map value below 0")
+    before = Window.partitionBy("chrom").orderBy("_line")
+    _refuse(rows.withColumn("_before", F.lag("left").over(before)).where("left <= _before"), "a position not above the one before")
+    if rate_col is None:
+        _refuse(rows.withColumn("_before", F.lag("_v").over(before)).where("_v < _before"), "a map value below the one before")
     firsts = rows.groupBy("chrom").agg(F.min_by("left", "left").alias("_start"), F.max("left").alias("_end"), F.min_by("_v", "left").alias("_first"), F.max_by("_v", "left").alias("_last"), F.min("value").alias("value"))
     if firsts.isEmpty():
         raise ValueError("an empty genetic map")
@@ -87,6 +97,30 @@ def read_pedigree(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(cell("id").alias("id"), cell("parent0").alias("parent0"), cell("parent1").alias("parent1"), time.alias("time"), sample.alias("is_sample"), cell("population").alias("population"))
 
 
+def numbered_pedigree(pedigree: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """A pedigree of named individuals with numbers for names, and the dictionary (by, id, name).
+
+    Names are numbered along their order, in ranges over all tasks, and parents are
+    looked up in the dictionary: a parent who is no individual is -2, none is -1.
+    A name that stands there twice keeps one number, so ``pedigrees.faults`` shows it.
+    """
+    # the first six bytes as a number are the place on the axis, the name itself breaks ties
+    names = written(numbered(pedigree.select(*by, F.col("id").alias("name")).distinct().withColumn("_order", F.conv(F.rpad(F.hex(F.encode(F.col("name").cast("string"), "UTF-8")), 12, "0"), 16, 10).cast("double")), "_order", "id", by, ("name",)).select(*by, F.col("id").cast("long").alias("id"), "name"), "names")
+    number = lambda c: names.select(*by, F.col("name").alias(c), F.col("id").alias(f"_{c}"))
+    rest = [c for c in pedigree.columns if c not in (*by, "id", "parent0", "parent1")]
+    found = pedigree.join(number("id"), [*by, "id"]).join(number("parent0"), [*by, "parent0"], "left").join(number("parent1"), [*by, "parent1"], "left")
+    parent = lambda c: F.when(F.col(c).isNull(), -1).otherwise(F.coalesce(f"_{c}", F.lit(-2))).cast("long").alias(c)
+    return found.select(*by, F.col("_id").alias("id"), parent("parent0"), parent("parent1"), *rest), names
+
+
+def named_pedigree(pedigree: DataFrame, names: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The inverse of ``numbered_pedigree``: names for numbers, null for no parent."""
+    name = lambda c: names.select(*by, F.col("id").alias(c), F.col("name").alias(f"_{c}"))
+    rest = [c for c in pedigree.columns if c not in (*by, "id", "parent0", "parent1")]
+    found = pedigree.join(name("id"), [*by, "id"]).join(name("parent0"), [*by, "parent0"], "left").join(name("parent1"), [*by, "parent1"], "left")
+    return found.select(*by, F.col("_id").alias("id"), F.col("_parent0").alias("parent0"), F.col("_parent1").alias("parent1"), *rest)
+
+
 def pedigree_faults(pedigree: DataFrame) -> DataFrame:
     """(id, fault): repeated ids, parents that aren't there, and parents not older than their child."""
     twice = pedigree.groupBy("id").count().where("count > 1").select("id", F.lit("repeated id").alias("fault"))

@@ -37,6 +37,16 @@ def test_events_of_one_time_by_their_order(spark):
     assert np.allclose(got, [(0, 100, 100), (10, 20, 20), (20, 20, last), (30, last, last)])
 
 
+def test_admixture_wakes_its_ancestors(spark):
+    """A population that is inactive at first lives from the mixture on; a derived one must be active."""
+    mix = {"kind": "admixture", "populations": [0], "others": [1], "proportions": [1.0]}
+    populations, migration, events = a_model(spark, 2, [10, 20], [], [{"time": 5, **mix}, {"time": 9, **mix}])
+    populations = populations.withColumn("initially_active", F.when(F.col("population") == 1, False))
+    states = {(e, p): s for _, e, p, s in rows(models.epoch_states(populations, events), "epoch", "population")}
+    assert states == {(0, 0): "active", (0, 1): "inactive", (1, 0): "previously active", (1, 1): "active", (2, 0): "previously active", (2, 1): "active"}
+    assert [r.what for r in models.faults(populations, migration, events).where("fault = 'derived population not active'").collect()] == ["1"]
+
+
 def test_admixture_and_split(spark):
     events = [{"time": 5, "kind": "admixture", "populations": [0], "others": [1, 2], "proportions": [0.25, 0.75]}, {"time": 9, "kind": "population_split", "populations": [1, 2], "others": [3]}]
     model = a_model(spark, 4, [1, 1, 1, 1], rates=[(0, 1, 0.5), (1, 2, 0.125), (3, 1, 0.25)], events=events)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions import ratemap
-from kinfold.operators import ancestry, demography, intervals, prefix, sweep, trees
+from kinfold.operators import ancestry, demography, intervals, pedigrees, prefix, sweep, trees
 from kinfold.sources import texts
 from kinfold.streaming import census
 
@@ -226,6 +226,37 @@ def test_hapmap_ends(spark, tmp_path):
             read(text, **more)
 
 
+def test_hapmap_refuses_what_is_no_map(spark, tmp_path):
+    """A falling map, a negative rate, a repeated position and rows out of order are shown with their line."""
+    for k, (text, more, line) in enumerate([
+        ("c 0 0 0\nc 100 0 2\nc 200 0 1\n", {}, "c 200 0 1"), ("c 0 5 0\nc 10 -5 0\nc 20 0 0\n", {"rate_col": 2}, "c 10 -5 0"), ("c 0 0 0\nc 7 0 1\nc 7 0 2\n", {}, "c 7 0 2"),
+        ("c 9 0 1\nc 3 0 2\n", {}, "c 3 0 2"), ("c -1 0 0\nc 3 0 2\n", {}, "c -1 0 0"),
+    ]):
+        (tmp_path / f"{k}.txt").write_text("chrom pos rate map\n" + text)
+        with pytest.raises(ValueError, match=line):
+            texts.read_hapmap(spark, str(tmp_path / f"{k}.txt"), **more)
+    (tmp_path / "two.txt").write_text("chrom pos rate map\na 5 0 0\na 9 0 1\nb 1 0 0\nb 2 0 1\n")
+    assert texts.read_hapmap(spark, str(tmp_path / "two.txt")).count() == 4
+
+
+def test_pedigree_of_names(spark, tmp_path):
+    """From text with names through numbers, defaults and checks to genomes, and back to the same text."""
+    (tmp_path / "ped.txt").write_text("# id parent0 parent1 time is_sample population\nchild mom dad 0 1 A\nmom . . 1 0 1\ndad . . 1 0 A\nmomo mom lost 0 1 A\nmomo mom dad 0 1 B\n")
+    named = texts.read_pedigree(spark, str(tmp_path / "ped.txt"))
+    populations = spark.createDataFrame([(0, "A"), (1, "B")], "population long, name string")
+    numbers, names = texts.numbered_pedigree(named)
+    assert values(names, "id") == [(0, "child"), (1, "dad"), (2, "mom"), (3, "momo")]
+    done = pedigrees.completed(numbers, populations)
+    assert values(done.select("id", "parent0", "parent1", "population"), "id", "parent1") == [(0, 2, 1, 0), (1, -1, -1, 0), (2, -1, -1, 1), (3, 2, -2, 0), (3, 2, 1, 1)]
+    assert values(pedigrees.faults(done), "fault") == [(3, "repeated id"), (3, "unknown parent")]
+    good = done.where("parent1 <> -2")
+    assert pedigrees.genomes(good).count() == 8
+    back = texts.named_pedigree(good.withColumn("population", F.col("population").cast("string")), names)
+    texts.write_pedigree(back, str(tmp_path / "out"))
+    again = texts.read_pedigree(spark, str(tmp_path / "out"))
+    assert values(again.select("id", "parent0", "parent1"), "id") == [("child", "mom", "dad"), ("dad", None, None), ("mom", None, None), ("momo", "mom", "dad")]
+
+
 def test_ms_text(spark):
     haplotypes = spark.createDataFrame([(1, 0, "01"), (1, 1, "10"), (2, 0, ""), (2, 1, "")], "replicate long, sample long, haplotype string")
     sites = spark.createDataFrame([(1, 0.5), (1, 0.25)], "replicate long, position double")
