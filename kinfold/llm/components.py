@@ -63,3 +63,31 @@ def forest(size: int, pairs) -> list[tuple[int, int]]:
                 root[max(p, q)] = min(p, q)
                 out.append((x, y))
     return out
+
+
+def nearest_forest(size: int, blocks):
+    """(i, j) of a spanning forest of nodes 0..size-1 with the least distances, of blocks (i, j, distance) of pairs; never more than a block and a forest are held."""
+    import numpy as np
+
+    i = j = d = np.zeros(0, np.int64)
+    for more in blocks:
+        i, j, d = (np.concatenate([a, b]) for a, b in zip((i, j, d), more, strict=True))
+        root, kept = np.arange(size), []
+
+        def find(x: int, root=root) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        order = np.argsort(d, kind="stable")
+        for at in range(0, len(order), 20_000):
+            part = order[at : at + 20_000]
+            while not ((up := root[root]) == root).all():
+                root[:] = up
+            for k in part[root[i[part]] != root[j[part]]].tolist():
+                if (p := find(i[k])) != (q := find(j[k])):
+                    root[max(p, q)] = min(p, q)
+                    kept.append(k)
+        i, j, d = i[kept], j[kept], d[kept]
+    return i, j

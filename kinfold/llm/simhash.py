@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm._shared import hot_keys, numbered, raw_texts, slices, spread_join, written
-from kinfold.llm.components import connected_components, forest
+from kinfold.llm.components import connected_components, forest, nearest_forest
 
 RADIUS = 3
 SIMILARITY = 0.8
@@ -200,29 +200,83 @@ def close_pairs(points: np.ndarray, home: np.ndarray, radius: int) -> Iterator[t
             yield part[i[once]], mine[j[once]]
 
 
-def _links(nodes: np.ndarray, pairs, labels: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(a, b) of ``nodes``: those that join what the pairs join, or given labels all pairs of two labels."""
-    if labels is None:
-        named, at = np.unique(nodes, return_inverse=True)
-        found = np.array(forest(len(named), ((at[i], at[j]) for i, j in pairs)), np.int64).reshape(-1, 2)
-        blocks = [(named[found[:, 0]], named[found[:, 1]])]
-    else:
-        blocks = ((nodes[i[apart]], nodes[j[apart]]) for i, j in pairs for apart in [labels[i] != labels[j]])
-    for a, b in blocks:
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _batch(a: np.ndarray, b: np.ndarray, valid: bool = True) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()) if valid else pa.nulls(len(a), pa.int64())], names=["a", "b"])
+
 
+def _links(part: pa.Table, pairs, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) of nodes, by what ``part`` holds beside them.
 
-def near_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD, limit: int | None = None) -> DataFrame:
+    With nothing: pairs that join what the pairs join. With ``wide``: the nearest
+    pairs that do, which of near copies are the most likely to be alike. With
+    ``label`` too: (node, bucket) of those that make a pair with a node of another
+    label. With ``shingles`` too: of such pairs those that are alike and join two
+    labels, decided on the sets.
+    """
+    nodes, names = part.column("node").to_numpy(), part.column_names
+    wide = part.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(nodes), -1) if "wide" in names else None
+    far = lambda i, j: np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64)
+    if "label" not in names:
+        named, at = np.unique(nodes, return_inverse=True)
+        if wide is None:
+            found = np.array(forest(len(named), ((at[i], at[j]) for i, j in pairs)), np.int64).reshape(-1, 2)
+            yield _batch(named[found[:, 0]], named[found[:, 1]])
+        else:
+            a, b = nearest_forest(len(named), ((at[i], at[j], far(i, j)) for i, j in pairs))
+            yield _batch(named[a], named[b])
+        return
+    _, label = np.unique(part.column("label").to_numpy(), return_inverse=True)
+    if "shingles" not in names:
+        met = np.zeros(len(nodes), bool)
+        for i, j in pairs:
+            apart = label[i] != label[j]
+            met[i[apart]] = met[j[apart]] = True
+        yield _batch(nodes[met], part.column("bucket").to_numpy()[met] if "bucket" in names else nodes[met], "bucket" in names)
+        return
+    sets: dict[int, frozenset] = {}
+    held = part.column("shingles")
+
+    def shingles(k: int) -> frozenset:
+        if k not in sets:
+            sets[k] = frozenset(held[k].values.to_numpy().tolist())
+        return sets[k]
+
+    root = np.arange(label.max() + 1 if len(label) else 0)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    for i, j in pairs:
+        while not ((up := root[root]) == root).all():
+            root[:] = up
+        new = root[label[i]] != root[label[j]]
+        i, j = i[new], j[new]
+        for k in np.argsort(far(i, j), kind="stable").tolist():
+            if (p := find(label[i[k]])) != (q := find(label[j[k]])):
+                x, y = shingles(i[k]), shingles(j[k])
+                both = len(x & y)
+                if both >= similarity * (len(x) + len(y) - both):
+                    root[max(p, q)] = min(p, q)
+                    out.append((i[k], j[k]))
+    at = np.array(out, np.int64).reshape(-1, 2)
+    yield _batch(nodes[at[:, 0]], nodes[at[:, 1]])
+
+
+def near_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD, limit: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) links of ``node`` that connect what pairs of ``fp`` within the radius connect.
 
     ``classes`` holds (node, fp), each node once. With ``limit`` it also holds
     ``wide``, and a pair counts only if at most so many of the wide bits differ.
-    If it holds ``label``, the links are all pairs whose labels differ.
+    With ``label`` and ``shingles`` it is as ``_links`` says.
     """
     depth = int(np.ceil(np.log2(max(1, min(MAX_SHARDS, classes.count() / shard)))))
     sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, 4 << depth)).collect()], np.int64).view(np.uint64).reshape(-1, 1)
     tree = build_tree(sample, depth)  # at most MAX_SHARDS nodes, from four points a node; 4 MB
-    carried = [c for c in ("wide", "label") if c in classes.columns and limit is not None]
+    carried = [c for c in ("wide", "label", "shingles") if c in classes.columns and limit is not None]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,12 +287,12 @@ def near_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD, lim
 
     def search(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(list(parts)).combine_chunks()
-        nodes, points, home = (part.column(c).to_numpy() for c in ("node", "fp", "home"))
+        points, home = part.column("fp").to_numpy(), part.column("home").to_numpy()
         pairs = close_pairs(points.view(np.uint64).reshape(-1, 1), home, radius)
         if limit is not None:
             wide = part.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(points), -1)
             pairs = ((i[ok], j[ok]) for i, j in pairs for ok in [np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= limit])
-        yield from _links(nodes, pairs, part.column("label").to_numpy() if "label" in carried else None)
+        yield from _links(part, pairs, similarity)
 
     more = "".join(f", {c} {classes.schema[c].dataType.simpleString()}" for c in carried)
     dealt = classes.select("node", "fp", *carried).mapInArrow(deal, f"shard long, home boolean, node long, fp long{more}")
@@ -262,20 +316,32 @@ def bucket_pairs(buckets: np.ndarray, points: np.ndarray, limit: int) -> Iterato
             yield i + start, j + start
 
 
-def band_links(classes: DataFrame, limit: int) -> DataFrame:
+def band_links(classes: DataFrame, limit: int, radius: int = RADIUS, similarity: float = SIMILARITY, asked: DataFrame | None = None) -> DataFrame:
     """(a, b) links of ``node`` that connect, in each partition, what pairs of one bucket connect whose ``wide`` bits differ in at most ``limit``.
 
-    ``classes`` holds (node, wide, bands), each node once; with ``label``, the
-    links are all pairs whose labels differ. A task holds some BLOCK / 16 rows and
-    the rest of a bucket that they end in.
+    ``classes`` holds (node, fp, wide, bands), each node once; with ``label`` and
+    ``shingles`` it is as ``_links`` says. ``asked`` (node, bucket) leaves nodes in
+    those buckets only. A pair counts in the first bucket that it shares, and not
+    at all if ``near_links`` has it. A task holds some BLOCK / 16 rows and the rest
+    of a bucket that they end in.
     """
-    carried = ["label"] if "label" in classes.columns else []
+    carried = [c for c in ("label", "shingles") if c in classes.columns]
 
     def links(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(held).combine_chunks()
-        wide = part.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(part.num_rows, -1)
-        pairs = bucket_pairs(part.column("bucket").to_numpy(), wide, limit)
-        yield from _links(part.column("node").to_numpy(), pairs, part.column("label").to_numpy() if carried else None)
+        wide, bands = (part.column(c).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(part.num_rows, -1) for c in ("wide", "bands"))
+        fp, band = part.column("fp").to_numpy().view(np.uint64), part.column("band").to_numpy()
+        at = np.arange(bands.shape[1])
+
+        def once() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i, j in bucket_pairs(part.column("bucket").to_numpy(), wide, limit):
+                for k in range(0, len(i), 1 << 18):
+                    x, y = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
+                    before = ((bands[x] == bands[y]) & (at < band[x][:, None])).any(axis=1)
+                    new = ~before & (np.bitwise_count(fp[x] ^ fp[y]) > radius)
+                    yield x[new], y[new]
+
+        yield from _links(part, once(), similarity)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -293,7 +359,10 @@ def band_links(classes: DataFrame, limit: int) -> DataFrame:
         if held:
             yield from links(held)
 
-    dealt = classes.select(F.explode("bands").alias("bucket"), "node", "wide", *carried).repartition("bucket").sortWithinPartitions("bucket")
+    rows = classes.select(F.posexplode("bands").alias("band", "bucket"), "node", "fp", "wide", "bands", *carried)
+    if asked is not None:
+        rows = rows.join(asked, ["node", "bucket"], "left_semi")
+    dealt = rows.select("bucket", "band", "node", "fp", "wide", "bands", *carried).repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(search, "a long, b long")
 
 
@@ -333,24 +402,30 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = numbered(fps.groupBy("name").agg(*firsts, F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "node", "classes")
     limit, hot = wide_limit(similarity), hot_keys(classes)
 
-    def decided(of: DataFrame) -> DataFrame:
-        """Of the candidate pairs, those alike enough."""
-        both = near_links(of, radius, limit=limit).unionByName(band_links(of, limit))
-        pairs = written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(node, shingles) of the wanted nodes."""
         named = classes.select("name", "node").join(wanted, "node", "left_semi")
         members = spread_join(fps.select("id", "name", "shingles"), named, ["name"], hot, ["id"])
-        sets = written(members.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-        x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("a", "b"))
-        shared = pairs.join(x, "a").join(y, "b").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
-        alike = F.col("_both") / (F.size("_a") + F.size("_b") - F.col("_both")) >= similarity
-        return written(shared.where(alike).select("a", "b"), "links")
-
-    labels = connected_components(decided(classes)).withColumnRenamed("component", "label")
+        return written(members.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+    # the nearest candidate pairs that would connect what all of them would: at most one a node and task
+    both = near_links(classes, radius, limit=limit).unionByName(band_links(classes, limit, radius))
+    pairs = written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    sets = sets_of(written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted"))
+    x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("a", "b"))
+    shared = pairs.join(x, "a").join(y, "b").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
+    alike = F.col("_both") >= similarity * (F.size("_a") + F.size("_b") - F.col("_both"))
+    labels = connected_components(written(shared.where(alike).select("a", "b"), "links")).withColumnRenamed("component", "label")
     apart = written(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    # what the second search adds joins whole components, so these stand for their nodes
+
+    # all other pairs of two labels are compared where they meet, by nodes that have such a pair and there only
+    asks = written(near_links(apart, radius, limit=limit).unionByName(band_links(apart, limit, radius)).distinct(), "asks")
+    held = written(apart.join(sets_of(asks.select(F.col("a").alias("node")).distinct()), "node"), "held")
+    near = held.join(asks.where("b IS NULL").select(F.col("a").alias("node")), "node", "left_semi")
+    found = near_links(near, radius, limit=limit, similarity=similarity).unionByName(band_links(held, limit, radius, similarity, asks.where("b IS NOT NULL").select(F.col("a").alias("node"), F.col("b").alias("bucket"))))
+    # what they add joins whole components, so these stand for their nodes
     label_of = lambda c: apart.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
-    added = decided(apart).join(label_of("a"), "a").join(label_of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    added = written(found, "found").join(label_of("a"), "a").join(label_of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     over = connected_components(added).withColumnRenamed("node", "label")
     parts = apart.select("node", "label").join(over, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
     return _named(fps.select("id", "fp", "name"), classes, parts, "name").withColumnRenamed("id", id_col)
