@@ -8,7 +8,7 @@ whose bits are all set in the second filter, the suspected repeats, are shuffled
 (as 128-bit digests, one row per document and key), counted exactly, and the
 first occurrence to keep is chosen. A filter error only adds a suspect that the
 count then clears, so the result is exact at any filter size; the filters are
-limited to ``max_bits``, which bounds what is broadcast; past some billion keys
+limited to ``max_bits``, which bounds what is broadcast; past some 300 million keys
 they are full and every key is a suspect. A key that many documents share is
 joined with its verdict in as many tasks as there are partitions.
 

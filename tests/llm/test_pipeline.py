@@ -1,3 +1,5 @@
+from collections import defaultdict
+
 import corpus_pipeline
 
 from kinfold.llm import language_id, line_dedup, suffix_dedup
@@ -31,3 +33,42 @@ def test_empty(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, None)
     assert now.count() == 0
+
+
+def test_hard_rows(spark, docs, tmp_path):
+    """Null, blank, long and repeated texts, a repeated id, a null id, null labels and clashing further columns through every stage, against plain Python."""
+    long = " ".join(t for _, t in docs[:40] if t)
+    rows = [(d, t, "en" if d % 2 else None, None, 0, "x", d * 0.5) for d, t in docs[:120]]
+    rows += [(1000, None, "en", "s", 0, None, None), (1001, " \n\t", None, "s", 0, "y", 1.0), (1002, long, None, None, 0, "z", 2.0), (1003, docs[5][1], None, None, 0, "copy", 3.0), (None, "der und die ist nicht ein " * 9, None, None, 0, "no id", 4.0), (docs[7][0], docs[7][1], None, None, 0, "again", 5.0)]
+    now = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string, key double")
+    columns, seen = now.columns, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, None).write.parquet(f"{tmp_path}/hard{k}")
+        now = spark.read.parquet(f"{tmp_path}/hard{k}")
+        seen.append(now)
+    kept = [{(r.doc_id, r._row) for r in x.collect()} for x in seen[:4]]
+    assert all(x.columns == columns for x in seen[:4])
+    assert not {1000, 1001} & {d for d, _ in kept[0]} and kept[0] == kept[1] >= kept[2] == kept[3]
+
+    texts = defaultdict(set)
+    for r in seen[1].collect():
+        words = r.text.lower().split()
+        texts[r.doc_id, r._row] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    ids = sorted((k for k in texts if k[0] is not None), key=str)
+    root = {k: k for k in ids}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in ids:
+        for b in ids:
+            if a < b and (a[0] == b[0] or len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])):
+                root[find(b)] = find(a)
+    least = defaultdict(list)
+    for k in ids:
+        least[find(k)].append(k[0])
+    want = {k for k in ids if k[0] == min(least[find(k)])} | {k for k in texts if k[0] is None}
+    assert kept[2] == want
+    assert now.where("piece = 0").count() == len(kept[3])
