@@ -1,4 +1,4 @@
-"""Streams of timed state changes: windowed counts and live state."""
+"""Streams of timed state changes: counts of each window and key."""
 
 from __future__ import annotations
 
