@@ -261,7 +261,7 @@ def genotype_carriers(spark, sf_dir):
     """How many of the heap's lower half carry the derived state of each mutated part."""
     edges, nodes = _part_tree(spark, sf_dir)
     parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node"), "p_size")
-    half = parts.count() // 2
+    half = (parts.agg(F.max("node")).first()[0] or 0) // 2  # nodes above it have no children
     mutated = parts.where("p_size % 10 = 0").select(F.col("node").alias("site"), F.lit(0.5).alias("position"), "node")
     carried = sweep.genotypes(edges, nodes.withColumn("sample", F.col("node") > half), mutated)
     return carried.groupBy("site").agg(F.count(F.lit(1)).alias("carriers"))
