@@ -115,31 +115,27 @@ class History:
 
     def pairs(self, steps, lineages, least_size: float = 1.0) -> dict[float, tuple[float, float]]:
         """(coalescence rate, share uncoalesced) of random pairs of the lineages at each step, after movements at that time."""
-        n, count = self.n, np.array(lineages, float)
-        p = np.outer(count, count) - np.diag(count)
-        p = (p / p.sum()).ravel()
-        wanted, one, out = set(steps), np.eye(n), {}
+        p = _pairs_of(lineages)
+        wanted, out = set(steps), {}
         times = sorted(wanted | set(self.starts) | {0.0})
         for k, t in enumerate(times):
             for s in self.moved(t):
-                p = p @ np.kron(s, s)
+                p = s.T @ p @ s
             sizes, q = self.at(t)
-            meet = np.diag(np.eye(n).ravel() * np.repeat(0.5 / np.maximum(sizes, least_size), n))
+            pair = PairRates(q, 0.5 / np.maximum(sizes, least_size))
             left = p.sum()
             if t in wanted:
-                out[t] = (float((p @ meet).sum() / left) if left > 0 else float("nan"), float(left))
+                out[t] = (float(pair.meeting(p) / left) if left > 0 else float("nan"), float(left))
             if k + 1 < len(times):
-                p = p @ matrix_exponential((np.kron(q, one) + np.kron(one, q) - meet) * (times[k + 1] - t))
+                p = pair.flow(p, times[k + 1] - t)[0]
         return out
 
     def mean_time(self, lineages, least_size: float = 1.0, change: float = 0.01, most: int = 100_000, tail: float = 1e-9) -> float:
-        """Mean time to coalescence: the integral of the share uncoalesced. It is exact for constant sizes; others are taken as constant while they change by the share ``change``, at most ``most`` times. Infinite if some pairs never meet."""
-        n, count = self.n, np.array(lineages, float)
-        p = np.outer(count, count) - np.diag(count)
-        p, one, total = (p / p.sum()).ravel(), np.eye(n), 0.0
+        """Mean time to coalescence: the integral of the share uncoalesced. It is exact for constant sizes; others are taken as constant while they change by the share ``change``, at most ``most`` times an epoch, beyond which it is an error. Infinite if some pairs never meet."""
+        p, total = _pairs_of(lineages), 0.0
         for k, start in enumerate(self.starts):
             for s in self.moved(start):
-                p = p @ np.kron(s, s)
+                p = s.T @ p @ s
             constant, stop = not np.any(self.epochs[k]["growth"]), self.starts[k + 1] if k + 1 < len(self.starts) else float("inf")
             step = stop - start if constant else change / np.abs(self.epochs[k]["growth"]).max()
             b = start
@@ -148,18 +144,125 @@ class History:
                 if a == stop or p.sum() <= tail:
                     break
                 sizes, q = self.at(a if constant else (a + b) / 2)
-                g = np.kron(q, one) + np.kron(one, q) - np.diag(np.eye(n).ravel() * np.repeat(0.5 / np.maximum(sizes, least_size), n))
-                if np.isfinite(b):
-                    both = matrix_exponential(np.block([[g, np.eye(n * n)], [np.zeros((n * n, 2 * n * n))]]) * (b - a))
-                    total += float((p @ both[: n * n, n * n :]).sum())
-                    p = p @ both[: n * n, : n * n]
-                else:
-                    if (p @ matrix_exponential(g * (1e9 / max(np.abs(g).max(), 1e-300)))).sum() > tail:
-                        return float("inf")
-                    return total + float(np.linalg.lstsq(g.T, -p, rcond=None)[0].sum())
+                pair = PairRates(q, 0.5 / np.maximum(sizes, least_size))
+                if not np.isfinite(b):
+                    return total + pair.total(p, tail)
+                p, spent = pair.flow(p, b - a)
+                total += spent
+            else:
+                if b < stop and p.sum() > tail:
+                    raise ValueError(f"pairs are left after {most} steps from time {start}: take a larger change or more steps")
         return float("inf") if p.sum() > tail else total
 
 
+def _pairs_of(lineages) -> np.ndarray:
+    """Shares of the pairs of lineages by the populations of both."""
+    count = np.array(lineages, float)
+    p = np.outer(count, count) - np.diag(count)
+    return p / p.sum()
+
+
+class PairRates:
+    """How pairs of lineages move and meet: a pair's states are an n x n matrix of shares, p.
+
+    Both lineages move on their own, so p changes by ``q.T @ p + p @ q`` and loses its
+    diagonal at the rates of meeting: no matrix of n^2 x n^2 is needed. Up to
+    ``DENSE`` populations it is made all the same, and its exponential is exact;
+    beyond that the flow is a sum of Poisson-weighted steps (uniformisation),
+    and the whole time of the last epoch the solution of a sparse system by Krylov vectors.
+    """
+
+    DENSE = 6
+    TERMS = 200.0  # mean number of steps in one sum: far from where exp(-x) is 0
+
+    def __init__(self, q: np.ndarray, meet: np.ndarray):
+        self.q, self.meet, self.n = q, meet, len(meet)
+
+    def meeting(self, p: np.ndarray) -> float:
+        return float(p.diagonal() @ self.meet)
+
+    def change(self, p: np.ndarray) -> np.ndarray:
+        """The derivative of p in time."""
+        out = self.q.T @ p + p @ self.q
+        out[np.diag_indices(self.n)] -= self.meet * p.diagonal()
+        return out
+
+    def _whole(self) -> np.ndarray:
+        one = np.eye(self.n)
+        return np.kron(self.q, one) + np.kron(one, self.q) - np.diag(np.diag(self.meet).ravel())
+
+    def flow(self, p: np.ndarray, time: float) -> tuple[np.ndarray, float]:
+        """(p after ``time``, the integral of its sum on the way)."""
+        if self.n <= self.DENSE:
+            g, m = self._whole(), self.n**2
+            both = matrix_exponential(np.block([[g, np.eye(m)], [np.zeros((m, 2 * m))]]) * time)
+            return (p.ravel() @ both[:m, :m]).reshape(p.shape), float((p.ravel() @ both[:m, m:]).sum())
+        rate = float((-2 * self.q.diagonal() + self.meet).max())
+        if rate <= 0:
+            return p, float(p.sum()) * time
+        pieces, spent = max(1, int(np.ceil(rate * time / self.TERMS))), 0.0
+        mean = rate * time / pieces
+        for _ in range(pieces):
+            weight = passed = np.exp(-mean)
+            v, out, k = p, weight * p, 0
+            spent += max(0.0, 1 - passed) / rate * float(v.sum())
+            while k < mean or 1 - passed > 1e-15 and weight > 1e-18:
+                k += 1
+                v = v + self.change(v) / rate
+                weight *= mean / k
+                passed += weight
+                out = out + weight * v
+                spent += max(0.0, 1 - passed) / rate * float(v.sum())
+            p = out
+            if p.sum() < 1e-300:
+                break
+        return p, spent
+
+    def total(self, p: np.ndarray, tail: float = 1e-9) -> float:
+        """The integral of p's sum for ever: infinite if a share above ``tail`` may come to where pairs never meet."""
+        linked = np.eye(self.n, dtype=int) | (self.q > 0)
+        for _ in range(self.n.bit_length() + 1):
+            linked = (linked @ linked > 0).astype(int)
+        meets = linked @ linked.T > 0
+        for a, b in zip(*np.nonzero(p > 0), strict=True):
+            if p[a, b] > tail and not meets[np.ix_(linked[a] > 0, linked[b] > 0)].all():
+                return float("inf")
+        if self.n <= self.DENSE:
+            return float(np.linalg.lstsq(self._whole().T, -p.ravel(), rcond=None)[0].sum())
+        loss = self.q.diagonal()[:, None] + self.q.diagonal() - np.diag(self.meet)
+        loss = np.where(loss < 0, loss, -1.0)
+        return float((krylov(lambda y: self.change(y / loss), -p) / loss).sum())
+
+
+def krylov(apply, wanted: np.ndarray, tolerance: float = 1e-11, vectors: int = 100, rounds: int = 100) -> np.ndarray:
+    """x with ``apply(x)`` = ``wanted``, by restarted GMRES; an error if it doesn't converge."""
+    x, size = np.zeros_like(wanted), np.linalg.norm(wanted)
+    for _ in range(rounds):
+        rest = wanted - apply(x)
+        far = np.linalg.norm(rest)
+        if far <= tolerance * size:
+            return x
+        basis, h = [rest / far], np.zeros((vectors + 1, vectors))
+        for k in range(vectors):
+            v = apply(basis[k])
+            for _ in range(2):  # twice, against rounding
+                for j, b in enumerate(basis):
+                    c = float((b * v).sum())
+                    h[j, k] += c
+                    v = v - c * b
+            h[k + 1, k] = np.linalg.norm(v)
+            if h[k + 1, k] <= 1e-14 * abs(h[: k + 1, k]).max():
+                break
+            basis.append(v / h[k + 1, k])
+        aim = np.zeros(k + 2)
+        aim[0] = far
+        y = np.linalg.lstsq(h[: k + 2, : k + 1], aim, rcond=None)[0]
+        x = x + sum(c * b for c, b in zip(y, basis, strict=False))
+    if np.linalg.norm(wanted - apply(x)) > 1e-8 * size:
+        raise ArithmeticError("mean times did not converge")
+    return x
+
+
 def _each_history(rows: DataFrame, schema: str, make) -> DataFrame:
     """``make(row, history)`` for each row of models and their histories: one row a model, spread over all tasks."""
 

@@ -2,8 +2,8 @@
 
 A row is an event (key, id, time, change): ``change`` is 1 where a lineage begins
 and -1 where one ends. Rows come in any order and may come twice; each is counted once, in
-the order of time and id, when the watermark has passed it. Rows behind the watermark are dropped. Rows
-with a null in any of the four are left out.
+the order of time and id, when the watermark has passed it. Rows behind what was
+counted are late and dropped. Rows with a null in any of the four are left out.
 """
 
 from __future__ import annotations

@@ -39,13 +39,13 @@ def test_late_repeated_expired(spark, replay):
     batches = [
         [("a", 1, 10, 1), ("a", 2, 5, 1), ("b", 3, 7, 1), ("b", 3, 7, 1), ("a", None, 6, 1), ("c", 20, None, 1)],
         [("a", 1, 10, 1), ("a", 4, 12, -1), ("z", 9, 60, 1)],  # a repeated row; the watermark goes to 40
-        [("a", 5, 8, 1), ("a", 1, 10, 1), ("b", 6, 70, -1), ("z", 10, 70, 0)],  # late, repeated and late, on time
-        [("a", 7, 75, -1), ("z", 11, 400, 0)],
+        [("a", 8, 9, 1), ("a", 1, 10, 1), ("b", 6, 70, -1), ("z", 10, 70, 0)],  # nothing is counted yet, so none of these is late
+        [("a", 5, 8, 1), ("a", 1, 10, 1), ("a", 7, 75, -1), ("z", 11, 400, 0)],  # late, repeated and late, on time
         [("z", 12, 500, 0)],
     ]
     found = replay([table(spark, b) for b in batches], "lineages_hard", late="20 minutes", idle_seconds=6000)
     assert [r for r in found if r[0] != "z"] == [
-        ("a", 2, at(5), 1, False), ("a", 1, at(10), 2, False), ("a", 4, at(12), 1, False), ("a", 7, at(75), 0, False),
+        ("a", 2, at(5), 1, False), ("a", 8, at(9), 2, False), ("a", 1, at(10), 3, False), ("a", 4, at(12), 2, False), ("a", 7, at(75), 1, False), ("a", None, at(175), 0, True),
         ("b", 3, at(7), 1, False), ("b", 6, at(70), 0, False),
     ]
     assert [r for r in found if r[0] == "z"] == [("z", 9, at(60), 1, False), ("z", 10, at(70), 1, False), ("z", None, at(170), 0, True), ("z", 11, at(400), 0, False)]

@@ -181,19 +181,19 @@ def test_labels_along_paths(spark):
 
 
 def test_newick(spark):
-    texts = spark.createDataFrame([(1, "((human:5.6,chimpanzee:5.6)hc:3.0,gorilla:8.6);"), (2, "(a[&dmv={1}]:1e-1,(b:0.05,c:0.05):0.05)r;"), (3, "only:2;")], "tree long, text string")
+    texts = spark.createDataFrame([(1, "((oak:4.5,beech:4.5)fagales:2.75,maple:7.25);"), (2, "(a[&dmv={1}]:1e-1,(b:0.05,c:0.05):0.05)r;"), (3, "only:2;")], "tree long, text string")
     nodes = newick.parse_newick(texts)
     timed = newick.node_times(nodes)
     got = {(r.tree, r.label): r for r in timed.collect()}
-    assert got[1, "human"].time == 0 and abs(got[1, "hc"].time - 5.6) < 1e-9 and got[1, "human"].parent == got[1, "hc"].node and got[2, "a"].length == 0.1
+    assert got[1, "oak"].time == 0 and abs(got[1, "fagales"].time - 4.5) < 1e-9 and got[1, "oak"].parent == got[1, "fagales"].node and got[2, "a"].length == 0.1
     assert timed.where("parent IS NULL").count() == 3 and newick.not_ultrametric(timed).count() == 0
     assert newick.not_ultrametric(newick.node_times(newick.parse_newick(spark.createDataFrame([(1, "(a:1,b:2);")], "tree long, text string")))).count() == 1
     populations, events = newick.species_tree_models(timed.where("tree = 1"), 100)
-    assert rows(populations.select("population", "name"), "population") == [(0, "human"), (1, "chimpanzee"), (2, "gorilla"), (3, "hc"), (4, None)]
-    assert [(round(t, 6), p, o) for t, p, o in rows(events.select("time", "populations", "others"), "time")] == [(5.6, [0, 1], [3]), (8.6, [2, 3], [4])]
+    assert rows(populations.select("population", "name"), "population") == [(0, "oak"), (1, "beech"), (2, "maple"), (3, "fagales"), (4, None)]
+    assert [(round(t, 6), p, o) for t, p, o in rows(events.select("time", "populations", "others"), "time")] == [(4.5, [0, 1], [3]), (7.25, [2, 3], [4])]
     assert models.faults(populations, spark.createDataFrame([], "model long, source int, dest int, rate double"), events).count() == 0
     again = newick.parse_newick(newick.newick_text(nodes))
-    assert again.count() == nodes.count() and {r[0] for r in newick.newick_text(nodes).where("tree = 1").select("text").collect()} == {"((human:5.6,chimpanzee:5.6)hc:3.0,gorilla:8.6);"}
+    assert again.count() == nodes.count() and {r[0] for r in newick.newick_text(nodes).where("tree = 1").select("text").collect()} == {"((oak:4.5,beech:4.5)fagales:2.75,maple:7.25);"}
     nexus = spark.createDataFrame([("f", "#NEXUS\nBegin trees;\n Translate\n 1 alpha,\n 2 beta\n;\ntree T1 = [&R] (1:3,2:3);\ntree T2 = (2:1,1:1);\nEnd;")], "file string, text string")
     assert rows(newick.nexus_trees(nexus), "tree") == [("f", 0, "(alpha:3,beta:3);"), ("f", 1, "(beta:1,alpha:1);")]
 
