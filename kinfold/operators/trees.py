@@ -125,17 +125,6 @@ def tree_edges(edges: DataFrame, by: tuple[str, ...] = (), width: float = 1.0) -
     return met.select(*by, F.col("left").alias("tree_left"), F.col("right").alias("tree_right"), "parent", "child")
 
 
-def haplotypes(carried: DataFrame, sites: DataFrame, samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, sample, haplotype): a string of 0 and 1 along the sites (by, site, position) for each sample."""
-    keys = list(by)
-    ones = carried.groupBy(*keys, "sample").agg(F.collect_set("site").alias("_ones"))
-    axis = sites.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("position", "site"))).alias("_axis"))
-    each = samples.select(*keys, F.col("node").alias("sample")).distinct().join(ones, [*keys, "sample"], "left")
-    each = each.join(axis, keys) if keys else each.crossJoin(F.broadcast(axis))  # one row
-    marks = F.transform("_axis", lambda s: F.when(F.array_contains(F.coalesce("_ones", F.array().cast("array<long>")), s["site"].cast("long")), "1").otherwise("0"))
-    return each.select(*keys, "sample", F.array_join(marks, "").alias("haplotype"))
-
-
 def delete_intervals(edges: DataFrame, gaps: DataFrame, width: float = 1.0) -> DataFrame:
     """``edges`` without the stretches of ``gaps`` (left, right; apart from each other): what stands between the gaps of each edge."""
     marked = edges.withColumn("_edge", F.struct(*edges.columns))

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import ratemap
-from kinfold.operators import demography, intervals, likelihood, models, mutations, pedigrees, sweep, trees
+from kinfold.operators import demography, intervals, likelihood, models, mutations, pedigrees, sweep, trees, variants
 from kinfold.sources import demes, newick, texts
+from kinfold.streaming import lineages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -449,6 +450,42 @@ def demes_states(spark, sf_dir):
     return found.select("model", F.col("epoch").cast("long").alias("epoch"), F.col("population").cast("long").alias("population"), "state")
 
 
+def variant_blocks(spark, sf_dir):
+    """The carried states of the heap's mutated parts as blocks of bits: how many are set, in how many samples."""
+    edges, nodes = _part_tree(spark, sf_dir)
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("node"), "p_size")
+    half = (parts.agg(F.max("node")).first()[0] or 0) // 2  # nodes above it have no children
+    mutated = parts.where("p_size % 10 = 0").select(F.col("node").alias("site"), F.lit(0.5).alias("position"), "node")
+    carried = sweep.genotypes(edges, nodes.withColumn("sample", F.col("node") > half), mutated)
+    blocks = variants.packed(carried, mutated, nodes.where(F.col("node") > half))
+    ones = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w).cast("long"))
+    return blocks.select("site_block", "sample_block", ones.alias("n"), F.size(F.filter("words", lambda w: w != 0)).cast("long").alias("carriers"))
+
+
+def mean_coalescence_migration(spark, sf_dir):
+    """Mean time to coalescence in two populations of each supplier that exchange lineages: of pairs of one population, and of pairs of both."""
+    key = F.col("s_suppkey").cast("long")
+    each = _table(spark, sf_dir, "supplier").select(key.alias("model"), F.lit(2).alias("n"), (key % 50 + 10).alias("size"), F.lit(0.0).alias("growth_rate"), (0.5 / (key % 40 + 1)).alias("rate"))
+    held = models.histories(models.isolated(each), models.island(each), spark.createDataFrame([], models.EVENTS))
+    told = lambda lineages, kind: demography.mean_coalescence_times(held, lineages).select("model", F.lit(kind).alias("pairs"), F.floor(F.col("mean_time") * 1000 + 0.5).alias("milli_time"))
+    return told([2.0, 0.0], "within").unionByName(told([1.0, 1.0], "between"))
+
+
+def starbeast_sizes(spark, sf_dir):
+    """Sizes of the five populations of an annotated tree of three species for each supplier, read from NEXUS text in years."""
+    key = F.col("s_suppkey").cast("long")
+    text = "#NEXUS\nBegin trees;\n Translate 1 ash, 2 birch, 3 cedar;\ntree T = [&R] ((1[&dmv={%s}]:2,2[&rate=0.5,dmv={2}]:2)[&dmv={%s}]:1,3[&dmv={3}]:[&rate=1]3)[&dmv={0.5}];\nEnd;"
+    files = _table(spark, sf_dir, "supplier").select(key.alias("file"), F.format_string(text, (key % 50 + 1).cast("string"), (key % 7 + 1).cast("string")).alias("text"))
+    populations, _ = newick.starbeast_models(files, "yr", 0.5)
+    return populations.select("model", F.col("population").cast("long").alias("population"), "name", F.floor(F.col("initial_size") + 0.001).alias("size"))
+
+
+def live_counts(spark, sf_dir):
+    """Events as beginnings and ends of each user's lineages: how many are alive after each."""
+    events = _table(spark, sf_dir, "events").withColumn("change", F.when(F.col("value") > 50, 1).otherwise(-1))
+    return lineages.live_counts(events, "user_id", "event_id", "ts", "change").select("event_id", "live")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -457,6 +494,7 @@ QUERIES = {
         lineage_locations, epoch_matrix, population_size_history, population_states, model_faults, event_proportions, coalescence_rate_trajectory, mean_coalescence_time,
         samples_below, log_mutation_likelihood, genotype_carriers, parent_mutations, local_tree_count, segregating_by_window, tajimas_d, discrete_sites, mutation_matrices, newick_nodes,
         ratemap_find_index, ratemap_mass_to_position, ratemap_slice_missing, hotspots, simplified_edges, tree_roots, branch_diversity, branch_segregating, branch_spectrum, edges_without_gaps, pedigree_genomes, pedigree_faults, pedigree_of_names, demes_epochs, demes_states,
+        variant_blocks, mean_coalescence_migration, starbeast_sizes, live_counts,
     )
 }
 
@@ -585,6 +623,13 @@ SELECT CAST(min(w.x) AS BIGINT) AS "left", CAST(max(w.x) + 1 AS BIGINT) AS "righ
     "pedigree_of_names": """WITH p AS (SELECT 'i' || p_partkey AS id, CASE WHEN p_partkey > 1 THEN 'i' || p_partkey // 2 END AS a, CASE WHEN p_size % 11 = 0 THEN 'nobody' WHEN p_partkey > 3 THEN 'i' || p_partkey // 3 END AS b FROM part WHERE p_partkey > 0),
 n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM p)
 SELECT i.k AS id, CASE WHEN p.a IS NULL THEN -1 ELSE coalesce(x.k, -2) END AS parent0, CASE WHEN p.b IS NULL THEN -1 ELSE coalesce(y.k, -2) END AS parent1 FROM p JOIN n i USING (id) LEFT JOIN n x ON x.id = p.a LEFT JOIN n y ON y.id = p.b""",
+    "variant_blocks": f"""WITH RECURSIVE u(node, up) AS (SELECT CAST(p_partkey AS BIGINT), CAST(p_partkey AS BIGINT) FROM part WHERE p_partkey > {_N} // 2 UNION ALL SELECT node, up // 2 FROM u WHERE up > 1),
+s AS (SELECT p_partkey AS up, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part WHERE p_size % 10 = 0), v AS (SELECT p_partkey AS node, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part WHERE p_partkey > {_N} // 2)
+SELECT CAST(i // 64 AS BIGINT) AS site_block, CAST(k // 256 AS BIGINT) AS sample_block, count(*) AS n, count(DISTINCT k) AS carriers FROM u JOIN s USING (up) JOIN v USING (node) GROUP BY i // 64, k // 256""",
+    "mean_coalescence_migration": """SELECT CAST(s_suppkey AS BIGINT) AS model, pairs, CAST(1000 * (4 * (s_suppkey % 50 + 10) + CASE pairs WHEN 'between' THEN s_suppkey % 40 + 1 ELSE 0 END) AS BIGINT) AS milli_time FROM supplier CROSS JOIN (VALUES ('within'), ('between')) p(pairs)""",
+    "starbeast_sizes": """SELECT CAST(s_suppkey AS BIGINT) AS model, CAST(p AS BIGINT) AS population, CASE p WHEN 0 THEN 'ash' WHEN 1 THEN 'birch' WHEN 2 THEN 'cedar' END AS name,
+CAST(CASE p WHEN 0 THEN 2 * (s_suppkey % 50 + 1) WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 2 * (s_suppkey % 7 + 1) ELSE 1 END AS BIGINT) AS size FROM supplier, range(5) t(p)""",
+    "live_counts": "SELECT event_id, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS live FROM events",
     "demes_epochs": """WITH e AS (SELECT CAST(s_suppkey AS BIGINT) AS model, e, CASE e WHEN 3 THEN 100 + s_suppkey % 50 ELSE e * 20 END AS start FROM supplier, range(4) t(e))
 SELECT model, CAST(e AS BIGINT) AS epoch, CAST(p AS BIGINT) AS population, CAST(start AS BIGINT) AS start, CAST(floor(1000 * (CASE p WHEN 0 THEN CASE WHEN e = 3 THEN 1000 ELSE 0 END WHEN 1 THEN 1000 ELSE CASE WHEN e < 2 THEN 128 * exp(-ln(2) / 40 * start) ELSE 256 + model % 7 END END) + 0.001) AS BIGINT) AS milli_size FROM e, range(3) q(p)""",
     "demes_states": """SELECT CAST(s_suppkey AS BIGINT) AS model, e AS epoch, p AS population, CASE WHEN p = 3 THEN CASE WHEN e = 0 THEN 'active' ELSE 'previously active' END WHEN p = 0 THEN CASE WHEN e = 2 THEN 'active' ELSE 'inactive' END

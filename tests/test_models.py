@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import demography, likelihood, models, mutations, sweep, trees
+from kinfold.operators import demography, likelihood, models, mutations, sweep, trees, variants
 from kinfold.sources import newick
 
 
@@ -147,7 +147,7 @@ def test_local_trees_genotypes_and_gaps(spark):
     sites = spark.createDataFrame([(0, 0.1, 5), (1, 0.6, 6), (2, 0.7, 3)], "site long, position double, node long")
     carried = sweep.genotypes(edges, nodes.withColumn("sample", F.col("flags") == 1), sites)
     assert rows(carried, "site", "sample") == [(0, 1), (0, 2), (1, 0), (1, 2)]
-    assert rows(trees.haplotypes(carried, sites, samples), "sample") == [(0, "010"), (1, "100"), (2, "110")]
+    assert rows(variants.haplotypes(carried, sites, samples), "sample") == [(0, "010"), (1, "100"), (2, "110")]
     gaps = spark.createDataFrame([(0.2, 0.3), (0.4, 0.75)], "left double, right double")
     left = rows(trees.delete_intervals(edges.where("parent = 7 OR parent = 3"), gaps), "child", "left")
     assert left == [(0.0, 0.2, 3, 2), (0.3, 0.4, 3, 2), *[(a, b, 7, c) for c in (5, 6) for a, b in ((0.0, 0.2), (0.3, 0.4), (0.75, 1.0))]]
