@@ -207,11 +207,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(runs, pa.string()), pa.array(ranks, pa.int32()), pa.array(hashes, pa.int64())], names=["lang", "run", "rank", "hash"])
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, windows: int = WINDOWS) -> Model | None:
-    """A model learned from ``windows`` runs of words of ``sample`` rows of each language at most; None if no row has text and language."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, windows: int = WINDOWS, most_languages: int = 256) -> Model | None:
+    """A model learned from ``windows`` runs of words of ``sample`` rows of each language at most; None if no row has text and language.
+
+    The model holds a column of weights for each language, a megabyte, and is broadcast: more than ``most_languages`` are an error.
+    """
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
     spark, ids = df.sparkSession, usable.select("_id", "_lang")
-    sizes = ids.groupBy("_lang").agg(F.approx_count_distinct("_id").alias("n")).collect()  # one row a language; the model holds a column for each
+    sizes = ids.groupBy("_lang").agg(F.approx_count_distinct("_id").alias("n")).limit(most_languages + 1).collect()  # one row a language
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: the model would not be small enough to broadcast")
     shares = spark.createDataFrame([(lang, min(1.0, 3 * sample / n)) for lang, n in sizes], "_lang string, _share double")
     # some three times the rows wanted by hash, then exactly the least hashes of each language
     drawn = ids.join(F.broadcast(shares), "_lang").withColumn("_hash", F.xxhash64("_id")).where(F.pmod("_hash", F.lit(1 << 40)) < F.col("_share") * float(1 << 40)).distinct()

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 
 from kinfold.llm import language_id, queries
 
@@ -77,3 +78,11 @@ def test_hard(spark, hard, empty):
     assert [r.lang_pred for r in language_id.identify(hard.selectExpr("*", "cast(null as string) lang")).collect()] == ["und"] * hard.count()
     words = language_id.label_words(hard, model).collect()
     assert sum(len(r.words) for r in words if r.doc_id == 4) == 3000
+
+
+def test_too_many_languages(spark):
+    """The broadcast model has a stated bound of languages: beyond it fitting is an error, at it a model."""
+    rows = spark.createDataFrame([(k, f"word{k} other{k}", f"l{k % 3}") for k in range(30)], "doc_id long, text string, lang string")
+    assert language_id.fit(rows, most_languages=3) is not None
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language_id.fit(rows, most_languages=2)
