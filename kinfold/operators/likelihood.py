@@ -7,11 +7,13 @@ share the columns ``by``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators import sweep
+from kinfold.operators.prefix import running_sum
 from kinfold.operators.trees import total_material
+from kinfold.tables import written
 
 #: Flag bits of nodes.
 NODE_SAMPLE = 1
@@ -60,9 +62,8 @@ def log_arg_likelihood(edges: DataFrame, nodes: DataFrame, recombination_rate: f
 
     Each common ancestor and each pair of recombinant nodes is one event. What an
     event changes in the number of lineages and the material that may recombine
-    follows from the edges of its nodes; running sums over events in time give
-    the rates between them. Of one genealogy the events, not the edges, stand
-    side by side in a task.
+    follows from the edges of its nodes. The number of lineages before an event is
+    a running sum in ranges of time, so a genealogy of any length is many tasks.
     """
     if size <= 0:
         raise ValueError("the size must be above 0")
@@ -82,13 +83,14 @@ def log_arg_likelihood(edges: DataFrame, nodes: DataFrame, recombination_rate: f
     start = samples.join(length, keys) if keys else samples.crossJoin(F.broadcast(length))  # one row each
     begun = start.select(*keys, F.lit(0.0).alias("time"), F.col("_n").cast("int").alias("lineages"), (F.col("_n") * F.col("_length")).alias("material"), F.lit(None).cast("double").alias("gap"), F.lit(0).alias("_order"))
     events = begun.unionByName(merged.withColumn("_order", F.lit(1))).unionByName(split.withColumn("_order", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy("time", "_order", F.desc("lineages"))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    held = events.select(*keys, "time", "gap", "lineages", "_order", F.lag("time").over(w).alias("_last"), F.sum("lineages").over(before).alias("k"), F.sum("material").over(before).alias("m"))
-    waited = (F.col("k") * (F.col("k") - 1) / (4 * size) + F.col("m") * recombination_rate) * (F.col("time") - F.col("_last"))
+    counted = running_sum(written(events.withColumn("lineages", F.col("lineages").cast("long")), "events"), "time", "lineages", "k", by, ("_order",), inclusive=False)
+    # what an event adds to the rate holds from its time to the last event: summed by parts, only lineages need an order
+    after = F.col("k") + F.col("lineages")
+    added = (after * (after - 1) - F.col("k") * (F.col("k") - 1)) / (4 * size) + F.col("material") * recombination_rate
     if recombination_rate > 0:
         at_split = F.log(recombination_rate * F.when(F.col("gap") > 0, F.col("gap")).otherwise(1.0))
     else:
         at_split = F.lit(float("-inf"))
-    happened = F.when(F.col("gap").isNotNull(), at_split).otherwise(-F.log(F.lit(2.0 * size)))
-    return held.where("_order = 1").groupBy(*keys).agg(F.sum(happened - waited).alias("log_likelihood"))
+    happened = F.when(F.col("_order") == 0, 0.0).when(F.col("gap").isNotNull(), at_split).otherwise(-F.log(F.lit(2.0 * size)))
+    total = counted.groupBy(*keys).agg(F.sum("_order").alias("_events"), F.sum(happened).alias("_happened"), F.sum(added).alias("_rate"), F.sum(added * F.col("time")).alias("_timed"), F.max("time").alias("_end"))
+    return total.where("_events > 0").select(*keys, (F.col("_happened") - (F.col("_rate") * F.col("_end") - F.col("_timed"))).alias("log_likelihood"))

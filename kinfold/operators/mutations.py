@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.operators import amino_tables
 from kinfold.operators.ancestry import uniform
 from kinfold.operators.prefix import last_known, numbered, running_sum
 from kinfold.tables import drop_written, written
@@ -97,6 +98,24 @@ def amino_acids(exchange, frequencies, root=None) -> Model:
     return _from_rates(rates * f, f if root is None else root, AMINO_ACIDS)
 
 
+def _scored(rates: str, frequencies: str) -> Model:
+    """A model from the lines of a table below its diagonal, and frequencies."""
+    full = np.zeros((20, 20))
+    for i, line in enumerate(rates.split("\n")[1:-1], 1):
+        full[i, :i] = line.split()
+    return amino_acids(full + full.T, frequencies.split())
+
+
+def blosum62() -> Model:
+    """Amino acids by the exchange rates of BLOSUM62."""
+    return _scored(amino_tables.BLOSUM62_RATES, amino_tables.BLOSUM62_FREQUENCIES)
+
+
+def pam() -> Model:
+    """Amino acids by the exchange rates of Dayhoff's PAM."""
+    return _scored(amino_tables.PAM_RATES, amino_tables.PAM_FREQUENCIES)
+
+
 def microsatellite(s: float, u: float, v: float, p: float, m: float, low: int, high: int, root=None) -> Model:
     """Repeat counts ``low`` to ``high``: change at a rate that rises by ``s`` a repeat, up with probability ``u`` less ``v`` for each repeat, by one step with probability ``p``, else by a geometric number of steps (``m``) cut at the ends. The root is stationary unless given."""
     if not (0 <= low <= high and 0 < u < 1 and s > -1 / (high - low + 1)):
@@ -139,7 +158,7 @@ def linear_bias(m: float, u: float, v: float, low: int, high: int) -> Model:
 
 
 #: Models that need no parameter, by name.
-NAMED = {"binary": binary, "jc69": jukes_cantor_model}
+NAMED = {"binary": binary, "jc69": jukes_cantor_model, "blosum62": blosum62, "pam": pam}
 
 
 def model_named(name: str | Model | None) -> Model:
@@ -225,13 +244,53 @@ def infinite_alleles(mutations: DataFrame, by: tuple[str, ...] = (), start: int
     return aged.withColumns({"ancestral_state": F.lit(str(start)), "derived_state": (F.col("_n") + 1 + start).cast("string")}).drop("_n")
 
 
-def chained_labels(mutations: DataFrame, parents: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``mutations`` with ``derived_state``: the ids of all mutations on the path from the root, oldest first, joined by commas. Paths are put together by doubling."""
+def chained_labels(mutations: DataFrame, parents: DataFrame, by: tuple[str, ...] = (), label: str = "mutation") -> DataFrame:
+    """``mutations`` with ``derived_state``: the ``label`` of all mutations on the path from the root, oldest first, joined by commas.
+
+    Paths are put together by doubling. ``mutations`` and ``parents`` (by, mutation,
+    parent) hold each mutation once; a parent that is not there ends the path.
+    """
     keys = list(by)
-    now = written(parents.select(*keys, "mutation", F.col("parent").alias("up"), F.col("mutation").cast("string").alias("label")), "labels")
+    own = mutations.select(*keys, "mutation", F.col(label).cast("string").alias("label"))
+    now = written(parents.select(*keys, "mutation", F.col("parent").alias("up")).join(own, [*keys, "mutation"]), "labels")
     while not now.where("up IS NOT NULL").isEmpty():
         above = now.select(*keys, F.col("mutation").alias("up"), F.col("label").alias("_label"), F.col("up").alias("_up"))
         after = written(now.join(above, [*keys, "up"], "left").select(*keys, "mutation", F.col("_up").alias("up"), F.concat_ws(",", "_label", "label").alias("label")), "labels")
         drop_written(now)
         now = after
     return mutations.join(now.select(*keys, "mutation", F.col("label").alias("derived_state")), [*keys, "mutation"])
+
+
+def stacked_labels(mutations: DataFrame, parents: DataFrame, mutation_type: int, next_id: int = 0, generation: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """``mutations`` (by, mutation, site, time, ...) with stacked alleles: ``id``, ``ancestral_state``, ``derived_state``, ``origins``.
+
+    Ids count from ``next_id`` along the sites of ``by``, at a site from the oldest
+    mutation on; of equal times the smaller mutation comes first. The state at the
+    root is empty, the derived state the ids of all mutations from the root on,
+    joined by commas. ``origins`` has (type, coefficient, population, generation,
+    nucleotide) for each of them: the type given, 0, -1, ``generation`` less the whole
+    part of the mutation's time, and -1. Null times or sites are refused.
+    """
+    if mutation_type < 0 or next_id < 0:
+        raise ValueError("the type and the next id must not be below 0")
+    refused = F.raise_error(F.lit("a mutation without a site or a time")).cast("double")
+    aged = mutations.withColumn("_age", F.when(F.col("site").isNull() | F.col("time").isNull(), refused).otherwise(-F.col("time")))
+    counted = numbered(aged, "site", "_n", by, ("_age", "mutation")).withColumn("id", F.col("_n") + F.lit(next_id).cast("long"))
+    born = F.lit(generation).cast("long") - F.col("time").cast("long")
+    counted = written(counted.withColumn("_own", F.concat_ws(":", "id", born)).drop("_n", "_age"), "ids")
+    chains = F.split("derived_state", ",")
+    part = lambda x, n: F.get(F.split(x, ":"), F.lit(n))
+    origin = lambda x: F.struct(F.lit(mutation_type).alias("type"), F.lit(0.0).cast("float").alias("coefficient"), F.lit(-1).alias("population"), part(x, 1).cast("int").alias("generation"), F.lit(-1).cast("byte").alias("nucleotide"))
+    found = chained_labels(counted, parents, by, "_own").drop("_own").withColumn("origins", F.transform(chains, origin))
+    return found.withColumns({"ancestral_state": F.lit(""), "derived_state": F.array_join(F.transform(chains, lambda x: part(x, 0)), ",")})
+
+
+def packed_origins(origins: str = "origins") -> Column:
+    """``origins`` as bytes, 17 for each: type, coefficient (always 0), population and generation in four little-endian bytes each, and the nucleotide in one."""
+
+    def little(x: Column) -> Column:
+        digits = F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+        return F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)])
+
+    one = lambda o: F.concat(little(o["type"]), F.lit("0" * 8), little(o["population"]), little(o["generation"]), F.lpad(F.hex(o["nucleotide"].cast("long").bitwiseAND(F.lit(0xFF))), 2, "0"))
+    return F.unhex(F.array_join(F.transform(origins, one), ""))

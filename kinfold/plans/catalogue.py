@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import ratemap
-from kinfold.operators import demography, intervals, likelihood, models, mutations, pedigrees, sweep, trees, variants
+from kinfold.operators import amino_tables, demography, intervals, likelihood, models, mutations, pedigrees, sweep, trees, variants
 from kinfold.sources import demes, newick, texts
 from kinfold.streaming import lineages
 
@@ -217,6 +217,58 @@ def lineage_locations(spark, sf_dir):
     return found.select("model", F.col("step"), F.col("start").cast("long").alias("start"), F.col("dest").cast("long").alias("dest"), F.floor(F.col("probability") * 1000000 + 0.5).alias("millionths"))
 
 
+def _supplier_models(spark, sf_dir):
+    """Three populations for each supplier, the first two with migration until they split off the third at time 8."""
+    suppliers = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("model"), F.lit(3).alias("n"), F.lit(100).alias("size"), F.lit(0.0).alias("growth_rate"), (F.col("s_suppkey") % 40 * 0.01 + 0.01).alias("rate"))
+    populations = models.isolated(suppliers.drop("rate")).withColumn("initially_active", F.col("population") < 2)
+    migration = models.island(suppliers.withColumn("n", F.lit(2)))
+    none = {c: F.lit(None) for c in ("proportions", "size", "growth_rate", "rate")}
+    events = suppliers.select("model").withColumns({"seq": F.lit(0), "time": F.lit(8.0), "kind": F.lit("population_split"), "populations": F.array(F.lit(0), F.lit(1)), "others": F.array(F.lit(2)), **none})
+    return populations, migration, _as_events(events)
+
+
+def _as_events(events: DataFrame) -> DataFrame:
+    kinds = {name: kind for name, kind in (c.rsplit(" ", 1) for c in models.EVENTS.split(", "))}
+    return events.select(*(F.col(c).cast(kind).alias(c) for c, kind in kinds.items()))
+
+
+def lineage_locations_split(spark, sf_dir):
+    """Where lineages of two populations of each supplier's model are before and after these split off a third one."""
+    found = demography.lineage_probabilities(models.histories(*_supplier_models(spark, sf_dir)), [2.0, 5.0, 12.0])
+    return found.where("start < 2").select("model", "step", F.col("start").cast("long").alias("start"), F.col("dest").cast("long").alias("dest"), F.floor(F.col("probability") * 1000000 + 0.5).alias("millionths"))
+
+
+def model_fault_kinds(spark, sf_dir):
+    """The suppliers' models, each broken in one of twelve ways or in none."""
+    populations, migration, events = _supplier_models(spark, sf_dir)
+    way = F.col("model") % 13
+    populations = populations.withColumn("initial_size", F.when((way == 1) & (F.col("population") == 2), -1.0).otherwise(F.col("initial_size")))
+    populations = populations.unionByName(populations.where((way == 2) & (F.col("population") == 1)))
+    populations = populations.withColumn("initially_active", F.col("initially_active") & ~((way == 12) & (F.col("population") == 0)))
+    migration = migration.withColumns({"rate": F.when((way == 3) & (F.col("source") == 0), -0.5).otherwise(F.col("rate")), "dest": F.when((way == 4) & (F.col("source") == 0), 0).otherwise(F.col("dest"))})
+    second = events.withColumns({
+        "seq": F.lit(1), "time": F.when(way == 5, -1.0).otherwise(9.0),
+        "kind": F.when(way == 6, "merger").when(way.isin(8, 9), "mass_migration").when(way.isin(10, 11), "admixture").otherwise("population_parameters_change"),
+        "populations": F.when(way == 7, F.array(F.lit(77))).otherwise(F.array(F.lit(2))),
+        "others": F.when(way == 8, F.array(F.lit(2))).when(way == 9, F.array(F.lit(1))).when(way == 10, F.array(F.lit(0), F.lit(1))).when(way == 11, F.array(F.lit(0))),
+        "proportions": F.when(way == 8, F.array(F.lit(0.5))).when(way == 9, F.array(F.lit(1.5))).when(way.isin(10, 11), F.array(F.lit(0.25), F.lit(0.5))),
+    })
+    return models.faults(populations, migration, events.unionByName(_as_events(second)))
+
+
+def newick_nested(spark, sf_dir):
+    """Every order as a nested tree: its first line is the innermost leaf, each further line a leaf beside all before it. As text, read back, with times."""
+    lines = F.sort_array(F.collect_set(F.col("l_linenumber").cast("int")))
+    orders = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("tree")).agg(lines.alias("lines"))
+    numbers = F.sequence(F.lit(1), F.size("lines") - 1)
+    leaf = lambda i: F.concat(F.lit("leaf"), F.get("lines", i).cast("string"))
+    inner = lambda a, i: F.concat(F.lit("("), a, F.lit(":1,'"), leaf(i), F.lit("':"), i.cast("string"), F.lit(")n"), i.cast("string"))
+    texts = orders.where(F.size("lines") > 1).select("tree", F.concat(F.aggregate(numbers, F.concat(F.lit("'"), leaf(F.lit(0)), F.lit("'")), inner), F.lit(";")).alias("text"))
+    nodes = newick.node_times(newick.parse_newick(texts))
+    above = nodes.select("tree", F.col("node").alias("parent"), F.col("label").alias("above"))
+    return nodes.join(above, ["tree", "parent"], "left").select("tree", "label", "above", F.col("time").cast("long").alias("time"))
+
+
 def coalescence_rate_trajectory(spark, sf_dir):
     """Rate and share uncoalesced of pairs in one population of each nation, whose size changes at time 40."""
     nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("model"), F.lit(1).alias("n"), (F.col("n_nationkey") + 10).alias("size"), F.lit(0.0).alias("growth_rate"), F.lit(0.0).alias("rate"))
@@ -276,6 +328,46 @@ def parent_mutations(spark, sf_dir):
     return mutations.parent_mutations(mutated, trees.tour(edges.select("parent", "child")))
 
 
+def stacked_labels(spark, sf_dir):
+    """The same mutations with ids that stack up along the heap, and how many of a mutation's alleles are how old."""
+    edges, nodes = _part_tree(spark, sf_dir)
+    parts = _table(spark, sf_dir, "part").where("p_partkey > 0").select(F.col("p_partkey").cast("long").alias("node"), F.col("p_size").cast("long").alias("site"))
+    mutated = parts.join(nodes, "node").select(F.col("node").alias("mutation"), "site", "node", "time")
+    parents = mutations.parent_mutations(mutated, trees.tour(edges.select("parent", "child")))
+    found = mutations.stacked_labels(mutated, parents, mutation_type=2, next_id=5, generation=1000)
+    born = F.aggregate("origins", F.lit(0).cast("long"), lambda a, o: a + o["generation"])
+    return found.select("mutation", "id", "derived_state", born.alias("generations"), F.length(mutations.packed_origins()).cast("long").alias("n_bytes"))
+
+
+def amino_changes(spark, sf_dir):
+    """Lines as pairs of amino acids, by part and by supplier: how often each is there, and its probability in two models."""
+    letter = lambda key: F.substring(F.lit(mutations.AMINO_ACIDS), (F.col(key) % 20 + 1).cast("int"), F.lit(1))
+    pairs = _table(spark, sf_dir, "lineitem").groupBy(letter("l_partkey").alias("above"), letter("l_suppkey").alias("below")).agg(F.count(F.lit(1)).alias("n"))
+    held = spark.createDataFrame([(name, *row) for name in ("blosum62", "pam") for row in mutations.model_rows(mutations.model_named(name))], "model string, above string, below string, p double")
+    return held.join(pairs, ["above", "below"]).select("model", "above", "below", "n", F.floor(F.col("p") * 1e9 + 0.5).alias("billionths"))
+
+
+def _order_genealogies(spark, sf_dir):
+    """Two samples for each order that meet later; in odd orders one of them is split before, and its two parts meet the other one after another."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("tree"), (F.col("o_custkey") % 7 + 1).cast("double").alias("r"), (F.col("o_orderkey") % 2 == 1).alias("odd"))
+    orders = orders.withColumns({"a": F.col("r") + F.col("tree") % 5 + 1, "x": F.col("tree") % 9 + 1.0}).withColumn("b", F.col("a") + F.col("tree") % 3 + 1)
+    node = lambda n, time, flags: F.struct(F.lit(n).alias("node"), time.alias("time"), F.lit(flags).alias("flags"))
+    edge = lambda left, right, parent, child: F.struct(left.alias("left"), right.alias("right"), F.lit(parent).alias("parent"), F.lit(child).alias("child"))
+    zero, ten, x = F.lit(0.0), F.lit(10.0), F.col("x")
+    tips = [node(0, zero, likelihood.NODE_SAMPLE), node(1, zero, likelihood.NODE_SAMPLE)]
+    split = [node(n, F.col("r"), likelihood.NODE_RECOMBINANT) for n in (2, 3)]
+    nodes = F.when(F.col("odd"), F.array(*tips, *split, node(4, F.col("a"), 0), node(5, F.col("b"), 0))).otherwise(F.array(*tips, node(4, F.col("a"), 0)))
+    meets = [edge(zero, x, 2, 1), edge(x, ten, 3, 1), edge(zero, ten, 4, 0), edge(zero, x, 4, 2), edge(x, ten, 5, 3), edge(x, ten, 5, 4)]
+    edges = F.when(F.col("odd"), F.array(*meets)).otherwise(F.array(edge(zero, ten, 4, 0), edge(zero, ten, 4, 1)))
+    return orders.select("tree", F.inline(edges)), orders.select("tree", F.inline(nodes))
+
+
+def log_arg_likelihood(spark, sf_dir):
+    """Of each order's genealogy, for 50 diploids and recombination at 0.01."""
+    found = likelihood.log_arg_likelihood(*_order_genealogies(spark, sf_dir), 0.01, 50.0, ("tree",))
+    return found.select("tree", F.floor(F.col("log_likelihood") * 1000000 + 0.5).alias("millionths"))
+
+
 def local_tree_count(spark, sf_dir):
     """How many local trees each supplier's edges make, and how far they reach."""
     edges = supply_edges(spark, sf_dir).withColumn("supplier", F.col("parent"))
@@ -486,6 +578,18 @@ def live_counts(spark, sf_dir):
     return lineages.live_counts(events, "user_id", "event_id", "ts", "change").select("event_id", "live")
 
 
+def _amino_sql(name: str, rates: str, frequencies: str) -> tuple[str, str]:
+    """(model, i, j, p) of a score table, from its text: the query and the tables that it needs."""
+    lines = rates.strip()
+    return f"""SELECT '{name}' AS model, a.i AS i, b.i AS j, CASE WHEN a.i = b.i THEN 1 - t.t / m.m ELSE q.r * b.f / m.m END AS p FROM {name}_f a CROSS JOIN {name}_f b LEFT JOIN {name}_q q ON q.i = a.i AND q.j = b.i JOIN {name}_t t ON t.i = a.i CROSS JOIN (SELECT max(t) AS m FROM {name}_t) m""", f"""{name}_f AS (SELECT i, CAST(string_split('{frequencies}', ' ')[i] AS DOUBLE) AS f FROM range(1, 21) r(i)),
+{name}_l AS (SELECT i + 1 AS i, j, CAST(string_split(string_split('{lines}', chr(10))[i], ' ')[j] AS DOUBLE) AS r FROM range(1, 20) x(i), range(1, 20) y(j) WHERE j <= i),
+{name}_q AS (SELECT i, j, r FROM {name}_l UNION ALL SELECT j, i, r FROM {name}_l),
+{name}_t AS (SELECT q.i, sum(r * f) AS t FROM {name}_q q JOIN {name}_f f ON f.i = q.j GROUP BY q.i)"""
+
+
+_AMINO = [_amino_sql("blosum62", amino_tables.BLOSUM62_RATES, amino_tables.BLOSUM62_FREQUENCIES), _amino_sql("pam", amino_tables.PAM_RATES, amino_tables.PAM_FREQUENCIES)]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -495,6 +599,7 @@ QUERIES = {
         samples_below, log_mutation_likelihood, genotype_carriers, parent_mutations, local_tree_count, segregating_by_window, tajimas_d, discrete_sites, mutation_matrices, newick_nodes,
         ratemap_find_index, ratemap_mass_to_position, ratemap_slice_missing, hotspots, simplified_edges, tree_roots, branch_diversity, branch_segregating, branch_spectrum, edges_without_gaps, pedigree_genomes, pedigree_faults, pedigree_of_names, demes_epochs, demes_states,
         variant_blocks, mean_coalescence_migration, starbeast_sizes, live_counts,
+        stacked_labels, amino_changes, log_arg_likelihood, lineage_locations_split, model_fault_kinds, newick_nested,
     )
 }
 
@@ -648,4 +753,22 @@ SELECT a AS "left", b AS "right", line FROM p WHERE a < b""",
     "pedigree_faults": f"""WITH p AS (SELECT * FROM {_PEDIGREE}), l AS (SELECT id, time, a AS up FROM p WHERE a <> -1 UNION ALL SELECT id, time, b FROM p WHERE b <> -1),
 j AS (SELECT l.id, l.time, q.id AS there, q.time AS older FROM l LEFT JOIN p q ON q.id = l.up)
 SELECT id, 'one parent only' AS fault FROM p WHERE (a = -1) <> (b = -1) UNION ALL SELECT id, 'unknown parent' FROM j WHERE there IS NULL UNION ALL SELECT id, 'parent not older' FROM j WHERE older <= time UNION ALL SELECT id, 'no population' FROM p WHERE population IS NULL""",
+    "stacked_labels": f"""WITH RECURSIVE p AS (SELECT CAST(p_partkey AS BIGINT) AS k, p_size AS site, {_heap_time("p_partkey")} AS time FROM part WHERE p_partkey > 0),
+n AS (SELECT *, row_number() OVER (ORDER BY site, -time, k) - 1 + 5 AS id FROM p), u(k, site, up) AS (SELECT k, site, k FROM p UNION ALL SELECT k, site, up // 2 FROM u WHERE up > 1)
+SELECT u.k AS mutation, max(CASE WHEN n.k = u.k THEN n.id END) AS id, string_agg(CAST(n.id AS VARCHAR), ',' ORDER BY n.k) AS derived_state, CAST(sum(1000 - floor(n.time)) AS BIGINT) AS generations, CAST(17 * count(*) AS BIGINT) AS n_bytes
+FROM u JOIN n ON n.k = u.up AND n.site = u.site GROUP BY u.k""",
+    "amino_changes": f"""WITH {_AMINO[0][1]}, {_AMINO[1][1]}, c AS (SELECT l_partkey % 20 + 1 AS i, l_suppkey % 20 + 1 AS j, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT model, substring('{mutations.AMINO_ACIDS}', CAST(i AS INT), 1) AS above, substring('{mutations.AMINO_ACIDS}', CAST(j AS INT), 1) AS below, n, CAST(floor(p * 1e9 + 0.5) AS BIGINT) AS billionths FROM ({_AMINO[0][0]} UNION ALL {_AMINO[1][0]}) JOIN c USING (i, j)""",
+    "log_arg_likelihood": """WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS tree, CAST(o_custkey % 7 + 1 AS DOUBLE) AS r, o_orderkey % 2 = 1 AS odd, o_orderkey % 9 + 1.0 AS x FROM orders),
+t AS (SELECT *, r + tree % 5 + 1 AS a, r + tree % 5 + 1 + tree % 3 + 1 AS b FROM o)
+SELECT tree, CAST(floor(1000000 * CASE WHEN odd THEN ln(0.01) - 2 * ln(100.0) - (0.01 + 0.2) * r - (0.03 + 0.2) * (a - r) - (0.01 + (20 - 2 * x) * 0.01) * (b - a) ELSE -ln(100.0) - (0.01 + 0.2) * a END + 0.5) AS BIGINT) AS millionths FROM t""",
+    "lineage_locations_split": """SELECT CAST(s_suppkey AS BIGINT) AS model, CAST(step AS DOUBLE) AS step, CAST(a.range AS BIGINT) AS start, CAST(b.range AS BIGINT) AS dest,
+CAST(floor(CASE WHEN step > 8 THEN CASE WHEN b.range = 2 THEN 1 ELSE 0 END WHEN b.range = 2 THEN 0 ELSE (1 + CASE WHEN a.range = b.range THEN 1 ELSE -1 END * exp(-2 * (s_suppkey % 40 * 0.01 + 0.01) * CAST(step AS DOUBLE))) / 2 END * 1000000 + 0.5) AS BIGINT) AS millionths
+FROM supplier CROSS JOIN (VALUES (2.0), (5.0), (12.0)) s(step) CROSS JOIN range(2) a CROSS JOIN range(3) b""",
+    "model_fault_kinds": """WITH f(way, fault, what) AS (VALUES (1, 'size below 0', '2'), (2, 'repeated population', '1'), (3, 'rate below 0', '0-1'), (4, 'migration to itself', '0'), (5, 'time below 0', '1'), (6, 'unknown kind', '1'), (7, 'unknown population', '77'),
+(8, 'migration to itself', '1'), (9, 'proportion outside 0 to 1', '1'), (10, 'proportions of an admixture', '1'), (11, 'proportions of an admixture', '1'), (12, 'derived population not active', '0'))
+SELECT CAST(s_suppkey AS BIGINT) AS model, fault, what FROM supplier JOIN f ON s_suppkey % 13 = way""",
+    "newick_nested": """WITH l AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS tree, l_linenumber AS line FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY line) - 1 AS i, count(*) OVER (PARTITION BY tree) - 1 AS m FROM l)
+SELECT tree, 'leaf' || line AS label, 'n' || greatest(i, 1) AS above, CAST(0 AS BIGINT) AS time FROM n WHERE m > 0
+UNION ALL SELECT tree, 'n' || i, CASE WHEN i < m THEN 'n' || (i + 1) END, CAST(i AS BIGINT) FROM n WHERE i > 0""",
 }

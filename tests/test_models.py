@@ -138,6 +138,17 @@ def test_likelihoods(spark, by):
             likelihood.log_mutation_likelihood(edges, nodes, more, 0.5, by).collect()
 
 
+def test_a_long_genealogy_is_cut(spark):
+    """3,000 samples that join one by one, as one axis: against the sum over its waiting times."""
+    n, size, rate = 3000, 700.0, 0.02
+    nodes = spark.range(n).selectExpr("id AS node", "1 AS flags", "0D AS time").union(spark.range(1, n).selectExpr(f"id + {n} AS node", "0 AS flags", "id * 0.5D AS time"))
+    left = spark.range(1, n).selectExpr("0D AS left", "1D AS right", f"id + {n} AS parent", f"CASE WHEN id = 1 THEN 0 ELSE id + {n} - 1 END AS child")
+    edges = left.union(spark.range(1, n).selectExpr("0D AS left", "1D AS right", f"id + {n} AS parent", "id AS child"))
+    got = likelihood.log_arg_likelihood(edges, nodes, rate, size).first()[0]
+    k = np.arange(n, 1, -1)
+    assert np.isclose(got, (-np.log(2 * size) - (k * (k - 1) / (4 * size) + k * rate) * 0.5).sum(), rtol=1e-9)
+
+
 def test_local_trees_genotypes_and_gaps(spark):
     nodes = spark.createDataFrame(NODES, "node long, flags int, time double")
     edges = spark.createDataFrame(EDGES, "left double, right double, parent long, child long")
@@ -167,6 +178,14 @@ def test_mutation_models():
     codon = mutations.amino_acids(np.ones(190), np.full(20, 0.05))
     assert codon.matrix.shape == (20, 20) and np.allclose(codon.matrix[0, 1:], 1 / 19)
     assert mutations.model_named(None).alleles == tuple("ACGT") and mutations.model_named("Binary").alleles == ("0", "1")
+    # What the largest row sums of the published tables are.
+    for name, largest in (("BLOSUM62", 1.726203705809619), ("PAM", 1.78314862248)):
+        model = mutations.model_named(name)
+        assert np.allclose(model.root @ model.matrix, model.root) and np.isclose(model.matrix.diagonal().min(), 0)
+        rates = largest * model.matrix / model.root
+        assert np.allclose(rates, rates.T)
+        first = {"BLOSUM62": 0.735790389698, "PAM": 0.267828}[name]
+        assert np.isclose(rates[0, 1], first) and model.alleles == tuple(mutations.AMINO_ACIDS)
     with pytest.raises(ValueError):
         mutations.model_named("none")
     with pytest.raises(ValueError):

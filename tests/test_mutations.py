@@ -1,3 +1,5 @@
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,35 @@ def test_parents_by_ranges_of_the_tour(spark, monkeypatch):
     assert sorted(map(tuple, got.where("mutation < 0").collect())) == [(-2, None), (-1, -2)]
 
 
+def _stacked_by_walking(muts, parents, kind, next_id, generation):
+    out = {}
+    for key in sorted({m[0] for m in muts}):
+        for n, (_, site, minus, m) in enumerate(sorted((k, s, -t, m) for k, m, s, t in muts if k == key)):
+            up = parents.get((key, m))
+            label, origins = out[key, up][1:] if up is not None else ("", b"")
+            own = struct.pack("<ifiib", kind, 0.0, -1, generation - int(-minus), -1)
+            out[key, m] = (next_id + n, f"{label},{next_id + n}" if label else str(next_id + n), origins + own)
+    return out
+
+
+def test_stacked_labels(spark):
+    """Ids along sites from the oldest on, per key, against a walk down every path; ties, two mutations on a branch, old times."""
+    muts = [(0, 1, 5, 9.9), (0, 2, 5, 4.5), (0, 3, 5, 4.5), (0, 4, 2, 0.0), (0, 5, 5, 1.25), (7, 1, 0, 3000.0), (7, 2, 0, 2.0)]
+    parents = {(0, 2): 1, (0, 3): 1, (0, 5): 3, (7, 2): 1}
+    df = spark.createDataFrame(muts, "key long, mutation long, site long, time double")
+    up = spark.createDataFrame([(k, m, parents.get((k, m))) for k, m, _, _ in muts], "key long, mutation long, parent long")
+    got = mutations.stacked_labels(df, up, 3, 10, 200, ("key",)).withColumn("packed", mutations.packed_origins())
+    found = {(r.key, r.mutation): (r.id, r.derived_state, bytes(r.packed)) for r in got.collect()}
+    assert found == _stacked_by_walking(muts, parents, 3, 10, 200)
+    assert {r.ancestral_state for r in got.collect()} == {""} and [o.generation for o in got.where("key = 7 AND mutation = 2").first().origins] == [-2800, 198]
+    for bad in ((-1, 0), (0, -1)):
+        with pytest.raises(ValueError):
+            mutations.stacked_labels(df, up, *bad)
+    with pytest.raises(Exception, match="without a site or a time"):
+        mutations.stacked_labels(df.withColumn("time", F.lit(None).cast("double")), up, 1, by=("key",)).collect()
+    assert mutations.stacked_labels(df.limit(0), up, 1, by=("key",)).count() == 0
+
+
 def test_infinite_alleles(spark):
     rows = spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 2.0)], "mutation long, time double")
     assert {r.mutation: r.derived_state for r in mutations.infinite_alleles(rows).collect()} == {1: "1", 2: "2", 0: "3"}
