@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.prefix import last_known, previous
+
 
 def state_at(events: DataFrame, key: str, time: str, value: str, ties: tuple[str, ...] = ()) -> DataFrame:
-    """``events`` with ``state``: the key's last non-null value up to and with this row."""
-    w = Window.partitionBy(key).orderBy(time, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("state", F.last(value, ignorenulls=True).over(w))
+    """``events`` with ``state``: the key's last non-null value up to and with this row. A key with very many events is cut in ranges of time."""
+    return last_known(events, time, value, "state", (key,), ties)
 
 
 def epochs(changes: DataFrame, keys: tuple[str, ...] = ("population",)) -> DataFrame:
@@ -50,9 +51,8 @@ def migration_flows(moves: DataFrame, source: str, dest: str) -> DataFrame:
 
 
 def transitions(events: DataFrame, key: str, time: str, place: str, ties: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each change of place of a key: (key, time, source, dest)."""
-    before = F.lag(place).over(Window.partitionBy(key).orderBy(time, *ties))
-    return events.withColumn("_before", before).where(F.col("_before") != F.col(place)).select(key, time, F.col("_before").alias("source"), F.col(place).alias("dest"))
+    """One row for each change of place of a key: (key, time, source, dest). A key with very many events is cut in ranges of time."""
+    return previous(events, time, place, "_before", (key,), ties).where(F.col("_before") != F.col(place)).select(key, time, F.col("_before").alias("source"), F.col(place).alias("dest"))
 
 
 def matrix_exponential(a: np.ndarray) -> np.ndarray:

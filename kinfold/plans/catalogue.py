@@ -269,6 +269,17 @@ def newick_nested(spark, sf_dir):
     return nodes.join(above, ["tree", "parent"], "left").select("tree", "label", "above", F.col("time").cast("long").alias("time"))
 
 
+def newick_written(spark, sf_dir):
+    """The orders' nested trees from tables of nodes, written as texts."""
+    lines = F.sort_array(F.collect_set(F.col("l_linenumber").cast("int")))
+    orders = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("tree")).agg(lines.alias("lines")).withColumn("m", F.size("lines") - 1)
+    leaves = orders.select("tree", "m", F.posexplode("lines").alias("i", "line"))
+    up = F.greatest(F.col("i"), F.lit(1)) * 2 + 1
+    tips = leaves.select("tree", (F.col("i") * 2).alias("node"), F.when(F.col("m") > 0, up).alias("parent"), F.concat(F.lit("leaf "), "line").alias("label"), F.when(F.col("m") > 0, F.greatest(F.col("i"), F.lit(1))).alias("length"))
+    inner = leaves.where("i > 0").select("tree", (F.col("i") * 2 + 1).alias("node"), F.when(F.col("i") < F.col("m"), F.col("i") * 2 + 3).alias("parent"), F.concat(F.lit("n"), "i").alias("label"), F.when(F.col("i") < F.col("m"), 1).alias("length"))
+    return newick.newick_text(tips.unionByName(inner))
+
+
 def coalescence_rate_trajectory(spark, sf_dir):
     """Rate and share uncoalesced of pairs in one population of each nation, whose size changes at time 40."""
     nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("model"), F.lit(1).alias("n"), (F.col("n_nationkey") + 10).alias("size"), F.lit(0.0).alias("growth_rate"), F.lit(0.0).alias("rate"))
@@ -599,7 +610,7 @@ QUERIES = {
         samples_below, log_mutation_likelihood, genotype_carriers, parent_mutations, local_tree_count, segregating_by_window, tajimas_d, discrete_sites, mutation_matrices, newick_nodes,
         ratemap_find_index, ratemap_mass_to_position, ratemap_slice_missing, hotspots, simplified_edges, tree_roots, branch_diversity, branch_segregating, branch_spectrum, edges_without_gaps, pedigree_genomes, pedigree_faults, pedigree_of_names, demes_epochs, demes_states,
         variant_blocks, mean_coalescence_migration, starbeast_sizes, live_counts,
-        stacked_labels, amino_changes, log_arg_likelihood, lineage_locations_split, model_fault_kinds, newick_nested,
+        stacked_labels, amino_changes, log_arg_likelihood, lineage_locations_split, model_fault_kinds, newick_nested, newick_written,
     )
 }
 
@@ -771,4 +782,6 @@ SELECT CAST(s_suppkey AS BIGINT) AS model, fault, what FROM supplier JOIN f ON s
     "newick_nested": """WITH l AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS tree, l_linenumber AS line FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY line) - 1 AS i, count(*) OVER (PARTITION BY tree) - 1 AS m FROM l)
 SELECT tree, 'leaf' || line AS label, 'n' || greatest(i, 1) AS above, CAST(0 AS BIGINT) AS time FROM n WHERE m > 0
 UNION ALL SELECT tree, 'n' || i, CASE WHEN i < m THEN 'n' || (i + 1) END, CAST(i AS BIGINT) FROM n WHERE i > 0""",
+    "newick_written": """WITH l AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS tree, l_linenumber AS line FROM lineitem), n AS (SELECT *, chr(39) || 'leaf ' || line || chr(39) AS leaf, row_number() OVER (PARTITION BY tree ORDER BY line) - 1 AS i, count(*) OVER (PARTITION BY tree) - 1 AS m FROM l)
+SELECT tree, repeat('(', CAST(any_value(m) AS INT)) || string_agg(CASE WHEN i = 0 THEN leaf || CASE WHEN m > 0 THEN ':1' ELSE '' END ELSE ',' || leaf || ':' || i || ')n' || i || CASE WHEN i < m THEN ':1' ELSE '' END END, '' ORDER BY i) || ';' AS text FROM n GROUP BY tree""",
 }

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.trees import tour
 from kinfold.tables import drop_written, written
 
 
@@ -182,18 +183,27 @@ def nexus_trees(files: DataFrame, text: str = "text", keep_notes: bool = False)
 
 
 def newick_text(nodes: DataFrame, names: str = "label") -> DataFrame:
-    """(tree, text): trees (tree, node, parent, label, length) as texts, put together level by level from the tips; children in the order of their numbers."""
-    left = written(nodes, "nodes")
-    name = F.concat(F.coalesce(names, F.lit("")), F.when(F.col("length").isNotNull(), F.concat(F.lit(":"), F.col("length").cast("string"))).otherwise(""))
-    waits = left.groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_wanted"))
-    done = written(left.join(waits, ["tree", "node"], "left_anti").select("tree", "node", "parent", name.alias("text")), "texts")
-    while True:
-        ready = done.where("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.struct("node", "text"))).alias("_t")).join(waits, ["tree", "node"]).where("_n = _wanted")
-        inner = F.concat(F.lit("("), F.array_join(F.transform("_t", lambda x: x["text"]), ","), F.lit(")"), name)
-        more = written(ready.join(left, ["tree", "node"]).select("tree", "node", "parent", inner.alias("text")), "texts")
-        if more.isEmpty():
-            return done.where("parent IS NULL").select("tree", F.concat("text", F.lit(";")).alias("text"))
-        used = more.select("tree", F.col("node").alias("parent"))
-        after = written(done.join(used, ["tree", "parent"], "left_anti").select("tree", "node", "parent", "text").unionByName(more), "texts")
-        drop_written(done)
-        done = after
+    """(tree, text): trees (tree, node, parent, label, length) as texts; children in the order of their numbers.
+
+    Every node's pieces have their places in an Euler tour, so a tree of any depth takes
+    as many joins as the logarithm of its depth; a text is a row, and its pieces are put
+    together in one task. A tree with several roots is a text for each. Labels with signs,
+    white space or quotes are quoted; a null label or length is left out.
+    """
+    rows = written(nodes.select("tree", "node", "parent", F.col(names).cast("string").alias("_name"), F.col("length").cast("string").alias("_length")), "nodes")
+    below = rows.where("parent IS NOT NULL").select("tree", "parent", F.col("node").alias("child"))
+    found = rows.join(tour(below, ("tree",)), ["tree", "node"], "left")
+    # a node without relatives is a text of its own
+    placed = found.withColumns({"_alone": F.when(F.col("enter").isNull(), F.col("node")), "enter": F.coalesce("enter", F.lit(0).cast("long")), "leave": F.coalesce("leave", F.lit(1).cast("long"))})
+    above = placed.select("tree", F.col("node").alias("parent"), F.col("enter").alias("_above"))
+    label = F.when(F.col("_name").rlike(r"[\s()\[\]':;,]"), F.concat(F.lit("'"), F.replace("_name", F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(F.coalesce("_name", F.lit("")))
+    name = F.concat(label, F.coalesce(F.concat(F.lit(":"), "_length"), F.lit("")))
+    inner = F.col("leave") > F.col("enter") + 1
+    comma = F.when(F.col("enter") > F.col("_above") + 1, ",").otherwise("")
+    # where a subtree ends another may begin: ends come first, the deepest before those around it
+    opens = F.struct(F.col("enter").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("deep"), F.concat(comma, F.when(inner, "(").otherwise(name)).alias("piece"))
+    closes = F.struct(F.col("leave").alias("at"), F.lit(0).alias("kind"), (-F.col("enter")).alias("deep"), F.concat(F.lit(")"), name).alias("piece"))
+    pieces = placed.join(above, ["tree", "parent"], "left").select("tree", "_alone", F.col("parent").isNull().alias("_root"), F.explode(F.when(inner, F.array(opens, closes)).otherwise(F.array(opens))).alias("p"))
+    begun = F.sum((F.col("_root") & (F.col("p.kind") == 1)).cast("int")).over(Window.partitionBy("tree", "_alone").orderBy("p.at", "p.kind", "p.deep").rowsBetween(Window.unboundedPreceding, 0))
+    whole = pieces.withColumn("_text", begun).groupBy("tree", "_alone", "_text").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["piece"]), "").alias("text"))
+    return whole.select("tree", F.concat("text", F.lit(";")).alias("text"))

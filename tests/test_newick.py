@@ -78,3 +78,18 @@ def test_sizes_by_species(spark):
     timed = newick.node_times(newick.parse_newick(texts(spark, "(a:5,b:5)r;"))).selectExpr("*", "if(label = 'a', 10, 20) AS n", "if(label = 'b', 0.5, 0) AS g")
     populations, _ = newick.species_tree_models(timed, "n", "g")
     assert [(r.name, r.initial_size, r.growth_rate) for r in populations.orderBy("population").collect()] == [("a", 10.0, 0.0), ("b", 20.0, 0.5), ("r", 20.0, 0.0)]
+
+
+def test_written_texts(spark):
+    """Deep and wide trees, several roots, nodes alone, labels that need quotes, nothing at all."""
+    deep = 3000
+    chain = [(1, k, k + 1 if k < deep else None, "top" if k == deep else None, None) for k in range(deep + 1)]
+    hard = [(2, 5, None, "it's", 2.5), (2, 1, 5, "a b", 1.0), (2, 3, 5, "c(1)", None), (2, 2, 3, "", 0.5), (2, 9, None, "lone", None), (2, 7, None, None, None), (2, 20, None, "other", None), (2, 21, 20, "x", 1.0)]
+    nodes = spark.createDataFrame(chain + hard, "tree long, node long, parent long, label string, length double")
+    texts = sorted(map(tuple, newick.newick_text(nodes).collect()))
+    assert texts[0] == (1, "(" * deep + ")" * (deep - 1) + ")top;")
+    assert texts[1:] == sorted([(2, "('a b':1.0,(:0.5)'c(1)')'it\'\'s':2.5;"), (2, "lone;"), (2, ";"), (2, "(x:1.0)other;")])
+    assert newick.newick_text(nodes.limit(0)).count() == 0
+    back = newick.parse_newick(spark.createDataFrame([(0, "('a b':1.0,b:0.5)'it\'\'s':2.5;")], "tree long, text string"))
+    assert {r.label for r in back.collect()} == {"it's", "a b", "b"}
+    assert [r.text for r in newick.newick_text(back).collect()] == ["('a b':1.0,b:0.5)'it\'\'s':2.5;"]
