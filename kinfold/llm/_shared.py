@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kinfold.tables import drop_written, shared_dir, written
 
-__all__ = ["documents", "drop_written", "hot_keys", "in_parts", "numbered", "partitions", "pow2_at_least", "raw_texts", "row_key", "shared_dir", "slices", "spread_join", "texts", "written"]
+__all__ = ["documents", "drop_written", "hot_keys", "in_parts", "likely", "numbered", "partitions", "pow2_at_least", "raw_texts", "row_key", "shared_dir", "slices", "spread_join", "texts", "written"]
 
 
 def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -78,5 +78,28 @@ def spread_join(rows: DataFrame, by_key: DataFrame, on: list[str], hot: DataFram
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+#: Words of 64 bits of the filter of ``likely``. At a million keys it passes some 3 % of the others, at ten million 26 %.
+FILTER_WORDS_LOG = 19
+
+
+def likely(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose key may be one of ``keys`` (its only column; a null is a key too), and those whose key is not. Who uses the first confirms exactly; the second need not be shuffled.
+
+    The filter is a bitmap by one hash, broadcast as words: as many as there are keys, 2 ** FILTER_WORDS_LOG at most.
+    """
+
+    def place(key: Column) -> tuple[Column, Column]:
+        at = F.xxhash64(F.lit(31), key)
+        return F.shiftrightunsigned(at, 64 - FILTER_WORDS_LOG), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+
+    word, bit = place(keys[keys.columns[0]])
+    words = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    word, bit = place(df[column])
+    marked = df.join(F.broadcast(words), word == words["word"], "left")
+    hit = F.coalesce(words["bits"].bitwiseAND(bit) != 0, F.lit(False))
+    own = [df[c] for c in df.columns]
+    return marked.where(hit).select(*own), marked.where(~hit).select(*own)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -22,7 +22,9 @@ their length and wherever they differ. The 256 bits only sort out pairs far belo
 that share (by four standard deviations); the Jaccard similarity of the two sets
 of shingle hashes decides. First the pairs that would join all candidates are
 decided, then every candidate pair that these left apart, so groups of near
-copies cost no quadratic output and no pair goes undecided.
+copies cost no quadratic output and no pair goes undecided. The sets, which are
+larger than the texts, are kept for no more texts than stand in a pair: these are
+read once more. Of the buckets only those travel that two texts share.
 
 Defined results: null or empty text, or text of white space only, has
 fingerprint zero and links like any other; fewer words than a shingle are one
@@ -39,10 +41,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import hot_keys, numbered, raw_texts, slices, spread_join, written
+from kinfold.llm._shared import drop_written, hot_keys, in_parts, likely, numbered, raw_texts, slices, spread_join, written
 from kinfold.llm.components import connected_components, forest, nearest_forest
 
 RADIUS = 3
@@ -90,10 +92,19 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def shingle_set(raw: bytes, words: int) -> np.ndarray:
+    """The set of a UTF-8 text's shingle hashes, sorted."""
+    return np.unique(shingle_hashes(raw.lower().split(), words))
+
+
+def set_name(hashes: np.ndarray) -> bytes:
+    """128 bits that stand for a set of shingle hashes."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
 def wide_simhash(raw: bytes, words: int) -> tuple[list[int], np.ndarray]:
     """A fingerprint of single words, then WIDE of the set of shingles, their BANDS bucket keys; and the set, sorted."""
-    found = raw.lower().split()
-    hashes = np.unique(shingle_hashes(found, words))
+    found, hashes = raw.lower().split(), shingle_set(raw, words)
     out = [_majority(shingle_hashes(found, 1)) if found else 0]
     for k in range(WIDE):
         mixed = (hashes ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -101,7 +112,7 @@ def wide_simhash(raw: bytes, words: int) -> tuple[list[int], np.ndarray]:
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
         out.append(_majority(mixed))
-    return out + band_keys(hashes), hashes.view(np.int64)
+    return out + band_keys(hashes), hashes
 
 
 def wide_limit(similarity: float) -> int:
@@ -316,12 +327,18 @@ def bucket_pairs(buckets: np.ndarray, points: np.ndarray, limit: int) -> Iterato
             yield i + start, j + start
 
 
-def band_links(classes: DataFrame, limit: int, radius: int = RADIUS, similarity: float = SIMILARITY, asked: DataFrame | None = None) -> DataFrame:
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(node, band, bucket) of ``bands``, of the buckets that hold two nodes or more: no others make a pair."""
+    rows = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1").drop("n")
+
+
+def band_links(classes: DataFrame, met: DataFrame, limit: int, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) links of ``node`` that connect, in each partition, what pairs of one bucket connect whose ``wide`` bits differ in at most ``limit``.
 
     ``classes`` holds (node, fp, wide, bands), each node once; with ``label`` and
-    ``shingles`` it is as ``_links`` says. ``asked`` (node, bucket) leaves nodes in
-    those buckets only. A pair counts in the first bucket that it shares, and not
+    ``shingles`` it is as ``_links`` says. ``met`` (node, band, bucket) has the
+    buckets in which nodes are looked at. A pair counts in the first bucket that it shares, and not
     at all if ``near_links`` has it. A task holds some BLOCK / 16 rows and the rest
     of a bucket that they end in.
     """
@@ -359,10 +376,7 @@ def band_links(classes: DataFrame, limit: int, radius: int = RADIUS, similarity:
         if held:
             yield from links(held)
 
-    rows = classes.select(F.posexplode("bands").alias("band", "bucket"), "node", "fp", "wide", "bands", *carried)
-    if asked is not None:
-        rows = rows.join(asked, ["node", "bucket"], "left_semi")
-    dealt = rows.select("bucket", "band", "node", "fp", "wide", "bands", *carried).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = met.join(classes, "node").select("bucket", "band", "node", "fp", "wide", "bands", *carried).repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(search, "a long, b long")
 
 
@@ -382,50 +396,59 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """As ``near_components``, of texts whose shingles are alike by ``similarity`` or more; fp is that of single words."""
+    """As ``near_components``, of texts whose shingles are alike by ``similarity`` or more; fp is that of single words. ``df`` is read three times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 1):
-                found, sets = [], []
-                for raw in raw_texts(batch.column(1)):
-                    numbers, hashes = wide_simhash(raw, words)
-                    found.append(numbers)
-                    sets.append(hashes)
-                lists = [pa.array([x[part] for x in found], pa.list_(pa.int64())) for part in (slice(1, 1 + WIDE), slice(1 + WIDE, None))]
-                names = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array(names, pa.binary()), *lists, pa.array(sets, pa.list_(pa.int64()))], names=["id", "fp", "name", "wide", "bands", "shingles"])
+        for batch in in_parts(batches, 1):
+            found, names = [], []
+            for raw in raw_texts(batch.column(1)):
+                numbers, hashes = wide_simhash(raw, words)
+                found.append(numbers)
+                names.append(set_name(hashes))
+            lists = [pa.array([x[part] for x in found], pa.list_(pa.int64())) for part in (slice(1, 1 + WIDE), slice(1 + WIDE, None))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array(names, pa.binary()), *lists], names=["id", "fp", "name", "wide", "bands"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches, 0):
+            found = [shingle_set(raw, words) for raw in raw_texts(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["name", "shingles"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    fps = written(df.select(id_col, text_col).mapInArrow(run, f"id {kind}, fp long, name binary, wide array<long>, bands array<long>, shingles array<long>"), "simhash")
+    fps = written(df.select(id_col, text_col).mapInArrow(run, f"id {kind}, fp long, name binary, wide array<long>, bands array<long>"), "simhash")
     firsts = (F.first(c).alias(c) for c in ("fp", "wide", "bands"))
     classes = numbered(fps.groupBy("name").agg(*firsts, F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "node", "classes")
-    limit, hot = wide_limit(similarity), hot_keys(classes)
+    met, limit = written(shared_buckets(classes), "met"), wide_limit(similarity)
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(node, shingles) of the wanted nodes."""
-        named = classes.select("name", "node").join(wanted, "node", "left_semi")
-        members = spread_join(fps.select("id", "name", "shingles"), named, ["name"], hot, ["id"])
-        return written(members.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    def with_sets(rows: DataFrame, salt: list[str]) -> DataFrame:
+        """``rows``, which name classes and their least ids, with the shingles instead: of the texts of those ids only, of which the name then decides."""
+        asked = written(rows, "asked")
+        texts, _ = likely(df.select(id_col, text_col), id_col, asked.select("least"))
+        found = texts.select(text_col).mapInArrow(sets, "name binary, shingles array<long>").groupBy("name").agg(F.first("shingles").alias("shingles"))
+        hot = hot_keys(asked.groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+        return spread_join(asked.drop("least"), found, ["name"], hot, salt).drop("name")
 
     # the nearest candidate pairs that would connect what all of them would: at most one a node and task
-    both = near_links(classes, radius, limit=limit).unionByName(band_links(classes, limit, radius))
+    both = near_links(classes, radius, limit=limit).unionByName(band_links(classes, met, limit, radius))
     pairs = written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    sets = sets_of(written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted"))
-    x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("a", "b"))
-    shared = pairs.join(x, "a").join(y, "b").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).join(classes.select("node", "name", "least"), "node").drop("node")
+    shared = with_sets(sides, ["a", "b"]).groupBy("a", "b").agg(F.collect_list("shingles").alias("_of")).select("a", "b", F.col("_of")[0].alias("_a"), F.col("_of")[1].alias("_b"))
+    shared = shared.withColumn("_both", F.size(F.array_intersect("_a", "_b")))
     alike = F.col("_both") >= similarity * (F.size("_a") + F.size("_b") - F.col("_both"))
     labels = connected_components(written(shared.where(alike).select("a", "b"), "links")).withColumnRenamed("component", "label")
     apart = written(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
 
     # all other pairs of two labels are compared where they meet, by nodes that have such a pair and there only
-    asks = written(near_links(apart, radius, limit=limit).unionByName(band_links(apart, limit, radius)).distinct(), "asks")
-    held = written(apart.join(sets_of(asks.select(F.col("a").alias("node")).distinct()), "node"), "held")
+    asks = written(near_links(apart, radius, limit=limit).unionByName(band_links(apart, met, limit, radius)).distinct(), "asks")
+    wanted = apart.join(asks.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    held = written(with_sets(wanted.select("node", "name", "least", "fp", "wide", "bands", "label"), ["node"]), "held")
     near = held.join(asks.where("b IS NULL").select(F.col("a").alias("node")), "node", "left_semi")
-    found = near_links(near, radius, limit=limit, similarity=similarity).unionByName(band_links(held, limit, radius, similarity, asks.where("b IS NOT NULL").select(F.col("a").alias("node"), F.col("b").alias("bucket"))))
+    there = met.join(asks.where("b IS NOT NULL").select(F.col("a").alias("node"), F.col("b").alias("bucket")), ["node", "bucket"], "left_semi")
+    found = written(near_links(near, radius, limit=limit, similarity=similarity).unionByName(band_links(held, there, limit, radius, similarity)), "found")
+    for done in (held, met):
+        drop_written(done)
     # what they add joins whole components, so these stand for their nodes
     label_of = lambda c: apart.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
-    added = written(found, "found").join(label_of("a"), "a").join(label_of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    added = found.join(label_of("a"), "a").join(label_of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     over = connected_components(added).withColumnRenamed("node", "label")
     parts = apart.select("node", "label").join(over, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
     return _named(fps.select("id", "fp", "name"), classes, parts, "name").withColumnRenamed("id", id_col)
@@ -433,6 +456,9 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The rows whose id is the least of a component. The id alone decides, so of rows that repeat such an id all stay; rows without an id stay."""
-    found = similar_components(df, id_col, text_col, words, similarity)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    return df.join(keep, id_col, "left_semi").unionByName(df.where(F.col(id_col).isNull()))
+    found = similar_components(df, id_col, text_col, words, similarity).where(F.col(id_col).isNotNull())
+    least = found.groupBy(id_col).agg(F.bool_or(F.col(id_col) == F.col("component_id")).alias("kept"))
+    gone = written(least.where("NOT kept").select(id_col), "gone")
+    # few rows go, so few are shuffled
+    doubtful, stay = likely(df, id_col, gone)
+    return stay.unionByName(doubtful.join(gone, doubtful[id_col] == gone[id_col], "left_anti"))

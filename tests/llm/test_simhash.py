@@ -1,11 +1,12 @@
+import os
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import xxhash
 from pyspark.sql import functions as F
 
-from kinfold.llm import queries, simhash
+from kinfold.llm import _shared, queries, simhash
 
 #: Of each kind of edit and length.
 LEAST_RECALL = 0.97
@@ -181,3 +182,49 @@ def test_texts_below_the_similarity_stay_apart(spark):
     got = found_pairs(spark, 0.70, 0.79, many=30)
     print(got)
     assert max(got.values()) == 0
+
+
+def test_tables_on_the_way_are_smaller_than_the_texts(spark, monkeypatch):
+    """The shingle sets, larger than the texts, are kept for texts in a candidate pair only: no table on the way is as large as the input, and all of them together are not."""
+    source, sizes = "/root/testdata/sf0.01/documents.parquet", {}
+
+    def measured(df, name):
+        out = _shared.written(df, name)
+        sizes[len(sizes), name] = sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(simhash, "written", measured)
+    kept = simhash.dedup_near(spark.read.parquet(source)).count()
+    assert 0 < kept < spark.read.parquet(source).count()
+    assert {"simhash", "held", "gone"} <= {name for _, name in sizes}
+    assert sum(sizes.values()) < os.path.getsize(source), sizes
+
+
+def test_likely_leaves_out_no_key(spark, monkeypatch):
+    """Both parts make up the table; every row of a key is in the first, nulls and repeats too, and few others are; a full filter lets all through."""
+    rows = [(k % 5000, f"{k}", None) for k in range(6000)] + [(None, "null", None)]
+    df = spark.createDataFrame(rows, "id long, word string, bits long")
+    keys = spark.createDataFrame([(k,) for k in range(0, 5000, 50)] + [(None,)], "id long")
+    for log, most in ((_shared.FILTER_WORDS_LOG, 200), (1, 6001)):
+        monkeypatch.setattr(_shared, "FILTER_WORDS_LOG", log)
+        maybe, never = _shared.likely(df, "id", keys)
+        assert maybe.columns == never.columns == df.columns
+        maybe, never = ([(r.id, r.word, r.bits) for r in x.collect()] for x in (maybe, never))
+        assert Counter(maybe + never) == Counter(rows)
+        assert {r for r in rows if r[0] is None or r[0] % 50 == 0} <= set(maybe) and len(maybe) <= most
+    assert _shared.likely(df, "id", keys.limit(0))[1].count() == len(rows)
+
+
+def test_shared_buckets(spark):
+    """Buckets of one node go, all others stay with their band."""
+    df = spark.createDataFrame([(1, [10, 20, 30]), (2, [11, 20, 31]), (3, [10, 21, 30]), (4, [12, 22, 32])], "node long, bands array<long>")
+    assert sorted(map(tuple, simhash.shared_buckets(df).select("node", "band", "bucket").collect())) == [(1, 0, 10), (1, 1, 20), (1, 2, 30), (2, 1, 20), (3, 0, 10), (3, 2, 30)]
+
+
+def test_sets_of_texts_by_their_own_id(spark):
+    """Different texts under one id, or under none, are told apart when the sets are read: each near pair is found."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"word{k}" for k in range(500)], k=120)) for _ in range(3)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1] + " end"), (3, texts[0] + " end"), (None, texts[2]), (None, "other words " * 9), (4, texts[2] + " end")]
+    got = simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r[0] or 0, r[1]) for r in got.select("doc_id", "component_id").collect()), key=str) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (0, 4), (0, None), (4, 4)], key=str)
