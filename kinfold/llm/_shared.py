@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kinfold.tables import drop_written, shared_dir, written
 
-__all__ = ["documents", "drop_written", "hot_keys", "in_parts", "likely", "numbered", "partitions", "pow2_at_least", "raw_texts", "row_key", "shared_dir", "slices", "spread_join", "texts", "written"]
+__all__ = ["documents", "drop_written", "gives_back", "hot_keys", "in_parts", "likely", "numbered", "partitions", "pow2_at_least", "raw_texts", "row_key", "shared_dir", "slices", "spread_join", "texts", "written"]
 
 
 def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -51,6 +53,23 @@ def slices(batch: pa.RecordBatch, texts_at: int, rows: int = 1000, most: int = 1
         at = stop
 
 
+def gives_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of a ``mapInArrow`` task, at whose end what it freed goes back to the system.
+
+    Arrow and the C library keep freed memory for the process. Workers outlive their tasks and
+    wait beside the JVM's sorts, so what one stage needed for a moment would be missing in all later ones.
+    """
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+    return whole
+
+
 def in_parts(batches: Iterator[pa.RecordBatch], texts_at: int) -> Iterator[pa.RecordBatch]:
     """``slices`` of all batches."""
     for batch in batches:

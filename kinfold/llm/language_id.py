@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import slices, texts
+from kinfold.llm._shared import gives_back, slices, texts
 
 SAMPLE = 1_000
 WINDOWS = 18_000
@@ -191,6 +191,7 @@ def messages(emission: np.ndarray, lengths: np.ndarray, jump: np.ndarray) -> tup
     return out, forward, backward
 
 
+@gives_back
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All runs of LENGTH words of every text, each with its rank by hash within the text."""
     for whole in batches:
@@ -306,6 +307,7 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text", keep: tu
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = keep.index(text_col) if text_col in keep else len(keep)  # the text is not sent twice
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, cache = shared.value.labels, Emissions(shared.value)
         for whole in batches:
@@ -329,6 +331,7 @@ def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     """(id, words: array of (word, lang, probability)) for every row: the words of code-switched text, each with its language."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, cache = shared.value.labels, Emissions(shared.value)
         for whole in batches:

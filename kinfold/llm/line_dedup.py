@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import drop_written, hot_keys, pow2_at_least, raw_texts, row_key, slices, spread_join, written
+from kinfold.llm._shared import drop_written, gives_back, hot_keys, pow2_at_least, raw_texts, row_key, slices, spread_join, written
 from kinfold.llm.twice_filter import BLOCK_BITS, passes, seen_twice
 
 MIN_CHARS = 40
@@ -60,6 +60,7 @@ def suspects(df: DataFrame, id_col: str, text_col: str, row_col: str, min_chars:
     """(id, row, digest) for each row and each of its keys that the second filter holds."""
     filter_bits = df.sparkSession.sparkContext.broadcast(seen_twice(df, text_col, lambda column: _key_hashes(column, min_chars), bits, HASHES))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(filter_bits.value, np.uint8)
         for whole in batches:
@@ -103,6 +104,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     keyed = df.select(F.struct(*carried).alias("carried"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", row_key("id", "text"))
     drops = shared_line_drops(keyed, "id", "text", "row", min_chars, min_documents, max_bits)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1):

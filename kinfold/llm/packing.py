@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import partitions, slices, texts, written
+from kinfold.llm._shared import gives_back, partitions, slices, texts, written
 from kinfold.llm.bpe import Splitter, _default_pattern
 
 CAPACITY = 1024
@@ -95,6 +95,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, cap
     """One row per piece of a document: piece number, its start in the document's ids, its length and checksum."""
     end = end_id.to_bytes(4, "little")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(vocabulary).encode
         for whole in batches:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import drop_written, hot_keys, in_parts, likely, numbered, raw_texts, slices, spread_join, written
+from kinfold.llm._shared import drop_written, gives_back, hot_keys, in_parts, likely, numbered, raw_texts, slices, spread_join, written
 from kinfold.llm.components import connected_components, forest, nearest_forest
 
 RADIUS = 3
@@ -124,6 +124,7 @@ def wide_limit(similarity: float) -> int:
 def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, fp) for every row."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1):
@@ -289,6 +290,7 @@ def near_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD, lim
     tree = build_tree(sample, depth)  # at most MAX_SHARDS nodes, from four points a node; 4 MB
     carried = [c for c in ("wide", "label", "shingles") if c in classes.columns and limit is not None]
 
+    @gives_back
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, 1)
@@ -360,6 +362,7 @@ def band_links(classes: DataFrame, met: DataFrame, limit: int, radius: int = RAD
 
         yield from _links(part, once(), similarity)
 
+    @gives_back
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -398,6 +401,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """As ``near_components``, of texts whose shingles are alike by ``similarity`` or more; fp is that of single words. ``df`` is read three times."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches, 1):
             found, names = [], []
@@ -408,6 +412,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             lists = [pa.array([x[part] for x in found], pa.list_(pa.int64())) for part in (slice(1, 1 + WIDE), slice(1 + WIDE, None))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array(names, pa.binary()), *lists], names=["id", "fp", "name", "wide", "bands"])
 
+    @gives_back
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches, 0):
             found = [shingle_set(raw, words) for raw in raw_texts(batch.column(0))]

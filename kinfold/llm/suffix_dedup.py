@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._shared import drop_written, hot_keys, in_parts, raw_texts, row_key, slices, spread_join, written
+from kinfold.llm._shared import drop_written, gives_back, hot_keys, in_parts, raw_texts, row_key, slices, spread_join, written
 from kinfold.llm.twice_filter import passes, seen_twice
 
 WIDTH = 200
@@ -56,6 +56,7 @@ LIMIT = 4_096
 FILTER_BITS = 1 << 27
 BUFFER_BITS = 20
 CHUNK = 4_096
+WINDOWS = 1 << 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -91,6 +92,18 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: m - width + 1], before[width - 1 : m])
 
 
+def _windows_anchors(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of GRAM bytes from each position, and the anchor's position of each window; WINDOWS at a time, so that the arrays in between stay small."""
+    low = np.uint64((1 << BUFFER_BITS) - 1)
+    grams, at = np.empty(len(buffer) - GRAM + 1, np.uint64), np.empty(len(buffer) - WIDTH + 1, np.int32)
+    for begin in range(0, len(at), WINDOWS):
+        part = gram_hashes(buffer[begin : begin + WINDOWS + WIDTH - 1])
+        grams[begin : begin + len(part)] = part
+        near = _least(part & ~low | np.arange(len(part), dtype=np.uint64), WIDTH - GRAM + 1) & low
+        at[begin : begin + len(near)] = near.astype(np.int32) + np.int32(begin)
+    return grams, at
+
+
 def _buffers(raws: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(buffer, and of each piece in it: row, place in its text, place in the buffer, length). Pieces of a text overlap, so that no window is lost."""
     most, held, size = 1 << BUFFER_BITS, [], 0
@@ -117,21 +130,19 @@ def _buffers(raws: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray,
 
 def anchors(raws: list[bytes]) -> Iterator[tuple[bytes, dict[str, np.ndarray]]]:
     """Per buffer: the anchors' hash, row, place in the text of their first window, and of the windows in the buffer first, last and anchor."""
-    low = np.uint64((1 << BUFFER_BITS) - 1)
     for buffer, row, base, place, length in _buffers(raws):
-        grams = gram_hashes(buffer)
-        at = (_least(grams & ~low | np.arange(len(grams), dtype=np.uint64), WIDTH - GRAM + 1) & low).astype(np.int64)
+        grams, at = _windows_anchors(buffer)
         step = np.zeros(len(at) + 1, np.int32)
         np.add.at(step, place, 1)
         np.add.at(step, place + length - WIDTH + 1, -1)
-        valid = np.cumsum(step[:-1]) > 0
+        valid = np.cumsum(step[:-1], dtype=np.int32) > 0
         differs = at[1:] != at[:-1]
         begin, end = valid.copy(), valid.copy()
         begin[1:] &= differs | ~valid[:-1]
         end[:-1] &= differs | ~valid[1:]
         first, last = np.flatnonzero(begin), np.flatnonzero(end)
         piece = np.searchsorted(place, first, "right") - 1
-        anchor = at[first]
+        anchor = at[first].astype(np.int64)
         yield buffer, {"hash": grams[anchor], "row": row[piece], "start": base[piece] + first - place[piece], "first": first, "last": last, "anchor": anchor}
 
 
@@ -150,6 +161,7 @@ def _hull_hashes(buffer: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarr
 def occurrences(df: DataFrame, text_col: str, row_col: str, twice) -> DataFrame:
     """(a, k, row, start, size): anchors that the filter holds, with their hulls' hashes and places."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(twice.value, np.uint8)
         for batch in in_parts(batches, 0):
@@ -168,6 +180,7 @@ def occurrences(df: DataFrame, text_col: str, row_col: str, twice) -> DataFrame:
 def hulls(df: DataFrame, text_col: str, twice, edge) -> DataFrame:
     """(a, k, at, hull) of anchors that both filters hold: the hull's bytes and the anchor's place in it; copies in a task once."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.frombuffer(f.value, np.uint8) for f in (twice, edge)]
         for batch in in_parts(batches, 0):
@@ -195,6 +208,7 @@ def _halved(items: DataFrame) -> DataFrame:
     ``half`` names all bytes of the item's windows in it, which stand ``near`` to ``far`` bytes before the anchor.
     """
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {c: batch.column(c).to_pylist() for c in ("low", "high", "at", "hull")}
@@ -260,6 +274,7 @@ def induced_repeats(core: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.
 def shard_repeats(items: DataFrame) -> DataFrame:
     """(row, start, stop) of repeated bytes found in sorted shards; only items that stand for a single occurrence are reported."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
@@ -365,6 +380,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = df.select(F.struct(*carried).alias("carried"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", row_key("id", "text"))
     spans = repeated_spans(keyed.select("text", "row"), "text", "row")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches, 0):
             sizes, removed, spans_of, kept = [], [], [], []

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from kinfold.llm._shared import gives_back
+
 BLOCK_BITS = 1 << 19
 
 
@@ -35,6 +37,7 @@ def passes(table: np.ndarray, hashes: np.ndarray, bits: int, k: int) -> np.ndarr
 def seen_twice(df: DataFrame, text_col: str, keys: Callable[[pa.Array], Iterable[np.ndarray]], bits: int, k: int) -> bytes:
     """The filter of keys seen twice, ``bits`` / 8 bytes. ``keys`` gives arrays of 64-bit hashes, each occurrence counting."""
 
+    @gives_back
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:

@@ -1,5 +1,8 @@
 import hashlib
 import random
+import subprocess
+import sys
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -98,3 +101,58 @@ def test_anchors_cover_every_window_once(monkeypatch):
                 assert raws[row][start + p - first :][:200] == window
                 assert chosen.setdefault(window, anchor - p) == anchor - p and 0 <= anchor - p <= 136
     assert seen == Counter((r, p) for r, raw in enumerate(raws) for p in range(len(raw) - 199))
+
+
+def test_anchors_need_little_memory():
+    """Of a full buffer: its hashes (8 bytes a byte), the anchors' places and some flags, not every array on the way to them."""
+    raws = [random.Random(3).randbytes(1 << suffix_dedup.BUFFER_BITS)]
+    tracemalloc.start()
+    for _ in suffix_dedup.anchors(raws):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 36 << suffix_dedup.BUFFER_BITS
+
+
+def test_blocks_of_windows(monkeypatch):
+    """Anchors found in blocks are those found at once."""
+    raw = bytes(random.Random(4).choices(b"ab", k=900)) + b"z" * 700 + random.Random(4).randbytes(400)
+    whole = suffix_dedup._windows_anchors(raw)
+    for windows in (1, 7, 200, len(raw) - 199, len(raw) - 200):
+        monkeypatch.setattr(suffix_dedup, "WINDOWS", windows)
+        assert all(np.array_equal(x, y) for x, y in zip(whole, suffix_dedup._windows_anchors(raw), strict=True))
+
+
+FREED = r"""
+import random, re
+import numpy as np, pyarrow as pa
+from kinfold.llm import suffix_dedup, twice_filter
+
+class Frame:
+    def __getattr__(self, name): return lambda *a: self
+    def mapInArrow(self, run, schema): self.run = run; return self
+    def collect(self): return []
+
+def held(): return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+
+def task(n):
+    frame, rng = Frame(), random.Random(n)
+    twice_filter.seen_twice(frame, "text", suffix_dedup._anchor_hashes, suffix_dedup.FILTER_BITS, 1)
+    texts = lambda: pa.array(["".join(rng.choices("abcdefgh ", k=2000)) for _ in range(3000)])
+    for _ in frame.run(pa.RecordBatch.from_arrays([texts()], names=["text"]) for _ in range(2)): pass
+
+task(0)
+import gc, ctypes
+gc.collect(); pa.default_memory_pool().release_unused(); ctypes.CDLL(None).malloc_trim(0)
+before = held()
+task(1)
+print(before, held() - before)
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_a_task_gives_its_memory_back():
+    """A worker outlives its task; what the task needed must not stay with it."""
+    done = subprocess.run([sys.executable, "-c", FREED], capture_output=True, text=True, check=True)
+    before, more = map(int, done.stdout.split())
+    assert before > 10 and more < 15
