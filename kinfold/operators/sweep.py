@@ -5,7 +5,7 @@ of them than make a range's own edges as many as the edges that live at its
 border. An edge goes to the range where it starts, to the one where it ends, and
 to each border that it spans; so a few rows an edge move, however many local
 trees it is part of. A task reads a range in the order of places and holds one
-tree at a time.
+tree at a time; ``branches`` alone splits trees that are too large for that.
 
 Tables: edges (by, left, right, parent, child), nodes (by, node, time) with
 ``sample`` where samples are asked for. Edges without a span say nothing and are
@@ -20,17 +20,20 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from kinfold.operators import prefix
 from kinfold.operators.intervals import squash, windows_of
-from kinfold.tables import written
+from kinfold.operators.trees import added_up
+from kinfold.tables import drop_written, written
 
 #: What a row of the stream is; in this order at one place.
 BORDER, ENDS, STARTS, ASKED = range(4)
+#: The most edges of a tree that a task holds for ``branches``, about a kilobyte each.
+LARGEST_TREE = 200_000
 
 
 def timed(edges: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -51,18 +54,18 @@ def _cuts(edges: DataFrame, by: tuple[str, ...]) -> prefix.Cuts:
 
 
 def differences(edges: DataFrame, by: tuple[str, ...] = (), asked: DataFrame | None = None) -> DataFrame:
-    """The stream of rows: (by, range, stop, at, kind, the edge's columns, item). ``asked`` has (by, at, node, item): questions about a node in the tree at a place, which come with the node as ``child``."""
+    """The stream of rows: (by, range, stop, at, kind, the edge's columns, item). ``asked`` has (by, at, node, item): questions about a node in the tree at a place, which come with the node as ``child``. Without it edges may bring an ``item`` of their own."""
     found = _cuts(edges, by)
     held = found.met(edges).withColumns({"_from": found.below(F.col("left").cast("double"), F.lit(0.0)), "_to": found.below(F.col("right").cast("double"))})
     kind = edges.schema["left"].dataType
     bound = lambda k: F.get("_places", k).cast(kind)
-    edge = ["parent", "child", "parent_time", "child_time", "parent_sample", "child_sample"]
+    edge = ["parent", "child", "parent_time", "child_time", "parent_sample", "child_sample", *(["item"] if "item" in edges.columns else [])]
     row = lambda r, at, what: F.struct(r.alias("range"), at.cast(kind).alias("at"), F.lit(what).alias("kind"))
     inner = F.when(F.col("_from") < F.col("_to"), F.transform(F.sequence(F.col("_from") + 1, F.col("_to")), lambda r: row(r, bound(r - 1), BORDER)))
     rows = F.concat(F.array(row(F.col("_from"), F.col("left"), STARTS), row(F.col("_to"), F.col("right"), ENDS)), F.coalesce(inner, F.array()))
     out = held.select(*by, "_places", F.explode(rows).alias("x"), *edge).select(*by, "x.range", bound(F.col("x.range")).alias("stop"), "x.at", "x.kind", *edge)
     if asked is None:
-        return out.withColumn("item", F.lit(None).cast("long"))
+        return out if "item" in edges.columns else out.withColumn("item", F.lit(None).cast("long"))
     at = found.met(asked.select(*by, F.col("at").cast(kind).alias("at"), F.col("node").alias("child"), "item"))
     questions = at.withColumn("range", found.below(F.col("at").cast("double"), F.lit(0.0))).select(
         *by, "range", bound(F.col("range")).alias("stop"), "at", F.lit(ASKED).alias("kind"), F.lit(None).cast(edges.schema["parent"].dataType).alias("parent"), "child",
@@ -169,7 +172,7 @@ class Tree:
         self.up: dict = {}
         self.down: dict = {}
         self.length: dict = {}
-        self.samples: set = set()
+        self.samples: dict = {}
 
     def apply(self, r: Row) -> None:
         if r.kind == ENDS:
@@ -183,7 +186,7 @@ class Tree:
         self.up[r.child] = r.parent
         self.down.setdefault(r.parent, set()).add(r.child)
         self.length[r.child] = r.parent_time - r.child_time
-        self.samples.update(v for v, s in ((r.parent, r.parent_sample), (r.child, r.child_sample)) if s)
+        self.samples.update((v, s) for v, s in ((r.parent, r.parent_sample), (r.child, r.child_sample)) if s)
 
 
 def _questions(rows: Iterator[Row]) -> Iterator[tuple[Tree, list[Row]]]:
@@ -262,17 +265,23 @@ def parents_at(edges: DataFrame, nodes: DataFrame, asked: DataFrame, by: tuple[s
 
 
 def _branches(rows: Iterator[Row]) -> Iterator[tuple]:
-    """(left, right, node, samples below, length) of each stretch on which a branch stays as it is."""
-    tree, weight, since = Tree(), {}, {}
+    """(left, right, node, samples below, length) of each stretch on which a branch stays as it is, and the edge's item if it has one. A node may stand for several samples."""
+    tree, weight, since, items = Tree(), {}, {}, {}
     stop = None
 
     def own(v) -> int:
-        return 1 if v in tree.samples else 0
+        return int(tree.samples.get(v, 0))
+
+    def begun(r: Row, at) -> None:
+        tree.apply(r)
+        since[r.child] = at
+        if r.item is not None:
+            items[r.child] = (r.item,)
 
     def closed(v, at) -> Iterator[tuple]:
         """The stretch that ends here, if any."""
         if v in tree.up and since[v] != at:
-            yield since[v], at, v, weight.get(v, own(v)), tree.length[v]
+            yield since[v], at, v, weight.get(v, own(v)), tree.length[v], *items.get(v, ())
         since[v] = at
 
     def raised(v, by: int, at) -> Iterator[tuple]:
@@ -285,8 +294,7 @@ def _branches(rows: Iterator[Row]) -> Iterator[tuple]:
     for at, held, stop in _stops(rows):
         border = [r for r in held if r.kind == BORDER]
         for r in border:
-            tree.apply(r)
-            since[r.child] = at
+            begun(r, at)
         for r in border:  # the youngest first, so that a node's weight is whole before it is handed on
             weight[r.parent] = weight.get(r.parent, own(r.parent)) + weight.get(r.child, own(r.child))
         for r in held:
@@ -295,19 +303,144 @@ def _branches(rows: Iterator[Row]) -> Iterator[tuple]:
                 tree.apply(r)
                 yield from raised(r.parent, -weight.get(r.child, own(r.child)), at)
             elif r.kind == STARTS:
-                tree.apply(r)
-                since[r.child] = at
+                begun(r, at)
                 yield from raised(r.parent, weight.get(r.child, own(r.child)), at)
     if stop is not None:
         for v in list(tree.up):
             yield from closed(v, stop)
 
 
+def _borders(edges: DataFrame, by: tuple[str, ...]) -> prefix.Cuts | None:
+    """Places with at most LARGEST_TREE edges that start or end between two of them, at places of their own; None where no tree is larger than that."""
+    if edges.count() <= LARGEST_TREE:
+        return None
+    ends = F.array(F.struct(F.col("left").alias("at"), F.lit(1).cast("long").alias("d")), F.struct(F.col("right").alias("at"), F.lit(-1).cast("long").alias("d")))
+    places = written(edges.select(*by, F.explode(ends).alias("x")).groupBy(*by, "x.at").agg(F.sum("x.d").alias("d"), F.count(F.lit(1)).alias("n")), "places")
+    if (prefix.running_sum(places, "at", "d", "live", by).agg(F.max("live")).first()[0] or 0) <= LARGEST_TREE:
+        return None
+    nth = lambda n: F.floor(n / LARGEST_TREE)
+    full = prefix.running_sum(places, "at", "n", "_before", by, inclusive=False).where(nth(F.col("_before")) < nth(F.col("_before") + F.col("n")))
+    of_key: dict[tuple, list[float]] = {}
+    for r in full.select(*by, F.col("at").cast("double").alias("_at")).collect():  # two for each LARGEST_TREE edges
+        of_key.setdefault(tuple(r[c] for c in by), []).append(r["_at"])
+    found = {k: sorted(set(x)) for k, x in of_key.items()}
+    if not by:
+        return prefix.Cuts(by, (found[()], [0.0] * len(found[()])), None, len(found[()]))
+    kind = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*(T.StructField(f"_{c}", edges.schema[c].dataType) for c in by), T.StructField("_places", kind), T.StructField("_ties", kind)])
+    table = edges.sparkSession.createDataFrame([(*k, x, [0.0] * len(x)) for k, x in found.items()], schema)
+    return prefix.Cuts(by, table=table, most=max(map(len, found.values())))
+
+
+def _weighted(fixed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, up, length, k): how many samples stand at or below each node of the trees that edges make, one for each value of ``keys``.
+
+    Leaves hand their number to their parents and are done, round after round; when
+    few nodes are left, or few of them are leaves as in a chain, the rest is added up by doubling.
+    """
+    one = lambda c: F.lit(c).cast("long")
+    none = [F.lit(None).cast(fixed.schema["parent"].dataType).alias("up"), F.lit(None).cast("double").alias("length")]
+    below = fixed.select(*keys, F.col("child").alias("node"), F.col("parent").alias("up"), (F.col("parent_time") - F.col("child_time")).alias("length"), F.col("child_sample").cast("long").alias("k"), F.lit(0).alias("inner"))
+    above = fixed.select(*keys, F.col("parent").alias("node"), *none, F.col("parent_sample").cast("long").alias("k"), F.lit(1).alias("inner"))
+    twice = F.raise_error(F.concat(F.lit("node "), F.first("node").cast("string"), F.lit(" has two parents"))).cast("long")
+    shape = [F.max("up").alias("up"), F.max("length").alias("length"), F.max("inner").alias("inner")]
+    now = written(below.unionByName(above).groupBy(*keys, "node").agg(*shape, F.when(F.count("up") > 1, twice).otherwise(F.max("k")).alias("k")), "weighted")
+    out = [*keys, "node", "up", "length", "k"]
+    done: list[DataFrame] = []
+    while True:
+        total, inner = now.agg(F.count(F.lit(1)), F.count(F.when(F.col("inner") == 1, 1))).first()
+        if not inner:
+            done.append(now.select(*out))
+            break
+        if total <= LARGEST_TREE or inner > total * 7 // 8:
+            sums = added_up(now.select(*keys, "node", "up", "k"), keys)
+            done.append(now.drop("k").join(sums, [*keys, "node"]).select(*out))
+            break
+        leaf, rest = now.where("inner = 0"), now.where("inner = 1")
+        done.append(leaf.select(*out))
+        handed = leaf.where("up IS NOT NULL").select(*keys, F.col("up").alias("node"), *none, "k", F.lit(0).alias("inner"))
+        marks = rest.where("up IS NOT NULL").select(*keys, F.col("up").alias("node"), *none, one(0).alias("k"), F.lit(1).alias("inner"))
+        kept = rest.select(*out, F.lit(0).alias("inner"))
+        now = written(kept.unionByName(handed).unionByName(marks).groupBy(*keys, "node").agg(*shape, F.sum("k").alias("k")), "weighted")
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def _paths(base: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, node, steps): each start and all nodes above it."""
+    jump = written(base.where("up IS NOT NULL").select(*keys, "node", "up"), "jump")
+    every = written(starts.select(*keys, "start", F.col("start").alias("node"), F.lit(0).cast("long").alias("steps")), "paths")
+    reach = 1
+    while True:
+        more = written(every.join(jump, [*keys, "node"]).select(*keys, "start", F.col("up").alias("node"), (F.col("steps") + reach).alias("steps")), "paths")
+        if more.isEmpty():
+            drop_written(jump)
+            return every
+        every, reach = every.unionByName(more), 2 * reach
+        further = written(jump.join(jump.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up")), [*keys, "up"]).select(*keys, "node", F.col("_up").alias("up")), "jump")
+        drop_written(jump)
+        jump = further
+
+
+def _large_branches(edges: DataFrame, cuts: prefix.Cuts, by: tuple[str, ...]) -> DataFrame:
+    """``branches`` of timed edges whose trees no task can hold, in the pieces of the axis between ``cuts``.
+
+    In a piece most edges span all of it. They make fixed trees, whose samples are
+    counted by joins. The few that start or end within the piece move whole fixed
+    trees: a task sweeps the trees that they make of fixed trees, each taken as one
+    node. What a moving edge brings and takes away counts at all nodes above it.
+    """
+    keys, kind = [*by, "_piece"], edges.schema["left"].dataType
+    bound = lambda k: F.get("_places", k).cast(kind)
+    met = cuts.met(edges).withColumns({"_from": cuts.below(F.col("left").cast("double"), F.lit(0.0)), "_to": cuts.below(F.col("right").cast("double"))})
+    each = met.withColumn("_piece", F.explode(F.sequence(F.col("_from"), F.greatest("_from", "_to")))).withColumns({"_lo": bound(F.col("_piece") - 1), "_hi": bound(F.col("_piece"))})
+    fixed = F.coalesce((F.col("left") <= F.col("_lo")) & (F.col("right") >= F.col("_hi")), F.lit(False))
+    edge = ["parent", "child", "parent_time", "child_time", "parent_sample", "child_sample"]
+    cut = each.select(*keys, F.greatest("left", "_lo").alias("left"), F.least("right", "_hi").alias("right"), *edge, fixed.alias("_fixed"))
+    moving = written(cut.where("NOT _fixed").drop("_fixed"), "moving")
+    base = _weighted(cut.where("_fixed"), keys)
+    drop_written(edges)
+    branch = cuts.met(base.where("up IS NOT NULL")).select(*keys, bound(F.col("_piece") - 1).alias("left"), bound(F.col("_piece")).alias("right"), "node", "k", "length")
+    out = [*by, "left", "right", "node", "k", "length"]
+    if moving.isEmpty():
+        return branch.select(*out)
+
+    paths = _paths(base, moving.select(*keys, F.col("parent").alias("start")).distinct(), keys)
+    root = paths.groupBy(*keys, F.col("start").alias("parent")).agg(F.max_by("node", "steps").alias("_root"))
+    known = moving.join(root, [*keys, "parent"]).join(base.select(*keys, F.col("node").alias("_root"), F.col("k").alias("_over")), [*keys, "_root"], "left")
+    known = known.join(base.select(*keys, F.col("node").alias("child"), F.col("k").alias("_under"), F.col("up").isNotNull().alias("_twice")), [*keys, "child"], "left")
+    twice = F.raise_error(F.concat(F.lit("node "), F.col("child").cast("string"), F.lit(" has two parents"))).cast("long")
+    weight = lambda k, sample: F.coalesce(F.col(k), F.col(sample).cast("long"))
+    joined = known.select(
+        *keys, "left", "right", F.col("_root").alias("parent"), "child", "parent_time", "child_time", weight("_over", "parent_sample").alias("parent_sample"),
+        F.when(F.col("_twice"), twice).otherwise(weight("_under", "child_sample")).alias("child_sample"), F.col("parent").alias("item"),
+    )
+    place, node, above = kind.simpleString(), edges.schema["child"].dataType.simpleString(), edges.schema["parent"].dataType.simpleString()
+    stream = differences(written(joined, "joined"), tuple(keys))
+    moved = written(swept(stream, tuple(keys), _branches, f"left {place}, right {place}, node {node}, k long, length double, above {above}"), "moved")
+
+    ends = F.array(F.struct(F.col("left").alias("at"), F.col("k").alias("d")), F.struct(F.col("right").alias("at"), (-F.col("k")).alias("d")))
+    steps = moved.where("k <> 0").select(*keys, F.col("above").alias("start"), F.explode(ends).alias("x")).groupBy(*keys, "start", "x.at").agg(F.sum("x.d").alias("d")).where("d <> 0")
+    lifted = steps.join(paths, [*keys, "start"]).select(*keys, "node", "at", "d", F.lit(None).cast(kind).alias("stop"), F.lit(None).cast("double").alias("length"))
+    own = branch.select(*keys, "node", F.col("left").alias("at"), F.col("k").alias("d"), F.col("right").alias("stop"), "length")
+    summed = own.unionByName(lifted).groupBy(*keys, "node", "at").agg(F.sum("d").alias("d"), F.max("stop").alias("stop"), F.max("length").alias("length")).where("d <> 0 OR stop IS NOT NULL")
+    w = Window.partitionBy(*keys, "node").orderBy("at")  # a branch's own row comes first
+    stretches = summed.select(
+        *by, F.col("at").alias("left"), F.coalesce(F.lead("at").over(w), F.first("stop").over(w)).alias("right"), "node", F.sum("d").over(w).alias("k"), F.first("length").over(w).alias("length"), F.first("stop").over(w).alias("_stop")
+    )
+    return stretches.where("_stop IS NOT NULL AND left < right").select(*out).unionByName(moved.select(*out))
+
+
 def branches(edges: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, left, right, node, k, length): the branch above each node, on each stretch of the axis where it has the same length and the same number of samples below."""
     kind, node = edges.schema["left"].dataType.simpleString(), edges.schema["child"].dataType.simpleString()
-    stream = differences(written(timed(edges, nodes, by), "timed"), by)
-    return swept(stream, by, _branches, f"left {kind}, right {kind}, node {node}, k long, length double")
+    held = written(timed(edges, nodes, by), "timed")
+    cuts = _borders(held, by)
+    if cuts is not None:
+        return _large_branches(held, cuts, by)
+    return swept(differences(held, by), by, _branches, f"left {kind}, right {kind}, node {node}, k long, length double")
 
 
 def branches_by_window(edges: DataFrame, nodes: DataFrame, width: float, by: tuple[str, ...] = ()) -> DataFrame:

@@ -29,10 +29,13 @@ def total_material(edges: DataFrame) -> DataFrame:
 def _doubled(rows: DataFrame, keys: list[str], name: str, step) -> DataFrame:
     """Apply ``step(rows, above)`` until no node's pointer ``up`` leads anywhere; ``above`` is the table as seen from below."""
     now = written(rows, name)
+    reach = 1
     while not now.where("up IS NOT NULL").isEmpty():
+        if reach >= 1024 and reach > now.count():
+            raise ValueError("a node is its own ancestor")
         after = written(step(now), name)
         drop_written(now)
-        now = after
+        now, reach = after, 2 * reach
     return now
 
 
@@ -49,16 +52,21 @@ def depths(parents: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def samples_below(parents: DataFrame, samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, node, k): how many samples stand at or below each node.
-
-    After round r a node has counted those less than 2 ** r steps below it; the
-    nodes exactly so many steps below hand it what they have counted themselves.
-    """
+    """(by, node, k): how many samples stand at or below each node."""
     keys = list(by)
     marked = samples.select(*keys, "node").distinct().withColumn("_own", F.lit(1).cast("long"))
     every = parents.select(*keys, F.explode(F.array("child", "parent")).alias("node")).unionByName(samples.select(*keys, "node")).distinct()
     up = parents.select(*keys, F.col("child").alias("node"), F.col("parent").alias("up"))
     rows = every.join(up, [*keys, "node"], "left").join(marked, [*keys, "node"], "left").select(*keys, "node", "up", F.coalesce("_own", F.lit(0).cast("long")).alias("k"))
+    return added_up(rows, keys)
+
+
+def added_up(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, k): the sum of ``k`` over all nodes at or below each, of rows (keys, node, up, k).
+
+    After round r a node has counted those less than 2 ** r steps below it; the
+    nodes exactly so many steps below hand it what they have counted themselves.
+    """
 
     def step(now: DataFrame) -> DataFrame:
         handed = now.where("up IS NOT NULL").groupBy(*keys, F.col("up").alias("node")).agg(F.sum("k").alias("_more"))

@@ -184,3 +184,68 @@ def test_refused(spark):
     none = edges((0.0, 1.0, 1, 0)).limit(0)
     assert sweep.tree_roots(none, nodes).count() == sweep.branches(none, nodes).count() == sweep.simplify(none, nodes).count() == 0
     assert sweep.tree_roots(edges((0.5, 0.5, 1, 0)), nodes).count() == 0
+
+
+@pytest.mark.parametrize(("largest", "by", "seed", "places", "inner", "share"), [(3, None, 3, 60, 12, 1), (15, ["a", "b"], 4, 12, 40, 6)])
+def test_branches_of_large_trees(spark, monkeypatch, largest, by, seed, places, inner, share):
+    """Trees above the stated size are split, also where some edges span a piece of the axis and others move within it."""
+    monkeypatch.setattr(sweep, "LARGEST_TREE", largest, raising=False)
+    edges, local, n = genealogy(seed, places, inner)
+    e, nodes = tables(spark, [(a * share, b * share, p, c) for a, b, p, c in edges], n, by)
+    weight = defaultdict(int)
+    for r in sweep.branches(e, nodes, ("g",) if by else ()).collect():
+        assert r.left < r.right
+        for at in range(r.left, r.right):
+            weight[at, r.node, r.k, r.length] += 1
+    assert weight == {(at * share + i, c, len(below(tree)[c]), float(p - c)): len(by or "1") for at, tree in enumerate(local) for c, p in tree.items() for i in range(share)}
+
+
+def test_no_task_holds_a_large_tree(spark, monkeypatch):
+    """Of trees of 400 edges, a few of which move, no task sweeps 400 rows: heaps, a chain and a star."""
+    monkeypatch.setattr(sweep, "LARGEST_TREE", 100, raising=False)
+    visit = sweep._branches
+
+    def counted(rows):
+        own = list(rows)
+        assert len(own) < 400
+        return visit(iter(own))
+
+    monkeypatch.setattr(sweep, "_branches", counted)
+    heap = {k: (k - 1) // 2 for k in range(1, 401)}
+    chain, star = {k: k - 1 for k in range(1, 401)}, dict.fromkeys(range(1, 401), 0)
+    for trees_of, moves in (((heap, chain), 0), ((heap, heap), 40), ((chain, star), 20)):
+        local = [dict(trees_of[at // 100]) for at in range(200)]
+        for i in range(moves):  # a node is moved to the root for a while
+            for at in range(10 + i, 15 + 3 * i):
+                local[at][400 - 3 * i] = 0
+        edges, since = [], {}
+        for at in range(201):
+            tree = local[at] if at < 200 else {}
+            for c in range(1, 401):
+                if c in since and since[c][1] != tree.get(c):
+                    edges.append((since[c][0], at, since[c][1], c))
+                    del since[c]
+                if c in tree and c not in since:
+                    since[c] = (at, tree[c])
+        e = spark.createDataFrame(edges, "left long, right long, parent long, child long")
+        nodes = spark.range(401).selectExpr("id AS node", "double(1000 - id) AS time", "id % 4 = 0 AS sample")
+        total = defaultdict(float)
+        for at, tree in enumerate(local):
+            count = {v: int(v % 4 == 0) for v in range(401)}
+            for c in range(400, 0, -1):
+                count[tree[c]] += count[c]
+            for c, p in tree.items():
+                total[at // 50] += (c - p) * (0 < count[c] < 101)
+        got = {r.window: r.segregating for r in sweep.branch_statistics(e, nodes, 50.0).collect()}
+        assert got == pytest.approx({w: x / 50 for w, x in total.items()})
+
+
+def test_large_trees_refused(spark, monkeypatch):
+    monkeypatch.setattr(sweep, "LARGEST_TREE", 4, raising=False)
+    nodes = spark.range(40).selectExpr("id AS node", "double(id) AS time", "id < 8 AS sample")
+    edges = lambda *rows: spark.createDataFrame([(0, 9, 30, k) for k in range(8)] + list(rows), "left long, right long, parent long, child long")
+    for twice in ((0, 9, 31, 3), (2, 5, 31, 3)):
+        with pytest.raises(Exception, match="two parents"):
+            sweep.branches(edges(twice), nodes).collect()
+    with pytest.raises(Exception, match="its own ancestor"):
+        sweep.branches(edges((0, 9, 32, 31), (0, 9, 31, 32)), nodes).collect()
